@@ -133,23 +133,26 @@ def _number(version: str) -> str:
     return W.join(version.split("."))
 
 
+#: A grant may lead a named license; with it the match also covers what the rules for unnamed licenses find.
+GRANT = f"(?:(?:licensed|released|distributed|available|covered|published){W}under{W}(?:the{W}|a{W})?)?"
+
+
 def rules() -> list[tuple[str, int, str, str]]:
     """All rules, several hundred: (label, priority, keyword, pattern)."""
-    out = [(label, priority, keyword, " " + _words(text) + " ") for label, priority, keyword, text in PLAIN]
+    out = [(label, priority, keyword, " " + ("" if priority < 5 else GRANT) + _words(text) + " ") for label, priority, keyword, text in PLAIN]
     for label, keyword, names, versions in VERSIONED:
         for name in names:
-            out.append((label, 40, keyword, f" {_words(name)} "))
+            out.append((label, 40, keyword, f" {GRANT}{_words(name)} "))
             for v in versions:
-                for between in ("", "version" + W, "v" + W, "v"):
-                    out.append((f"{label}-{v.removesuffix('.0') if label in ('gpl', 'lgpl', 'agpl') else v}", 60, keyword, f" {_words(name)}{W}{between}{_number(v)} "))
-            out.append((f"{label}-or-later", 75, keyword, f" {_words(name)}{W}(?:[^ ]+{W}){{0,8}}any{W}later{W}version "))
+                out.append((f"{label}-{v.removesuffix('.0') if label in ('gpl', 'lgpl', 'agpl') else v}", 60, keyword, f" {GRANT}{_words(name)}{W}(?:version{W}|v{W}|v)?{_number(v)} "))
+            out.append((f"{label}-or-later", 75, keyword, f" {GRANT}{_words(name)}{W}(?:[^ ]+{W}){{0,8}}any{W}later{W}version "))
     for short, long in CC_PARTS:
         tag = "cc-" + short.replace(" ", "-")
-        out.append((tag, 40, "cc  by", f" cc{W}{_words(short)} "))
-        out.append((tag, 40, "creative  commons", f" creative{W}commons{W}{_words(long)}(?:{W}[0-9])? "))
+        out.append((tag, 40, "cc  by", f" {GRANT}cc{W}{_words(short)} "))
+        out.append((tag, 40, "creative  commons", f" {GRANT}creative{W}commons{W}{_words(long)}(?:{W}[0-9])? "))
         for v in CC_VERSIONS:
-            out.append((f"{tag}-{v}", 60, "cc  by", f" cc{W}{_words(short)}{W}{_number(v)} "))
-            out.append((f"{tag}-{v}", 60, "creative  commons", f" creative{W}commons{W}{_words(long)}{W}{_number(v)} "))
+            out.append((f"{tag}-{v}", 60, "cc  by", f" {GRANT}cc{W}{_words(short)}{W}{_number(v)} "))
+            out.append((f"{tag}-{v}", 60, "creative  commons", f" {GRANT}creative{W}commons{W}{_words(long)}{W}{_number(v)} "))
     for name in SPDX:
         out.append((name.replace(" ", "-"), 100, "spdx", f" spdx{W}license{W}identifier{W}{W.join(name.replace('.', ' ').split())} "))
     return out
