@@ -10,7 +10,8 @@ Candidates never come as all pairs of a bucket. First every member of a bucket
 is compared with a few of the bucket's own members drawn by hash; pairs inside
 one component are left out, since they can't change the result. What then
 remains is exact: in each bucket that still holds several components, the
-members outside its largest component are compared with the other components'.
+members outside its largest component are compared with the other components',
+but for pairs that exact bounds on their intersection rule out.
 
 A pair is pruned as soon as, after some batch of signature places, the posterior
 probability of a similarity of 0.75 or more is under ``MISS``; the survivors are
@@ -42,6 +43,7 @@ FIRST_BANDS = 12
 BATCH = 32
 MISS = 1e-5
 SIMILAR = (75, 100)
+BLOCKS = 128  # hash blocks of the exact bound on intersections
 
 _rng = np.random.default_rng(20240)
 _XOR = _rng.integers(0, 1 << 32, size=(SIGNATURE, 1), dtype=np.uint32)
@@ -189,19 +191,20 @@ class _Search:
         sized = pairs.join(side("a"), "a").join(side("b"), "b").where(SIMILAR[1] * F.least("n_a", "n_b") >= SIMILAR[0] * F.greatest("n_a", "n_b")).select("a", "b")
         return self.keep(sized.join(sig("a"), "a").join(sig("b"), "b").mapInArrow(_sequential, "a long, b long, matches long"), "pruned")
 
+    def texts_of(self, wanted: DataFrame) -> DataFrame:
+        """(class, text), one row for each of the classes."""
+        wanted = wanted.join(self.classes.select("class", "min_doc"), "class").withColumnRenamed("min_doc", "doc_id")
+        if not self.repeated:
+            return self.texts.join(wanted, "doc_id").select("class", "text")
+        named = self.texts.where("doc_id is not null").join(wanted.select("doc_id").distinct(), "doc_id").mapInArrow(_named, "class long, text string")
+        return named.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
+
     def linked(self, pairs: DataFrame) -> None:
         """Verify pairs on full sets, take in the links, and bring the components up to date."""
         if self.checked is not None:
             pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
         pairs = self.keep(pairs.select("a", "b"), "pairs")
-        ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        wanted = ends.join(self.classes.select("class", "min_doc"), "class").withColumnRenamed("min_doc", "doc_id")
-        named = self.texts.where("doc_id is not null").join(wanted.select("doc_id").distinct(), "doc_id")
-        if self.repeated:
-            named = named.mapInArrow(_named, "class long, text string")
-        else:
-            named = named.join(wanted, "doc_id").select("class", "text")
-        texts = self.keep(named.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]) if self.repeated else named, "texts")
+        texts = self.keep(self.texts_of(pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()), "texts")
         side = lambda x: texts.select(F.col("class").alias(x), F.col("text").alias(f"text_{x}"))
         done = self.keep(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_exact, "a long, b long, linked boolean"), "links")
         self.checked = done.select("a", "b") if self.checked is None else self.checked.unionByName(done.select("a", "b"))
@@ -231,6 +234,25 @@ class _Search:
         return self._repeated
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, raw, offsets in words.text_blocks(batch.column("text")):
+            sets = list(words.shingle_sets(raw, offsets))
+            own = np.repeat(batch.column("class").slice(a, b - a).to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate(sets).view(np.int64))], ["class", "shingle"])
+
+
+def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, raw, offsets in words.text_blocks(batch.column("text")):
+            sets = list(words.shingle_sets(raw, offsets))
+            counts = [np.bincount((s & np.uint64(BLOCKS - 1)).astype(np.int64), minlength=BLOCKS) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("class").slice(a, b - a), pa.array([len(s) for s in sets], pa.int32()), pa.array([c.astype(np.int32) for c in counts], pa.list_(pa.int32()))],
+                ["class", "n", "blocks"],
+            )
+
+
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, raw, offsets in words.text_blocks(batch.column("text")):
@@ -262,9 +284,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = placed.groupBy("key", "component").count()
     largest = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("component", F.struct("count", "component")).alias("largest")).where("n > 1").drop("n")
     open_ = placed.join(largest, "key")
-    few = open_.where("component <> largest").select("key", F.col("class").alias("a"), F.col("component").alias("ca"))
-    every = open_.select("key", F.col("class").alias("b"), F.col("component").alias("cb"))
-    run.linked(run.pruned(run.crossing(few.join(every, "key").where("ca <> cb").select("a", "b"))))
+    # bounds on what two sets can share: a shingle that no other of these classes has lies in no intersection,
+    # and by hash block the others can't share more than the fewer that either has
+    texts = run.keep(run.texts_of(open_.select("class").distinct()), "open-texts")
+    rows = texts.mapInArrow(_shingle_rows, "class long, shingle long")
+    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("class")).where("n = 1").select("class", F.expr(f"shingle & {BLOCKS - 1}").cast("int").alias("block"))
+    alone = alone.groupBy("class", "block").count().groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("block", F.col("count").cast("int")))).alias("alone"))
+    sizes = texts.mapInArrow(_block_counts, "class long, n int, blocks array<int>").join(alone, "class", "left")
+    sizes = sizes.withColumn("blocks", F.transform("blocks", lambda v, j: v - F.coalesce(F.try_element_at("alone", j), F.lit(0)))).drop("alone")
+    sizes = sizes.withColumn("shared", F.aggregate("blocks", F.lit(0), lambda t, v: t + v)).where(SIMILAR[1] * F.col("shared") >= SIMILAR[0] * F.col("n"))
+    bounded = run.keep(open_.join(run.keep(sizes, "bounds"), "class").select("key", "class", "component", "largest", "n", "shared", "blocks"), "open")
+    side = lambda df, x: df.select("key", F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("component", "n", "shared", "blocks")])
+    reach = lambda most: SIMILAR[1] * most >= SIMILAR[0] * (F.col("n_a") + F.col("n_b") - most)
+    in_blocks = F.aggregate(F.zip_with("blocks_a", "blocks_b", lambda x, y: F.least(x, y)), F.lit(0), lambda t, v: t + v)
+    few = side(bounded.where("component <> largest"), "a").join(side(bounded, "b"), "key")
+    few = few.where((F.col("component_a") != F.col("component_b")) & reach(F.least("shared_a", "shared_b")) & reach(in_blocks))
+    run.linked(run.pruned(run.crossing(few.select("a", "b"))))
 
     c = run.component
     node = run.classes.select("class", "min_doc").join(c.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
