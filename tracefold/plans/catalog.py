@@ -1,11 +1,423 @@
-"""Registry of the trace-analytics queries and their SQL counterparts."""
+"""Registry of the trace-analytics queries and their SQL counterparts.
+
+The ``embeddings`` table stands for a trace collection: vec_id orders the
+traces, label is the ensemble, the vector holds the samples.
+"""
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracefold.functions import arrays as A
+from tracefold.functions import complexes as C
+from tracefold.functions import geometry as G
+from tracefold.operators import cross, kernels, statistics
+from tracefold.schema import vectors_as_traces
+from tracefold.sources import synthetics
+
+#: Samples of the trace analogue in SQL.
+S = "s AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS it, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors_as_traces(table(spark, sf_dir, "embeddings"))
+
+
+def sampled(df: DataFrame, data: str = "data", digits: int = 6, key: str = "seq", name: str = "vec_id") -> DataFrame:
+    return df.select(F.col(key).alias(name), F.posexplode(data).alias("it", "v")).select(name, F.col("it").cast("long").alias("it"), F.round(F.col("v").cast("double"), digits).alias("v"))
+
+
+# --- sources ------------------------------------------------------------------
+
+
+@query("""
+SELECT tr.i AS trace_id, t.j AS it, CASE WHEN tr.i IN (8, 24) AND t.j IN (15, 47) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v
+FROM (SELECT unnest(range(32)) AS i) tr, (SELECT unnest(range(64)) AS j) t""")
+def spike_samples(spark, sf_dir):
+    return sampled(synthetics.spike(spark), name="trace_id")
+
+
+@query("""
+WITH p(dip) AS (VALUES (0.0), (4.0), (8.0)), hit AS (
+  SELECT i, CAST(31 - (15 - i) * dip / 4.0 AS DOUBLE) AS fit FROM (SELECT unnest(range(32)) AS i) tr, p WHERE i BETWEEN 3 AND 27
+), part AS (
+  SELECT i, CAST(floor(fit) AS BIGINT) AS it, 1 - (fit - floor(fit)) AS v FROM hit WHERE fit >= 0 AND fit < 63
+  UNION ALL SELECT i, CAST(floor(fit) AS BIGINT) + 1, fit - floor(fit) FROM hit WHERE fit >= 0 AND fit < 63
+)
+SELECT i AS trace_id, it, round(sum(v), 6) AS v FROM part GROUP BY ALL HAVING sum(v) <> 0""")
+def plane_samples(spark, sf_dir):
+    return sampled(synthetics.plane(spark), name="trace_id").where("v <> 0")
+
+
+@query()
+def plane_tapered(spark, sf_dir):
+    return sampled(synthetics.plane(spark, taper=True), name="trace_id").where("v <> 0")
+
+
+@query()
+def synlv_midpoints(spark, sf_dir):
+    return sampled(synthetics.synlv(spark), digits=5, name="trace_id")
+
+
+@query()
+def synlv_shots_gradient(spark, sf_dir):
+    return sampled(synthetics.synlv(spark, nxm=0, nxs=11, nxo=3, dvdz=0.4, dvdx=0.1), digits=5, name="trace_id")
+
+
+@query("""
+SELECT i AS trace_id, CAST(i AS DOUBLE) * 0.05 AS x, i + 1 AS ensemble_number, 1 AS ensemble_trace_number, 0.0::DOUBLE AS offset_
+FROM (SELECT unnest(range(101)) AS i)""")
+def synlv_headers(spark, sf_dir):
+    return synthetics.synlv(spark).select("trace_id", F.col("mid_point.x").alias("x"), "ensemble_number", F.col("ensemble_trace_number").cast("int").alias("ensemble_trace_number"), F.col("offset").alias("offset_"))
+
+
+# --- per-trace filters --------------------------------------------------------
+
+
+@query()
+def bandpass_rms(spark, sf_dir):
+    out = kernels.butterworth_bandpass(traces(spark, sf_dir))
+    return out.select(F.col("trace_id"), F.col("ensemble_number"), F.round(A.rms("data"), 6).alias("rms"), F.round(A.abs_max("data"), 6).alias("peak"))
+
+
+def _kernel_query(name: str, *ks: kernels.Kernel) -> None:
+    def run(spark, sf_dir):
+        out = kernels.apply_kernels(traces(spark, sf_dir), *ks)
+        return out.select("trace_id", F.round(A.rms("data"), 6).alias("rms"), F.round(F.get("data", F.lit(31)).cast("double"), 5).alias("middle"))
+
+    run.__name__ = name
+    query()(run)
+
+
+_kernel_query("polygonal_filter", kernels.frequency_filter())
+_kernel_query("time_varying_bandpass", kernels.time_varying_bandpass([0.05, 0.2], [[5, 10, 60, 80], [5, 10, 30, 40]]))
+_kernel_query("half_integral", kernels.fractional(-0.5))
+_kernel_query("phase_rotation", kernels.phase_change(90.0))
+_kernel_query("minimum_phase", kernels.minimum_phase())
+_kernel_query("antialias", kernels.antialias(0.5))
+_kernel_query("gaussian_smoothing", kernels.gaussian_smooth(5))
+_kernel_query("savitzky_golay", kernels.savitzky_golay(3, 3))
+_kernel_query("fractional_shift", kernels.time_shift(0.0013))
+_kernel_query("hartley_transform", kernels.hartley())
+_kernel_query("fused_filters", kernels.bandpass_kernel(), kernels.gaussian_smooth(3), kernels.time_shift(0.002))
+
+
+@query(f"""
+WITH RECURSIVE {S}, f AS (
+  SELECT vec_id, it, v, (v * 0.2) AS y FROM s WHERE it = 0
+  UNION ALL SELECT s.vec_id, s.it, s.v, 0.2 * (s.v + f.v) + 0.6 * f.y FROM f JOIN s ON s.vec_id = f.vec_id AND s.it = f.it + 1
+)
+SELECT vec_id, it, round(y, 4) AS v FROM f WHERE it % 16 = 15""")
+def one_pole_lowpass(spark, sf_dir):
+    """First-order section of the recursive low-pass with coefficient 0.2."""
+    f3db = math.atan(0.25) / math.pi  # the bilinear frequency whose section is 0.2 (1 + z) / (1 - 0.6 z)
+    out = kernels.apply_kernels(traces(spark, sf_dir).withColumn("data", F.col("data").cast("array<double>")), kernels.butterworth(1, f3db, high=False, zero_phase=False))
+    return sampled(out, digits=4).where("it % 16 = 15")
+
+
+@query(f"""
+WITH {S} SELECT vec_id, count(*) AS n, round(sqrt(avg(v * v)), 6) AS rms, round(max(abs(v)), 6) AS peak, round(avg(v), 6) AS mean, round(sum(abs(v)), 5) AS abs_sum,
+  arg_max(it, v ORDER BY v DESC, it) AS argmax, arg_min(it, v ORDER BY v, it) AS argmin FROM s GROUP BY vec_id""".replace("arg_max(it, v ORDER BY v DESC, it)", "first(it ORDER BY v DESC, it)").replace("arg_min(it, v ORDER BY v, it)", "first(it ORDER BY v, it)"))
+def trace_statistics(spark, sf_dir):
+    return traces(spark, sf_dir).select(
+        F.col("seq").alias("vec_id"), F.col("n_sample").cast("long").alias("n"), F.round(A.rms("data"), 6).alias("rms"), F.round(A.abs_max("data"), 6).alias("peak"), F.round(A.mean("data"), 6).alias("mean"),
+        F.round(A.abs_sum("data"), 5).alias("abs_sum"), A.argmax("data").alias("argmax"), A.argmin("data").alias("argmin"),
+    )
+
+
+@query(f"""
+WITH {S} SELECT vec_id, it, round((coalesce(lead(v) OVER w, v) - coalesce(lag(v) OVER w, v)) / (CASE WHEN it IN (0, 63) THEN 1 ELSE 2 END * 0.004), 4) AS v
+FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY it)""")
+def differentiate(spark, sf_dir):
+    return sampled(traces(spark, sf_dir).withColumn("data", A.differentiate(F.col("data").cast("array<double>"), 0.004)), digits=4)
+
+
+@query(f"""
+WITH {S}, h AS (SELECT k, (0.54 + 0.46 * cos(pi() * k / 30.0)) * CASE WHEN k % 2 <> 0 THEN 2 / (pi() * k) ELSE 0 END AS c FROM (SELECT unnest(range(-30, 31)) AS k) WHERE k <> 0 AND k % 2 <> 0)
+SELECT a.vec_id, a.it, round(sum(b.v * h.c), 5) AS v FROM s a JOIN h ON true JOIN s b ON b.vec_id = a.vec_id AND b.it = a.it - h.k WHERE a.it % 8 = 3 GROUP BY ALL""")
+def hilbert_transform(spark, sf_dir):
+    return sampled(traces(spark, sf_dir).withColumn("data", A.hilbert("data", n=64).cast("array<double>")), digits=5).where("it % 8 = 3")
+
+
+@query(f"""
+WITH {S}, w AS (SELECT k, exp(-x) * (1 - 2 * x) AS c FROM (SELECT k, pow(pi() * 25 * (k * 0.004 - 1 / 25.0), 2) AS x FROM (SELECT unnest(range(21)) AS k)))
+SELECT a.vec_id, a.it, round(sum(b.v * w.c), 5) AS v FROM s a JOIN w ON true JOIN s b ON b.vec_id = a.vec_id AND b.it = a.it - w.k WHERE a.it % 8 = 0 GROUP BY ALL""")
+def convolve_ricker(spark, sf_dir):
+    wavelet = A.ricker(21, 0.004, 25.0)
+    return sampled(traces(spark, sf_dir).withColumn("data", A.convolve(wavelet, 0, "data", 0, 64, 0)), digits=5).where("it % 8 = 0")
+
+
+@query(f"""
+WITH {S}, p AS (SELECT it, v FROM s WHERE vec_id = (SELECT min(vec_id) FROM embeddings)), l AS (SELECT unnest(range(-8, 9)) AS lag)
+SELECT s.vec_id, lag, round(sum(p.v * s.v), 5) AS v FROM l JOIN p ON true JOIN s ON s.it = p.it + lag GROUP BY ALL""")
+def correlate_pilot(spark, sf_dir):
+    """Correlation of every trace with the first one, the pilot, which one broadcast row carries."""
+    t = traces(spark, sf_dir)
+    pilot = t.agg(F.min_by("data", "seq").alias("pilot"))
+    both = t.select("seq", "data", F.lit(0).alias("k")).join(F.broadcast(pilot.withColumn("k", F.lit(0))), "k")
+    return both.select(F.col("seq").alias("vec_id"), F.posexplode(A.correlate("pilot", 0, "data", 0, 17, -8)).alias("i", "v")).select("vec_id", (F.col("i") - 8).cast("long").alias("lag"), F.round("v", 5).alias("v"))
+
+
+@query(f"""
+WITH {S}, k AS (SELECT unnest(range(33)) AS k)
+SELECT vec_id, k, round(sqrt(pow(sum(v * cos(2 * pi() * ((it * k) % 64) / 64)), 2) + pow(sum(v * sin(2 * pi() * ((it * k) % 64) / 64)), 2)), 4) AS amp FROM s, k WHERE k % 4 = 0 GROUP BY ALL""")
+def dft_amplitude(spark, sf_dir):
+    out = traces(spark, sf_dir).select(F.col("seq").alias("vec_id"), F.posexplode(A.amplitude(A.dft("data"))).alias("k", "amp"))
+    return out.select("vec_id", F.col("k").cast("long").alias("k"), F.round("amp", 4).alias("amp")).where("k % 4 = 0")
+
+
+@query(f"""
+WITH {S} SELECT vec_id, it, round(v * CASE WHEN it < 8 THEN (it + 1) / 9.0 ELSE 1 END * CASE WHEN it > 55 THEN (64 - it) / 9.0 ELSE 1 END, 6) AS v FROM s""")
+def tapered(spark, sf_dir):
+    return sampled(traces(spark, sf_dir).withColumn("data", A.taper(F.col("data").cast("array<double>"), 8, 8)))
+
+
+@query(f"""
+WITH {S} SELECT vec_id, (it + 5) % 64 AS it, round(v, 6) AS v FROM s""")
+def rotated(spark, sf_dir):
+    return sampled(traces(spark, sf_dir).withColumn("data", A.rotate("data", 5)))
+
+
+@query(f"""
+WITH {S} SELECT vec_id, it, round(avg(v) OVER (PARTITION BY vec_id ORDER BY it ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS v FROM s""")
+def running_average(spark, sf_dir):
+    return sampled(traces(spark, sf_dir).withColumn("data", A.running_average("data", 7)))
+
+
+@query("""
+SELECT k AS it, round(0.5 * (1 - cos(2 * pi() * (k + 1) / 65)), 9) AS hann, round(exp(-x) * (1 - 2 * x), 9) AS ricker,
+  round(-60 * (k * 0.004 - 0.09) * exp(-2 * 400 * pow(k * 0.004 - 0.09, 2)), 9) AS akb, CASE WHEN k = 0 THEN 1.0 ELSE round(sin(pi() * k / 8) / (pi() * k / 8), 9) END AS sinc
+FROM (SELECT k, pow(pi() * 20 * (k * 0.004 - 0.05), 2) AS x FROM (SELECT unnest(range(64)) AS k))""")
+def wavelets(spark, sf_dir):
+    one = spark.range(1).select(F.posexplode(F.arrays_zip(A.hanning(64).alias("h"), A.ricker(64, 0.004, 20.0).alias("r"), A.akb(64, 0.004, 20.0).alias("a"))).alias("it", "w"))
+    return one.select(F.col("it").cast("long").alias("it"), F.round("w.h", 9).alias("hann"), F.round("w.r", 9).alias("ricker"), F.round("w.a", 9).alias("akb"), F.round(A.sinc(F.col("it") / F.lit(8.0)), 9).alias("sinc"))
+
+
+# --- across traces ------------------------------------------------------------
+
+
+_MIRROR = "SELECT vec_id, label, it, v, row_number() OVER (PARTITION BY label, it ORDER BY vec_id) AS r, count(*) OVER (PARTITION BY label, it) AS n FROM s"
+
+
+@query(f"""
+WITH {S}, o AS ({_MIRROR}), w(k, c) AS (VALUES (-2, 0.6), (-1, 1.0), (0, 1.0), (1, 1.0), (2, 0.6))
+SELECT o.vec_id, o.it, round(sum(b.v * w.c) / 5, 5) AS v FROM o JOIN w ON true
+JOIN o b ON b.label = o.label AND b.it = o.it AND b.r = CASE WHEN o.r + w.k BETWEEN 1 AND o.n THEN o.r + w.k WHEN o.r - w.k BETWEEN 1 AND o.n THEN o.r - w.k ELSE o.r END
+WHERE o.it % 8 = 0 GROUP BY ALL""")
+def trace_mix5(spark, sf_dir):
+    return sampled(cross.mix(traces(spark, sf_dir).withColumn("data", F.col("data").cast("array<double>")), ["ensemble_number"]), digits=5).where("it % 8 = 0")
+
+
+@query(f"""
+WITH {S}, o AS ({_MIRROR}), w(k) AS (VALUES (-2), (-1), (0), (1), (2))
+SELECT o.vec_id, o.it, round(median(b.v), 5) AS v FROM o JOIN w ON true
+JOIN o b ON b.label = o.label AND b.it = o.it AND b.r = CASE WHEN o.r + w.k BETWEEN 1 AND o.n THEN o.r + w.k WHEN o.r - w.k BETWEEN 1 AND o.n THEN o.r - w.k ELSE o.r END
+WHERE o.it % 8 = 0 GROUP BY o.vec_id, o.it""")
+def trace_median5(spark, sf_dir):
+    return sampled(cross.median(traces(spark, sf_dir), ["ensemble_number"]), digits=5).where("it % 8 = 0")
+
+
+@query(f"WITH {S} SELECT CAST(label AS BIGINT) AS label, it, round(CAST(avg(v) AS FLOAT), 5) AS v FROM s GROUP BY ALL".replace("round(CAST(avg(v) AS FLOAT), 5)", "round(avg(v), 5)"))
+def gather_stack(spark, sf_dir):
+    rows = cross.samples(traces(spark, sf_dir), "ensemble_number").groupBy("ensemble_number", "it").agg(F.avg("v").alias("v"))
+    return rows.select(F.col("ensemble_number").alias("label"), F.col("it").cast("long").alias("it"), F.round("v", 5).alias("v"))
+
+
+@query(f"""
+WITH {S}, o AS (SELECT label, it, v, row_number() OVER (PARTITION BY label, it ORDER BY v, vec_id) AS r, count(*) OVER (PARTITION BY label, it) AS n FROM s)
+SELECT CAST(label AS BIGINT) AS label, it, round(avg(v), 5) AS v FROM o WHERE r > floor(n * 0.15 + 0.5) AND r <= n - floor(n * 0.15 + 0.5) GROUP BY ALL""")
+def alpha_trim_stack(spark, sf_dir):
+    return sampled(cross.alpha_trimmed_stack(traces(spark, sf_dir), ["ensemble_number"]), digits=5, key="ensemble_number", name="label")
+
+
+@query("""
+WITH o AS (SELECT *, coalesce(event_type <> lag(event_type) OVER w, true) AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT user_id, event_id, event_type, sum(c::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM o)
+SELECT user_id, CAST(run AS BIGINT) AS run, min(event_type) AS event_type, count(*) AS n, min(event_id) AS first_event FROM r GROUP BY user_id, run""")
+def run_gathers(spark, sf_dir):
+    r = cross.runs(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type")
+    return r.groupBy("user_id", "run").agg(F.min("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
+
+
+@query("""
+WITH o AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0 AS t FROM events),
+g AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 86400, false) AS jump FROM o),
+r AS (SELECT user_id, t, 1 + sum(jump::INT) OVER (PARTITION BY user_id ORDER BY t, event_id) AS segment FROM g)
+SELECT user_id, CAST(max(segment) AS BIGINT) AS segments, count(*) AS n FROM r GROUP BY user_id""")
+def segments_at_gaps(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("t", F.unix_micros("ts") / 1000000.0)
+    return cross.segments_at_gaps(e, ["user_id"], "t", 86400.0).groupBy("user_id").agg(F.max("segment").alias("segments"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+WITH {S}, d AS (SELECT vec_id, label, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings)
+SELECT d.vec_id, round(sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)), 6) AS coherence FROM d JOIN s a ON a.vec_id = d.vec_id JOIN s b ON b.vec_id = d.nxt AND b.it = a.it GROUP BY d.vec_id""")
+def adjacent_coherence(spark, sf_dir):
+    return cross.adjacent_coherence(traces(spark, sf_dir), ["ensemble_number"]).where("coherence is not null").select(F.col("seq").alias("vec_id"), F.round("coherence", 6).alias("coherence"))
+
+
+@query(f"""
+WITH {S}, x AS (SELECT label, (vec_id % 24) * 10.0 AS x, it, v FROM s), p(ip, p) AS (VALUES (0, 0.0), (1, 0.0002), (2, 0.0005)),
+q AS (SELECT label, ip, it - p * x / 0.004 AS tau, v FROM x, p),
+u AS (SELECT label, ip, floor(tau) AS it, (1 - (tau - floor(tau))) * v AS v FROM q UNION ALL SELECT label, ip, floor(tau) + 1, (tau - floor(tau)) * v FROM q)
+SELECT CAST(label AS BIGINT) AS label, CAST(ip AS BIGINT) AS ip, CAST(it AS BIGINT) AS it, round(sum(v), 4) AS v FROM u WHERE it >= 0 AND it < 64 GROUP BY ALL""")
+def slant_stack(spark, sf_dir):
+    t = traces(spark, sf_dir).withColumn("x", F.pmod("seq", F.lit(24)) * 10.0)
+    out = cross.slant_stack(t, ["ensemble_number"], "x", [0.0, 0.0002, 0.0005], 64, 0.004)
+    return out.select(F.col("ensemble_number").alias("label"), F.col("ip").cast("long").alias("ip"), F.col("it").cast("long").alias("it"), F.round("v", 4).alias("v"))
+
+
+def _panel_query(name: str, f) -> None:
+    def run(spark, sf_dir):
+        out = cross.panel_map(traces(spark, sf_dir), ["ensemble_number"], f)
+        return out.select("trace_id", "ensemble_number", F.round(A.rms("data"), 5).alias("rms"))
+
+    run.__name__ = name
+    query()(run)
+
+
+_panel_query("dip_filter", cross.dip_filter([-0.002, -0.001, 0.001, 0.002], [0, 1, 1, 0], 0.004, 1.0))
+_panel_query("radial_k_filter", cross.radial_filter([0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0]))
+_panel_query("separable_k_filter", cross.separable_filter([0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0], [0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0]))
+_panel_query("fractional_k_filter", cross.radial_power(0.5))
+_panel_query("gaussian_k_filter", cross.gaussian_panel(1.0, 1.0))
+_panel_query("svd_filter", cross.eigenimages(2))
+_panel_query("phase_coherence_filter", cross.phase_coherence_filter())
+_panel_query("low_frequency_array", cross.low_frequency_array(0.004))
+
+
+@query()
+def moveout_median_filter(spark, sf_dir):
+    out = cross.moveout_median(traces(spark, sf_dir), ["ensemble_number"], "trace_id", [0.0, 500.0], [0.0, 0.05])
+    return out.select("trace_id", F.round(A.rms("data"), 5).alias("rms"))
+
+
+@query()
+def trimmed_spectrum_stack(spark, sf_dir):
+    return cross.trimmed_spectrum_stack(traces(spark, sf_dir), ["ensemble_number"]).select("ensemble_number", F.round(A.rms("data"), 5).alias("rms"))
+
+
+# --- relational and statistical -----------------------------------------------
+
+
+@query("""
+SELECT l_returnflag, l_linestatus, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept,
+  round(abs(corr(l_extendedprice, l_quantity)), 6) AS r FROM lineitem GROUP BY ALL""")
+def regression_per_key(spark, sf_dir):
+    out = statistics.regression(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", "l_quantity")
+    return out.select("l_returnflag", "l_linestatus", F.col("n").alias("n"), F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("r", 6).alias("r"))
+
+
+@query("""
+WITH g AS (SELECT l_returnflag AS k, 1 / pow(1 + l_tax, 2) AS w, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+s AS (SELECT k, sum(w) AS s, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM g GROUP BY k)
+SELECT k AS l_returnflag, round((sxx * sy - sx * sxy) / (s * sxx - sx * sx), 2) AS a, round((s * sxy - sx * sy) / (s * sxx - sx * sx), 4) AS b FROM s""")
+def weighted_fit(spark, sf_dir):
+    out = statistics.weighted_fit(table(spark, sf_dir, "lineitem").withColumn("sigma", 1 + F.col("l_tax")), ["l_returnflag"], "l_extendedprice", "l_quantity", "sigma")
+    return out.select("l_returnflag", F.round("a", 2).alias("a"), F.round("b", 4).alias("b"))
+
+
+@query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.25), 4) AS q25, round(quantile_cont(o_totalprice, 0.5), 4) AS q50, round(quantile_cont(o_totalprice, 0.9), 4) AS q90 FROM orders GROUP BY 1")
+def quantiles(spark, sf_dir):
+    out = statistics.quantiles(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", [0.25, 0.5, 0.9])
+    return out.select("o_orderpriority", *[F.round(c, 4).alias(c) for c in ("q25", "q50", "q90")])
+
+
+@query("SELECT o_orderpriority, round(o_totalprice, 2) AS value FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS r FROM orders) WHERE r = 11")
+def order_statistic(spark, sf_dir):
+    return statistics.order_statistic(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", 10).select("o_orderpriority", F.round("value", 2).alias("value"))
+
+
+@query("SELECT least(CAST(floor(l_quantity / 5) AS BIGINT) + 1, 10) AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1")
+def histogram(spark, sf_dir):
+    return statistics.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", 0.0, 50.0, 10)
+
+
+@query("""
+WITH k(x, y) AS (VALUES (0.0, 1.0), (50.0, 3.0), (200.0, 2.0), (1000.0, 10.0))
+SELECT event_id, round(CASE WHEN value < 0 THEN 1.0 WHEN value >= 1000 THEN 10.0 ELSE (
+  SELECT a.y + (b.y - a.y) * (value - a.x) / (b.x - a.x) FROM k a JOIN k b ON b.x = (SELECT min(x) FROM k WHERE x > a.x) WHERE a.x <= value AND value < b.x) END, 6) AS v FROM events""")
+def linear_lookup(spark, sf_dir):
+    xs, ys = F.lit([0.0, 50.0, 200.0, 1000.0]), F.lit([1.0, 3.0, 2.0, 10.0])
+    return table(spark, sf_dir, "events").select("event_id", F.round(A.interpolate(xs, ys, F.col("value")), 6).alias("v"))
+
+
+@query("""
+SELECT event_id, round(CASE WHEN value < 50 THEN 1 + 2 * value / 50 WHEN value < 200 THEN 3 - (value - 50) / 150 ELSE 2 + 8 * (value - 200) / 800 END, 6) AS v FROM events""")
+def extrapolated_lookup(spark, sf_dir):
+    xs, ys = F.lit([0.0, 50.0, 200.0, 1000.0]), F.lit([1.0, 3.0, 2.0, 10.0])
+    return table(spark, sf_dir, "events").select("event_id", F.round(A.extrapolate(xs, ys, F.col("value"), 1), 6).alias("v"))
+
+
+@query("""
+WITH e AS (SELECT event_id, value, cos(value) AS ar, sin(value) AS ai FROM events)
+SELECT event_id, round(ar * ar - ai * ai, 6) AS sq_r, round(2 * ar * ai, 6) AS sq_i, round(exp(ar) * cos(ai), 6) AS exp_r, round(ar / (ar * ar + ai * ai), 6) AS inv_r FROM e""")
+def complex_arithmetic(spark, sf_dir):
+    a = C.complex_(F.cos("value"), F.sin("value"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(C.mul(a, a)["r"], 6).alias("sq_r"), F.round(C.mul(a, a)["i"], 6).alias("sq_i"), F.round(C.exp(a)["r"], 6).alias("exp_r"), F.round(C.inv(a)["r"], 6).alias("inv_r"))
+
+
+@query("""
+WITH p AS (SELECT event_id, CAST(event_id % 97 AS DOUBLE) * 10 AS x, CAST(event_id % 89 AS DOUBLE) * 10 AS y FROM events),
+g AS (SELECT event_id, (x - 100) * 0.8 + (y - 50) * 0.6 AS gx, (y - 50) * 0.8 - (x - 100) * 0.6 AS gy FROM p),
+c AS (SELECT event_id, floor(gx / 25 + 0.5) + 1 AS ib, floor(gy / 50 + 0.5) + 1 AS ic FROM g)
+SELECT event_id, CAST(CASE WHEN ib BETWEEN 1 AND 41 AND ic BETWEEN 1 AND 11 THEN ib + (ic - 1) * 41 ELSE -2147483645 END AS BIGINT) AS cdp FROM c""")
+def grid_cells(spark, sf_dir):
+    grid = G.Grid.from_corners((100.0, 50.0), (900.0, 650.0), (-200.0, 450.0), 25.0, 50.0)
+    x, y = F.pmod("event_id", F.lit(97)).cast("double") * 10, F.pmod("event_id", F.lit(89)).cast("double") * 10
+    return table(spark, sf_dir, "events").select("event_id", grid.cell(x, y)[0].alias("cdp"))
+
+
+@query("""
+SELECT event_id, CASE WHEN s > 0 THEN CAST(s AS DOUBLE) WHEN s < 0 THEN 1 / CAST(-s AS DOUBLE) ELSE 1.0 END AS multiplier FROM (SELECT event_id, event_id % 5 - 2 AS s FROM events)""")
+def coordinate_multiplier(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", statistics.coordinate_multiplier(F.col("event_id") % 5 - 2).alias("multiplier"))
+
+
+@query("""
+WITH v AS (SELECT event_id, 2.5 + (event_id % 7) * 0.1 AS vp, 1.2 + (event_id % 5) * 0.05 AS vs, (event_id % 3) * 0.1 AS eps, (event_id % 4) * 0.05 AS delta, sin(0.1 * (event_id % 15)) AS s FROM events),
+c AS (SELECT event_id, s * s AS s2, 1 - s * s AS k2, vp * vp AS c33, vs * vs AS c44, vp * vp * (1 + 2 * eps) AS c11, sqrt(2 * delta * vp * vp * (vp * vp - vs * vs) + pow(vp * vp - vs * vs, 2)) - vs * vs AS c13 FROM v),
+d AS (SELECT event_id, c11 * s2 + c44 * k2 AS a, c44 * s2 + c33 * k2 AS b, pow(c13 + c44, 2) * s2 * k2 AS m FROM c)
+SELECT event_id, round(sqrt((a + b + sqrt(pow(a - b, 2) + 4 * m)) / 2), 6) AS p, round(sqrt((a + b - sqrt(pow(a - b, 2) + 4 * m)) / 2), 6) AS sv FROM d""")
+def anisotropic_velocity(spark, sf_dir):
+    e = F.col("event_id")
+    c = G.thomsen_to_stiffness(2.5 + (e % 7) * 0.1, 1.2 + (e % 5) * 0.05, (e % 3) * 0.1, (e % 4) * 0.05, F.lit(0.0))
+    s = F.sin(0.1 * (e % 15))
+    return table(spark, sf_dir, "events").select("event_id", F.round(G.phase_velocity(c, s, "P"), 6).alias("p"), F.round(G.phase_velocity(c, s, "SV"), 6).alias("sv"))
+
+
+@query("SELECT vec_id, label, r FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE)) DESC, vec_id) AS r FROM embeddings) WHERE r <= 3")
+def strongest_traces(spark, sf_dir):
+    """The three traces of most energy in each gather; the rank limit is applied before the shuffle too."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("label").orderBy(F.desc(A.dot("embedding", "embedding")), "vec_id")
+    return table(spark, sf_dir, "embeddings").withColumn("r", F.row_number().over(w).cast("long")).where("r <= 3").select("vec_id", "label", "r")
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
