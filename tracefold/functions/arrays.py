@@ -22,6 +22,14 @@ def _each(n, f) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), f)).otherwise(F.array().cast("array<double>"))
 
 
+def let(c, f) -> Column:
+    """f of a column that is evaluated once, also where f uses it inside lambdas.
+
+    Without it the optimizer may put the column's whole expression into the lambda.
+    """
+    return F.get(F.transform(F.array(_col(c)), f), F.lit(0))
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
@@ -89,35 +97,33 @@ def mean(x) -> Column:
 
 def convolve(x, ifx: int, y, ify: int, lz: int, ifz: int) -> Column:
     """z[i] = sum over j of x[j] * y[i - j], with first indices ifx, ify and ifz; zero outside the arrays."""
-    x, y = _col(x), _col(y)
 
-    def one(k: Column) -> Column:
+    def one(x: Column, y: Column, k: Column) -> Column:
         i = k + ifz
         return F.aggregate(F.sequence(F.lit(0), F.size(x) - 1), F.lit(0.0), lambda s, j: s + F.get(x, j).cast("double") * _at(y, i - (j + ifx) - ify))
 
-    return _each(lz, one)
+    return let(x, lambda xs: let(y, lambda ys: _each(lz, lambda k: one(xs, ys, k))))
 
 
 def correlate(x, ifx: int, y, ify: int, lz: int, ifz: int) -> Column:
     """z[i] = sum over j of x[j] * y[i + j]."""
-    x, y = _col(x), _col(y)
 
-    def one(k: Column) -> Column:
+    def one(x: Column, y: Column, k: Column) -> Column:
         i = k + ifz
         return F.aggregate(F.sequence(F.lit(0), F.size(x) - 1), F.lit(0.0), lambda s, j: s + F.get(x, j).cast("double") * _at(y, i + (j + ifx) - ify))
 
-    return _each(lz, one)
+    return let(x, lambda xs: let(y, lambda ys: _each(lz, lambda k: one(xs, ys, k))))
 
 
 def differentiate(x, h: float) -> Column:
     """Centred differences, one-sided at both ends; needs two samples."""
-    x = _col(x)
-    n = F.size(x)
-    at = lambda i: F.get(x, i).cast("double")
-    return F.transform(
-        x,
-        lambda v, i: F.when(i == 0, (at(F.lit(1)) - v) / h).when(i == n - 1, (v - at(n - 2)) / h).otherwise((at(i + 1) - at(i - 1)) / (2 * h)),
-    )
+
+    def all_(x: Column) -> Column:
+        n = F.size(x)
+        at = lambda i: F.get(x, i).cast("double")
+        return F.transform(x, lambda v, i: F.when(i == 0, (at(F.lit(1)) - v) / h).when(i == n - 1, (v - at(n - 2)) / h).otherwise((at(i + 1) - at(i - 1)) / (2 * h)))
+
+    return let(x, all_)
 
 
 def hilbert_taps(half: int = 30) -> list[float]:
@@ -129,18 +135,16 @@ def hilbert_taps(half: int = 30) -> list[float]:
 def hilbert(x, half: int = 30, n: int | None = None) -> Column:
     """Hilbert transform by convolution with :func:`hilbert_taps`."""
     x = _col(x)
-    taps = hilbert_taps(half)
-
-    def one(i: Column) -> Column:
-        return sum((F.lit(t) * (_at(x, i - (k - half))) for k, t in enumerate(taps) if t), F.lit(0.0))
-
-    return _each(n if n is not None else F.size(x), one)
+    if n is None:
+        return let(F.lit(hilbert_taps(half)), lambda t: let(x, lambda y: F.transform(y, lambda v, i: F.aggregate(F.sequence(F.lit(0), F.lit(2 * half)), F.lit(0.0), lambda s, j: s + F.get(t, j) * _at(y, i - (j - half))))))
+    return convolve(F.lit(hilbert_taps(half)), -half, x, 0, n, 0)
 
 
 def running_average(x, length: int) -> Column:
     """Mean of the samples within ``length // 2`` places; the window shrinks at the ends."""
-    x, half = _col(x), length // 2
-    return F.transform(x, lambda v, i: mean(F.slice(x, F.greatest(i - half, F.lit(0)) + 1, F.least(i + half, F.size(x) - 1) - F.greatest(i - half, F.lit(0)) + 1)))
+    half = length // 2
+    part = lambda x, i: F.slice(x, F.greatest(i - half, F.lit(0)) + 1, F.least(i + half, F.size(x) - 1) - F.greatest(i - half, F.lit(0)) + 1)
+    return let(x, lambda x: F.transform(x, lambda v, i: mean(part(x, i))))
 
 
 def rotate(x, by: int) -> Column:
@@ -156,11 +160,9 @@ def hanning(n: int) -> Column:
 
 def taper(x, first: int, last: int) -> Column:
     """Linear ramps over the first and the last samples."""
-    x = _col(x)
-    n = F.size(x)
     up = lambda i: F.when(i < first, (i + 1) / F.lit(float(first + 1))).otherwise(1.0) if first else F.lit(1.0)
-    down = lambda i: F.when(n - 1 - i < last, (n - i) / F.lit(float(last + 1))).otherwise(1.0) if last else F.lit(1.0)
-    return F.transform(x, lambda v, i: v * up(i) * down(i))
+    down = lambda n, i: F.when(n - 1 - i < last, (n - i) / F.lit(float(last + 1))).otherwise(1.0) if last else F.lit(1.0)
+    return let(x, lambda x: F.transform(x, lambda v, i: v * up(i) * down(F.size(x), i)))
 
 
 def clip(x, low: float, high: float) -> Column:
@@ -276,15 +278,14 @@ def gaussian_derivative(n: int, dt: float, fpeak: float) -> Column:
 
 def dft(x, sign: int = 1) -> Column:
     """Discrete Fourier transform by its sums: array of (r, i) for frequencies 0 to n // 2, unscaled."""
-    x = _col(x)
-    n = F.size(x)
 
-    def one(k: Column) -> Column:
+    def one(x: Column, k: Column) -> Column:
+        n = F.size(x)
         angle = lambda j: F.lit(2 * math.pi * sign) * F.pmod(j * k, n) / n
         part = lambda f: F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, j: s + F.get(x, j).cast("double") * f(angle(j)))
         return F.struct(part(F.cos).alias("r"), part(F.sin).alias("i"))
 
-    return F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int")), one)
+    return let(x, lambda x: F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / 2).cast("int")), lambda k: one(x, k)))
 
 
 def amplitude(spectrum) -> Column:

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracefold.functions.arrays import let
 from tracefold.operators.kernels import _irfft, _rfft, polygon, real_fft_length
 
 MIX_WEIGHTS = (0.6, 1.0, 1.0, 1.0, 0.6)
@@ -43,27 +44,24 @@ def _neighbours(traces: DataFrame, panel: list[str], width: int) -> tuple[DataFr
     w = Window.partitionBy(*panel).orderBy("seq")
     arrays = []
     for k in range(-half, half + 1):
-        there = F.lag("data", -k).over(w) if k < 0 else F.lead("data", k).over(w) if k else F.col("data")
-        there = F.lag("data", -k).over(w) if k < 0 else there
-        mirrored = F.lead("data", -k).over(w) if k < 0 else F.lag("data", k).over(w) if k else None
-        arrays.append(F.coalesce(there, mirrored, F.col("data")) if mirrored is not None else there)
+        there, mirrored = F.lead("data", k).over(w), F.lead("data", -k).over(w)
+        arrays.append(F.coalesce(there, mirrored, F.col("data")) if k else F.col("data"))
     return traces, F.array(*arrays)
 
 
 def mix(traces: DataFrame, panel: list[str], weights: tuple[float, ...] = MIX_WEIGHTS) -> DataFrame:
     """Weighted mean of neighbouring traces, divided by their number; the panel's ends are mirrored."""
     df, near = _neighbours(traces, panel, len(weights))
-    df = df.withColumn("near_", near)
-    value = lambda i: sum((F.get(F.get("near_", F.lit(k)), i).cast("double") * w for k, w in enumerate(weights)), F.lit(0.0)) / len(weights)
-    return df.withColumn("data", F.transform("data", lambda v, i: value(i).cast("float"))).drop("near_")
+    value = lambda n, i: sum((F.get(F.get(n, F.lit(k)), i).cast("double") * w for k, w in enumerate(weights)), F.lit(0.0)) / len(weights)
+    kind = df.schema["data"].dataType.elementType
+    return df.withColumn("data", let(near, lambda n: F.transform("data", lambda v, i: value(n, i).cast(kind))))
 
 
 def median(traces: DataFrame, panel: list[str], width: int = 5) -> DataFrame:
     """Median over neighbouring traces at each sample; the panel's ends are mirrored."""
     df, near = _neighbours(traces, panel, width)
-    df = df.withColumn("near_", near)
-    middle = lambda i: F.element_at(F.array_sort(F.transform("near_", lambda a: F.get(a, i))), width // 2 + 1)
-    return df.withColumn("data", F.transform("data", lambda v, i: middle(i).cast("float"))).drop("near_")
+    middle = lambda n, i: F.element_at(F.sort_array(F.transform(n, lambda a: F.get(a, i))), width // 2 + 1)
+    return df.withColumn("data", let(near, lambda n: F.transform("data", lambda v, i: middle(n, i))))
 
 
 def moveout_median(traces: DataFrame, panel: list[str], key: str, xs: list[float], ts: list[float], width: int = 5, sign: int = -1, subtract: bool = True, use_mix: bool = False) -> DataFrame:
@@ -71,7 +69,7 @@ def moveout_median(traces: DataFrame, panel: list[str], key: str, xs: list[float
     from tracefold.functions.arrays import interpolate
 
     shift = F.round(F.lit(float(sign)) * (interpolate(F.lit([float(x) for x in xs]), F.lit([float(t) for t in ts]), F.col(key)) - min(ts)) / F.col("d_sample")).cast("int")
-    moved = lambda k: F.transform("data", lambda v, i: F.coalesce(F.when(i - k >= 0, F.get("data", i - k)), F.lit(0.0)).cast("float"))
+    moved = lambda k: let("data", lambda d: F.transform(d, lambda v, i: F.coalesce(F.when(i - k >= 0, F.get(d, i - k)), F.lit(0.0)).cast("float")))
     df = traces.withColumn("shift_", shift).withColumn("before_", F.col("data")).withColumn("data", moved(F.col("shift_")))
     df = mix(df, panel) if use_mix else median(df, panel, width)
     df = df.withColumn("data", moved(-F.col("shift_")))

@@ -77,11 +77,8 @@ def butterworth_design(f_pass: float, a_pass: float, f_stop: float, a_stop: floa
     dp, ds = 1 / a_pass**2 - 1, 1 / a_stop**2 - 1
     real = abs(math.log(dp / ds) / math.log(wp / ws)) / 2
     poles = 1 + int(real)
-    w3 = ws / ds ** (1 / (2 * poles)) if f_pass < f_stop else ws * ds ** (1 / (2 * poles))
-    if f_pass < f_stop:
-        w3 = wp / dp ** (1 / (2 * poles))
-    else:
-        w3 = wp * dp ** (1 / (2 * poles))
+    # the -3 dB frequency is that of the real-valued order, at which both amplitudes are met exactly
+    w3 = wp * dp ** ((-1 if f_pass < f_stop else 1) / (2 * real))
     return poles, math.atan(w3 / 2) / math.pi
 
 

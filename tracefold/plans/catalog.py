@@ -265,7 +265,7 @@ g AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event
 r AS (SELECT user_id, t, 1 + sum(jump::INT) OVER (PARTITION BY user_id ORDER BY t, event_id) AS segment FROM g)
 SELECT user_id, CAST(max(segment) AS BIGINT) AS segments, count(*) AS n FROM r GROUP BY user_id""")
 def segments_at_gaps(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("t", F.unix_micros("ts") / 1000000.0)
+    e = table(spark, sf_dir, "events").withColumn("t", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 1000000.0)
     return cross.segments_at_gaps(e, ["user_id"], "t", 86400.0).groupBy("user_id").agg(F.max("segment").alias("segments"), F.count(F.lit(1)).alias("n"))
 
 
@@ -406,7 +406,9 @@ def anisotropic_velocity(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(G.phase_velocity(c, s, "P"), 6).alias("p"), F.round(G.phase_velocity(c, s, "SV"), 6).alias("sv"))
 
 
-@query("SELECT vec_id, label, r FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE)) DESC, vec_id) AS r FROM embeddings) WHERE r <= 3")
+@query(f"""
+WITH {S}, e AS (SELECT vec_id, label, sum(v * v) AS e FROM s GROUP BY ALL)
+SELECT vec_id, label, r FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY e DESC, vec_id) AS r FROM e) WHERE r <= 3""")
 def strongest_traces(spark, sf_dir):
     """The three traces of most energy in each gather; the rank limit is applied before the shuffle too."""
     from pyspark.sql import Window

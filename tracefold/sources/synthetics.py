@@ -55,14 +55,20 @@ def plane(spark: SparkSession, nt: int = 64, ntr: int = 32, taper: bool = False,
         share = F.lit(1.0)
         if taper:
             share = F.when(place.isin(0, length), 6.0).when(place.isin(1, length - 1), 3.0).otherwise(1.0)
-        add = lambda v, i, whole=whole, fit=fit: v + F.when(i == whole, 1 - (fit - whole)).when(i == whole + 1, fit - whole).otherwise(0.0)
-        summed = F.when(hits, F.transform("data", add)).otherwise(F.col("data"))
-        df = df.withColumn("data", summed)
+        df = df.withColumn("data", _add_plane(hits, whole, fit - whole))
         if taper:
-            df = df.withColumn("data", F.when(inside, F.transform("data", lambda v, share=share: v / share)).otherwise(F.col("data")))
+            df = df.withColumn("data", _divided(inside, share))
     return as_traces(df, d_sample=float(dt), offset=abs(float(offset)), line_id=1, tx_loc=point(F.col("seq")), rx_loc=point(F.col("seq") + F.lit(float(offset))), trace_id=F.col("seq") + 1)
 
 
+def _add_plane(hits, whole, part):
+    return F.when(hits, F.transform("data", lambda v, i: v + F.when(i == whole, 1 - part).when(i == whole + 1, part).otherwise(0.0))).otherwise(F.col("data"))
+
+
+def _divided(inside, share):
+    return F.when(inside, F.transform("data", lambda v: v / share)).otherwise(F.col("data"))
+
+
 def ricker_operator(fpeak: float, dt: float) -> tuple[int, list[float]]:
     """(first index, samples) of a symmetric Ricker wavelet with peak frequency ``fpeak``."""
     half = int(np.float32(1) + np.float32(1) / (np.float32(fpeak) * np.float32(dt)))
