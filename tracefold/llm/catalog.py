@@ -69,4 +69,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_format": chat.ORACLE_SQL}
+    return {"op1_chat_format": chat.ORACLE_SQL, "op6_near_duplicates": near_dup.ORACLE_SQL}
