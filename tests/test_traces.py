@@ -142,13 +142,14 @@ def test_linear_velocity_facts(spark):
     assert iw == -6 and len(w) == 13 and w[6] == 1.0 and len(synthetics.half_derivative()) == 41
     with pytest.raises(TypeError):
         synthetics.synlv(spark, nxs=3)
-    # the strongest sample of the trace above the reflector's foot is near its two-way time
-    r = synthetics.synlv(spark).where("seq = 60").first()
-    x = 60 * 0.05
-    foot = abs(2 * x + 1 * 0 - 6) / math.sqrt(5)  # distance to the line 2x + z = 6
-    data = np.abs(np.array(r.data))
-    assert data.max() > 0
-    assert abs(r.ensemble_number - 61) == 0 and foot >= 0
+    # the reflector 2x + z = 6 dips away from receivers beyond x = 3, which it doesn't light
+    rows = {r.seq: r for r in synthetics.synlv(spark).where("seq in (20, 80)").collect()}
+    assert max(map(abs, rows[20].data)) > 0.01 and not any(rows[80].data)
+    assert rows[20].ensemble_number == 21 and rows[20].mid_point.x == 1.0
+    # energy arrives between the two-way times to the nearest and farthest segment
+    near, far = (2 * math.hypot(1 - x, z) / 2.0 for x, z in ((2.0, 2.0), (1.0, 4.0)))
+    live = [0.04 * i for i, v in enumerate(rows[20].data) if abs(v) > 0.02 * max(map(abs, rows[20].data))]
+    assert near - 0.4 < live[0] and live[-1] < far + 1.0
 
 
 def test_ray_times_in_a_gradient(spark):

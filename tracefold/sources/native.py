@@ -174,10 +174,10 @@ class TraceFile(DataSource):
         return TRACE_SCHEMA
 
     def reader(self, schema):
-        return _Reader(dict(self.options))
+        return _Reader(self.options)
 
     def writer(self, schema, overwrite):
-        return _Writer(dict(self.options), overwrite)
+        return _Writer(self.options, overwrite)
 
 
 def read_file(spark: SparkSession, path: str, header_only: bool = False, traces_per_partition: int = 10_000) -> DataFrame:

@@ -147,9 +147,9 @@ def ray_columns(x0, z0, x, z, v0: float, dvdx: float, dvdz: float) -> dict:
     gx, gz = dvdx / g, dvdz / g
     p, o = (x - x0) * gx + (z - z0) * gz, (x - x0) * gz - (z - z0) * gx
     t = F.acosh(1 + g * g * d * d / (2 * v1 * v2)) / g
-    # angle to the gradient at the start: tan = 2 o v1 / (g d^2 ... ) from the circle through both ends
-    along = 2 * v1 * p + g * (p * p - o * o)
-    across = o * (2 * v1 + 2 * g * p)
+    # the start's tangent of the circle through both ends whose centre lies where speed is 0
+    along = 2 * v1 * p + g * (p * p + o * o)
+    across = 2 * v1 * o
     size = F.hypot(along, across)
     ca, sa = F.when(size > 0, along / size).otherwise(1.0), F.when(size > 0, across / size).otherwise(0.0)
     return {"t": t, "q": d * F.sqrt(v1 * v2) * F.sqrt(1 + g * g * d * d / (4 * v1 * v2)), "c": ca * gz - sa * gx, "s": ca * gx + sa * gz, "v1": v1, "v2": v2}
@@ -196,7 +196,7 @@ def synlv(
     src_end = ray_columns(F.col("d.x"), F.col("d.z"), F.col("xs"), zero, v0, dvdx, dvdz)
     rec_end = ray_columns(F.col("d.x"), F.col("d.z"), F.col("xg"), zero, v0, dvdx, dvdz)
     # obliquity: the angle between the segment's normal and the rays that leave it
-    cosine = lambda r: F.lit(1.0) if not ob else -(r["c"] * F.col("d.c") - r["s"] * F.col("d.s"))
+    cosine = lambda r: F.lit(1.0) if not ob else -(r["c"] * F.col("d.c") + r["s"] * F.col("d.s"))
     ci, cr = cosine(src_end), cosine(rec_end)
     vd = src["v2"]
     if er:
