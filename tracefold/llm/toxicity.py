@@ -218,7 +218,8 @@ def learn_stems(train: DataFrame, n_toxic: int, n_other: int) -> list[str]:
         longer = [x for x in best if len(x) == len(stem) + 1 and x.startswith(stem) and not stem.endswith("$")]
         if not any(best[x][0] >= 0.9 * t for x in longer):
             out.append(stem)
-    return sorted(out)
+    # what a chosen beginning covers needs no stem of its own
+    return sorted(s for s in out if not any(s != p and s.startswith(p) for p in out))
 
 
 def learn_weights(rows: list[tuple[list[int], int]]) -> dict[str, float]:
