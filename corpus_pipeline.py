@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as
 Parquet and reread as the next one's docs. All stages but the last return the
-columns of ``documents``.
+columns of ``documents``. A decision on a doc_id (a null one too) holds for all
+rows that carry it; of rows that repeat a kept id, near-dedup keeps one.
 """
 
 from __future__ import annotations

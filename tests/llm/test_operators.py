@@ -27,6 +27,8 @@ ODD = [
     (3, ""),
     (4, " \n\t "),
     (None, "a text without an id " * 20),
+    (None, "words of a row without an id that near copies " + " ".join(map(str, range(40)))),
+    (9, "words of a row without an id that near copies " + " ".join(map(str, range(41)))),
     (5, "one two"),
     (6, "The Quick brown fox jumps over the lazy dog again"),
     (7, "very long text " * 30_000),

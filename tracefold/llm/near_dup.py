@@ -19,8 +19,8 @@ verified on their full shingle sets. Only verified links count.
 
 Defined results: null, empty and blank texts have no shingles and link with
 nothing; a text of fewer than five words is one shingle; rows that repeat a
-doc_id are rows of their own, each with the class of its text; an empty table
-gives an empty result; further columns are ignored.
+doc_id are rows of their own, each with the class of its text; a row without an
+id is kept only if it reaches none; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -196,7 +196,8 @@ class _Search:
         wanted = wanted.join(self.classes.select("class", "min_doc"), "class").withColumnRenamed("min_doc", "doc_id")
         if not self.repeated:
             return self.texts.join(wanted, "doc_id").select("class", "text")
-        named = self.texts.where("doc_id is not null").join(wanted.select("doc_id").distinct(), "doc_id").mapInArrow(_named, "class long, text string")
+        ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
+        named = self.texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").mapInArrow(_named, "class long, text string")
         return named.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
     def linked(self, pairs: DataFrame) -> None:
@@ -228,9 +229,9 @@ class _Search:
 
     @property
     def repeated(self) -> bool:
-        """Whether some doc_id stands for several rows, so that a text must be found by its class."""
+        """Whether some doc_id is null or stands for several rows, so that a text must be found by its class."""
         if not hasattr(self, "_repeated"):
-            self._repeated = not self.rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+            self._repeated = not self.rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
         return self._repeated
 
 
@@ -309,7 +310,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         run.rows.select("doc_id", "n_shingles", "class")
         .join(by_class, "class", "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))),
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))),
         "near-duplicates",
     )
     release(docs.sparkSession, *run.paths)
