@@ -4,6 +4,10 @@ A byte-level pre-tokenizer never joins the two sides of a single space or a
 single newline that stands between two non-space characters. So a text without
 adjacent or unusual white space falls into chunks whose ids can be remembered;
 other texts go to the tokenizer whole. Both ways give the ids of the whole text.
+
+Punctuation after a word's letters is a piece of its own, so such words need to
+be known only once. Words of plain letters are new most often; they go to the
+same model in the byte-level spelling, which needs no pre-tokenizing pattern.
 """
 
 from __future__ import annotations
@@ -11,14 +15,25 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 from functools import lru_cache
 
 import numpy as np
 
 _UNUSUAL = re.compile(r"[^\S \n]|\s\s")
 #: Remembered chunks of one generation; at most two generations are held.
-GENERATION = 250_000
-_TOGETHER = 50_000
+GENERATION = 500_000
+_TOGETHER = 100  # chunks encoded in one string
+_TAIL = "".join(c for c in string.punctuation if c != "'")
+#: Letters below this are letters for every Unicode version.
+_LETTERS_BELOW = "\u0250"
+
+
+def _spelling() -> dict[int, str]:
+    """Byte-level spelling: printable Latin-1 bytes stand for themselves, the others for 256, 257, ... in order."""
+    same = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in same]
+    return {b: chr(b) for b in same} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class ChunkEncoder:
@@ -27,9 +42,14 @@ class ChunkEncoder:
     def __init__(self, path: str, generation: int = GENERATION):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self._tk = Tokenizer.from_file(path)
         self._tk.encode_special_tokens = True
+        self._plain = Tokenizer.from_file(path)
+        self._plain.pre_tokenizer = WhitespaceSplit()
+        self._spell = _spelling()
+        self._tails = {"": b""}
         self._generation = generation
         with open(path, encoding="utf-8") as f:
             pre = json.load(f).get("pre_tokenizer") or {}
@@ -50,21 +70,48 @@ class ChunkEncoder:
         if len(self._new[kind]) > self._generation:
             self._old[kind], self._new[kind] = self._new[kind], dict(self._fixed[kind])
         new, old = self._new[kind], self._old[kind]
-        missing = []
+        odd, plain, tailed = [], set(), []
         for c in need:
-            if c not in new:
-                if (known := old.get(c)) is not None:
-                    new[c] = known
+            if c in new:
+                continue
+            if (known := old.get(c)) is not None:
+                new[c] = known
+                continue
+            core = c.rstrip(_TAIL)
+            if not core.isalpha() or not (core.isascii() or max(core) < _LETTERS_BELOW):
+                odd.append(c)
+                continue
+            if core != c:
+                tailed.append((c, core))
+            if core not in new:
+                if (known := old.get(core)) is not None:
+                    new[core] = known
                 else:
-                    missing.append(c)
+                    plain.add(core)
         lead = "" if kind else " "
-        for k in range(0, len(missing), _TOGETHER):
-            part = missing[k : k + _TOGETHER]
-            ids = self._ids("\n".join([lead + c for c in part]))
+        self._encode(new, odd, self._tk, "\n", [lead + c for c in odd])
+        words, spell = list(plain), self._spell
+        lead = "" if kind else spell[32]
+        spelled = [lead + (w if w.isascii() else w.encode().decode("latin-1").translate(spell)) for w in words]
+        self._encode(new, words, self._plain, f" {spell[10]} ", spelled)
+        for c, core in tailed:
+            tail = c[len(core) :]
+            ids = self._tails.get(tail)
+            if ids is None:
+                ids = self._ids(tail).tobytes()
+                if len(self._tails) < 100_000:
+                    self._tails[tail] = ids
+            new[c] = new[core] + ids
+
+    def _encode(self, into: dict, keys: list[str], tokenizer, between: str, texts: list[str]) -> None:
+        """Ids of many short strings, told apart by the newline's id between them."""
+        joined = [between.join(texts[k : k + _TOGETHER]) for k in range(0, len(texts), _TOGETHER)]
+        for at, found in enumerate(tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(found.ids, dtype="<u4")
             ends = np.append(np.flatnonzero(ids == self._newline), len(ids)).tolist()
             raw, start = ids.tobytes(), 0
-            for c, end in zip(part, ends, strict=True):
-                new[c] = raw[4 * start : 4 * end]
+            for c, end in zip(keys[at * _TOGETHER : (at + 1) * _TOGETHER], ends, strict=True):
+                into[c] = raw[4 * start : 4 * end]
                 start = end + 1
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
