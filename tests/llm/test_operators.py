@@ -589,6 +589,19 @@ def test_wrapper_finds_an_unnamed_region(spark):
         assert r.text == (f"Story {r.page_id} tells of many things {r.page_id}. " * 5).strip() + "\nShared line."
 
 
+@pytest.mark.parametrize("top", ["<html class='no-cookies'><body class='single has-sidebar'>", "<body class='sidebar'>", "<body id=nav><div class='layout with-sidebar'>", "<body><div class='sidebar-right'>", "<body><div class='widget'>"])
+def test_wrapper_keeps_content_in_telling_names(spark, top):
+    """A layout's name, or a part of a name, doesn't make the content boilerplate."""
+    def one(k):
+        inner = f"<div class='post-header'><h1>Title {k}</h1></div><p class='side-note'>Note {k}</p><p class=notice>Notice {k}</p><div class=header>Head {k}</div><p>{f'Story {k}. ' * 9}</p><div class=share>Share {k}</div>"
+        return f"{top}<div class='cookie-banner'>Cookies {k}</div><article>{inner}</article><div id=comments><article>Comment {k}</article></div>"
+
+    rows = [(k, f"http://{'named' if k < 6 else f'single{k}'}.example/{k}", one(k)) for k in range(8)]
+    for r in wrapper.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        k = r.page_id
+        assert r.text == f"Title {k}\nNote {k}\nNotice {k}\nHead {k}\n" + (f"Story {k}. " * 9).strip()
+
+
 def test_tree_matching():
     from tracefold.llm import dom
 
