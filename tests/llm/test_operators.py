@@ -602,6 +602,15 @@ def test_wrapper_keeps_content_in_telling_names(spark, top):
         assert r.text == f"Title {k}\nNote {k}\nNotice {k}\nHead {k}\n" + (f"Story {k}. " * 9).strip()
 
 
+@pytest.mark.parametrize("tag", ["font", "div", "li><ul", "span", "section class=content"])
+def test_wrapper_reads_deep_pages(spark, tag):
+    """Elements that nest 10,000 deep, none of them closed."""
+    body = lambda n: "".join(f"<{tag}>w{n}.{k} " for k in range(10_000)) + "</b><p>the end"
+    rows = [(n, "http://deep.example/", f"<html><body>{body(n)}") for n in range(2)] + [(2, "http://alone.example/", f"<main>{body(2)}")]
+    for r in wrapper.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text.split() == [f"w{r.page_id}.{k}" for k in range(10_000)] + ["the", "end"]
+
+
 def test_tree_matching():
     from tracefold.llm import dom
 
