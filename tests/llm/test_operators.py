@@ -611,6 +611,20 @@ def test_wrapper_reads_deep_pages(spark, tag):
         assert r.text.split() == [f"w{r.page_id}.{k}" for k in range(10_000)] + ["the", "end"]
 
 
+def test_wrapper_keeps_the_text_of_copies(spark):
+    """A text that most pages of a host share is content, if these pages are copies."""
+    def one(k, text):
+        return f"<html><body><div class='top'>Site name</div><div class='x0'>Visit {k}</div><div class='x1'><p>{text}</p></div></body></html>"
+
+    copied = ("The text of the copies goes on. " * 8).strip()
+    rows = [(k, f"http://some.example/{k}", one(k, copied if k < 14 else f"Story {k}. " * 9)) for k in range(20)]
+    rows += [(100 + k, f"http://all.example/{k}", one(k, copied)) for k in range(10)]
+    for r in wrapper.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        want = copied if r.page_id < 14 or r.page_id >= 100 else (f"Story {r.page_id}. " * 9).strip()
+        assert want in r.text.split("\n"), r.page_id
+        assert r.page_id >= 100 or "Site name" not in r.text
+
+
 def test_tree_matching():
     from tracefold.llm import dom
 
