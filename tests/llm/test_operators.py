@@ -625,6 +625,31 @@ def test_wrapper_keeps_the_text_of_copies(spark):
         assert r.page_id >= 100 or "Site name" not in r.text
 
 
+@pytest.mark.parametrize("runs", [2, 200])
+def test_wrapper_returns_all_runs(spark, runs):
+    """Content straight under the body, in several runs of like siblings; template parts it, pages differ in their number."""
+    def one(k):
+        parts = [f"<h1>Title {k}</h1>"]
+        for n in range(runs + k % 3):
+            parts.append(f"<p>Text {k}.{n} begins.</p><p>Text {k}.{n} ends.</p><h2>Part {k}.{n}</h2><ul><li>Item {k}.{n}</ul><div class='z{n % 5}'>Row {k}.{n}</div>")
+        return f"<html><body><nav>Menu</nav><div class='top'>Site name</div>{''.join(parts)}loose {k}<div class='end'>Impressum</div><footer>Foot</footer></body></html>"
+
+    rows = [(k, f"http://runs.example/{k}", one(k)) for k in range(9)]
+    for r in wrapper.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        k = r.page_id
+        want = [f"Title {k}"]
+        for n in range(runs + k % 3):
+            want += [f"Text {k}.{n} begins.", f"Text {k}.{n} ends.", f"Part {k}.{n}", f"Item {k}.{n}", f"Row {k}.{n}"]
+        assert r.text.split("\n") == [*want, f"loose {k}"]
+
+
+def test_wrapper_returns_the_title_outside(spark):
+    for inner in ("div class=content", "article"):
+        rows = [(k, "http://title.example", f"<body><div>Site name</div><h1>Title {k}</h1><{inner}><p>{f'Story {k}. ' * 9}</{inner.split()[0]}></body>") for k in range(5)]
+        for r in wrapper.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+            assert r.text == f"Title {r.page_id}\n" + (f"Story {r.page_id}. " * 9).strip()
+
+
 def test_tree_matching():
     from tracefold.llm import dom
 
