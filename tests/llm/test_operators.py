@@ -116,6 +116,16 @@ def test_chunked_ids_are_the_tokenizers():
     assert enc.encode(texts) == whole  # from the cache
 
 
+def test_ids_are_those_of_the_file():
+    from tokenizers import Tokenizer
+
+    path = bpe.default_vocabulary()
+    enc, fresh = bpe.ChunkEncoder(path), Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\nplain words", "a <|endoftext| > b", "plain words", "plain words <|endoftext|><|endoftext|>"]
+    assert np.frombuffer(enc.encode(texts)[0], dtype="<u4").tolist() == [64, 220, 50256, 275]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in enc.encode(texts)] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 25, 32])
 def test_bits_round_trip(bits):
     rng = np.random.default_rng(bits)

@@ -3,7 +3,8 @@
 A byte-level pre-tokenizer never joins the two sides of a single space or a
 single newline that stands between two non-space characters. So a text without
 adjacent or unusual white space falls into chunks whose ids can be remembered;
-other texts go to the tokenizer whole. Both ways give the ids of the whole text.
+other texts, and those that hold an added token such as <|endoftext|>, go to the
+tokenizer whole. Both ways give the ids of the whole text.
 
 Punctuation after a word's letters is a piece of its own, so such words need to
 be known only once. Words of plain letters are new most often; they go to the
@@ -45,9 +46,11 @@ class ChunkEncoder:
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self._tk = Tokenizer.from_file(path)
-        self._tk.encode_special_tokens = True
         self._plain = Tokenizer.from_file(path)
         self._plain.pre_tokenizer = WhitespaceSplit()
+        added = sorted((t.content for t in self._tk.get_added_tokens_decoder().values()), key=len, reverse=True)
+        whole = [_UNUSUAL.pattern, *map(re.escape, added)]
+        self._whole = re.compile("|".join(whole))  # texts that go to the tokenizer whole
         self._spell = _spelling()
         self._tails = {"": b""}
         self._generation = generation
@@ -131,7 +134,7 @@ class ChunkEncoder:
         spaced: set[str] = set()
         begun: set[str] = set()
         for t in texts:
-            if not self._chunked or _UNUSUAL.search(t):
+            if not self._chunked or self._whole.search(t):
                 plain.append(None)
                 continue
             lines = [line.split(" ") for line in t.split("\n")]
