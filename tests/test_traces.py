@@ -220,6 +220,49 @@ def test_panels(shipped):
         cross.panel_map(one, ["ensemble_number"], cross.radial_power(0.0), max_traces=3).collect()
 
 
+PANEL_WAYS = {
+    "dip_filter": cross.dip_filter([-0.002, -0.001, 0.001, 0.002], [0, 1, 1, 0], 0.004, 1.0),
+    "radial_k_filter": cross.radial_filter([0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0]),
+    "separable_k_filter": cross.separable_filter([0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0], [0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0]),
+    "fractional_k_filter": cross.radial_power(0.5),
+    "gaussian_k_filter": cross.gaussian_panel(1.0, 1.0),
+    "svd_filter": cross.eigenimages(2),
+    "phase_coherence_filter": cross.phase_coherence_filter(),
+    "low_frequency_array": cross.low_frequency_array(0.004),
+}
+
+
+@pytest.mark.parametrize("name", PANEL_WAYS)
+def test_panel_queries_gather_no_panel(shipped, monkeypatch, name):
+    """Each panel query equals the same filter of whole panels in memory, and puts no panel in one task."""
+    rows = vectors_as_traces(shipped.read.parquet(f"{SF}/embeddings.parquet")).orderBy("seq").collect()
+    want = {}
+    for label in {r.ensemble_number for r in rows}:
+        own = [r for r in rows if r.ensemble_number == label]
+        for r, y in zip(own, PANEL_WAYS[name](np.array([r.data for r in own], dtype=float), None)):
+            want[r.trace_id] = np.sqrt(np.mean(np.asarray(y, dtype=np.float32).astype(float) ** 2))
+    monkeypatch.setattr(cross, "panel_map", None)
+    got = catalog.queries()[name](shipped, SF).collect()
+    assert {r.trace_id for r in got} == set(want) and len(got) == len(want)
+    assert all(abs(r.rms - want[r.trace_id]) < 2e-5 for r in got)
+
+
+def test_trimmed_spectrum_in_ranks(shipped):
+    from tracefold.operators.kernels import real_fft_length
+
+    t = vectors_as_traces(shipped.read.parquet(f"{SF}/embeddings.parquet"))
+    rows, stacked = t.orderBy("seq").collect(), cross.trimmed_spectrum_stack(t, ["ensemble_number"])
+    assert "FlatMapGroupsInPandas" not in stacked._jdf.queryExecution().toString()
+    got = {r.ensemble_number: r for r in stacked.collect()}
+    assert set(got) == {r.ensemble_number for r in rows}
+    for label, r in got.items():
+        x = np.array([q.data for q in rows if q.ensemble_number == label], dtype=float)
+        s, k = np.fft.rfft(x, real_fft_length(64)), int(len(x) * 0.15 + 0.5)
+        trim = lambda v: np.sort(v, axis=0)[k : len(x) - k].mean(axis=0)
+        assert r.seq == min(q.seq for q in rows if q.ensemble_number == label)
+        assert np.allclose(r.data, np.fft.irfft(trim(s.real) + 1j * trim(s.imag), real_fft_length(64))[:64], atol=1e-5)
+
+
 def test_streaming_equals_batch(shipped, tmp_path):
     t = vectors_as_traces(shipped.read.parquet(f"{SF}/embeddings.parquet")).where("ensemble_number < 3").select("seq", "ensemble_number", F.col("data").cast("array<double>").alias("data"), "d_sample")
     src = str(tmp_path / "in")

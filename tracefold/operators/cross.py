@@ -1,9 +1,11 @@
 """Operators across traces: mixing, medians, stacks, gathers and panels.
 
 Windows and aggregations run on exploded samples or directly on arrays, keyed by
-a panel or gather, so they spread over keys. Where a whole panel must be seen at
-once (two-dimensional transforms), it is a grouped map; ``max_traces`` refuses a
-panel that wouldn't fit in a task instead of running out of memory.
+a panel or gather, so they spread over keys. Panel filters transform each trace
+by itself and then work by (panel, frequency), so no task holds a panel, and a
+panel may have any number of traces; ``seq`` tells a panel's traces apart.
+``panel_map`` is for small panels: it gathers a panel in one task, and
+``max_traces`` refuses one that wouldn't fit there.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracefold.functions.arrays import let
 from tracefold.operators.kernels import _irfft, _rfft, polygon, real_fft_length
@@ -266,21 +269,176 @@ def low_frequency_array(dt: float, f1: float = 3.0, f2: float = 20.0, ramp: floa
     return run
 
 
-def trimmed_spectrum_stack(traces: DataFrame, keys: list[str], percent: float = 15.0, max_traces: int = MAX_TRACES) -> DataFrame:
-    """One trace a gather: alpha-trimmed means of the real and the imaginary parts at each frequency."""
+# --- panels of any size ---------------------------------------------------------
+
+
+def _spectra(traces: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a frequency of each trace: keys, seq, nt (samples), j, re, im."""
+    rows = traces.select(*keys, "seq", "data")
+    numbers = [T.StructField("nt", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())]
+    schema = T.StructType([*(rows.schema[k] for k in (*keys, "seq")), *numbers])
+
+    def run(batches):
+        for batch in batches:
+            for nt, part in batch.groupby(batch["data"].map(len)):
+                c = _rfft(np.stack([np.asarray(d, dtype=np.float64) for d in part["data"]]), real_fft_length(nt))
+                out = part[[*keys, "seq"]].loc[part.index.repeat(c.shape[1])].reset_index(drop=True)
+                yield out.assign(nt=nt, j=np.tile(np.arange(c.shape[1]), len(part)), re=c.real.ravel(), im=c.imag.ravel())
+
+    return rows.mapInPandas(run, schema)
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join by keys that may be null; the right side's keys are dropped."""
+    right = right.withColumnsRenamed({k: f"{k}_right_" for k in keys})
+    on = [left[k].eqNullSafe(right[f"{k}_right_"]) for k in keys]
+    return left.join(right, on).drop(*(f"{k}_right_" for k in keys))
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def _samples_of(re: pd.Series, im: pd.Series, nt: pd.Series) -> pd.Series:
+    return pd.Series([_irfft((np.asarray(a) + 1j * np.asarray(b))[None], real_fft_length(int(n)), int(n))[0].astype(np.float32) for a, b, n in zip(re, im, nt)], dtype=object)
+
+
+def _arrays(spectra: DataFrame, *keys: str) -> DataFrame:
+    """Rows of frequencies back to samples: keys, filtered_."""
+    whole = spectra.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("j", "re", "im"))).alias("s"), F.max("nt").alias("nt"))
+    return whole.select(*keys, _samples_of(F.col("s.re"), F.col("s.im"), F.col("nt")).alias("filtered_"))
+
+
+def along_traces(traces: DataFrame, panel: list[str], f: Callable[[np.ndarray, int, int], np.ndarray]) -> DataFrame:
+    """Apply f(values of all traces in order of seq, frequency number, samples) at each frequency of each panel."""
+    spectra = _spectra(traces, panel)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > max_traces:
-            raise ValueError(f"a gather of {len(rows)} traces; raise max_traces or cut the gather")
         rows = rows.sort_values("seq", kind="stable")
-        x = np.stack([np.asarray(d, dtype=np.float64) for d in rows["data"]])
-        n = real_fft_length(x.shape[1])
-        s = _rfft(x, n)
-        k = int(math.floor(len(x) * percent / 100 + 0.5))
-        k = min(k, (len(x) - 1) // 2)
-        trim = lambda v: np.sort(v, axis=0)[k : len(x) - k].mean(axis=0)
-        first = rows.head(1).copy()
-        first["data"] = [_irfft((trim(s.real) + 1j * trim(s.imag))[None], n, x.shape[1])[0].astype(np.float32)]
-        return first
-
-    return traces.groupBy(*keys).applyInPandas(run, traces.schema)
+        if rows["nt"].nunique() > 1:
+            raise ValueError("a panel's traces must have one length")
+        out = f(rows["re"].to_numpy() + 1j * rows["im"].to_numpy(), int(rows["j"].iloc[0]), int(rows["nt"].iloc[0]))
+        return rows.assign(re=out.real, im=out.imag)
+
+    new = _arrays(spectra.groupBy(*panel, "j").applyInPandas(run, spectra.schema), *panel, "seq")
+    return _joined(traces, new, [*panel, "seq"]).withColumn("data", F.col("filtered_")).drop("filtered_")
+
+
+def wavenumber_filter(traces: DataFrame, panel: list[str], weight: Callable[[int, int, int], np.ndarray]) -> DataFrame:
+    """Multiply by weight(j, n1, n2) over the n2 wavenumbers across traces, at frequency j of a transform of length n1."""
+
+    def run(c: np.ndarray, j: int, nt: int) -> np.ndarray:
+        n2 = real_fft_length(len(c))
+        return np.fft.ifft(np.fft.fft(c, n2) * weight(j, real_fft_length(nt), n2))[: len(c)]
+
+    return along_traces(traces, panel, run)
+
+
+def filter_dips(traces: DataFrame, panel: list[str], slopes: list[float], amps: list[float], dt: float, dx: float, bias: float = 0.0) -> DataFrame:
+    """``dip_filter`` for panels of any size."""
+    dip_filter(slopes, amps, dt, dx, bias)  # checks the arguments
+    step = lambda n1: 2 * np.pi / (n1 * dt)
+    return wavenumber_filter(traces, panel, lambda j, n1, n2: np.interp(2 * np.pi * np.fft.fftfreq(n2, dx) / (step(n1) * (j + 1e-6)) + bias, slopes, amps))
+
+
+def filter_radial(traces: DataFrame, panel: list[str], k: list[float], amps: list[float], d1: float = 1.0, d2: float = 1.0) -> DataFrame:
+    """``radial_filter`` for panels of any size."""
+    return wavenumber_filter(traces, panel, lambda j, n1, n2: polygon(k, amps, np.hypot(np.fft.fftfreq(n2, d2), j / (n1 * d1)), 1))
+
+
+def filter_separable(traces: DataFrame, panel: list[str], k1: list[float], amps1: list[float], k2: list[float], amps2: list[float], d1: float = 1.0, d2: float = 1.0) -> DataFrame:
+    """``separable_filter`` for panels of any size."""
+    return wavenumber_filter(traces, panel, lambda j, n1, n2: polygon(k2, amps2, np.abs(np.fft.fftfreq(n2, d2)), 1) * polygon(k1, amps1, np.array([j / (n1 * d1)]), 1)[0])
+
+
+def filter_radial_power(traces: DataFrame, panel: list[str], power: float = 0.0, d1: float = 1.0, d2: float = 1.0) -> DataFrame:
+    """``radial_power`` for panels of any size."""
+
+    def weight(j: int, n1: int, n2: int) -> np.ndarray:
+        r = 2 * math.pi * np.hypot(np.fft.fftfreq(n2, d2), j / (n1 * d1))
+        return np.where(r > 0, np.where(r > 0, r, 1.0) ** power, 1.0 if power == 0 else 0.0)
+
+    return wavenumber_filter(traces, panel, weight)
+
+
+def filter_gaussian(traces: DataFrame, panel: list[str], a1: float = 0.0, a2: float = 0.0) -> DataFrame:
+    """``gaussian_panel`` for panels of any size."""
+    out = wavenumber_filter(traces, panel, lambda j, n1, n2: np.exp(-((a2 * math.pi * np.fft.fftfreq(n2)) ** 2) - (a1 * math.pi * j / n1) ** 2))
+    top = lambda df, name: df.groupBy(*panel).agg(F.max(F.array_max(F.transform("data", lambda v: F.abs(v.cast("double"))))).alias(name))
+    scale = _joined(top(traces, "before_"), top(out, "after_"), panel).withColumn("scale_", F.when(F.col("after_") > 0, F.col("before_") / F.col("after_")).otherwise(1.0))
+    scaled = _joined(out, scale.select(*panel, "scale_"), panel)
+    return scaled.withColumn("data", F.transform("data", lambda v: (v * F.col("scale_")).cast("float"))).drop("scale_")
+
+
+def subtract_eigenimages(traces: DataFrame, panel: list[str], count: int | None = None, subtract: bool = True) -> DataFrame:
+    """``eigenimages`` for panels of any size: sums of the traces' outer products, and projection on their first eigenvectors."""
+    keys = [traces.schema[k] for k in panel]
+    sums = T.StructType([*keys, T.StructField("i", T.LongType()), T.StructField("n", T.LongType()), T.StructField("v", T.DoubleType())])
+
+    def outer(batches):
+        for batch in batches:
+            for _, part in batch.groupby(panel, dropna=False):
+                x = np.stack([np.asarray(d, dtype=np.float64) for d in part["data"]])
+                g = (x.T @ x).ravel()
+                head = part[panel].iloc[[0] * len(g)].reset_index(drop=True)
+                yield head.assign(i=np.arange(len(g)), n=len(x), v=g)
+
+    def vectors(rows: pd.DataFrame) -> pd.DataFrame:
+        g = rows.sort_values("i")["v"].to_numpy()
+        nt = math.isqrt(len(g))
+        n = min(count or max(1, int(rows["n"].iloc[0]) // 100), nt)
+        v = np.linalg.eigh(g.reshape(nt, nt))[1][:, ::-1][:, :n].T
+        return rows[panel].head(1).assign(vectors_=[v.ravel()])
+
+    @F.pandas_udf("array<float>")
+    def project(data: pd.Series, vs: pd.Series) -> pd.Series:
+        out = []
+        for d, v in zip(data, vs):
+            x = np.asarray(d, dtype=np.float64)
+            v = np.asarray(v).reshape(-1, len(x))
+            part = (v @ x) @ v
+            out.append((x - part if subtract else part).astype(np.float32))
+        return pd.Series(out, dtype=object)
+
+    added = traces.select(*panel, "data").mapInPandas(outer, sums).groupBy(*panel, "i").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    found = added.groupBy(*panel).applyInPandas(vectors, T.StructType([*keys, T.StructField("vectors_", T.ArrayType(T.DoubleType()))]))
+    return _joined(traces, found, panel).withColumn("data", project("data", "vectors_")).drop("vectors_")
+
+
+def filter_phase_coherence(traces: DataFrame, panel: list[str], high: float = 1.0, low: float = 0.3) -> DataFrame:
+    """``phase_coherence_filter`` for panels of any size: each trace with the next one of its panel."""
+    f = phase_coherence_filter(high, low)
+
+    @F.pandas_udf("array<float>")
+    def run(data: pd.Series, following: pd.Series) -> pd.Series:
+        pairs = ([d] if n is None else [d, n] for d, n in zip(data, following))
+        return pd.Series([f(np.stack([np.asarray(x, dtype=np.float64) for x in p]), None)[0].astype(np.float32) for p in pairs], dtype=object)
+
+    following = F.lead("data").over(Window.partitionBy(*panel).orderBy("seq"))
+    return traces.withColumn("next_", following).withColumn("data", run("data", "next_")).drop("next_")
+
+
+def mix_low_frequencies(traces: DataFrame, panel: list[str], dt: float, f1: float = 3.0, f2: float = 20.0, ramp: float = 5.0, velocity: float = 1000.0, dx: float = 10.0, max_mix: int | None = None) -> DataFrame:
+    """``low_frequency_array`` for panels of any size."""
+
+    def run(c: np.ndarray, j: int, nt: int) -> np.ndarray:
+        nx, f = len(c), j / (real_fft_length(nt) * dt)
+        if not f1 <= f <= f2 + ramp:
+            return c
+        sums = np.concatenate((np.zeros(1), np.cumsum(c)))
+        width = min(int(round(velocity / (f * dx))) | 1, (max_mix or nx) | 1)
+        lo, hi = np.maximum(np.arange(nx) - width // 2, 0), np.minimum(np.arange(nx) + width // 2 + 1, nx)
+        share = 1.0 if f <= f2 else 1 - (f - f2) / ramp
+        return share * (sums[hi] - sums[lo]) / (hi - lo) + (1 - share) * c
+
+    return along_traces(traces, panel, run)
+
+
+def trimmed_spectrum_stack(traces: DataFrame, keys: list[str], percent: float = 15.0) -> DataFrame:
+    """One trace a gather: alpha-trimmed means of the real and the imaginary parts at each frequency."""
+    rows = _spectra(traces, keys)
+    whole = Window.partitionBy(*keys, "j")
+    n = F.count(F.lit(1)).over(whole)
+    rows = rows.withColumn("n_", n).withColumn("re_", F.row_number().over(whole.orderBy("re", "seq"))).withColumn("im_", F.row_number().over(whole.orderBy("im", "seq")))
+    drop = F.least(F.floor(F.col("n_") * percent / 100 + 0.5), F.floor((F.col("n_") - 1) / 2))
+    mean = lambda v: F.avg(F.when((F.col(f"{v}_") > drop) & (F.col(f"{v}_") <= F.col("n_") - drop), F.col(v))).alias(v)
+    new = _arrays(rows.groupBy(*keys, "j").agg(mean("re"), mean("im"), F.max("nt").alias("nt")), *keys)
+    first = traces.groupBy(*keys).agg(F.min_by(F.struct(*traces.columns), "seq").alias("first_")).select("first_.*")
+    return _joined(first, new, keys).withColumn("data", F.col("filtered_")).drop("filtered_")

@@ -287,23 +287,23 @@ def slant_stack(spark, sf_dir):
     return out.select(F.col("ensemble_number").alias("label"), F.col("ip").cast("long").alias("ip"), F.col("it").cast("long").alias("it"), F.round("v", 4).alias("v"))
 
 
-def _panel_query(name: str, f) -> None:
+def _panel_query(name: str, f, *args) -> None:
     def run(spark, sf_dir):
-        out = cross.panel_map(traces(spark, sf_dir), ["ensemble_number"], f)
+        out = f(traces(spark, sf_dir), ["ensemble_number"], *args)
         return out.select("trace_id", "ensemble_number", F.round(A.rms("data"), 5).alias("rms"))
 
     run.__name__ = name
     query()(run)
 
 
-_panel_query("dip_filter", cross.dip_filter([-0.002, -0.001, 0.001, 0.002], [0, 1, 1, 0], 0.004, 1.0))
-_panel_query("radial_k_filter", cross.radial_filter([0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0]))
-_panel_query("separable_k_filter", cross.separable_filter([0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0], [0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0]))
-_panel_query("fractional_k_filter", cross.radial_power(0.5))
-_panel_query("gaussian_k_filter", cross.gaussian_panel(1.0, 1.0))
-_panel_query("svd_filter", cross.eigenimages(2))
-_panel_query("phase_coherence_filter", cross.phase_coherence_filter())
-_panel_query("low_frequency_array", cross.low_frequency_array(0.004))
+_panel_query("dip_filter", cross.filter_dips, [-0.002, -0.001, 0.001, 0.002], [0, 1, 1, 0], 0.004, 1.0)
+_panel_query("radial_k_filter", cross.filter_radial, [0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0])
+_panel_query("separable_k_filter", cross.filter_separable, [0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0], [0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0])
+_panel_query("fractional_k_filter", cross.filter_radial_power, 0.5)
+_panel_query("gaussian_k_filter", cross.filter_gaussian, 1.0, 1.0)
+_panel_query("svd_filter", cross.subtract_eigenimages, 2)
+_panel_query("phase_coherence_filter", cross.filter_phase_coherence)
+_panel_query("low_frequency_array", cross.mix_low_frequencies, 0.004)
 
 
 @query()
