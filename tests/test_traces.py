@@ -58,6 +58,13 @@ def test_other_queries_give_finite_rows(shipped, name):
     assert len(got) and not got.isna().any().any()
 
 
+@pytest.mark.parametrize("name, rows", [("one_pole_lowpass", 64), ("hilbert_transform", 64), ("convolve_ricker", 64), ("dft_amplitude", 33), ("trace_mix5", 64), ("trace_median5", 64)])
+def test_whole_counterparts_return_every_sample(shipped, name, rows):
+    """The queries that return a part of their samples have a counterpart with all; SQL is compared above."""
+    assert f"{name}_whole" in catalog.oracle_sql()
+    assert catalog.queries()[f"{name}_whole"](shipped, SF).count() == rows * shipped.read.parquet(f"{SF}/embeddings.parquet").count()
+
+
 def test_butterworth_design():
     root = math.sqrt
     for zero, low, high in ((True, (8, 0.0613010), (7, 0.2371440)), (False, (10, 0.0672567), (9, 0.2199121))):

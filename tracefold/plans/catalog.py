@@ -7,6 +7,7 @@ traces, label is the ensemble, the vector holds the samples.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,23 @@ def query(sql: str | None = None):
     return add
 
 
+def query_and_part(part: str, sql: str):
+    """Register f, every sample, as NAME_whole, and the rows of ``part`` alone, which sql holds as its filter, as NAME."""
+
+    def add(f):
+        def run(spark, sf_dir):
+            return f(spark, sf_dir).where(part)
+
+        whole, n = re.subn(rf"\s+WHERE (?:\w\.)?{re.escape(part)}", "", sql)
+        assert n == 1, f.__name__
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        query(sql)(run)
+        f.__name__ += "_whole"
+        return query(whole)(f)
+
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -122,7 +140,7 @@ _kernel_query("hartley_transform", kernels.hartley())
 _kernel_query("fused_filters", kernels.bandpass_kernel(), kernels.gaussian_smooth(3), kernels.time_shift(0.002))
 
 
-@query(f"""
+@query_and_part("it % 16 = 15", f"""
 WITH RECURSIVE {S}, f AS (
   SELECT vec_id, it, v, (v * 0.2) AS y FROM s WHERE it = 0
   UNION ALL SELECT s.vec_id, s.it, s.v, 0.2 * (s.v + f.v) + 0.6 * f.y FROM f JOIN s ON s.vec_id = f.vec_id AND s.it = f.it + 1
@@ -132,7 +150,7 @@ def one_pole_lowpass(spark, sf_dir):
     """First-order section of the recursive low-pass with coefficient 0.2."""
     f3db = math.atan(0.25) / math.pi  # the bilinear frequency whose section is 0.2 (1 + z) / (1 - 0.6 z)
     out = kernels.apply_kernels(traces(spark, sf_dir).withColumn("data", F.col("data").cast("array<double>")), kernels.butterworth(1, f3db, high=False, zero_phase=False))
-    return sampled(out, digits=4).where("it % 16 = 15")
+    return sampled(out, digits=4)
 
 
 @query(f"""
@@ -152,19 +170,19 @@ def differentiate(spark, sf_dir):
     return sampled(traces(spark, sf_dir).withColumn("data", A.differentiate(F.col("data").cast("array<double>"), 0.004)), digits=4)
 
 
-@query(f"""
+@query_and_part("it % 8 = 3", f"""
 WITH {S}, h AS (SELECT k, (0.54 + 0.46 * cos(pi() * k / 30.0)) * CASE WHEN k % 2 <> 0 THEN 2 / (pi() * k) ELSE 0 END AS c FROM (SELECT unnest(range(-30, 31)) AS k) WHERE k <> 0 AND k % 2 <> 0)
 SELECT a.vec_id, a.it, round(sum(b.v * h.c), 5) AS v FROM s a JOIN h ON true JOIN s b ON b.vec_id = a.vec_id AND b.it = a.it - h.k WHERE a.it % 8 = 3 GROUP BY ALL""")
 def hilbert_transform(spark, sf_dir):
-    return sampled(traces(spark, sf_dir).withColumn("data", A.hilbert("data", n=64).cast("array<double>")), digits=5).where("it % 8 = 3")
+    return sampled(traces(spark, sf_dir).withColumn("data", A.hilbert("data", n=64).cast("array<double>")), digits=5)
 
 
-@query(f"""
+@query_and_part("it % 8 = 0", f"""
 WITH {S}, w AS (SELECT k, exp(-x) * (1 - 2 * x) AS c FROM (SELECT k, pow(pi() * 25 * (k * 0.004 - 1 / 25.0), 2) AS x FROM (SELECT unnest(range(21)) AS k)))
 SELECT a.vec_id, a.it, round(sum(b.v * w.c), 5) AS v FROM s a JOIN w ON true JOIN s b ON b.vec_id = a.vec_id AND b.it = a.it - w.k WHERE a.it % 8 = 0 GROUP BY ALL""")
 def convolve_ricker(spark, sf_dir):
     wavelet = A.ricker(21, 0.004, 25.0)
-    return sampled(traces(spark, sf_dir).withColumn("data", A.convolve(wavelet, 0, "data", 0, 64, 0)), digits=5).where("it % 8 = 0")
+    return sampled(traces(spark, sf_dir).withColumn("data", A.convolve(wavelet, 0, "data", 0, 64, 0)), digits=5)
 
 
 @query(f"""
@@ -178,12 +196,12 @@ def correlate_pilot(spark, sf_dir):
     return both.select(F.col("seq").alias("vec_id"), F.posexplode(A.correlate("pilot", 0, "data", 0, 17, -8)).alias("i", "v")).select("vec_id", (F.col("i") - 8).cast("long").alias("lag"), F.round("v", 5).alias("v"))
 
 
-@query(f"""
+@query_and_part("k % 4 = 0", f"""
 WITH {S}, k AS (SELECT unnest(range(33)) AS k)
 SELECT vec_id, k, round(sqrt(pow(sum(v * cos(2 * pi() * ((it * k) % 64) / 64)), 2) + pow(sum(v * sin(2 * pi() * ((it * k) % 64) / 64)), 2)), 4) AS amp FROM s, k WHERE k % 4 = 0 GROUP BY ALL""")
 def dft_amplitude(spark, sf_dir):
     out = traces(spark, sf_dir).select(F.col("seq").alias("vec_id"), F.posexplode(A.amplitude(A.dft("data"))).alias("k", "amp"))
-    return out.select("vec_id", F.col("k").cast("long").alias("k"), F.round("amp", 4).alias("amp")).where("k % 4 = 0")
+    return out.select("vec_id", F.col("k").cast("long").alias("k"), F.round("amp", 4).alias("amp"))
 
 
 @query(f"""
@@ -219,22 +237,22 @@ def wavelets(spark, sf_dir):
 _MIRROR = "SELECT vec_id, label, it, v, row_number() OVER (PARTITION BY label, it ORDER BY vec_id) AS r, count(*) OVER (PARTITION BY label, it) AS n FROM s"
 
 
-@query(f"""
+@query_and_part("it % 8 = 0", f"""
 WITH {S}, o AS ({_MIRROR}), w(k, c) AS (VALUES (-2, 0.6), (-1, 1.0), (0, 1.0), (1, 1.0), (2, 0.6))
 SELECT o.vec_id, o.it, round(sum(b.v * w.c) / 5, 5) AS v FROM o JOIN w ON true
 JOIN o b ON b.label = o.label AND b.it = o.it AND b.r = CASE WHEN o.r + w.k BETWEEN 1 AND o.n THEN o.r + w.k WHEN o.r - w.k BETWEEN 1 AND o.n THEN o.r - w.k ELSE o.r END
 WHERE o.it % 8 = 0 GROUP BY ALL""")
 def trace_mix5(spark, sf_dir):
-    return sampled(cross.mix(traces(spark, sf_dir).withColumn("data", F.col("data").cast("array<double>")), ["ensemble_number"]), digits=5).where("it % 8 = 0")
+    return sampled(cross.mix(traces(spark, sf_dir).withColumn("data", F.col("data").cast("array<double>")), ["ensemble_number"]), digits=5)
 
 
-@query(f"""
+@query_and_part("it % 8 = 0", f"""
 WITH {S}, o AS ({_MIRROR}), w(k) AS (VALUES (-2), (-1), (0), (1), (2))
 SELECT o.vec_id, o.it, round(median(b.v), 5) AS v FROM o JOIN w ON true
 JOIN o b ON b.label = o.label AND b.it = o.it AND b.r = CASE WHEN o.r + w.k BETWEEN 1 AND o.n THEN o.r + w.k WHEN o.r - w.k BETWEEN 1 AND o.n THEN o.r - w.k ELSE o.r END
 WHERE o.it % 8 = 0 GROUP BY o.vec_id, o.it""")
 def trace_median5(spark, sf_dir):
-    return sampled(cross.median(traces(spark, sf_dir), ["ensemble_number"]), digits=5).where("it % 8 = 0")
+    return sampled(cross.median(traces(spark, sf_dir), ["ensemble_number"]), digits=5)
 
 
 @query(f"WITH {S} SELECT CAST(label AS BIGINT) AS label, it, round(CAST(avg(v) AS FLOAT), 5) AS v FROM s GROUP BY ALL".replace("round(CAST(avg(v) AS FLOAT), 5)", "round(avg(v), 5)"))
