@@ -107,23 +107,20 @@ def test_word_hashes_tell_words(odd):
 
 
 def test_chunked_ids_are_the_tokenizers():
-    path = bpe.default_vocabulary()
-    enc = bpe.ChunkEncoder(path, generation=20)
-    rng = random.Random(1)
-    texts = [t or "" for _, t in ODD if len(t or "") < 1000] + ["".join(rng.choice("ab é\n.,'s 1!") for _ in range(rng.randint(0, 60))) for _ in range(400)]
-    whole = [np.array(x.ids, dtype="<u4").tobytes() for x in enc._tk.encode_batch(texts, add_special_tokens=False)]
-    assert enc.encode(texts) == whole
-    assert enc.encode(texts) == whole  # from the cache
-
-
-def test_ids_are_those_of_the_file():
     from tokenizers import Tokenizer
 
     path = bpe.default_vocabulary()
-    enc, fresh = bpe.ChunkEncoder(path), Tokenizer.from_file(path)
-    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\nplain words", "a <|endoftext| > b", "plain words", "plain words <|endoftext|><|endoftext|>"]
-    assert np.frombuffer(enc.encode(texts)[0], dtype="<u4").tolist() == [64, 220, 50256, 275]
-    assert [np.frombuffer(x, dtype="<u4").tolist() for x in enc.encode(texts)] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    rng, fresh = random.Random(1), Tokenizer.from_file(path)
+    texts = [t or "" for _, t in ODD if len(t or "") < 1000]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\nplain words", "a <|endoftext| > b", "a\xa0b", "don't", "a\n", " a ", "\n\n", " "]
+    for letters in ("ab é\n.,'s 1!", "ab é\n.,'s 1!\t\r\x0c\x1cßĂ中\xa0"):
+        texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    whole = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    for enc in (bpe.ChunkEncoder(path), bpe.ChunkEncoder(path, remembered=40, stretch=300)):
+        for _ in range(2):  # the second time from what is remembered
+            assert [np.frombuffer(x, dtype="<u4").tolist() for x in enc.encode(texts)] == whole
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in enc.encode([None, *texts], 7)] == [[7], *([*x, 7] for x in whole)]
+    assert np.frombuffer(enc.encode(["a <|endoftext|> b"])[0], dtype="<u4").tolist() == [64, 220, 50256, 275]
 
 
 @pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 25, 32])
@@ -142,7 +139,7 @@ def test_shard_random_access():
     rng = np.random.default_rng(0)
     docs = [rng.integers(0, 50257, size=n, dtype=np.uint32) for n in (0, 5, 9000, 1, 4096, 3)]
     for bits in (16, 17):
-        raw = token_files.shard_bytes([3, None, 5, 6, 7, 8], [d.astype("<u4").tobytes() for d in docs], bits, block_ids=100)
+        raw = token_files.shard_bytes([3, None, 5, 6, 7, 8], np.concatenate(docs).astype("<u4"), np.array([len(d) for d in docs]), bits, block_ids=100)
         shard = token_files.ShardReader(io.BytesIO(raw))
         assert shard.doc_ids == [3, None, 5, 6, 7, 8]
         for k, d in enumerate(docs):
@@ -205,6 +202,22 @@ def test_packing(odd, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_fills_the_sequences(spark, corpus):
+    """Open bins of many partitions are packed into each other."""
+    _, df = corpus
+    got = packing.pack_documents(df.repartition(40), capacity=256).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for v in by.values():
+        at = 0
+        for offset, length in sorted(v):
+            assert offset == at
+            at += length
+        assert at <= 256
+    assert len(by) <= 1.1 * -(-sum(r.length for r in got) // 256)
+
+
 # --- chat ---------------------------------------------------------------------
 
 

@@ -1,10 +1,12 @@
-"""Tokenising with a public byte-level BPE vocabulary, with a cache of chunks.
+"""Tokenising with a public byte-level BPE vocabulary, by distinct chunks of a column.
 
-A byte-level pre-tokenizer never joins the two sides of a single space or a
-single newline that stands between two non-space characters. So a text without
-adjacent or unusual white space falls into chunks whose ids can be remembered;
-other texts, and those that hold an added token such as <|endoftext|>, go to the
-tokenizer whole. Both ways give the ids of the whole text.
+A byte-level pre-tokenizer never joins what stands before white space to what
+comes after it, so a text falls into chunks, each a run of white space with the
+word after it, whose ids together are the text's ids. Texts are split and their
+distinct chunks numbered by Arrow; only chunks that weren't met before go to the
+tokenizer, and NumPy puts the ids of all chunks together. Texts with rare white
+space, or that hold an added token such as <|endoftext|>, go to the tokenizer
+whole. All ways give the ids of the whole text.
 
 Punctuation after a word's letters is a piece of its own, so such words need to
 be known only once. Words of plain letters are new most often; they go to the
@@ -17,14 +19,22 @@ import json
 import os
 import re
 import string
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-
-_UNUSUAL = re.compile(r"[^\S \n]|\s\s")
-#: Remembered chunks of one generation; at most two generations are held.
-GENERATION = 500_000
-_TOGETHER = 100  # chunks encoded in one string
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: White space that the pre-tokenizer's pattern knows beside space, newline, tab and return.
+_RARE_SPACE = "\x0b\x0c\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Texts with such white space are cut into chunks by a pattern, others by Arrow.
+_MIXED = "[\\t\\r]|[ \\n\\t\\r][ \\n\\t\\r]"
+_CHUNK = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+#: Chunks remembered at most; those met in one stretch of text only are forgotten first.
+REMEMBERED = 1_000_000
+#: Bytes of text that are split together.
+STRETCH = 12_000_000
 _TAIL = "".join(c for c in string.punctuation if c != "'")
 #: Letters below this are letters for every Unicode version.
 _LETTERS_BELOW = "\u0250"
@@ -37,124 +47,193 @@ def _spelling() -> dict[int, str]:
     return {b: chr(b) for b in same} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+class _Store:
+    """Runs of ids, told by number."""
+
+    def __init__(self):
+        self.pool = np.zeros(1 << 16, dtype="<u4")
+        self.starts = np.zeros(1 << 14, dtype=np.int64)
+        self.lens = np.zeros(1 << 14, dtype=np.int64)
+        self.used = self.n = 0
+
+    def add(self, ids: np.ndarray, lens: np.ndarray) -> range:
+        """Keep runs that lie one after the other in ``ids``."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        while self.n + len(lens) > len(self.starts):
+            self.starts, self.lens = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lens))
+        at = self.used + np.concatenate(([0], np.cumsum(lens)))[: len(lens)]
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.starts[self.n : self.n + len(lens)], self.lens[self.n : self.n + len(lens)] = at, lens
+        self.used += len(ids)
+        self.n += len(lens)
+        return range(self.n - len(lens), self.n)
+
+    def gather(self, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """The ids of many runs, one after the other."""
+        ends = np.cumsum(lens)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(starts - (ends - lens), lens) + np.arange(total)]
+
+
 class ChunkEncoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
+    """``encode(texts)`` gives each text's ids; ``encode_column`` those of an Arrow column, stretch by stretch."""
 
-    def __init__(self, path: str, generation: int = GENERATION):
+    def __init__(self, path: str, remembered: int = REMEMBERED, stretch: int = STRETCH):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self._tk = Tokenizer.from_file(path)
-        self._plain = Tokenizer.from_file(path)
-        self._plain.pre_tokenizer = WhitespaceSplit()
+        self._model = self._tk.model
         added = sorted((t.content for t in self._tk.get_added_tokens_decoder().values()), key=len, reverse=True)
-        whole = [_UNUSUAL.pattern, *map(re.escape, added)]
-        self._whole = re.compile("|".join(whole))  # texts that go to the tokenizer whole
+        self._whole = "|".join([f"[{_RARE_SPACE}]", *map(re.escape, added)])  # texts that go to the tokenizer whole
         self._spell = _spelling()
-        self._tails = {"": b""}
-        self._generation = generation
+        self._remembered, self._stretch = remembered, stretch
         with open(path, encoding="utf-8") as f:
             pre = json.load(f).get("pre_tokenizer") or {}
         newline = self._ids("\n")
         self._chunked = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and len(newline) == 1
-        self._newline = int(newline[0]) if len(newline) else -1
-        self._join = newline.tobytes()
-        self._fixed = ({"": self._ids(" ").tobytes()}, {"": b""})
-        self._new = [dict(x) for x in self._fixed]
-        self._old: list[dict] = [{}, {}]
+        self._newline = newline
         self.vocab_size = self._tk.get_vocab_size()
+        self._tails: dict[str, list[int]] = {}
+        self._forget({})
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._tk.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, kind: int, need: set) -> None:
-        """kind 0: chunks after a space; 1: chunks that begin a line."""
-        if len(self._new[kind]) > self._generation:
-            self._old[kind], self._new[kind] = self._new[kind], dict(self._fixed[kind])
-        new, old = self._new[kind], self._old[kind]
-        odd, plain, tailed = [], set(), []
-        for c in need:
-            if c in new:
-                continue
-            if (known := old.get(c)) is not None:
-                new[c] = known
-                continue
-            core = c.rstrip(_TAIL)
-            if not core.isalpha() or not (core.isascii() or max(core) < _LETTERS_BELOW):
-                odd.append(c)
-                continue
-            if core != c:
-                tailed.append((c, core))
-            if core not in new:
-                if (known := old.get(core)) is not None:
-                    new[core] = known
+    # --- what is remembered: chunk to number of its run --------------------------
+
+    def _forget(self, kept: dict[str, np.ndarray]) -> None:
+        self._store = _Store()
+        self._known: dict[str, int] = {}
+        space = self._ids(" ")
+        self._known |= zip(("", "\n"), self._store.add(np.concatenate((space, self._newline)), np.array([len(space), len(self._newline)])))
+        self._seen = np.zeros(1 << 14, dtype=np.int32)
+        if kept:
+            self._known |= zip(kept, self._store.add(np.concatenate(list(kept.values())), np.array([len(x) for x in kept.values()])))
+
+    def _make_room(self) -> None:
+        """Once too many are remembered, only those met in several stretches stay."""
+        if self._store.n <= self._remembered:
+            return
+        seen = self._seen
+        often = sorted((k for k, n in self._known.items() if n < len(seen) and seen[n] > 1), key=lambda k: -seen[self._known[k]])[: self._remembered // 4]
+        at = [self._known[k] for k in often]
+        self._forget({k: self._store.pool[self._store.starts[n] : self._store.starts[n] + self._store.lens[n]] for k, n in zip(often, at)})
+
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        get = self._known.get
+        found = np.array([get(c, -1) for c in chunks], dtype=np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = self._learn([chunks[k] for k in new.tolist()])
+        return found
+
+    def _learn(self, new: list[str]) -> range:
+        """Numbers of different chunks that weren't met before. A chunk is kept without its space; one that begins a line begins with the newline."""
+        model, spell = self._model, self._spell
+        space, newline = spell[32], self._newline.tolist()
+        cores: dict[str, list[int]] = {}
+        ids: list[int] = []
+        lens: list[int] = []
+        for c in new:
+            if c[0] == "\n":
+                word, lead, own = c[1:], "", newline
+            else:
+                word, lead, own = c, space, []
+            core = word.rstrip(_TAIL)
+            if c[0] in " \t\r" or not core.isalpha() or not (core.isascii() or max(core) < _LETTERS_BELOW):
+                # numbers, signs, mixtures, mixed white space: by the tokenizer as it is
+                own = self._ids(c if c[0] in " \n\t\r" else " " + c).tolist()
+            else:
+                key = lead + core
+                found = cores.get(key)
+                if found is None:
+                    spelled = key if core.isascii() else lead + core.encode().decode("latin-1").translate(spell)
+                    found = cores[key] = [t.id for t in model.tokenize(spelled)]
+                own = own + found
+                if len(core) < len(word):
+                    own = own + self._tail(word[len(core) :])
+            ids += own
+            lens.append(len(own))
+        added = self._store.add(np.array(ids, dtype="<u4"), np.array(lens, dtype=np.int64))
+        self._known |= zip(new, added)
+        return added
+
+    def _tail(self, tail: str) -> list[int]:
+        found = self._tails.get(tail)
+        if found is None:
+            found = self._ids(tail).tolist()
+            if len(self._tails) < 100_000:
+                self._tails[tail] = found
+        return found
+
+    # --- texts ------------------------------------------------------------------
+
+    def _chunks(self, text: str) -> list[str]:
+        """A text's chunks as they are remembered."""
+        out = _CHUNK.findall("\n" + text if not text or text[0] not in " \n\t\r" else text)
+        return [c[1:] if c[0] == " " and (len(c) == 1 or c[1] not in " \n\t\r") else c for c in out]
+
+    def _stretch_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each text's begin and the last one's end)."""
+        if not len(texts):
+            return np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+        self._make_room()
+        n = len(texts)
+        whole = pc.match_substring_regex(texts, self._whole).to_numpy(zero_copy_only=False) if self._chunked else np.ones(n, dtype=bool)
+        mixed = pc.match_substring_regex(texts, _MIXED).to_numpy(zero_copy_only=False) & ~whole
+        other = np.flatnonzero(whole | mixed)
+        split = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\n", texts.type), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", texts.type)), " ")
+        if len(other):
+            split = pc.if_else(pa.array(whole | mixed), pa.scalar(["\n"], split.type), split)
+        words = split.flatten().dictionary_encode()
+        cuts = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy()))).astype(np.int64)
+        numbers = self._numbers(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        if len(self._seen) < self._store.n:
+            self._seen = np.concatenate((self._seen, np.zeros(len(self._store.starts) - len(self._seen), dtype=np.int32)))
+        self._seen[numbers] += 1
+        runs = numbers[words.indices.to_numpy()]
+        starts, lens = self._store.starts[runs], self._store.lens[runs]
+        starts[cuts[:-1]] += 1  # the newline set before each text
+        lens[cuts[:-1]] -= 1
+        ids = self._store.gather(starts, lens)
+        ends = np.concatenate(([0], np.cumsum(lens)))[cuts]
+        if len(other):
+            parts = [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+            for k in other.tolist():
+                t = texts[k].as_py()
+                if whole[k]:
+                    parts[k] = self._ids(t)
                 else:
-                    plain.add(core)
-        lead = "" if kind else " "
-        self._encode(new, odd, self._tk, "\n", [lead + c for c in odd])
-        words, spell = list(plain), self._spell
-        lead = "" if kind else spell[32]
-        spelled = [lead + (w if w.isascii() else w.encode().decode("latin-1").translate(spell)) for w in words]
-        self._encode(new, words, self._plain, f" {spell[10]} ", spelled)
-        for c, core in tailed:
-            tail = c[len(core) :]
-            ids = self._tails.get(tail)
-            if ids is None:
-                ids = self._ids(tail).tobytes()
-                if len(self._tails) < 100_000:
-                    self._tails[tail] = ids
-            new[c] = new[core] + ids
-
-    def _encode(self, into: dict, keys: list[str], tokenizer, between: str, texts: list[str]) -> None:
-        """Ids of many short strings, told apart by the newline's id between them."""
-        joined = [between.join(texts[k : k + _TOGETHER]) for k in range(0, len(texts), _TOGETHER)]
-        for at, found in enumerate(tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(found.ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self._newline), len(ids)).tolist()
-            raw, start = ids.tobytes(), 0
-            for c, end in zip(keys[at * _TOGETHER : (at + 1) * _TOGETHER], ends, strict=True):
-                into[c] = raw[4 * start : 4 * end]
-                start = end + 1
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        size = 0
-        block: list[str] = []
-        for t in texts:
-            block.append(t or "")
-            size += len(block[-1])
-            if size > 400_000:
-                out += self._encode_block(block)
-                block, size = [], 0
-        return out + self._encode_block(block)
-
-    def _encode_block(self, texts: list[str]) -> list[bytes]:
-        plain: list[list[list[str]] | None] = []
-        spaced: set[str] = set()
-        begun: set[str] = set()
-        for t in texts:
-            if not self._chunked or self._whole.search(t):
-                plain.append(None)
-                continue
-            lines = [line.split(" ") for line in t.split("\n")]
-            for parts in lines:
-                begun.add(parts[0])
-                spaced.update(parts[1:])
-            plain.append(lines)
-        self._learn(0, spaced)
-        self._learn(1, begun)
-        after, first = (x.__getitem__ for x in self._new)
-        out = []
-        for t, lines in zip(texts, plain, strict=True):
-            if lines is None:
-                out.append(self._ids(t).tobytes())
-                continue
-            ids = []
-            for parts in lines:
-                ids.append(first(parts[0]) + b"".join(map(after, parts[1:])))
-            out.append(self._join.join(ids))
-        return out
+                    own, at = np.unique(self._chunks(t), return_inverse=True)
+                    own = self._numbers(own.tolist())[at]
+                    got = self._store.gather(self._store.starts[own], self._store.lens[own])
+                    parts[k] = got if t[0] in " \n\t\r" else got[1:]
+            ids, ends = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        return ids, ends
+
+    def encode_column(self, column: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, last row + 1, ids, where each row's begin and the last one's end) of stretches of rows; null is empty.
+
+        With ``end_id`` that id follows each row's.
+        """
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        sizes = np.cumsum(pc.binary_length(column).to_numpy())
+        at = 0
+        while at < len(column):
+            before = int(sizes[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + self._stretch, side="right")))
+            ids, cuts = self._stretch_ids(column.slice(at, end - at))
+            if end_id is not None:
+                ids = np.insert(ids, cuts[1:], end_id)
+                cuts = cuts + np.arange(len(cuts))
+            yield at, end, ids.astype("<u4", copy=False), cuts
+            at = end
+
+    def encode(self, texts: list[str | None], end_id: int | None = None) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit bytes."""
+        return [ids[a:b].tobytes() for _, _, ids, cuts in self.encode_column(pa.array(texts, pa.large_string()), end_id) for a, b in zip(cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=2)

@@ -33,6 +33,7 @@ from tracefold.llm.bpe import default_vocabulary, encoder
 MAGIC = b"TFTOKEN1"
 BLOCK_IDS = 4096
 SHARD_IDS = 1 << 22
+READ_IDS = 1 << 25
 
 
 def id_bits(vocab_size: int) -> int:
@@ -73,16 +74,15 @@ def unpack_bits(raw: bytes, n: int, bits: int) -> np.ndarray:
     return out.reshape(-1)[:n]
 
 
-def shard_bytes(doc_ids: list[int | None], docs: list[bytes], bits: int, block_ids: int = BLOCK_IDS) -> bytes:
-    """One shard file. docs: each document's ids as little-endian u32 bytes."""
-    ids = np.frombuffer(b"".join(docs), dtype="<u4")
-    first = np.concatenate(([0], np.cumsum([len(d) // 4 for d in docs], dtype=np.uint64))).astype("<u8")
+def shard_bytes(doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray, bits: int, block_ids: int = BLOCK_IDS) -> bytes:
+    """One shard file. ids: those of all documents, one after the other; lengths: how many each has."""
+    first = np.concatenate(([0], np.cumsum(lengths, dtype=np.uint64))).astype("<u8")
     blocks = [pack_bits(ids[k : k + block_ids], bits) for k in range(0, len(ids), block_ids)]
-    head = 8 + 16 + 8 + 8 * (len(blocks) + 1) + 9 * len(docs) + 8 * (len(docs) + 1)
+    head = 8 + 16 + 8 + 8 * (len(blocks) + 1) + 9 * len(doc_ids) + 8 * (len(doc_ids) + 1)
     offsets = head + np.concatenate(([0], np.cumsum([len(b) for b in blocks], dtype=np.int64)))
     return b"".join([
         MAGIC,
-        np.array([bits, block_ids, len(docs), len(blocks)], dtype="<u4").tobytes(),
+        np.array([bits, block_ids, len(doc_ids), len(blocks)], dtype="<u4").tobytes(),
         np.array([len(ids)], dtype="<u8").tobytes(),
         offsets.astype("<u8").tobytes(),
         np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes(),
@@ -137,37 +137,39 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str | None = No
     by their text and may span partitions, so that a hot id isn't one task.
     """
     vocabulary = vocabulary or default_vocabulary()
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(vocabulary), TaskContext.get().partitionId()
         bits = id_bits(max(enc.vocab_size, end_id + 1))
         store, root = pafs.FileSystem.from_uri(out_dir)
         store.create_dir(root, recursive=True)
-        held, size, rows = ([], []), 0, []
+        doc_ids, ids, lengths, size, rows = [], [], [], 0, []
 
         def flush():
-            nonlocal held, size
+            nonlocal size
             name = f"{root}/part-{part:06d}-{len(rows):05d}.tok"
             temp = f"{root}/.{uuid.uuid4().hex}.tmp"
             with store.open_output_stream(temp) as f:
-                f.write(shard_bytes(held[0], held[1], bits))
+                f.write(shard_bytes(doc_ids, np.concatenate(ids), np.concatenate(lengths), bits))
             store.move(temp, name)
-            rows.append((part, len(rows), f"{out_dir}/{name.rpartition('/')[2]}", len(held[0]), size))
-            held, size = ([], []), 0
+            rows.append((part, len(rows), f"{out_dir}/{name.rpartition('/')[2]}", len(doc_ids), size))
+            doc_ids.clear(), ids.clear(), lengths.clear()
+            size = 0
 
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:  # small steps: texts may be very long
-                some = batch.slice(at, 256)
-                at += 256
-                for doc_id, ids in zip(some["doc_id"].to_pylist(), enc.encode(some["text"].to_pylist()), strict=True):
-                    held[0].append(doc_id)
-                    held[1].append(ids + end)
-                    size += len(ids) // 4 + 1
+            own = batch["doc_id"].to_pylist()
+            for a, b, got, cuts in enc.encode_column(batch["text"], end_id):
+                while a < b:  # as many documents as still fit into the shard, one at least
+                    n = max(1, int(np.searchsorted(cuts, cuts[0] + shard_ids - size, side="left")))
+                    n = min(n, b - a)
+                    doc_ids += own[a : a + n]
+                    ids.append(got[cuts[0] : cuts[n]])
+                    lengths.append(np.diff(cuts[: n + 1]))
+                    size += int(cuts[n] - cuts[0])
+                    a, cuts = a + n, cuts[n:]
                     if size >= shard_ids:
                         flush()
-        if held[0]:
+        if doc_ids:
             flush()
         names, kinds = ["part", "shard", "path", "n_docs", "n_ids"], [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
@@ -184,7 +186,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     number a partition reaches the driver, never one for each file or document.
     """
     spark = manifest.sparkSession
-    before, bases = 0, []
+    before, bases, n_files = 0, [], manifest.count()
     for part, n in sorted(manifest.groupBy("part").agg(F.sum("n_ids")).collect()):
         bases.append((part, before))
         before += n
@@ -193,7 +195,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         manifest.withColumn("within", F.coalesce(F.sum("n_ids").over(within), F.lit(0)))
         .join(spark.createDataFrame(bases, "part int, base long"), "part")
         .select("path", (F.col("base") + F.col("within")).alias("base"))
-        .repartition(F.xxhash64("path"))
+        # a given number of tasks, which isn't brought down for so small a table: READ_IDS ids each, a file each at most
+        .repartition(max(1, min(n_files, max(spark.sparkContext.defaultParallelism, -(-before // READ_IDS)))), F.xxhash64("path"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
