@@ -1,16 +1,18 @@
 """Quality rules: base counts, and a hashed n-gram log-likelihood ratio, in DataFrame functions only.
 
-The ratio compares two multinomials over hashed one- and two-grams of word
-shapes (runs of lower-case, upper-case and digits become a, A and 0): one of the
-trusted target, the documents labelled as good, and one of the raw corpus, all
-documents. A bucket weighs ln((target + K) / (expected + K)), where expected is
-what the raw corpus would give for as many n-grams, so rare n-grams weigh about
-nothing. A document's ratio is the mean weight of its n-grams, and it is rejected
-under a fixed threshold. The base rule rejects by itself.
-
-Each text is read once: its n-grams are sorted and counted inside the row, and
-the counts, not the words, are summed over the corpus (with map-side
-aggregation). The weights are at most ``BUCKETS`` rows.
+The ratio compares two multinomials over hashed one- and two-grams of words (as
+they are written; case and signs count): one of the trusted target, the documents
+labelled as good, and one of the raw corpus, all documents. A bucket weighs
+ln((target + K) / (expected + K)), where expected is what the raw corpus would
+give for as many n-grams, so rare n-grams weigh about nothing. A document's ratio
+is the mean weight of its n-grams, which makes it independent of length, and it
+is rejected under a fixed threshold. The base rule rejects by itself.
+
+Two passes over the texts. The first counts all n-grams of all documents by
+bucket, with map-side aggregation, so only ``BUCKETS`` rows a task are shuffled
+and a hot n-gram or a very long text needs no special care. The second is a
+projection: the weights, exactly ``BUCKETS`` numbers, are an array literal in it. Its
+result, a few numbers a document, is written to the shared folder.
 
 Defined results: null text has no words (all counts 0, base_failed); without any
 labelled document every ratio is 0; a document without n-grams has ratio 0;
@@ -20,6 +22,8 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,49 +31,41 @@ from tracefold.llm.common import materialise
 
 BUCKETS = 1 << 16
 SHRINK = 5.0
-THRESHOLD = -0.4
+THRESHOLD = -0.11
 _SPACE = r"[\x20\x09-\x0D]+"
-_SYMBOLS = "#*$%&|<>"
+_SYMBOLS = "[#*$%&|<>]"
 
 
-def _nonempty(a: Column) -> Column:
-    return F.filter(a, lambda w: w != "")
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, _SPACE), "")
 
 
-def _runs(grams: Column) -> Column:
-    """Sorted array to (gram, times) of its distinct values."""
-    kind = "struct<g:int,n:int>"
-    start = F.struct(F.lit(-1).alias("g"), F.lit(0).alias("n"), F.array().cast(f"array<{kind}>").alias("out"))
-    closed = lambda s: F.concat(s["out"], F.array(F.struct(s["g"].alias("g"), s["n"].alias("n"))))
-    return F.aggregate(
-        grams,
-        start,
-        lambda s, x: F.when(s["g"] == x, F.struct(s["g"].alias("g"), (s["n"] + 1).alias("n"), s["out"].alias("out"))).otherwise(F.struct(x.alias("g"), F.lit(1).alias("n"), F.when(s["n"] > 0, closed(s)).otherwise(s["out"]).alias("out"))),
-        lambda s: F.when(s["n"] > 0, closed(s)).otherwise(s["out"]),
-    )
+def _bucket(h: Column) -> Column:
+    return F.pmod(h, F.lit(BUCKETS)).cast("int")
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Base counts and counted n-grams of each row, by itself."""
+    """The base counts of each row, by itself, and the hashes of its words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
         "doc_id",
-        _nonempty(F.split("text", _SPACE)).alias("words"),
+        _words(F.col("text")).alias("words"),
         F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))).alias("lines"),
-        (F.length("text") - F.length(F.translate("text", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.length(F.regexp_replace("text", _SPACE, "")).cast("long").alias("word_chars"),
-        _nonempty(F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"[a-z\x{80}-\x{10FFFF}]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0"), _SPACE)).alias("shapes"),
+        F.regexp_count("text", F.lit(_SYMBOLS)).cast("long").alias("n_symbols"),
     )
-    n = F.size("words")
-    windows = F.when(n >= 3, F.transform(F.slice("words", F.lit(1), n - 2), lambda w, i: F.xxhash64(w, F.col("words")[i + 1], F.col("words")[i + 2])))
-    bucket = lambda *c: F.pmod(F.xxhash64(*c), F.lit(BUCKETS)).cast("int")
-    grams = F.concat(
-        F.transform("shapes", lambda s: bucket(s)),
-        F.when(F.size("shapes") >= 2, F.transform(F.slice("shapes", F.lit(1), F.size("shapes") - 1), lambda s, i: bucket(s, F.col("shapes")[i + 1]))).otherwise(F.array().cast("array<int>")),
+    second = first.select(
+        "doc_id",
+        "n_symbols",
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.size("words").cast("long").alias("n_words"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
-    second = first.select("doc_id", "n_symbols", "word_chars", n.cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), windows.alias("windows"), F.sort_array(grams).alias("grams"))
+    n = F.col("n_words").cast("int")
+    trios = F.arrays_zip(*[F.slice("hashes", F.lit(k), n - 2).alias(f"h{k}") for k in (1, 2, 3)])
+    second = second.withColumn("windows", F.when(n >= 3, F.transform(trios, lambda t: F.xxhash64(t))))
     ordered = F.when(F.size("windows") > F.size(F.array_distinct("windows")), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    third = second.select("doc_id", "n_symbols", "word_chars", "n_words", "n_dup_lines", ordered.alias("ordered"), _runs(F.col("grams")).alias("grams"))
+    third = second.select("doc_id", "n_symbols", "word_chars", "hashes", "n_words", "n_dup_lines", ordered.alias("ordered"))
     near = lambda x, k: ((k > 0) & (F.get("ordered", k - 1)["h"] == x["h"])) | ((k + 1 < F.size("ordered")) & (F.get("ordered", k + 1)["h"] == x["h"]))
     again = F.when(F.col("ordered").isNotNull(), F.sort_array(F.filter(F.transform("ordered", lambda x, k: F.when(near(x, k), x["i"])), lambda x: x.isNotNull())))
     covered = F.aggregate(
@@ -78,30 +74,44 @@ def describe(docs: DataFrame) -> DataFrame:
         lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3), i - s["last"])).alias("n")),
         lambda s: s["n"],
     )
-    return third.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"), "grams")
+    return third.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"), "hashes")
+
 
+def bucket_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(g, raw, target): n-grams of all documents and of those labelled as good, by bucket."""
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("good_id")).where("good_id is not null").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = texts.join(good, F.col("doc_id") == F.col("good_id"), "left").select(F.col("good_id").isNotNull().alias("good"), F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    pairs = marked.select("good", F.inline(F.arrays_zip(F.col("hashes").alias("a"), F.slice("hashes", F.lit(2), F.size("hashes")).alias("b"))))
+    second = F.when(F.col("b").isNotNull(), _bucket(F.xxhash64("a", "b")))
+    grams = pairs.select("good", F.explode(F.array(_bucket(F.col("a")), second)).alias("g")).where("g is not null")
+    return grams.groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("target"))
 
-def weights(described: DataFrame, labels: DataFrame) -> DataFrame:
-    """(g, weight) of every bucket that the corpus uses, at most BUCKETS rows."""
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    count = lambda rows, name: rows.select(F.inline("grams")).groupBy("g").agg(F.sum("n").cast("double").alias(name))
-    raw = count(described.select("grams"), "raw")
-    target = count(described.select("doc_id", "grams").join(good, "doc_id", "left_semi"), "target")
-    both = raw.join(target, "g", "left").fillna(0.0, ["target"])
-    total = both.agg(F.sum("raw"), F.sum("target")).first()
-    expected = F.col("raw") * F.lit((total[1] or 0.0) / total[0] if total[0] else 0.0)
-    return both.select("g", F.log((F.col("target") + SHRINK) / (expected + SHRINK)).alias("weight"))
+
+def weights(docs: DataFrame, labels: DataFrame) -> list[float]:
+    """The weight of every bucket."""
+    out = [0.0] * BUCKETS
+    rows = bucket_counts(docs, labels).collect()  # at most BUCKETS
+    raw, target = sum(r["raw"] for r in rows), sum(r["target"] for r in rows)
+    if target:
+        for r in rows:
+            out[r["g"]] = math.log((r["target"] + SHRINK) / (r["raw"] * target / raw + SHRINK))
+    return out
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio."""
-    described, _ = materialise(describe(docs).withColumn("row", F.monotonically_increasing_id()), "quality")
-    w, _ = materialise(weights(described, labels), "weights")  # at most BUCKETS rows, so it may be broadcast
-    counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    scored = described.select("row", F.inline("grams")).join(F.broadcast(w), "g").groupBy("row").agg((F.sum(F.col("n") * F.round("weight", 9).cast("decimal(18,9)")) / F.sum("n")).cast("double").alias("ratio"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (
-        described.select("row", *counts)
-        .join(scored, "row", "left")
-        .select(*counts, failed.alias("base_failed"), (~failed & (F.coalesce("ratio", F.lit(0.0)) >= threshold)).alias("kept"), F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
+    # one string is folded to one array literal, which tasks index
+    w = F.split(F.lit(",".join(f"{x:.6g}" for x in weights(docs, labels))), ",").cast("array<double>")
+    n = F.size("hashes")
+    summed = F.aggregate(
+        F.transform("hashes", lambda h, i: F.get(w, _bucket(h)) + F.when(i + 1 < n, F.get(w, _bucket(F.xxhash64(h, F.get("hashes", i + 1))))).otherwise(F.lit(0.0))),
+        F.lit(0.0),
+        lambda s, x: s + x,
     )
+    ratio = F.when(n > 0, summed / (2 * n - 1)).otherwise(F.lit(0.0))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    scored = describe(docs).withColumns({"base_failed": failed, "ratio": ratio})
+    out = scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("ratio") >= threshold)).alias("kept"), "ratio")
+    # a table of its own: a later filter, moved into the projection by the optimizer, would compute the arrays once for each word
+    return materialise(out, "quality")[0]
