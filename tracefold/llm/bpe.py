@@ -32,9 +32,9 @@ _RARE_SPACE = "\x0b\x0c\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))
 _MIXED = "[\\t\\r]|[ \\n\\t\\r][ \\n\\t\\r]"
 _CHUNK = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: Chunks remembered at most; those met in one stretch of text only are forgotten first.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 #: Bytes of text that are split together.
-STRETCH = 12_000_000
+STRETCH = 8_000_000
 _TAIL = "".join(c for c in string.punctuation if c != "'")
 #: Letters below this are letters for every Unicode version.
 _LETTERS_BELOW = "\u0250"

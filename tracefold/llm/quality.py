@@ -1,8 +1,8 @@
 """Quality rules: base counts, and a hashed n-gram log-likelihood ratio, in DataFrame functions only.
 
 The ratio compares two multinomials over hashed one- and two-grams of words (as
-they are written; case and signs count): one of the trusted target, the documents
-labelled as good, and one of the raw corpus, all documents. A bucket weighs
+they are written; case and signs count): one of the trusted target, at most
+``TARGET_ROWS`` documents labelled as good, and one of the raw corpus, all documents. A bucket weighs
 ln((target + K) / (expected + K)), where expected is what the raw corpus would
 give for as many n-grams, so rare n-grams weigh about nothing. A document's ratio
 is the mean weight of its n-grams, which makes it independent of length, and it
@@ -32,6 +32,8 @@ from tracefold.llm.common import materialise
 BUCKETS = 1 << 16
 SHRINK = 5.0
 THRESHOLD = -0.11
+#: Labelled documents that make up the trusted target, at most (about; drawn by hash when there are more).
+TARGET_ROWS = 100_000
 _SPACE = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "[#*$%&|<>]"
 
@@ -77,11 +79,15 @@ def describe(docs: DataFrame) -> DataFrame:
     return third.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"), "hashes")
 
 
-def bucket_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def bucket_counts(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
     """(g, raw, target): n-grams of all documents and of those labelled as good, by bucket."""
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("good_id")).where("good_id is not null").distinct()
+    n = good.count()
+    if n > target_rows:
+        good = good.where(F.pmod(F.xxhash64("good_id"), F.lit(1 << 30)) < int((1 << 30) * 0.98 * target_rows / n))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = texts.join(good, F.col("doc_id") == F.col("good_id"), "left").select(F.col("good_id").isNotNull().alias("good"), F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    # at most about target_rows ids are broadcast; the texts aren't shuffled
+    marked = texts.join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left").select(F.col("good_id").isNotNull().alias("good"), F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
     pairs = marked.select("good", F.inline(F.arrays_zip(F.col("hashes").alias("a"), F.slice("hashes", F.lit(2), F.size("hashes")).alias("b"))))
     second = F.when(F.col("b").isNotNull(), _bucket(F.xxhash64("a", "b")))
     grams = pairs.select("good", F.explode(F.array(_bucket(F.col("a")), second)).alias("g")).where("g is not null")
