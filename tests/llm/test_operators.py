@@ -484,15 +484,85 @@ def test_transducers_compose():
 
 
 def test_grammar_kinds():
-    scorer = toxicity.Scorer(["idiot$", "scumm"], dict(toxicity.PRIOR))
-    ev = lambda t: dict(scorer.events(t))
+    scorer = toxicity.Scorer(["idiot$", "idiots$", "scumm"], dict(toxicity.PRIOR))
+    ev = lambda t: dict(scorer.read(t)[1])
     assert ev("You are an idiot.") == {"directed": 1}
     assert ev("An idiot came. Scummer!") == {"insult": 2}
     assert ev("You are not an idiot.") == {"denied": 1}
     assert ev('She said "you idiot" yesterday.') == {"reported": 1}
-    assert ev("I will kill you") == {} and ev("you I will kill") == {"threat": 1}
-    assert ev("idiotic idiots") == {} and ev(None) == {} and ev("") == {}
+    assert ev("I will kill you") == {"threat": 1} and ev("you I will kill") == {"threat": 1} and ev("I will shoot you tonight") == {"threat": 1}
+    assert ev("I will kill time") == {} and ev("I won't kill you") == {"denied": 1} and ev("they wrote: kill you. Then they say kill you") == {"threat": 1, "reported": 1}
+    assert ev("idiots like you") == {"directed": 1} and ev("idiot, you!") == {"directed": 1} and ev("idiots. You") == {"insult": 1}
+    assert ev("you idiot idiot scummer and so on") == {"directed": 1}  # one clause
+    assert ev("idiotic idiotics") == {} and ev(None) == {} and ev("") == {}
     assert ev("one idiot\n" + "word " * 50_000 + "idiot") == {"insult": 2}
+    assert scorer.read("idiot " + "word " * 50 + "idiot")[0] == 2 * toxicity.PRIOR["insult"]
+
+
+def brute_kinds(symbols):
+    """Clause kinds by looking around each cue, without transducers."""
+    def clause_of(k):
+        a, b = k, k
+        while a and symbols[a - 1] != "end":
+            a -= 1
+        while b < len(symbols) and symbols[b] != "end":
+            b += 1
+        return a, b
+
+    kinds, frame = {}, 0
+    for k, x in enumerate(symbols):
+        if x == "end":
+            frame = 0 if frame == 1 else frame
+        elif x == "quote":
+            frame = {0: 0, 1: 2, 2: 0}[frame]
+        elif x == "report":
+            frame = frame or 1
+        elif x in ("insult", "threat"):
+            a, b = clause_of(k)
+            near = range(max(a, k - 4), min(b, k + 5))
+            aimed = any(symbols[j] == "target" for j in near)
+            kind = "threat" if x == "threat" else "directed" if aimed else "insult"
+            if x == "threat" and not aimed:
+                continue
+            if "negation" in symbols[max(a, k - 4) : k]:
+                kind = "denied"
+            kinds[k] = "reported" if frame else kind
+    out, last, worst = Counter(), None, None
+    for k in range(len(symbols)):
+        if worst is not None and k not in kinds and (symbols[k] == "end" or k - last == 8):
+            out[worst] += 1
+            worst = None
+        if k in kinds:
+            order = toxicity.KINDS.index
+            worst, last = kinds[k] if worst is None else min(worst, kinds[k], key=order), k
+    return out
+
+
+def test_grammar_by_brute_force():
+    rng = random.Random(12)
+    words_of = {"insult": "zorgul", "threat": "kill", "target": "you", "negation": "not", "report": "said", "quote": '"', "word": "tree", "end": "."}
+    scorer = toxicity.Scorer(["zorgul"], dict(toxicity.PRIOR))
+    for _ in range(3000):
+        symbols = rng.choices(list(words_of), [3, 2, 3, 1, 1, 1, 9, 2], k=rng.randint(1, 30)) + ["end"]
+        weight, found = scorer.read(" ".join(words_of[x] for x in symbols))
+        want = brute_kinds(symbols)
+        assert found == want, symbols
+        assert math.isclose(weight, sum(n * toxicity.PRIOR[k] for k, n in want.items()), abs_tol=1e-9)
+
+
+def test_near_copies_make_no_stems(spark):
+    rng, vocab = random.Random(3), vocabulary()
+    base = [rng.choice(vocab) for _ in range(60)] + ["plainword"] + [rng.choice(vocab) for _ in range(60)]
+    rows, labels = [], []
+    for i in range(300):
+        w = list(base) if i < 100 else [rng.choice(vocab) for _ in range(60)]
+        w[rng.randrange(50)] = rng.choice(vocab)
+        if i % 10 == 0 and i >= 100:
+            w[5] = "zorgul"
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(i < 100 or i % 10 == 0)))
+    stems, _ = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert any(x.startswith("zor") for x in stems) and not any("plainword".startswith(x.rstrip("$")) for x in stems)
 
 
 def test_toxicity_learns_stems(spark, odd, none, labelled):

@@ -1,18 +1,21 @@
 """Toxicity scores by a weighted finite-state pattern grammar.
 
-A text's clauses become short symbol strings: insult, threat, person spoken to
-or of, negation, reporting verb, quotation mark, other word, end of clause.
-Four composed transducers rewrite them: targets near an insult make it directed,
-a negation just before makes it denied, a reporting frame makes it reported, and
-threats need a target. The last one gives each kind of matched clause its weight.
-A document's score is the logistic of the summed clause weights, so isolated
-words count only by the clauses that hold them.
+A text becomes a string of symbols: insult, threat, person spoken to or of,
+negation, reporting verb, quotation mark, other word, end of clause. A
+transducer that reads from the right marks insults and threats that a target
+follows; four composed ones then read from the left: a target near an insult
+makes it directed, a threat needs a target, a negation just before makes either
+denied, a reporting frame makes it reported. The last one takes what it finds
+together into clauses, each of its gravest kind, and puts out each clause's
+weight where the clause ends. A document's score is the logistic of the weight
+that this transducer gives to its whole string.
 
 Learned from labelled documents outside the held-out fold (crc32(doc_id) % 4 <> 2):
 word stems whose documents are labelled toxic far more often than others become
 insults, and the kinds' weights come from a small logistic regression. Both use
-at most ``TRAIN_ROWS`` rows, drawn by hash; near copies of a training text (same
-least word hashes) count once. Threats, targets, negations and reporting verbs
+at most ``TRAIN_ROWS`` rows, drawn by hash. Equal texts count once, and a word
+counts once for all texts where it stands between the same two words, so groups
+of near copies make no stems. Threats, targets, negations and reporting verbs
 are written out below.
 
 Labels, lang, source and doc_id are no inputs of a score. Scoring is one pass
@@ -53,8 +56,9 @@ NEGATIONS = "not no never n't don't doesn't isn't aren't wasn't cannot can't wit
 REPORTING = "said says say told tells wrote writes called calls quoted quote reported according dit disait écrit selon sagte schrieb laut dijo dice escribió según".split()
 THREATS = "kill hurt destroy murder shoot stab burn beat hang strangle attack tuer frapper détruire töten schlagen umbringen matar golpear destruir".split()
 
-ALPHABET = ["insult", "threat", "target", "negation", "report", "quote", "word", "end"]
-KINDS = ["insult", "directed", "denied", "reported", "threat"]
+ALPHABET = ["insult", "insult>", "threat", "threat>", "target", "negation", "report", "quote", "word", "end"]
+#: Kinds of clauses, gravest first.
+KINDS = ["threat", "directed", "insult", "reported", "denied"]
 #: Weights where nothing could be learned; the bias comes first.
 PRIOR = {"bias": -3.0, "insult": 3.0, "directed": 3.5, "denied": 1.0, "reported": 1.0, "threat": 2.0}
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”«»]|[.!?;:\n]")
@@ -62,41 +66,50 @@ _ENDS = frozenset(".!?;:\n")
 _QUOTES = frozenset("\"“”«»")
 _WORD = re.compile(r"[^\W\d_]+")
 _REACH = 4  # words within which a target or a negation bears on an insult
+_CLAUSE = 8  # words after its last cue that end a clause without punctuation
 
 
-def grammar(weights: dict[str, float]) -> Transducer:
-    """Composition of the target, negation, reporting and weighing transducers."""
-    target, negation, report, weigh = Transducer(), Transducer(), Transducer(), Transducer()
-    # target: states 0 none near, 1.._REACH words since a target
-    for s in range(_REACH + 1):
+def following() -> Transducer:
+    """Read from the right: insults and threats with a target within reach after them, in their clause, get a ">"."""
+    out = Transducer()
+    for s in range(_REACH + 1):  # 0 none near, else words since a target
         far = s + 1 if 0 < s < _REACH else 0
-        target.arcs[s, "target"] = (1, "word", 0.0)
-        target.arcs[s, "insult"] = (far, "directed" if s else "insult", 0.0)
-        target.arcs[s, "threat"] = (far, "threat" if s else "word", 0.0)
-        target.arcs[s, "end"] = (0, "end", 0.0)
+        for x in ("insult", "threat"):
+            out.arcs[s, x] = (far, f"{x}>" if s else x, 0.0)
         for x in ("word", "negation", "report", "quote"):
-            target.arcs[s, x] = (far, x, 0.0)
-        # negation: states 1.._REACH words since a negation
-        negation.arcs[s, "negation"] = (1, "word", 0.0)
-        for x in ("insult", "directed"):
-            negation.arcs[s, x] = (far, "denied" if s else x, 0.0)
-        negation.arcs[s, "threat"] = (far, "word" if s else "threat", 0.0)
-        negation.arcs[s, "end"] = (0, "end", 0.0)
-        for x in ("word", "report", "quote"):
-            negation.arcs[s, x] = (far, x, 0.0)
+            out.arcs[s, x] = (far, x, 0.0)
+        out.arcs[s, "target"] = (1, "target", 0.0)
+        out.arcs[s, "end"] = (0, "end", 0.0)
+    return out
+
+
+def grammar(weights: dict[str, float]) -> Transducer:
+    """Composition of the target, negation, reporting and clause transducers."""
+    target, negation, report, clause = Transducer(), Transducer(), Transducer(), Transducer()
+    for s in range(_REACH + 1):  # 0 none near, else words since a target, or a negation
+        far = s + 1 if 0 < s < _REACH else 0
+        target.arcs |= {(s, "target"): (1, "word", 0.0), (s, "insult>"): (far, "directed", 0.0), (s, "threat>"): (far, "threat", 0.0), (s, "end"): (0, "end", 0.0)}
+        target.arcs |= {(s, "insult"): (far, "directed" if s else "insult", 0.0), (s, "threat"): (far, "threat" if s else "word", 0.0)}
+        target.arcs |= {(s, x): (far, x, 0.0) for x in ("word", "negation", "report", "quote")}
+        negation.arcs |= {(s, "negation"): (1, "word", 0.0), (s, "end"): (0, "end", 0.0)}
+        negation.arcs |= {(s, x): (far, "denied" if s else x, 0.0) for x in ("insult", "directed", "threat")}
+        negation.arcs |= {(s, x): (far, x, 0.0) for x in ("word", "report", "quote")}
     # reporting: 0 own speech, 1 after a reporting verb, 2 inside its quotation
-    report.arcs |= {(0, "report"): (1, "word", 0.0), (1, "quote"): (2, "word", 0.0), (2, "quote"): (0, "word", 0.0), (1, "end"): (0, "end", 0.0), (2, "end"): (2, "end", 0.0)}
+    report.arcs |= {(0, "report"): (1, "word", 0.0), (0, "quote"): (0, "word", 0.0), (1, "quote"): (2, "word", 0.0), (2, "quote"): (0, "word", 0.0), (1, "end"): (0, "end", 0.0)}
     for s in (1, 2):
-        for x in ("insult", "directed", "denied"):
-            report.arcs[s, x] = (s, "reported", 0.0)
-        report.arcs[s, "threat"] = (s, "word", 0.0)
-        report.arcs[s, "report"] = (s, "word", 0.0)
-    report.arcs[0, "quote"] = (0, "word", 0.0)
-    for k in KINDS:
-        weigh.arcs[0, k] = (0, k, weights[k])
+        report.arcs |= {(s, x): (s, "reported", 0.0) for x in ("insult", "directed", "denied", "threat")} | {(s, "report"): (s, "word", 0.0)}
+    # clause: state 0 nothing found, else kind and words since its last cue
+    state = lambda kind, far: 1 + kind * _CLAUSE + far
+    for k, x in enumerate(KINDS):
+        clause.arcs[0, x] = (state(k, 0), "word", 0.0)
+        for far in range(_CLAUSE):
+            here = state(k, far)
+            clause.arcs[here, "word"] = (state(k, far + 1), "word", 0.0) if far + 1 < _CLAUSE else (0, x, weights[x])
+            clause.arcs[here, "end"] = (0, x, weights[x])
+            clause.arcs |= {(here, y): (state(min(j, k), 0), "word", 0.0) for j, y in enumerate(KINDS)}
     out = compose(target, negation, ALPHABET)
     out = compose(out, report, ALPHABET)
-    return compose(out, weigh, ALPHABET)
+    return compose(out, clause, ALPHABET)
 
 
 class Scorer:
@@ -106,7 +119,7 @@ class Scorer:
         import ahocorasick
 
         self.bias = weights["bias"]
-        self.grammar = grammar(weights)
+        self.following, self.grammar = following(), grammar(weights)
         self.find = ahocorasick.Automaton()
         for stem in stems:  # "$" ends a stem that must be the whole word
             self.find.add_word(stem.rstrip("$"), (len(stem.rstrip("$")), "insult", stem.endswith("$")))
@@ -127,12 +140,12 @@ class Scorer:
                 found[start] = kind
         return found
 
-    def events(self, text: str | None) -> Counter:
-        """How many clause parts of each kind the grammar matches."""
+    def read(self, text: str | None) -> tuple[float, Counter]:
+        """The weight that the grammar gives to the text, and how many clauses of each kind it matches."""
         low = (text or "").lower()
         cues = self._cues(low)
-        out: Counter = Counter()
-        done = 0
+        found: Counter = Counter()
+        total, done = 0.0, 0
         for at in sorted(cues):
             if at < done:
                 continue
@@ -140,14 +153,20 @@ class Scorer:
             begin = max(low.rfind("\n", 0, at) + 1, done)
             stop = low.find("\n", at)
             stop = len(low) if stop < 0 else stop
-            symbols = []
+            symbols = ["end"]
             for m in _TOKEN.finditer(low, begin, stop):
                 t = m[0]
                 symbols.append(cues.get(m.start()) or ("end" if t in _ENDS else "quote" if t in _QUOTES else self.classes.get(t, "negation" if t.endswith("n't") else "word")))
-            _, names = self.grammar.run([*symbols, "end"])
-            out.update(x for x in names if x in PRIOR)
+            symbols.append("end")
+            _, marked = self.following.run(reversed(symbols))
+            weight, names = self.grammar.run(reversed(marked))
+            total += weight
+            found.update(x for x in names if x in PRIOR)
             done = stop
-        return out
+        return total, found
+
+    def score(self, weight: float) -> float:
+        return round(logistic(self.bias + weight), 9)
 
 
 def logistic(x: float) -> float:
@@ -177,22 +196,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, list[int]] = {}
+    """Each word of each text once, with one of the pairs of words that it stands between there."""
     for batch in batches:
+        cols: tuple[list, list, list] = ([], [], [])
         for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            for w in set(_WORD.findall((text or "").lower())):
-                counts.setdefault(w, [0, 0])[1 if toxic else 0] += 1
-    ws = list(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array([counts[w][1] for w in ws], pa.int64()), pa.array([counts[w][0] for w in ws], pa.int64())], ["word", "toxic", "other"])
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = []
-        for t in batch["text"].to_pylist():
-            h = sorted({zlib.crc32(w.encode()) for w in _WORD.findall((t or "").lower())})[:3]
-            keys.append(" ".join(map(str, h)))
-        yield pa.RecordBatch.from_arrays([batch["text"], batch["toxic"], pa.array(keys, pa.string())], ["text", "toxic", "key"])
+            ws = _WORD.findall((text or "").lower())
+            least: dict[str, int] = {}
+            for before, w, after in zip(["", *ws], ws, [*ws[1:], ""]):
+                between = zlib.crc32(f"{before} {after}".encode())
+                if between < least.get(w, 1 << 32):
+                    least[w] = between
+            cols[0].extend(least)
+            cols[1].extend(least.values())
+            cols[2].extend([int(bool(toxic))] * len(least))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["word", "between", "toxic"])
 
 
 def learn_stems(train: DataFrame, n_toxic: int, n_other: int) -> list[str]:
@@ -200,7 +217,8 @@ def learn_stems(train: DataFrame, n_toxic: int, n_other: int) -> list[str]:
     if not n_toxic or not n_other:
         return []
     rate = n_toxic / (n_toxic + n_other)
-    vocabulary = train.mapInArrow(_vocabulary, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    once = train.mapInArrow(_vocabulary, "word string, between long, toxic int").distinct()
+    vocabulary = once.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("other"))
     longest = F.least(F.length("word"), F.lit(MAX_STEM))
     stems = vocabulary.where(F.length("word") >= 3).select(
         "toxic", "other", F.explode(F.concat(F.transform(F.sequence(F.lit(3), longest), lambda k: F.substring("word", F.lit(1), k)), F.array(F.concat("word", F.lit("$"))))).alias("stem")
@@ -226,10 +244,10 @@ def learn_weights(rows: list[tuple[list[int], int]]) -> dict[str, float]:
     """Logistic regression (Newton steps, ridge towards PRIOR) on event counts of training documents."""
     if not rows or len({y for _, y in rows}) < 2:
         return dict(PRIOR)
-    x = np.column_stack([np.ones(len(rows)), np.minimum(np.array([e for e, _ in rows], dtype=float), 8)])
+    x = np.column_stack([np.ones(len(rows)), np.array([e for e, _ in rows], dtype=float)])
     y = np.array([r for _, r in rows], dtype=float)
     prior = np.array([PRIOR["bias"], *(PRIOR[k] for k in KINDS)])
-    w, ridge = prior.copy(), np.array([0.01, 1, 1, 1, 1, 4.0])
+    w, ridge = prior.copy(), np.array([0.01, 4.0, 1, 1, 1, 1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * (w - prior))
@@ -244,14 +262,14 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> tuple[
     """(stems, weights) for :func:`score_toxicity`."""
     from tracefold.llm.common import materialise, release
 
-    rows, path = materialise(training_rows(docs, labels, bound).mapInArrow(_keyed, "text string, toxic int, key string").groupBy("key", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "toxicity")
+    rows, path = materialise(training_rows(docs, labels, bound).dropDuplicates(["text", "toxic"]), "toxicity")
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     stems = tuple(learn_stems(rows, counts.get(1, 0), counts.get(0, 0)))
 
     def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(stems, tuple(PRIOR.items()))
         for batch in batches:
-            found = [scorer.events(t) for t in batch["text"].to_pylist()]
+            found = [scorer.read(t)[1] for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["toxic"], *(pa.array([e[k] for e in found], pa.int64()) for k in KINDS)], ["toxic", *KINDS])
 
     table = rows.mapInArrow(events, "toxic int, " + ", ".join(f"{k} long" for k in KINDS)).groupBy("toxic", *KINDS).count().collect()
@@ -263,13 +281,12 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> tuple[
 def score_toxicity(docs: DataFrame, model: tuple) -> DataFrame:
     """doc_id, held_out, score, predicted, and the clause counts by kind."""
     stems, weights = model
-    by_kind = dict(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(stems, weights)
         for batch in batches:
-            found = [scorer.events(t) for t in batch["text"].to_pylist()]
-            scores = [round(logistic(by_kind["bias"] + sum(by_kind[k] * min(e[k], 8) for k in KINDS)), 9) for e in found]
+            read = [scorer.read(t) for t in batch["text"].to_pylist()]
+            scores, found = [scorer.score(weight) for weight, _ in read], [e for _, e in read]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(scores, pa.float64()), pa.array([int(s >= CUT) for s in scores], pa.int32()), *(pa.array([e[k] for e in found], pa.int64()) for k in KINDS)],
                 ["doc_id", "score", "predicted", *KINDS],
