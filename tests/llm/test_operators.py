@@ -752,6 +752,50 @@ def test_wrapper_returns_the_title_outside(spark):
             assert r.text == f"Title {r.page_id}\n" + (f"Story {r.page_id}. " * 9).strip()
 
 
+def test_wrapper_tells_template_inside_by_counts(spark):
+    """Neutral names on many hosts: a container that is the same on all pages goes, also inside the content; names alone keep it."""
+    rows, want = [], {}
+    for h in range(6):
+        for k in range(9):
+            i = 100 * h + k
+            story = [f"Story {i} begins.", "A line that all pages share.", f"Story {i} ends."]
+            inner = f"<div class='a{h}'><p>{story[0]}<p>{story[1]}</div><div class='b{h}'>Our house offers {h}</div><div class='c{h}'><p>{story[2]}</div>"
+            tag = ("article", "div class=k", "section")[h % 3]
+            rows.append((i, f"http://neutral{h}.example/{k}", f"<body><div class='z'>House {h}</div><{tag}>{inner}</{tag.split()[0]}><div class='y'>Rules of house {h}</div></body>"))
+            want[i] = "\n".join(story)
+    for r in wrapper.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == want[r.page_id]
+    assert all(wrapper.extract(x, None, None, None) != want[i] for i, _, x in rows)
+
+
+def test_matching_by_brute_force():
+    from tracefold.llm import dom
+
+    rng = random.Random(5)
+
+    def tree(depth):
+        kids = "".join(tree(depth - 1) for _ in range(rng.randint(0, 3))) if depth else "x"
+        name = rng.choice(["div class=a", "div class=b", "section"])
+        return f"<{name}>{kids}</{name.split()[0]}>"
+
+    def largest(a, b):
+        """Size of the largest common tree, over all ways to pair the children in order."""
+        if a.key != b.key:
+            return 0
+
+        def forest(x, y):
+            if not x or not y:
+                return 0
+            return max(forest(x[1:], y), forest(x, y[1:]), largest(x[0], y[0]) + forest(x[1:], y[1:]))
+
+        return 1 + forest(a.children, b.children)
+
+    for _ in range(60):
+        a, b = (dom.shape(dom.parse(f"<body>{tree(3)}{tree(2)}</body>")) for _ in range(2))
+        size, pairs = dom.match(a, b)
+        assert size == largest(a, b) == len(pairs) and all(x.key == y.key for x, y in pairs)
+
+
 def test_tree_matching():
     from tracefold.llm import dom
 
