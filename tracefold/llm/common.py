@@ -16,10 +16,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a local one is set.
+    Only where the session names none and runs on one machine (tests) a local one is set;
+    on a cluster, executors couldn't see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = os.path.join(tempfile.gettempdir(), "tracefold-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

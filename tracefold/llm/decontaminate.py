@@ -6,10 +6,14 @@ block is searched over all documents.
 
 In a document, windows of exactly an item's number of words are told by 64-bit
 SimHashes of their weighted five-word shingles. Fingerprints within ``RADIUS``
-bits must agree in at least one of RADIUS + 1 bit blocks, so looking the blocks
-up in tables finds all of them. A candidate is verified by the exact weighted
-Jaccard similarity of the two shingle multisets, 0.75 or more. A shingle weighs
-ln(1 + items / items that have it), with 1 where no item does.
+bits differ in at most ``PROBED`` bits in at least one of the bit blocks (if each
+differed in more, the blocks together would in more than RADIUS), so looking up
+all values that near in the blocks' tables finds all of them. So wide a radius
+lets through about half of unlike items as well; what it passes is compared in
+all 64 bits, and then verified by the exact weighted Jaccard similarity of the
+two shingle multisets, 0.75 or more. A shingle weighs ln(1 + items / items that
+have it) over the whole benchmark, however it is cut into blocks, with 1 where
+no item has it.
 
 Only windows that hold a shingle of some item of their size are made, since
 another window has similarity 0 with every item. Of two shingle multisets with
@@ -24,6 +28,8 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +41,7 @@ from tracefold.llm.common import materialise
 
 WIDTH = 5
 RADIUS = 20
+PROBED = 2  # so there are (RADIUS + 1) / (PROBED + 1) bit blocks
 THRESHOLD = 0.75
 BLOCK_ITEMS = 20_000
 SCHEMA = "doc_id long, item_id long, similarity double, first_word long, n_words long"
@@ -50,31 +57,40 @@ def _fingerprints(sums: np.ndarray) -> np.ndarray:
     return ((sums > 0).astype(np.uint64) << _BITS).sum(axis=1, dtype=np.uint64)
 
 
-def bit_blocks(radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 bit blocks that make up 64 bits."""
-    edges = np.linspace(0, 64, radius + 2).astype(int)
+def bit_blocks(radius: int = RADIUS, probed: int = PROBED) -> list[tuple[int, int]]:
+    """(shift, width) of bit blocks that make up 64 bits, so many that ``probed`` more bits in each exceed the radius."""
+    edges = np.linspace(0, 64, -(-(radius + 1) // (probed + 1)) + 1).astype(int)
     return [(int(a), int(b - a)) for a, b in zip(edges, edges[1:])]
 
 
+@lru_cache(maxsize=4)
+def _flips(width: int, probed: int = PROBED) -> tuple[int, ...]:
+    """What to xor a block's value with to get all values within ``probed`` bits."""
+    return tuple(sum(1 << b for b in some) for n in range(probed + 1) for some in combinations(range(width), n))
+
+
+def item_shingles(items: list[tuple[int, str]]) -> list[tuple[int, int, np.ndarray]]:
+    """(item, words, shingles) of the items that have words."""
+    out = []
+    if items:
+        for _, _, raw, offsets in words.text_blocks(pa.array([t or "" for _, t in items], pa.string()), 1 << 62):
+            h, first = words.word_hashes(raw, offsets)
+            out += [(item, int(b - a), words.shingle_hashes(h[a:b], min(WIDTH, int(b - a)))) for (item, _), a, b in zip(items, first, first[1:]) if b > a]
+    return out
+
+
 class Index:
     """Items of one block: shingles, weights, fingerprints by size and bit block."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids: list[int] = []
-        self.shingles: list[np.ndarray] = []
-        self.sizes: list[int] = []
-        if items:
-            for _, _, raw, offsets in words.text_blocks(pa.array([t or "" for _, t in items], pa.string()), 1 << 62):
-                h, first = words.word_hashes(raw, offsets)
-                for (item_id, _), a, b in zip(items, first, first[1:]):
-                    if b > a:
-                        self.ids.append(item_id)
-                        self.sizes.append(int(b - a))
-                        self.shingles.append(words.shingle_hashes(h[a:b], min(WIDTH, int(b - a))))
-        df = Counter(x for s in self.shingles for x in set(s.tolist()))
-        self.known = np.array(sorted(df), dtype=np.uint64)
-        n = len(self.ids)
-        self.weights = np.log(1 + n / np.array([df[x] for x in self.known.tolist()], dtype=np.float64))
+    def __init__(self, items: list[tuple[int, str]], frequency: dict[int, int] | None = None, total: int | None = None):
+        """frequency: in how many of all ``total`` items each shingle is; without it these are all items."""
+        own = item_shingles(items)
+        self.ids, self.sizes, self.shingles = [x for x, _, _ in own], [n for _, n, _ in own], [s for _, _, s in own]
+        df = Counter(x for s in self.shingles for x in set(s.tolist())) if frequency is None else frequency
+        self.known = np.array(sorted({x for s in self.shingles for x in s.tolist()}), dtype=np.uint64)
+        self.total = len(own) if total is None else total
+        n = len(own)
+        self.weights = np.log(1 + self.total / np.array([df[x] for x in self.known.tolist()], dtype=np.float64))
         self.bags = [Counter(s.tolist()) for s in self.shingles]
         self.marks = np.zeros(1 << _MARK_BITS, dtype=bool)
         self.marks[(self.known >> np.uint64(64 - _MARK_BITS)).astype(np.int64)] = True
@@ -92,13 +108,15 @@ class Index:
 
     def weight(self, shingles: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, shingles), max(0, len(self.known) - 1))
-        return np.where(self.known[at] == shingles, self.weights[at], np.log(1 + len(self.ids)))
+        return np.where(self.known[at] == shingles, self.weights[at], np.log(1 + self.total))
 
     def near(self, size: int, fingerprint: int) -> set[int]:
         """All items of ``size`` words whose fingerprint differs in at most RADIUS bits."""
         found: set[int] = set()
         for table, (shift, width) in zip(self.tables[size], bit_blocks()):
-            found.update(table.get((fingerprint >> shift) & ((1 << width) - 1), ()))
+            value = (fingerprint >> shift) & ((1 << width) - 1)
+            for flip in _flips(width):
+                found.update(table.get(value ^ flip, ()))
         return {k for k in found if (int(self.prints[k]) ^ fingerprint).bit_count() <= RADIUS}
 
     def similarity(self, k: int, window: np.ndarray, weights: np.ndarray) -> float:
@@ -167,15 +185,29 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def _frequency_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each item's distinct shingles, and a null for the item."""
+    for batch in batches:
+        found = item_shingles(list(zip(batch["item_id"].to_pylist(), batch["text"].to_pylist())))
+        rows = np.concatenate([np.unique(s) for _, _, s in found]) if found else np.zeros(0, dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(rows.view(np.int64)), pa.nulls(len(found), pa.int64())])], ["shingle"])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words of each benchmark item found in a document (its best window)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     blocks = max(1, -(-items.count() // block_items))
+    if blocks == 1:
+        return _search(docs, Index(sorted(((r[0], r[1]) for r in items.collect()), key=str)))
+    frequency, _ = materialise(items.mapInArrow(_frequency_rows, "shingle long").groupBy("shingle").count(), "item-shingles")
+    total = frequency.where("shingle is null").agg(F.sum("count")).first()[0] or 0
     out = None
     for k in range(blocks):
         # blocks by hash: each is about block_items long, and all together are every item
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        found = _search(docs, Index(sorted(((r[0], r[1]) for r in some.collect()), key=str)))
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        own = frequency.join(some.mapInArrow(_frequency_rows, "shingle long").distinct(), "shingle", "left_semi").collect()  # those of a block
+        index = Index(sorted(((r[0], r[1]) for r in some.collect()), key=str), {x & (1 << 64) - 1: n for x, n in own}, total)
+        found = _search(docs, index)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -7,8 +7,8 @@ by a unigram model over such words, so the model's probability of a text is
 exact: that of its symbol sequence (scaled forward recursion over the whole
 text) times that of each such word among them, (c + 1) / (N + V + 1).
 
-Training: a few local iterations on at most ``START_DOCS`` documents give a
-starting point; then ``ROUNDS`` Baum-Welch rounds over all training documents.
+Training: a few local iterations on about ``START_DOCS`` different documents (twice
+as many at most, drawn by hash) give a starting point; then ``ROUNDS`` Baum-Welch rounds over all training documents.
 Every task runs forward-backward over its documents and puts out expected counts,
 which Spark sums over the partitions by symbol.
 
@@ -25,6 +25,7 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +37,11 @@ from pyspark.sql import functions as F
 from tracefold.llm import words
 from tracefold.llm.common import materialise, release
 
+_log = logging.getLogger(__name__)
+
 STATES = 8
 VOCABULARY = 65_000
-ROUNDS = 2
+ROUNDS = 3
 START_DOCS = 600
 START_ROUNDS = 6
 HELD_OUT = (7, 2)
@@ -100,13 +103,14 @@ def forward(model: Model, docs: list[np.ndarray], keep: bool = False):
     return (total, ids, live, alphas, scales) if keep else total
 
 
-def expected_counts(model: Model, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts (start, move, emit) over documents of any lengths."""
+def expected_counts(model: Model, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts (start, move, emit) over documents of any lengths, and their ln likelihood."""
     k, symbols = len(model.start), len(model.emit)
-    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((symbols, k))
+    start, move, emit, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((symbols, k)), 0.0
     for some in padded(docs):
         part = [docs[i] for i in some]
-        _, ids, live, alphas, scales = forward(model, part, keep=True)
+        total, ids, live, alphas, scales = forward(model, part, keep=True)
+        likelihood += float(total.sum())
         top, n = ids.shape
         beta = np.ones((n, k))
         gammas = np.zeros_like(alphas)
@@ -122,7 +126,7 @@ def expected_counts(model: Model, docs: list[np.ndarray]) -> tuple[np.ndarray, n
         flat, g = ids.reshape(-1), gammas.reshape(-1, k)
         for j in range(k):
             emit[:, j] += np.bincount(flat, weights=g[:, j], minlength=symbols)
-    return start, move, emit
+    return start, move, emit, likelihood
 
 
 def starting_model(docs: list[np.ndarray], unigram: np.ndarray, states: int = STATES, rounds: int = START_ROUNDS) -> Model:
@@ -152,7 +156,7 @@ def starting_model(docs: list[np.ndarray], unigram: np.ndarray, states: int = ST
             emit[:, j] += np.bincount(d, minlength=symbols)
     model = Model.from_counts(np.ones(states), np.eye(states) * 50 * states + 1, emit)
     for _ in range(rounds if docs else 0):
-        model = Model.from_counts(*expected_counts(model, docs))
+        model = Model.from_counts(*expected_counts(model, docs)[:3])
     return model
 
 
@@ -243,8 +247,11 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype="<u2").astype(np.int64) for x in column.to_pylist()]
 
 
-def baum_welch_round(encoded: DataFrame, model: Model) -> Model:
-    """One round over all training documents: expected counts of every partition, summed by symbol."""
+def baum_welch_round(encoded: DataFrame, model: Model) -> tuple[Model, float]:
+    """One round over all training documents: expected counts of every partition, summed by symbol.
+
+    Also gives the ln likelihood of the training symbols under the model that came in.
+    """
     spark = encoded.sparkSession
     sent = spark.sparkContext.broadcast(model)
     k = len(model.start)
@@ -257,10 +264,10 @@ def baum_welch_round(encoded: DataFrame, model: Model) -> Model:
                 got = expected_counts(sent.value, _sequences(batch.slice(at, 2000).column("symbols")))
                 sums = got if sums is None else tuple(x + y for x, y in zip(sums, got))
         if sums is not None:
-            start, move, emit = sums
+            start, move, emit, likelihood = sums
             used = np.flatnonzero(emit.sum(axis=1))
-            symbol = np.concatenate((used, np.arange(-k, 0), [-k - 1])).astype(np.int32)
-            table = np.concatenate((emit[used], move, start[None, :]))
+            symbol = np.concatenate((used, np.arange(-k, 0), [-k - 1, -k - 2])).astype(np.int32)
+            table = np.concatenate((emit[used], move, start[None, :], np.eye(1, k) * likelihood))
             yield pa.RecordBatch.from_arrays([pa.array(symbol), *(pa.array(np.ascontiguousarray(table[:, j])) for j in range(k))], ["symbol", *(f"c{j}" for j in range(k))])
 
     summed = encoded.where("not held_out").select("symbols").mapInArrow(run, kinds).groupBy("symbol").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(k)]).toPandas()
@@ -271,7 +278,7 @@ def baum_welch_round(encoded: DataFrame, model: Model) -> Model:
     if (symbol == -k - 1).any():
         start = table[symbol == -k - 1][0]
     sent.destroy()
-    return Model.from_counts(start, move, emit)
+    return Model.from_counts(start, move, emit), float(table[symbol == -k - 2].sum())
 
 
 def score_language(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, vocabulary_size: int = VOCABULARY) -> DataFrame:
@@ -291,11 +298,14 @@ def score_language(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS,
     unigram = np.concatenate((freq, [tail_tokens + 1, n_end + 1])).astype(float)
     unigram /= unigram.sum()
     ready = encoded.where("not held_out").select("symbols")
-    start = ready.where(F.pmod(F.xxhash64("symbols"), F.lit(1 << 20)) < max(1, int((1 << 20) * START_DOCS / max(1, n_end, START_DOCS)))).limit(2 * START_DOCS).collect() if n_end else []
+    # different texts, those of least hash among a share of about START_DOCS: the same ones in every run, however many copies a text has
+    drawn = ready.where(F.pmod(F.xxhash64("symbols"), F.lit(1 << 20)) < max(1, int((1 << 20) * START_DOCS / max(1, n_end, START_DOCS))))
+    start = drawn.distinct().orderBy(F.xxhash64("symbols"), "symbols").limit(2 * START_DOCS).collect() if n_end else []
     seqs = sorted((np.frombuffer(r[0], dtype="<u2").astype(np.int64) for r in start), key=lambda d: d.tobytes())
     model = starting_model(seqs, unigram, states)
-    for _ in range(rounds if n_end else 0):
-        model = baum_welch_round(encoded, model)
+    for k in range(rounds if n_end else 0):
+        model, likelihood = baum_welch_round(encoded, model)
+        _log.info("before round %d: log10 likelihood of the training symbols %.6g", k + 1, likelihood / np.log(10))
 
     sent = spark.sparkContext.broadcast((model, np.concatenate((np.log10(freq + 1.0), [0.0, np.log10(n_end + 1.0)])), len(freq)))
 

@@ -6,6 +6,8 @@ characters than letters, digits and non-ASCII characters turned into two spaces,
 with one space before the first word and after the last. So ``W`` below, two
 spaces, stands between words, and a rule can only begin and end at words.
 A rule is tried only on texts that hold its keyword, one of few per family.
+Where a wording leaves room, the room is part of the rule: up to six words in
+``PLAIN``, up to eight before "any later version".
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ VERSIONED = [
     ("odbl", "open  database", ["open database license"], ["1.0"]),
     ("odc-by", "open  data  commons", ["open data commons attribution license"], ["1.0"]),
     ("ncsa", "illinois", ["university of illinois ncsa open source license"], ["1.0"]),
-    ("psf", "python", ["python software foundation license", "psf license agreement"], ["1", "2"]),
+    ("psf", "python", ["python software foundation license"], ["1", "2"]),
+    ("psf", "psf  license", ["psf license agreement"], ["1", "2"]),
     ("ecl", "educational  community", ["educational community license"], ["1.0", "2.0"]),
     ("busl", "business  source", ["business source license"], ["1.0", "1.1"]),
     ("sspl", "server  side", ["server side public license"], ["1", "1.0"]),
