@@ -8,6 +8,7 @@ Arrow pass over the samples, so chained filters cross to Python once.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -171,8 +172,10 @@ def fft_lengths() -> tuple[int, ...]:
 
 
 def fft_length(least: int) -> int:
-    """Smallest such length for a complex transform, clamped at the largest."""
-    return next((n for n in fft_lengths() if n >= least), fft_lengths()[-1])
+    """Smallest such length for a complex transform; there is none above 720720."""
+    if least > fft_lengths()[-1]:
+        raise ValueError(f"no transform length holds {least} samples; the longest is {fft_lengths()[-1]}")
+    return fft_lengths()[bisect_left(fft_lengths(), least)]
 
 
 def real_fft_length(least: int) -> int:
@@ -285,17 +288,31 @@ def minimum_phase(noise: float = 1e-9) -> Kernel:
 
 
 def gaussian_smooth(half_width: int) -> Kernel:
-    """Gaussian mean over samples; the weight is one half at ``half_width`` / 2 samples; renormalised at the ends."""
+    """Gaussian mean over samples; the weight is one half at ``half_width`` / 2 samples; renormalised at the ends.
+
+    Weights under 1e-40 are left out, so a trace of n samples takes n times the width, not n * n.
+    """
+    width = max(1, half_width)
+    reach = math.ceil(width * 6)
+    weights = np.exp(-np.log(2) * (2 * np.arange(-reach, reach + 1) / width) ** 2)
 
     def run(x: np.ndarray, dt: float) -> np.ndarray:
-        n = x.shape[1]
-        d = np.subtract.outer(np.arange(n), np.arange(n))
-        w = np.exp(-np.log(2) * (2 * d / max(1, half_width)) ** 2)
-        return x @ (w / w.sum(axis=1, keepdims=True)).T
+        return _banded(x, weights, reach) / _banded(np.ones((1, x.shape[1])), weights, reach)
 
     return run
 
 
+def _banded(x: np.ndarray, weights: np.ndarray, before: int) -> np.ndarray:
+    """Sums over neighbours: weights[j] is that of the sample j - before places on; outside are zeros."""
+    n = x.shape[1]
+    out = np.zeros(x.shape)
+    for j, w in enumerate(weights):
+        k = j - before
+        if abs(k) < n:
+            out[:, max(0, -k) : n - max(0, k)] += w * x[:, max(0, k) : n - max(0, -k)]
+    return out
+
+
 def savitzky_golay(left: int, right: int, derivative: int = 0, degree: int = 2) -> Kernel:
     """Local polynomial fit over left + 1 + right samples; the ends use the samples there are."""
     k = np.arange(-left, right + 1)
@@ -313,9 +330,14 @@ def resample(n_out: int, dt_out: float, taps: int = 8) -> Kernel:
 
     def run(x: np.ndarray, dt: float) -> np.ndarray:
         place = np.arange(n_out) * dt_out / dt
-        d = place[:, None] - np.arange(x.shape[1])[None, :]
-        w = np.where(np.abs(d) < taps / 2, np.sinc(d) * np.cos(np.pi * d / taps) ** 2, 0.0)
-        return x @ w.T
+        first = np.floor(place).astype(np.int64) - taps // 2
+        out = np.zeros((len(x), n_out))
+        for j in range(taps + 2):
+            at = first + j
+            d = place - at
+            inside = (np.abs(d) < taps / 2) & (at >= 0) & (at < x.shape[1])
+            out[:, inside] += x[:, at[inside]] * (np.sinc(d) * np.cos(np.pi * d / taps) ** 2)[inside]
+        return out
 
     return run
 
@@ -324,9 +346,10 @@ def time_shift(seconds: float, taps: int = 8) -> Kernel:
     """Fractional time shift by tapered sinc interpolation; zero comes in."""
 
     def run(x: np.ndarray, dt: float) -> np.ndarray:
-        n = x.shape[1]
-        d = (np.arange(n) - seconds / dt)[:, None] - np.arange(n)[None, :]
-        return x @ np.where(np.abs(d) < taps / 2, np.sinc(d) * np.cos(np.pi * d / taps) ** 2, 0.0).T
+        places = seconds / dt
+        k = np.arange(math.ceil(-places - taps / 2), math.floor(-places + taps / 2) + 1)
+        d = -places - k
+        return _banded(x, np.where(np.abs(d) < taps / 2, np.sinc(d) * np.cos(np.pi * d / taps) ** 2, 0.0), -int(k[0]))
 
     return run
 

@@ -7,7 +7,6 @@ traces, label is the ensemble, the vector holds the samples.
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,23 +35,6 @@ def query(sql: str | None = None):
     return add
 
 
-def query_and_part(part: str, sql: str):
-    """Register f, every sample, as NAME_whole, and the rows of ``part`` alone, which sql holds as its filter, as NAME."""
-
-    def add(f):
-        def run(spark, sf_dir):
-            return f(spark, sf_dir).where(part)
-
-        whole, n = re.subn(rf"\s+WHERE (?:\w\.)?{re.escape(part)}", "", sql)
-        assert n == 1, f.__name__
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        query(sql)(run)
-        f.__name__ += "_whole"
-        return query(whole)(f)
-
-    return add
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -118,34 +100,68 @@ def bandpass_rms(spark, sf_dir):
     return out.select(F.col("trace_id"), F.col("ensemble_number"), F.round(A.rms("data"), 6).alias("rms"), F.round(A.abs_max("data"), 6).alias("peak"))
 
 
-def _kernel_query(name: str, *ks: kernels.Kernel) -> None:
+def _kernel_query(name: str, *ks: kernels.Kernel, sql: str | None = None) -> None:
     def run(spark, sf_dir):
-        out = kernels.apply_kernels(traces(spark, sf_dir), *ks)
+        out = kernels.apply_kernels(traces(spark, sf_dir).withColumn("data", F.col("data").cast("array<double>")), *ks)
         return out.select("trace_id", F.round(A.rms("data"), 6).alias("rms"), F.round(F.get("data", F.lit(31)).cast("double"), 5).alias("middle"))
 
     run.__name__ = name
-    query()(run)
-
-
-_kernel_query("polygonal_filter", kernels.frequency_filter())
-_kernel_query("time_varying_bandpass", kernels.time_varying_bandpass([0.05, 0.2], [[5, 10, 60, 80], [5, 10, 30, 40]]))
-_kernel_query("half_integral", kernels.fractional(-0.5))
-_kernel_query("phase_rotation", kernels.phase_change(90.0))
-_kernel_query("minimum_phase", kernels.minimum_phase())
+    query(sql)(run)
+
+
+#: From the filtered samples y (vec_id, it, v).
+_SUMMARY = "SELECT vec_id AS trace_id, round(sqrt(avg(v * v)), 6) AS rms, round(max(CASE WHEN it = 31 THEN v END), 5) AS middle FROM y GROUP BY vec_id"
+
+
+def _weighted(weight: str) -> str:
+    """A kernel that is a sum of samples; weight: of sample j in output it."""
+    return f"WITH {S}, i AS (SELECT unnest(range(64)) AS it), y AS (SELECT s.vec_id, i.it, sum(s.v * {weight}) AS v FROM s, (SELECT it AS j FROM i) j, i WHERE s.it = j.j GROUP BY ALL) {_SUMMARY}"
+
+
+def _spectral(re: str, im: str, gates: str = "(VALUES (0, 0, 0, 0, 0))", share: str = "1") -> str:
+    """A kernel on the spectrum of 66 places; re, im: the new spectrum of a, b at frequency f; share: what a gate g, of corners c0 to c3, gets at time t."""
+    return f"""
+WITH {S}, k AS (SELECT k, k / (66 * 0.004) AS f FROM (SELECT unnest(range(34)) AS k)), g(g, c0, c1, c2, c3) AS {gates},
+c AS (SELECT vec_id, k, f, sum(v * cos(2 * pi() * k * it / 66)) AS a, sum(v * sin(2 * pi() * k * it / 66)) AS b FROM s, k GROUP BY ALL),
+d AS (SELECT vec_id, g, k, {re} AS a, {im} AS b FROM c, g),
+i AS (SELECT it, it * 0.004 AS t FROM (SELECT unnest(range(64)) AS it)),
+y AS (SELECT vec_id, it, sum({share} * CASE WHEN k IN (0, 33) THEN 1 ELSE 2 END * (d.a * cos(2 * pi() * k * it / 66) + d.b * sin(2 * pi() * k * it / 66))) / 66 AS v FROM d, i GROUP BY ALL) {_SUMMARY}"""
+
+
+_BAND = "CASE WHEN f <= c0 OR f >= c3 THEN 0 WHEN f < c1 THEN pow(sin(0.5 * pi() * (f - c0) / (c1 - c0)), 2) WHEN f > c2 THEN pow(sin(0.5 * pi() * (c3 - f) / (c3 - c2)), 2) ELSE 1 END"
+_ROOT = "CASE WHEN k = 0 THEN 0 ELSE 1 / sqrt(2 * pi() * f) END * sqrt(0.5)"
+_FADE = "CASE g WHEN 0 THEN 1 - greatest(0, least(1, (t - 0.05) / 0.15)) ELSE greatest(0, least(1, (t - 0.05) / 0.15)) END"
+_GAUSS = "exp(-ln(2) * pow(2 * (i.it - j) / 5.0, 2)) / (SELECT sum(exp(-ln(2) * pow(2 * (i.it - m) / 5.0, 2))) FROM (SELECT unnest(range(64)) AS m))"
+_SHIFT = "CASE WHEN abs(i.it - 0.325 - j) < 4 THEN sin(pi() * (i.it - 0.325 - j)) / (pi() * (i.it - 0.325 - j)) * pow(cos(pi() * (i.it - 0.325 - j) / 8), 2) ELSE 0 END"
+_SAVITZKY = f"""
+WITH {S}, w(k, c) AS (VALUES (-3, -2), (-2, 3), (-1, 6), (0, 7), (1, 6), (2, 3), (3, -2)), i AS (SELECT unnest(range(64)) AS it),
+y AS (SELECT s.vec_id, i.it, sum(s.v * w.c) / 21 AS v FROM i, w, s WHERE s.it = greatest(0, least(63, i.it + w.k)) GROUP BY ALL) {_SUMMARY}"""
+
+_kernel_query("polygonal_filter", kernels.frequency_filter(), sql=_spectral(f"a * {_BAND}", f"b * {_BAND}", "(VALUES (0, 12.5, 18.75, 56.25, 62.5))"))
+_kernel_query("time_varying_bandpass", kernels.time_varying_bandpass([0.05, 0.2], [[5, 10, 60, 80], [5, 10, 30, 40]]), sql=_spectral(f"a * {_BAND}", f"b * {_BAND}", "(VALUES (0, 5, 10, 60, 80), (1, 5, 10, 30, 40))", _FADE))
+_kernel_query("half_integral", kernels.fractional(-0.5), sql=_spectral(f"(a - b) * {_ROOT}", f"(a + b) * {_ROOT}"))
+_kernel_query("phase_rotation", kernels.phase_change(90.0), sql=_spectral("-b", "a"))
+_kernel_query("minimum_phase", kernels.minimum_phase(), sql=f"""
+WITH {S}, k AS (SELECT unnest(range(130)) AS k), turn AS (SELECT x.k AS m, cos(2 * pi() * x.k / 130) AS c, sin(2 * pi() * x.k / 130) AS s FROM k x),
+amp AS (SELECT vec_id, k, sqrt(pow(sum(v * c), 2) + pow(sum(v * turn.s), 2)) AS a FROM s, k, turn WHERE m = (k * it) % 130 GROUP BY ALL),
+lg AS (SELECT vec_id, k, ln(a + 1e-9 * max(a) OVER (PARTITION BY vec_id)) AS l FROM amp),
+cep AS (SELECT vec_id, n.k AS n, sum(l * c) / 130 * CASE WHEN n.k IN (0, 65) THEN 1 ELSE 2 END AS q FROM lg, k n, turn WHERE m = (lg.k * n.k) % 130 AND n.k <= 65 GROUP BY vec_id, n.k),
+ph AS (SELECT vec_id, k.k, sum(q * c) AS re, -sum(q * turn.s) AS im FROM cep, k, turn WHERE m = (k.k * n) % 130 GROUP BY ALL),
+y AS (SELECT vec_id, t.k AS it, sum(exp(re) * (cos(im) * c - sin(im) * turn.s)) / 130 AS v FROM ph, k t, turn WHERE m = (ph.k * t.k) % 130 AND t.k < 64 GROUP BY vec_id, t.k) {_SUMMARY}""")
 _kernel_query("antialias", kernels.antialias(0.5))
-_kernel_query("gaussian_smoothing", kernels.gaussian_smooth(5))
-_kernel_query("savitzky_golay", kernels.savitzky_golay(3, 3))
-_kernel_query("fractional_shift", kernels.time_shift(0.0013))
-_kernel_query("hartley_transform", kernels.hartley())
+_kernel_query("gaussian_smoothing", kernels.gaussian_smooth(5), sql=_weighted("w.c").replace("i AS (SELECT unnest(range(64)) AS it),", f"i AS (SELECT unnest(range(64)) AS it), w AS (SELECT i.it, j, {_GAUSS} AS c FROM i, (SELECT it AS j FROM i)),").replace(", i WHERE s.it = j.j", ", i, w WHERE s.it = j.j AND w.j = s.it AND w.it = i.it"))
+_kernel_query("savitzky_golay", kernels.savitzky_golay(3, 3), sql=_SAVITZKY)
+_kernel_query("fractional_shift", kernels.time_shift(0.0013), sql=_weighted(_SHIFT))
+_kernel_query("hartley_transform", kernels.hartley(), sql=_weighted("(cos(2 * pi() * ((i.it * j) % 64) / 64) + sin(2 * pi() * ((i.it * j) % 64) / 64))"))
 _kernel_query("fused_filters", kernels.bandpass_kernel(), kernels.gaussian_smooth(3), kernels.time_shift(0.002))
 
 
-@query_and_part("it % 16 = 15", f"""
+@query(f"""
 WITH RECURSIVE {S}, f AS (
   SELECT vec_id, it, v, (v * 0.2) AS y FROM s WHERE it = 0
   UNION ALL SELECT s.vec_id, s.it, s.v, 0.2 * (s.v + f.v) + 0.6 * f.y FROM f JOIN s ON s.vec_id = f.vec_id AND s.it = f.it + 1
 )
-SELECT vec_id, it, round(y, 4) AS v FROM f WHERE it % 16 = 15""")
+SELECT vec_id, it, round(y, 4) AS v FROM f""")
 def one_pole_lowpass(spark, sf_dir):
     """First-order section of the recursive low-pass with coefficient 0.2."""
     f3db = math.atan(0.25) / math.pi  # the bilinear frequency whose section is 0.2 (1 + z) / (1 - 0.6 z)
@@ -170,16 +186,16 @@ def differentiate(spark, sf_dir):
     return sampled(traces(spark, sf_dir).withColumn("data", A.differentiate(F.col("data").cast("array<double>"), 0.004)), digits=4)
 
 
-@query_and_part("it % 8 = 3", f"""
+@query(f"""
 WITH {S}, h AS (SELECT k, (0.54 + 0.46 * cos(pi() * k / 30.0)) * CASE WHEN k % 2 <> 0 THEN 2 / (pi() * k) ELSE 0 END AS c FROM (SELECT unnest(range(-30, 31)) AS k) WHERE k <> 0 AND k % 2 <> 0)
-SELECT a.vec_id, a.it, round(sum(b.v * h.c), 5) AS v FROM s a JOIN h ON true JOIN s b ON b.vec_id = a.vec_id AND b.it = a.it - h.k WHERE a.it % 8 = 3 GROUP BY ALL""")
+SELECT a.vec_id, a.it, round(sum(b.v * h.c), 5) AS v FROM s a JOIN h ON true JOIN s b ON b.vec_id = a.vec_id AND b.it = a.it - h.k GROUP BY ALL""")
 def hilbert_transform(spark, sf_dir):
     return sampled(traces(spark, sf_dir).withColumn("data", A.hilbert("data", n=64).cast("array<double>")), digits=5)
 
 
-@query_and_part("it % 8 = 0", f"""
+@query(f"""
 WITH {S}, w AS (SELECT k, exp(-x) * (1 - 2 * x) AS c FROM (SELECT k, pow(pi() * 25 * (k * 0.004 - 1 / 25.0), 2) AS x FROM (SELECT unnest(range(21)) AS k)))
-SELECT a.vec_id, a.it, round(sum(b.v * w.c), 5) AS v FROM s a JOIN w ON true JOIN s b ON b.vec_id = a.vec_id AND b.it = a.it - w.k WHERE a.it % 8 = 0 GROUP BY ALL""")
+SELECT a.vec_id, a.it, round(sum(b.v * w.c), 5) AS v FROM s a JOIN w ON true JOIN s b ON b.vec_id = a.vec_id AND b.it = a.it - w.k GROUP BY ALL""")
 def convolve_ricker(spark, sf_dir):
     wavelet = A.ricker(21, 0.004, 25.0)
     return sampled(traces(spark, sf_dir).withColumn("data", A.convolve(wavelet, 0, "data", 0, 64, 0)), digits=5)
@@ -196,9 +212,9 @@ def correlate_pilot(spark, sf_dir):
     return both.select(F.col("seq").alias("vec_id"), F.posexplode(A.correlate("pilot", 0, "data", 0, 17, -8)).alias("i", "v")).select("vec_id", (F.col("i") - 8).cast("long").alias("lag"), F.round("v", 5).alias("v"))
 
 
-@query_and_part("k % 4 = 0", f"""
+@query(f"""
 WITH {S}, k AS (SELECT unnest(range(33)) AS k)
-SELECT vec_id, k, round(sqrt(pow(sum(v * cos(2 * pi() * ((it * k) % 64) / 64)), 2) + pow(sum(v * sin(2 * pi() * ((it * k) % 64) / 64)), 2)), 4) AS amp FROM s, k WHERE k % 4 = 0 GROUP BY ALL""")
+SELECT vec_id, k, round(sqrt(pow(sum(v * cos(2 * pi() * ((it * k) % 64) / 64)), 2) + pow(sum(v * sin(2 * pi() * ((it * k) % 64) / 64)), 2)), 4) AS amp FROM s, k GROUP BY ALL""")
 def dft_amplitude(spark, sf_dir):
     out = traces(spark, sf_dir).select(F.col("seq").alias("vec_id"), F.posexplode(A.amplitude(A.dft("data"))).alias("k", "amp"))
     return out.select("vec_id", F.col("k").cast("long").alias("k"), F.round("amp", 4).alias("amp"))
@@ -237,20 +253,18 @@ def wavelets(spark, sf_dir):
 _MIRROR = "SELECT vec_id, label, it, v, row_number() OVER (PARTITION BY label, it ORDER BY vec_id) AS r, count(*) OVER (PARTITION BY label, it) AS n FROM s"
 
 
-@query_and_part("it % 8 = 0", f"""
+@query(f"""
 WITH {S}, o AS ({_MIRROR}), w(k, c) AS (VALUES (-2, 0.6), (-1, 1.0), (0, 1.0), (1, 1.0), (2, 0.6))
 SELECT o.vec_id, o.it, round(sum(b.v * w.c) / 5, 5) AS v FROM o JOIN w ON true
-JOIN o b ON b.label = o.label AND b.it = o.it AND b.r = CASE WHEN o.r + w.k BETWEEN 1 AND o.n THEN o.r + w.k WHEN o.r - w.k BETWEEN 1 AND o.n THEN o.r - w.k ELSE o.r END
-WHERE o.it % 8 = 0 GROUP BY ALL""")
+JOIN o b ON b.label = o.label AND b.it = o.it AND b.r = CASE WHEN o.r + w.k BETWEEN 1 AND o.n THEN o.r + w.k WHEN o.r - w.k BETWEEN 1 AND o.n THEN o.r - w.k ELSE o.r END GROUP BY ALL""")
 def trace_mix5(spark, sf_dir):
     return sampled(cross.mix(traces(spark, sf_dir).withColumn("data", F.col("data").cast("array<double>")), ["ensemble_number"]), digits=5)
 
 
-@query_and_part("it % 8 = 0", f"""
+@query(f"""
 WITH {S}, o AS ({_MIRROR}), w(k) AS (VALUES (-2), (-1), (0), (1), (2))
 SELECT o.vec_id, o.it, round(median(b.v), 5) AS v FROM o JOIN w ON true
-JOIN o b ON b.label = o.label AND b.it = o.it AND b.r = CASE WHEN o.r + w.k BETWEEN 1 AND o.n THEN o.r + w.k WHEN o.r - w.k BETWEEN 1 AND o.n THEN o.r - w.k ELSE o.r END
-WHERE o.it % 8 = 0 GROUP BY o.vec_id, o.it""")
+JOIN o b ON b.label = o.label AND b.it = o.it AND b.r = CASE WHEN o.r + w.k BETWEEN 1 AND o.n THEN o.r + w.k WHEN o.r - w.k BETWEEN 1 AND o.n THEN o.r - w.k ELSE o.r END GROUP BY o.vec_id, o.it""")
 def trace_median5(spark, sf_dir):
     return sampled(cross.median(traces(spark, sf_dir), ["ensemble_number"]), digits=5)
 

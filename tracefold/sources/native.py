@@ -7,18 +7,21 @@ are listed in ``FIELDS``; the last 12 bytes are padding and a stored pointer, 0.
 The reader makes one partition for each stretch of records. Files of one sample
 count are cut by arithmetic; ragged files by one pass over the headers that
 skips the samples. ``headerOnly`` leaves the samples out. ``df.write.format("tracefile")``
-writes one part file a partition in the given folder; :func:`write_file`
-writes a single ordered file.
+writes one part file a partition in the given folder, on any file system that
+``pyarrow.fs`` knows; appended parts follow those before, overwriting replaces
+them. :func:`write_file` writes a single ordered file.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -61,10 +64,23 @@ def read_header(f) -> bytes:
     return raw
 
 
+def store_of(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if "://" in path or path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), os.path.abspath(path)
+
+
+def part_files(store: pafs.FileSystem, root: str) -> list[str]:
+    found = store.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return sorted(x.path for x in found if x.is_file and x.base_name.endswith(".trc"))
+
+
 def file_index(path: str, chunk: int) -> list[tuple[int, int, int]]:
     """(first trace, traces, byte offset) of stretches of about ``chunk`` records."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
+    store, name = store_of(path)
+    size = store.get_file_info(name).size
+    with store.open_input_file(name) as f:
         first = f.read(4)
         if len(first) != 4:
             raise OSError("trace count is cut off")
@@ -99,9 +115,11 @@ class _Reader(DataSourceReader):
         self.with_data = str(options.get("headerOnly", "false")).lower() != "true"
 
     def _files(self) -> list[str]:
-        if os.path.isdir(self.path):
-            return sorted(os.path.join(self.path, n) for n in os.listdir(self.path) if n.endswith(".trc"))
-        return [self.path]
+        store, root = store_of(self.path)
+        if store.get_file_info(root).type != pafs.FileType.Directory:
+            return [self.path]
+        head = self.path.rstrip("/")
+        return [f"{head}/{os.path.basename(n)}" for n in part_files(store, root)]
 
     def partitions(self):
         out, before = [], 0
@@ -111,8 +129,11 @@ class _Reader(DataSourceReader):
             before += sum(n for _, n, _ in index)
         return out
 
-    def read(self, partition: _Stretch) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+    def read(self, partition: _Stretch | None) -> Iterator[tuple]:
+        if partition is None:  # no files, or none with traces
+            return
+        store, name = store_of(partition.path)
+        with store.open_input_file(name) as f:
             f.seek(partition.at)
             for k in range(partition.count):
                 raw = read_header(f)
@@ -123,7 +144,7 @@ class _Reader(DataSourceReader):
                         raise OSError("trace samples are cut off")
                     yield decode(raw, partition.first + k, True, np.frombuffer(body, dtype="=f4"))
                 else:
-                    f.seek(4 * n, os.SEEK_CUR)
+                    f.seek(f.tell() + 4 * n)
                     yield decode(raw, partition.first + k, False)
 
 
@@ -133,34 +154,53 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
+    """Part files under names of this job alone, visible once it commits; overwriting removes the parts that were there before."""
+
     def __init__(self, options: dict, overwrite: bool):
-        self.path = options["path"]
+        self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
+        store, root = store_of(self.path)
+        store.create_dir(root, recursive=True)
+        # parts sort in the order they were written in: appended ones come last
+        have = [os.path.basename(n) for n in part_files(store, root)]
+        self.number = 0 if overwrite or not have else 1 + max(int(n.split("-")[1]) if n.split("-")[1].isdigit() else 0 for n in have)
 
     def write(self, rows) -> _Written:
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
+        store, root = store_of(self.path)
         part = TaskContext.get().partitionId()
-        temp = os.path.join(self.path, f".{uuid.uuid4().hex}.tmp")
-        count = 0
-        with open(temp, "wb") as f:
-            f.write(b"\0\0\0\0")
+        temp = f"{root}/.{uuid.uuid4().hex}.tmp"
+        body, count = io.BytesIO(), 0
+        with store.open_output_stream(f"{temp}.body") as f:
             for row in rows:
-                f.write(encode(row))
+                body.write(encode(row))
                 count += 1
-            f.seek(0)
+                if body.tell() > 1 << 22:
+                    f.write(body.getvalue())
+                    body = io.BytesIO()
+            f.write(body.getvalue())
+        # object stores can't go back to the count at the start, so the body is copied behind it
+        with store.open_output_stream(temp) as f, store.open_input_stream(f"{temp}.body") as g:
             f.write(np.array([count], dtype="=i4").tobytes())
-        return _Written(temp, os.path.join(self.path, f"part-{part:06d}.trc"))
+            while piece := g.read(1 << 22):
+                f.write(piece)
+        store.delete_file(f"{temp}.body")
+        return _Written(temp, f"{root}/part-{self.number:06d}-{part:06d}-{self.job}.trc")
 
     def commit(self, messages) -> None:
+        store, root = store_of(self.path)
+        old = part_files(store, root) if self.overwrite else []
         for m in messages:
             if m:
-                os.replace(m.temp, m.final)
+                store.move(m.temp, m.final)
+        for name in old:
+            store.delete_file(name)
 
     def abort(self, messages) -> None:
+        store, _ = store_of(self.path)
         for m in messages:
-            if m and os.path.exists(m.temp):
-                os.remove(m.temp)
+            if m and store.get_file_info(m.temp).type == pafs.FileType.File:
+                store.delete_file(m.temp)
 
 
 class TraceFile(DataSource):
