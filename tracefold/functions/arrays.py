@@ -215,6 +215,21 @@ def extrapolate(xin, yin, x, mode: int = 1) -> Column:
     return out.otherwise(line).cast("double")
 
 
+def bilinear(grid, x, y, dx: float = 1.0, fx: float = 0.0, dy: float = 1.0, fy: float = 0.0) -> Column:
+    """Bilinear value at (x, y) of an array of rows along y of arrays along x; places outside take the nearest edge."""
+
+    def cell(c, step: float, first: float, n: Column) -> tuple[Column, Column, Column]:
+        at = F.least(F.greatest((_col(c).cast("double") - first) / step, F.lit(0.0)), (n - 1).cast("double"))
+        low = F.least(F.floor(at).cast("int"), F.greatest(n - 2, F.lit(0)))
+        return low, F.least(low + 1, n - 1), at - low
+
+    grid = _col(grid)
+    x0, x1, wx = cell(x, dx, fx, F.size(F.get(grid, F.lit(0))))
+    y0, y1, wy = cell(y, dy, fy, F.size(grid))
+    value = lambda j, i: F.get(F.get(grid, j), i).cast("double")
+    return (1 - wy) * ((1 - wx) * value(y0, x0) + wx * value(y0, x1)) + wy * ((1 - wx) * value(y1, x0) + wx * value(y1, x1))
+
+
 def upper_bound(values, x) -> Column:
     """Number of values that are at most x, in a rising array."""
     return F.size(F.filter(_col(values), lambda a: a <= x))
@@ -242,6 +257,17 @@ def ricker(n: int, dt: float, fpeak: float) -> Column:
     return _wavelet(n, dt, f)
 
 
+def distorted_ricker(half: int, dt: float, period: float, ampl: float = 1.0, distort: float = 0.0) -> Column:
+    """Ricker wavelet of 2 * half - 1 samples around its centre; ``distort`` tilts it."""
+
+    def f(k):
+        t = (k - (half - 1)) * F.lit(dt / period)
+        x = t * t * 6.25
+        return ampl * (1 - 2 * x) * F.exp(-x) * (1 - 2 * distort * t)
+
+    return _each(2 * half - 1, f)
+
+
 def akb(n: int, dt: float, fpeak: float) -> Column:
     t0 = 1.8 / fpeak
     return _wavelet(n, dt, lambda t: -60 * (t - t0) * F.exp(-2 * fpeak * fpeak * (t - t0) * (t - t0)))

@@ -450,8 +450,12 @@ def strongest_traces(spark, sf_dir):
 
 
 def queries() -> dict:
+    from tracefold.plans import pointwise  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
+    from tracefold.plans import pointwise  # noqa: F401  registers its SQL
+
     return dict(_SQL)
