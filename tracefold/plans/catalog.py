@@ -69,7 +69,14 @@ def plane_samples(spark, sf_dir):
     return sampled(synthetics.plane(spark), name="trace_id").where("v <> 0")
 
 
-@query()
+@query("""
+WITH p(q, dip) AS (VALUES (0, 0.0), (1, 4.0), (2, 8.0)), hit AS (
+  SELECT i, q, CAST(31 - (15 - i) * dip / 4.0 AS DOUBLE) AS fit, CASE WHEN i IN (3, 27) THEN 6.0 WHEN i IN (4, 26) THEN 3.0 ELSE 1.0 END AS share FROM (SELECT unnest(range(32)) AS i) tr, p WHERE i BETWEEN 3 AND 27
+), part AS (
+  SELECT i, CAST(floor(fit) AS BIGINT) AS it, (1 - (fit - floor(fit))) / pow(share, 3 - q) AS v FROM hit WHERE fit >= 0 AND fit < 63
+  UNION ALL SELECT i, CAST(floor(fit) AS BIGINT) + 1, (fit - floor(fit)) / pow(share, 3 - q) FROM hit WHERE fit >= 0 AND fit < 63
+)
+SELECT i AS trace_id, it, round(sum(v), 6) AS v FROM part GROUP BY ALL HAVING sum(v) <> 0""")
 def plane_tapered(spark, sf_dir):
     return sampled(synthetics.plane(spark, taper=True), name="trace_id").where("v <> 0")
 
@@ -319,32 +326,78 @@ def slant_stack(spark, sf_dir):
     return out.select(F.col("ensemble_number").alias("label"), F.col("ip").cast("long").alias("ip"), F.col("it").cast("long").alias("it"), F.round("v", 4).alias("v"))
 
 
-def _panel_query(name: str, f, *args) -> None:
+def _panel_query(name: str, f, *args, sql: str | None = None) -> None:
     def run(spark, sf_dir):
         out = f(traces(spark, sf_dir), ["ensemble_number"], *args)
         return out.select("trace_id", "ensemble_number", F.round(A.rms("data"), 5).alias("rms"))
 
     run.__name__ = name
-    query()(run)
+    query(sql)(run)
+
 
+#: Spectra (a, b) of the traces at 66 places; x numbers the traces of a panel.
+_SPECTRA = f"""{S}, k AS (SELECT unnest(range(34)) AS k), turn AS (SELECT k, it, cos(2 * pi() * ((k * it) % 66) / 66) AS cs, sin(2 * pi() * ((k * it) % 66) / 66) AS sn FROM k, (SELECT unnest(range(64)) AS it)),
+c AS (SELECT vec_id, label, k, sum(v * cs) AS a, sum(v * sn) AS b FROM s JOIN turn USING (it) GROUP BY ALL)"""
+#: From spectra d (vec_id, label, k, a, b) to the samples y.
+_SAMPLES = "y AS (SELECT vec_id, label, it, sum(CASE WHEN k IN (0, 33) THEN 1 ELSE 2 END * (a * cs + b * sn)) / 66 AS v FROM d JOIN turn USING (k) GROUP BY ALL)"
+_PANEL = "SELECT vec_id AS trace_id, CAST(label AS BIGINT) AS ensemble_number, round(sqrt(avg(v * v)), 5) AS rms FROM y GROUP BY vec_id, label"
 
-_panel_query("dip_filter", cross.filter_dips, [-0.002, -0.001, 0.001, 0.002], [0, 1, 1, 0], 0.004, 1.0)
-_panel_query("radial_k_filter", cross.filter_radial, [0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0])
-_panel_query("separable_k_filter", cross.filter_separable, [0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0], [0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0])
-_panel_query("fractional_k_filter", cross.filter_radial_power, 0.5)
-_panel_query("gaussian_k_filter", cross.filter_gaussian, 1.0, 1.0)
+
+def _wavenumbers(weight: str, scaled: str = "") -> str:
+    """A panel filter; weight: of frequency number k and wavenumber w, both axes padded to a transform length."""
+    return f"""
+WITH {_SPECTRA}, o AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS x FROM embeddings),
+len AS (SELECT 2 * p * q * r * t * u * z AS l FROM (VALUES (1), (2), (4), (8), (16)) a(p), (VALUES (1), (3), (9)) b(q), (VALUES (1), (5)) c(r), (VALUES (1), (7)) d(t), (VALUES (1), (11)) e(u), (VALUES (1), (13)) f(z)),
+n AS (SELECT label, min(l) AS n FROM (SELECT label, count(*) AS nx FROM o GROUP BY label) JOIN len ON l >= nx GROUP BY label),
+m AS (SELECT label, n, m, (CASE WHEN 2 * m < n THEN m ELSE m - n END) / n AS w FROM (SELECT label, n, unnest(range(n)) AS m FROM n)),
+h AS (SELECT o.vec_id, o.label, m, w, n, cos(2 * pi() * ((m * x) % n) / n) AS mc, sin(2 * pi() * ((m * x) % n) / n) AS ms FROM o JOIN m USING (label)),
+f AS (SELECT h.label, k, m, any_value(w) AS w, any_value(n) AS n, sum(a * mc + b * ms) AS a, sum(b * mc - a * ms) AS b FROM c JOIN h USING (vec_id) GROUP BY h.label, k, m),
+g AS (SELECT label, k, m, a * g / n AS a, b * g / n AS b FROM (SELECT *, {weight} AS g FROM f)),
+d AS (SELECT h.vec_id, h.label, k, sum(a * mc - b * ms) AS a, sum(b * mc + a * ms) AS b FROM g JOIN h ON h.label = g.label AND h.m = g.m GROUP BY h.vec_id, h.label, k),
+{_SAMPLES} {scaled or _PANEL}"""
+
+
+_SLOPES = "CASE WHEN {0} <= 0.05 OR {0} >= 0.5 THEN 0 WHEN {0} < 0.1 THEN sin(0.5 * pi() * ({0} - 0.05) / 0.05) WHEN {0} > 0.4 THEN sin(0.5 * pi() * (0.5 - {0}) / 0.1) ELSE 1 END"
+_RADIUS = "sqrt(w * w + pow(k / 66, 2))"
+_LARGEST = """, top AS (SELECT label, max(abs(v)) AS after FROM y GROUP BY label), was AS (SELECT label, max(abs(v)) AS before FROM s GROUP BY label)
+SELECT vec_id AS trace_id, CAST(y.label AS BIGINT) AS ensemble_number, round(sqrt(avg(v * v)) * any_value(before / after), 5) AS rms FROM y JOIN top ON top.label = y.label JOIN was ON was.label = y.label GROUP BY vec_id, y.label"""
+
+_panel_query("dip_filter", cross.filter_dips, [-0.002, -0.001, 0.001, 0.002], [0, 1, 1, 0], 0.004, 1.0, sql=_wavenumbers("greatest(0, least(1, 2 - abs(w * 0.264 / (k + 1e-6)) / 0.001))"))
+_panel_query("radial_k_filter", cross.filter_radial, [0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0], sql=_wavenumbers(_SLOPES.format(_RADIUS)))
+_panel_query("separable_k_filter", cross.filter_separable, [0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0], [0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0], sql=_wavenumbers(f"({_SLOPES.format('abs(w)')}) * ({_SLOPES.format('(k / 66)')})"))
+_panel_query("fractional_k_filter", cross.filter_radial_power, 0.5, sql=_wavenumbers(f"sqrt(2 * pi() * {_RADIUS})"))
+_panel_query("gaussian_k_filter", cross.filter_gaussian, 1.0, 1.0, sql=_wavenumbers("exp(-pow(pi() * w, 2) - pow(pi() * k / 66, 2))", _LARGEST))
 _panel_query("svd_filter", cross.subtract_eigenimages, 2)
-_panel_query("phase_coherence_filter", cross.filter_phase_coherence)
-_panel_query("low_frequency_array", cross.mix_low_frequencies, 0.004)
+_panel_query("phase_coherence_filter", cross.filter_phase_coherence, sql=f"""
+WITH {_SPECTRA}, t AS (SELECT *, lead(a) OVER w AS na, lead(b) OVER w AS nb FROM c WINDOW w AS (PARTITION BY label, k ORDER BY vec_id)),
+d AS (SELECT vec_id, label, k, a, b FROM t WHERE na IS NULL OR k = 33 OR a * na + b * nb >= 0.3 * sqrt((a * a + b * b) * (na * na + nb * nb))),
+{_SAMPLES} {_PANEL}""")
+_panel_query("low_frequency_array", cross.mix_low_frequencies, 0.004, sql=f"""
+WITH {_SPECTRA}, t AS (SELECT *, k / 0.264 AS f FROM c), w(k, half) AS (VALUES (1, 13), (2, 6), (3, 4), (4, 3), (5, 2), (6, 2)),
+u AS (SELECT t.*, avg(a) OVER z AS ma, avg(b) OVER z AS mb FROM t JOIN w USING (k) WINDOW z AS (PARTITION BY label, k ORDER BY vec_id ROWS BETWEEN half PRECEDING AND half FOLLOWING)),
+d AS (SELECT vec_id, label, k, g * ma + (1 - g) * a AS a, g * mb + (1 - g) * b AS b FROM (SELECT *, CASE WHEN f <= 20 THEN 1 ELSE 1 - (f - 20) / 5 END AS g FROM u)
+  UNION ALL SELECT vec_id, label, k, a, b FROM c WHERE k NOT BETWEEN 1 AND 6),
+{_SAMPLES} {_PANEL}""")
 
 
-@query()
+@query("""
+WITH s AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS it, CAST(unnest(embedding) AS FLOAT) AS v FROM embeddings),
+t AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r, count(*) OVER (PARTITION BY label) AS n, CAST(round(-1 * (CASE WHEN vec_id > 500 THEN 0.05 ELSE 0.05::DOUBLE * vec_id / 500.0 END) / 0.004::DOUBLE) AS BIGINT) AS k FROM embeddings),
+i AS (SELECT unnest(range(64)) AS it),
+p AS (SELECT t.vec_id, t.label, r, n, k, i.it, coalesce(s.v, CAST(0 AS FLOAT)) AS v FROM t JOIN i ON true LEFT JOIN s ON s.vec_id = t.vec_id AND s.it = i.it - k),
+m AS (SELECT a.vec_id, a.k, a.it, median(b.v) AS v FROM p a JOIN (VALUES (-2), (-1), (0), (1), (2)) w(q) ON true
+  JOIN p b ON b.label = a.label AND b.it = a.it AND b.r = CASE WHEN a.r + q BETWEEN 1 AND a.n THEN a.r + q WHEN a.r - q BETWEEN 1 AND a.n THEN a.r - q ELSE a.r END GROUP BY a.vec_id, a.k, a.it)
+SELECT s.vec_id AS trace_id, round(sqrt(avg(pow(CAST(CAST(s.v - coalesce(m.v, 0) AS FLOAT) AS DOUBLE), 2))), 5) AS rms FROM s JOIN t USING (vec_id) LEFT JOIN m ON m.vec_id = s.vec_id AND m.it = s.it + t.k GROUP BY s.vec_id""")
 def moveout_median_filter(spark, sf_dir):
     out = cross.moveout_median(traces(spark, sf_dir), ["ensemble_number"], "trace_id", [0.0, 500.0], [0.0, 0.05])
     return out.select("trace_id", F.round(A.rms("data"), 5).alias("rms"))
 
 
-@query()
+@query(f"""
+WITH {_SPECTRA}, o AS (SELECT *, row_number() OVER (PARTITION BY label, k ORDER BY a, vec_id) AS ra, row_number() OVER (PARTITION BY label, k ORDER BY b, vec_id) AS rb, count(*) OVER (PARTITION BY label, k) AS n FROM c),
+q AS (SELECT *, least(floor(n * 15.0 / 100 + 0.5), floor((n - 1) / 2)) AS q FROM o),
+d AS (SELECT label AS vec_id, label, k, avg(a) FILTER (WHERE ra > q AND ra <= n - q) AS a, avg(b) FILTER (WHERE rb > q AND rb <= n - q) AS b FROM q GROUP BY label, k),
+{_SAMPLES} SELECT CAST(label AS BIGINT) AS ensemble_number, round(sqrt(avg(v * v)), 5) AS rms FROM y GROUP BY label""")
 def trimmed_spectrum_stack(spark, sf_dir):
     return cross.trimmed_spectrum_stack(traces(spark, sf_dir), ["ensemble_number"]).select("ensemble_number", F.round(A.rms("data"), 5).alias("rms"))
 
