@@ -278,6 +278,22 @@ def test_near_duplicates(corpus):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (n, c, i == c)
 
 
+def test_near_duplicates_names_of_several_sets(corpus, odd):
+    """With names of a few bits nearly every class is renamed by its full set's digest; the result stays."""
+    rows, df = corpus
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, 3).collect()} == set(brute_components(rows))
+    got = near_dup.near_duplicates(odd, 2).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(ODD))
+
+
+def test_join_groups_with_hot_keys(spark):
+    rows = spark.createDataFrame([(k, 1 if k % 2 else (None if k % 14 == 0 else k)) for k in range(4000)], "x long, k long")
+    groups = spark.createDataFrame([(k, k * 10) for k in range(0, 4000, 3)] + [(1, 10)], "k long, v long")
+    got = [(r.x, r.v) for r in components.join_groups(rows, groups, "k").collect()]
+    want = {k: k * 10 for k in range(0, 4000, 3)} | {1: 10}
+    assert len(got) == 4000 and set(got) == {(r.x, want.get(r.k)) for r in rows.collect()}
+
+
 def test_near_duplicates_odd(odd, none):
     got = near_dup.near_duplicates(odd).collect()
     assert len(got) == len(ODD)

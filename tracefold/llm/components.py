@@ -13,6 +13,28 @@ from pyspark.sql import functions as F
 from tracefold.llm.common import materialise, release
 
 
+#: A key with more rows than this, or than one in 100,000 of them, is hot; so at most 100,000 keys are.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Left join with ``groups``, which has one row a key, without gathering the rows of a hot key.
+
+    The groups of hot keys, at most ``HOT_KEYS``, are broadcast; the other rows are shuffled.
+    Both sides are read several times: give tables, not long plans. Null keys match nothing.
+    """
+    most = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    keys = rows.groupBy(key).count().where(F.col("count") > most).select(F.col(key).alias("hot_key"))
+    if keys.isEmpty():
+        return rows.join(groups, key, "left")
+    is_hot = F.col(key).eqNullSafe(F.col("hot_key"))
+    hot = groups.join(F.broadcast(keys), is_hot, "left_semi")
+    return (
+        rows.join(F.broadcast(keys), is_hot, "left_semi").join(F.broadcast(hot), key, "left")
+        .unionByName(rows.join(F.broadcast(keys), is_hot, "left_anti").join(groups, key, "left"))
+    )
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

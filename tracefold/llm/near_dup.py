@@ -2,7 +2,8 @@
 
 One pass over the texts gives each document's distinct five-word shingles as a
 count, a 64-bit name of the whole set (the class), a signature of 288 minima in
-8 bits each, and 48 band keys of 6 minima. Documents of one class are one node.
+8 bits each, and 48 band keys of 6 minima. Documents of one class are one node. A 128-bit digest of the
+full set goes along: where a name stands for several sets, all but one are renamed.
 Two sets of similarity 0.75 share no band with chance (1 - 0.75**6)**48, which
 is 8e-5; at 0.8 it is 5e-7.
 
@@ -26,7 +27,8 @@ id is kept only if it reaches none; an empty table gives an empty result; furthe
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tracefold.llm import words
 from tracefold.llm.common import materialise, release
-from tracefold.llm.components import connected_components
+from tracefold.llm.components import connected_components, join_groups
 
 BANDS, ROWS = 48, 6
 SIGNATURE = BANDS * ROWS
@@ -66,18 +68,25 @@ def set_name(shingles: np.ndarray) -> int:
     return int(words.mix(total[:1] * np.uint64(3) + total[1:2] * np.uint64(5) + total[2:] * np.uint64(7)).view(np.int64)[0])
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def set_digest(shingles: np.ndarray) -> bytes:
+    """128 bits of the full set (its hashes come sorted), to confirm that sets of one name are equal."""
+    return blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _describe(name_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salt = np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
     for batch in batches:
         for a, b, raw, offsets in words.text_blocks(batch.column("text")):
-            sizes, names, least = [], [], []
+            sizes, names, full, least = [], [], [], []
             for s in words.shingle_sets(raw, offsets):
                 sizes.append(len(s))
                 if len(s):
-                    names.append(set_name(s))
+                    names.append(set_name(s) >> (64 - name_bits))
+                    full.append(set_digest(s))
                     least.append(minima(s))
                 else:
                     names.append(None)
+                    full.append(None)
                     least.append(np.zeros(SIGNATURE, dtype=np.uint32))
             m = np.stack(least)
             keys = words.mix((m.reshape(-1, BANDS, ROWS).astype(np.uint64) * _BAND_MUL).sum(axis=2, dtype=np.uint64) + salt).view(np.int64)
@@ -86,10 +95,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     batch.column("doc_id").slice(a, b - a),
                     pa.array(sizes, pa.int64()),
                     pa.array(names, pa.int64()),
+                    pa.array(full, pa.binary()),
                     pa.array([x.tobytes() for x in m.astype(np.uint8)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, len(m) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1))),
                 ],
-                ["doc_id", "n_shingles", "class", "signature", "bands"],
+                ["doc_id", "n_shingles", "class", "full", "signature", "bands"],
             )
 
 
@@ -155,17 +165,32 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Search:
     """The tables of one run, and the steps that compare candidate pairs of classes."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, name_bits: int):
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.paths: list[str] = []
-        self.rows = self.keep(self.texts.mapInArrow(_describe, "doc_id long, n_shingles long, class long, signature binary, bands array<long>"), "sets")
-        self.classes = self.keep(
-            self.rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("min_doc"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands")),
-            "classes",
-        )
+        self.name_bits, self.renamed = name_bits, None
+        self.rows = self.keep(self.texts.mapInArrow(partial(_describe, name_bits), "doc_id long, n_shingles long, class long, full binary, signature binary, bands array<long>"), "sets")
+        self.classes = self._grouped()
+        several = self.classes.where("least_full <> most_full").select("class", "least_full")
+        if not several.isEmpty():
+            others = self.rows.select("class", "full").join(several, "class").where("full <> least_full").select("class", "full").distinct()
+            self.renamed = self.keep(others.withColumn("to", F.xxhash64("class", "full")), "renamed")
+            self.rows = self.keep(self.settled(self.rows), "sets")
+            self.classes = self._grouped()
         self.checked: DataFrame | None = None
         self.component: DataFrame | None = None
 
+    def _grouped(self) -> DataFrame:
+        firsts = [F.first(c).alias(c) for c in ("signature", "bands")]
+        full = [F.min("full").alias("least_full"), F.max("full").alias("most_full")]
+        return self.keep(self.rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("min_doc"), F.first("n_shingles").alias("n"), *firsts, *full), "classes")
+
+    def settled(self, named: DataFrame) -> DataFrame:
+        """Rows with a class and its full set's digest, under the class's new name where it has one."""
+        if self.renamed is None:
+            return named
+        return named.join(self.renamed, ["class", "full"], "left").select(*[F.coalesce("to", "class").alias("class") if c == "class" else c for c in named.columns])
+
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         out, path = materialise(df, label)
         self.paths.append(path)
@@ -197,8 +222,8 @@ class _Search:
         if not self.repeated:
             return self.texts.join(wanted, "doc_id").select("class", "text")
         ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
-        named = self.texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").mapInArrow(_named, "class long, text string")
-        return named.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
+        named = self.texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").mapInArrow(partial(_named, self.name_bits), "class long, full binary, text string")
+        return self.settled(named).select("class", "text").join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
     def linked(self, pairs: DataFrame) -> None:
         """Verify pairs on full sets, take in the links, and bring the components up to date."""
@@ -223,7 +248,7 @@ class _Search:
         moved, path = connected_components(between)
         self.paths.append(path)
         moved = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
-        old = c.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        old = join_groups(c, moved, "component").select("node", F.coalesce("to", "component").alias("component"))
         new = moved.join(c, "component", "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
         self.component = self.keep(old.unionByName(new), "components")
 
@@ -254,16 +279,21 @@ def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _named(name_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, raw, offsets in words.text_blocks(batch.column("text")):
-            names = [set_name(s) if len(s) else None for s in words.shingle_sets(raw, offsets)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column("text").slice(a, b - a)], ["class", "text"])
+            sets = list(words.shingle_sets(raw, offsets))
+            names = [set_name(s) >> (64 - name_bits) if len(s) else None for s in sets]
+            full = [set_digest(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(full, pa.binary()), batch.column("text").slice(a, b - a)], ["class", "full", "text"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept, one row a row of ``docs``."""
-    run = _Search(docs)
+def near_duplicates(docs: DataFrame, name_bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept, one row a row of ``docs``.
+
+    name_bits: length of a class's name; fewer bits give the same result with more renaming (for tests).
+    """
+    run = _Search(docs, name_bits)
     drawn = [F.min_by("class", F.xxhash64("class", "key", F.lit(k))).alias(f"r{k}") for k in range(3)]
     bands = run.classes.select("class", F.posexplode("bands").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *drawn).where("members > 1")
@@ -303,9 +333,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     run.linked(run.pruned(run.crossing(few.select("a", "b"))))
 
     c = run.component
-    node = run.classes.select("class", "min_doc").join(c.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    node = run.keep(run.classes.select("class", "min_doc").join(c.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class")), "nodes")
     least = node.groupBy("component").agg(F.min("min_doc").alias("component_id"))
-    by_class = node.join(least, "component").select("class", "component_id")
+    by_class = join_groups(node, least, "component").select("class", "component_id")
     out, _ = materialise(
         run.rows.select("doc_id", "n_shingles", "class")
         .join(by_class, "class", "left")
