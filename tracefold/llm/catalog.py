@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import chat, decontaminate, hmm, license_scan, near_dup, packing, quality, token_files, toxicity, wrapper
+from tracefold.llm import chat, decontaminate, fim, hmm, langid, license_scan, near_dup, packing, quality, repair, token_files, toxicity, wrapper
 from tracefold.llm.common import materialise, new_path, read_table
 
 #: A conversation that holds the template's own control strings.
@@ -57,6 +57,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    return repair.with_all(repair.repair_conversations(repair.damage(turns), keep_edits=False).drop("place", "edit", "role", "text"), turns)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(read_table(spark, sf_dir, "documents")))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,9 +78,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_chat_format, op2_token_files, op3_toxicity, op4_license_scan, op5_language_model, op6_near_duplicates, op7_main_text, op8_best_fit_packing, op9_decontamination, op10_quality_rules, pipeline]
+    found = [op1_chat_format, op2_token_files, op3_toxicity, op4_license_scan, op5_language_model, op6_near_duplicates, op7_main_text, op8_best_fit_packing, op9_decontamination, op10_quality_rules, op11_structure_repair, op12_fill_in_middle, op13_language_id, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_format": chat.ORACLE_SQL, "op6_near_duplicates": near_dup.ORACLE_SQL}
+    return {"op1_chat_format": chat.ORACLE_SQL, "op6_near_duplicates": near_dup.ORACLE_SQL, "op11_structure_repair": repair.ORACLE_SQL, "op12_fill_in_middle": fim.ORACLE_SQL}
