@@ -870,3 +870,46 @@ def test_tree_matching():
     size, pairs = dom.match(a, b)
     assert size == 5 and [x.key for x, _ in pairs][1:3] == ["body|", "footer|"]
     assert html.unescape("&amp;") == "&"
+
+
+def test_tree_matching_of_many_children(monkeypatch):
+    """Above LISTED_PAIRS the matching is the same, pair by pair."""
+    from tracefold.llm import dom
+
+    rng = random.Random(9)
+
+    def body(n, names):
+        kids = []
+        for k in range(n):
+            name = rng.choice(names)
+            inner = "".join(f"<div class={rng.choice('xyz')}>t</div>" for _ in range(rng.randint(0, 3)))
+            kids.append(f"<div class={name}>{inner}</div>" if k % 2 else f"<section class={name}>{inner}</section>")
+        return dom.shape(dom.parse(f"<body>{''.join(kids)}</body>"))
+
+    for n, m, names in ((40, 60, "abc"), (1, 30, "ab"), (30, 1, "ab"), (17, 17, "a"), (50, 50, "abcdefghijklmnop")):
+        a, b = body(n, names), body(m, names)
+        monkeypatch.setattr(dom, "LISTED_PAIRS", 1 << 40)
+        size, pairs = dom.match(a, b)
+        monkeypatch.setattr(dom, "LISTED_PAIRS", 0)
+        again, rows = dom.match(a, b)
+        assert again == size == len(pairs) == len(rows)
+        assert [(id(x), id(y)) for x, y in rows] == [(id(x), id(y)) for x, y in pairs]
+    monkeypatch.undo()
+    a, b = body(420, "abcdefgh"), body(400, "abcdefgh")
+    monkeypatch.setattr(dom, "LISTED_PAIRS", 1 << 40)
+    size = dom.match(a, b)[0]
+    monkeypatch.undo()
+    assert dom.match(a, b)[0] == size == len(dom.match(a, b)[1])
+
+
+def test_vocabulary_is_filled_at_any_count(spark):
+    """Words of one count, and counts past 2**20: the most frequent are chosen, ties by hash, never none."""
+    big = [(k, (1 << 21) + k % 2) for k in range(5)]
+    assert len(hmm.choose_vocabulary(spark.createDataFrame(big, "word long, count long"), 3)) == 3
+    assert {w for w, _ in hmm.choose_vocabulary(spark.createDataFrame(big, "word long, count long"), 2)} == {1, 3}
+    tied = spark.range(5000).select(F.col("id").alias("word"), F.lit(1).cast("long").alias("count"))
+    some = hmm.choose_vocabulary(tied.unionByName(spark.createDataFrame([(None, 99), (9000, 7), (9001, 3)], "word long, count long")), 40)
+    assert len(some) == len(set(some)) == 40 and {(9000, 7), (9001, 3)} <= set(some)
+    assert set(some) == set(hmm.choose_vocabulary(tied.repartition(7).unionByName(spark.createDataFrame([(9001, 3), (9000, 7)], "word long, count long")), 40))
+    assert len(hmm.choose_vocabulary(tied, 5000)) == len(hmm.choose_vocabulary(tied, 9000)) == 5000
+    assert hmm.choose_vocabulary(tied.where("false"), 10) == []

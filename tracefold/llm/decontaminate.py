@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.llm import words
-from tracefold.llm.common import materialise
+from tracefold.llm.common import materialise, tidied
 
 WIDTH = 5
 RADIUS = 20
@@ -182,7 +182,7 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), SCHEMA)
 
 
 def _frequency_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,13 +199,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
     blocks = max(1, -(-items.count() // block_items))
     if blocks == 1:
         return _search(docs, Index(sorted(((r[0], r[1]) for r in items.collect()), key=str)))
-    frequency, _ = materialise(items.mapInArrow(_frequency_rows, "shingle long").groupBy("shingle").count(), "item-shingles")
+    frequency, _ = materialise(items.mapInArrow(tidied(_frequency_rows), "shingle long").groupBy("shingle").count(), "item-shingles")
     total = frequency.where("shingle is null").agg(F.sum("count")).first()[0] or 0
     out = None
     for k in range(blocks):
         # blocks by hash: each is about block_items long, and all together are every item
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        own = frequency.join(some.mapInArrow(_frequency_rows, "shingle long").distinct(), "shingle", "left_semi").collect()  # those of a block
+        own = frequency.join(some.mapInArrow(tidied(_frequency_rows), "shingle long").distinct(), "shingle", "left_semi").collect()  # those of a block
         index = Index(sorted(((r[0], r[1]) for r in some.collect()), key=str), {x & (1 << 64) - 1: n for x, n in own}, total)
         found = _search(docs, index)
         out = found if out is None else out.unionByName(found)

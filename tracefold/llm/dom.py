@@ -7,10 +7,12 @@ one repeated node for matching, so trees stay small however long a page is.
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 import zlib
-from bisect import bisect_left
+
+import numpy as np
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe"))
@@ -166,24 +168,74 @@ def number(root: Shape) -> list[Shape]:
     return out
 
 
-#: Children of two nodes are matched for the largest common tree up to so many pairs, else in order of the first that fit.
-MATCHED_PAIRS = 100_000
-
-
-def _in_order(a: Shape, b: Shape) -> tuple[int, list[tuple[Shape, Shape]]]:
-    """An order-preserving matching in linear time: each child of a with the next of b that has its key."""
-    places: dict[str, list[int]] = {}
-    for j, c in enumerate(b.children):
-        places.setdefault(c.key, []).append(j)
-    size, pairs, at = 1, [(a, b)], 0
-    ahead = max(64, abs(len(a.children) - len(b.children)))  # a child that b lacks mustn't skip the others
-    for c in a.children:
-        found = places.get(c.key, ())
-        k = bisect_left(found, at)
-        if k < len(found) and found[k] - at <= ahead:
-            n, below = _match(c, b.children[found[k]])
-            size, at = size + n, found[k] + 1
-            pairs += below
+#: Up to so many pairs of children are matched over a table of lists, more row by row in NumPy; both find the same matching.
+LISTED_PAIRS = 100_000
+
+
+def _signatures(children: list[Shape], known: dict) -> list[int]:
+    """A number for each subtree; equal ones have the same keys in the same places."""
+    own: dict[int, int] = {}
+    order, todo = [], list(children)
+    while todo:
+        s = todo.pop()
+        order.append(s)
+        todo.extend(s.children)
+    for s in reversed(order):  # children before their parents
+        own[id(s)] = known.setdefault((s.key, tuple(own[id(c)] for c in s.children)), len(known))
+    return [own[id(c)] for c in children]
+
+
+def _match_rows(a: Shape, b: Shape) -> tuple[int, list[tuple[Shape, Shape]]]:
+    """The matching of :func:`_match` for many children: like subtrees are compared once, and every r-th row of the table is
+    kept, from which the way back builds the rows between again (r the root of the number of rows)."""
+    n, m = len(a.children), len(b.children)
+    known: dict = {}
+    of_a, of_b = _signatures(a.children, known), _signatures(b.children, known)
+    places: dict[str, dict[int, list[int]]] = {}
+    for j, (c, sig) in enumerate(zip(b.children, of_b)):
+        places.setdefault(c.key, {}).setdefault(sig, []).append(j)
+    weights: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by subtree of a: places in b with its key, and their sizes
+
+    def weigh(i: int) -> tuple[np.ndarray, np.ndarray]:
+        if of_a[i] not in weights:
+            at, sizes = [], []
+            for js in places.get(a.children[i].key, {}).values():
+                at += js
+                sizes += [_match(a.children[i], b.children[js[0]])[0]] * len(js)
+            order = np.argsort(at)
+            weights[of_a[i]] = np.array(at, dtype=np.int64)[order], np.array(sizes, dtype=np.int64)[order]
+        return weights[of_a[i]]
+
+    def following(row: np.ndarray, i: int) -> np.ndarray:
+        at, sizes = weigh(i)
+        new = row.copy()
+        new[at + 1] = np.maximum(new[at + 1], row[at] + sizes)
+        return np.maximum.accumulate(new)
+
+    step = math.isqrt(n) + 1
+    row, kept = np.zeros(m + 1, dtype=np.int64), []
+    for i in range(n):
+        if i % step == 0:
+            kept.append(row)
+        row = following(row, i)
+    size = int(row[m]) + 1
+    pairs, j = [(a, b)], m
+    for first in range((n - 1) // step * step, -1, -step):
+        rows = [kept[first // step]]
+        for i in range(first, min(first + step, n)):
+            rows.append(following(rows[-1], i))
+        i = min(first + step, n)
+        while i > first and j:
+            here, above = rows[i - first], rows[i - first - 1]
+            at, sizes = weigh(i - 1)
+            k = int(np.searchsorted(at, j - 1))
+            if k < len(at) and at[k] == j - 1 and here[j] == above[j - 1] + sizes[k]:
+                pairs += _match(a.children[i - 1], b.children[j - 1])[1]
+                i, j = i - 1, j - 1
+            elif here[j] == above[j]:
+                i -= 1
+            else:
+                j -= 1
     return size, pairs
 
 
@@ -199,8 +251,8 @@ def _match(a: Shape, b: Shape) -> tuple[int, list[tuple[Shape, Shape]]]:
     if a.key != b.key:
         return 0, []
     n, m = len(a.children), len(b.children)
-    if n * m > MATCHED_PAIRS:
-        return _in_order(a, b)
+    if n * m > LISTED_PAIRS:
+        return _match_rows(a, b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     sub: dict[tuple[int, int], tuple[int, list]] = {}
     for i in range(1, n + 1):

@@ -1,8 +1,8 @@
 """Hidden Markov language model over words: Baum-Welch over the whole corpus, exact scaled forward scores.
 
-Symbols are the most frequent training words (at most ``VOCABULARY``, all with a
-count above a threshold found from the counts' histogram), one symbol for all
-other words, and the end of a text. A word outside the vocabulary is told apart
+Symbols are the ``VOCABULARY`` most frequent training words (of equally frequent
+ones at the end, those of least hash), one symbol for all other words, and the end
+of a text. A word outside the vocabulary is told apart
 by a unigram model over such words, so the model's probability of a text is
 exact: that of its symbol sequence (scaled forward recursion over the whole
 text) times that of each such word among them, (c + 1) / (N + V + 1).
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.llm import words
-from tracefold.llm.common import materialise, release
+from tracefold.llm.common import materialise, release, tidied
 
 _log = logging.getLogger(__name__)
 
@@ -196,18 +196,33 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, count) in training documents; the end token is the null word."""
-    return _texts(docs).where("not held_out").select("text").mapInArrow(_counted, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    return _texts(docs).where("not held_out").select("text").mapInArrow(tidied(_counted), "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
 def choose_vocabulary(counts: DataFrame, most: int = VOCABULARY) -> list[tuple[int, int]]:
-    """(word, count) of all words counted above the lowest threshold that at most ``most`` words pass."""
-    least, held = None, 0
-    steps = counts.where("word is not null").groupBy(F.least("count", F.lit(1 << 20)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    for c, n in steps.orderBy(F.desc("c")).toLocalIterator():
-        if held + n > most:
+    """(word, count) of the ``most`` most frequent words; words of one count in the order of a hash."""
+    known = counts.where("word is not null")
+    # a level holds a word at least, so ``most`` levels are enough
+    levels = known.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("count")).limit(most).collect()
+    held, cut, tied = 0, None, 0
+    for level in levels:
+        if held + level["n"] > most:
+            cut, tied = level["count"], level["n"]
             break
-        least, held = c, held + n
-    return [] if least is None else [(r[0], r[1]) for r in counts.where("word is not null").where(F.col("count") >= least).collect()]
+        held += level["n"]
+    least = cut if cut is not None else -1
+    chosen = [(r[0], r[1]) for r in known.where(F.col("count") > least).collect()]
+    rest = most - held
+    if cut is not None and rest:
+        place = F.pmod(F.xxhash64("word"), F.lit(1 << 40))
+        level = known.where(F.col("count") == cut)
+        # the share of the level that holds ``rest`` words but for a chance of 1e-9, so that tasks sort no more than that
+        share = min(1.0, (rest + 6 * rest**0.5 + 20) / tied)
+        first = level.where(place <= int(share * (1 << 40))).orderBy(place, "word").limit(rest).collect()
+        if len(first) < rest:
+            first = level.orderBy(place, "word").limit(rest).collect()
+        chosen += [(r["word"], r["count"]) for r in first]
+    return chosen
 
 
 def _encode(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
@@ -240,7 +255,7 @@ def _encode(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
                 )
                 row += b - a
 
-    return _texts(docs).mapInArrow(run, "row long, doc_id long, held_out boolean, symbols binary, outside array<long>")
+    return _texts(docs).mapInArrow(tidied(run), "row long, doc_id long, held_out boolean, symbols binary, outside array<long>")
 
 
 def _sequences(column: pa.Array) -> list[np.ndarray]:
@@ -270,7 +285,7 @@ def baum_welch_round(encoded: DataFrame, model: Model) -> tuple[Model, float]:
             table = np.concatenate((emit[used], move, start[None, :], np.eye(1, k) * likelihood))
             yield pa.RecordBatch.from_arrays([pa.array(symbol), *(pa.array(np.ascontiguousarray(table[:, j])) for j in range(k))], ["symbol", *(f"c{j}" for j in range(k))])
 
-    summed = encoded.where("not held_out").select("symbols").mapInArrow(run, kinds).groupBy("symbol").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(k)]).toPandas()
+    summed = encoded.where("not held_out").select("symbols").mapInArrow(tidied(run), kinds).groupBy("symbol").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(k)]).toPandas()
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit)
     symbol, table = summed["symbol"].to_numpy(), summed.drop(columns="symbol").to_numpy()
     emit[symbol[symbol >= 0]] = table[symbol >= 0]
@@ -329,7 +344,7 @@ def score_language(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS,
                 ["row", "doc_id", "held_out", "n_tokens", "n_inside", "base", "symbol_score"],
             )
 
-    inside = encoded.select("row", "doc_id", "held_out", "symbols").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_inside long, base double, symbol_score double")
+    inside = encoded.select("row", "doc_id", "held_out", "symbols").mapInArrow(tidied(run), "row long, doc_id long, held_out boolean, n_tokens long, n_inside long, base double, symbol_score double")
     # words outside the vocabulary: each met with its count, then summed by row
     outside = encoded.select("row", F.explode("outside").alias("word"))
     met = outside.join(counts.where("word is not null"), "word", "left").select("row", F.coalesce("count", F.lit(0)).alias("c"))

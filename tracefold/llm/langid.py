@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.llm import words
+from tracefold.llm.common import tidied
 
 BUCKETS = 1 << 16
 LANGUAGES = 128
@@ -114,7 +115,7 @@ def train(docs: DataFrame) -> Model:
     """Bucket counts of every language over all documents that aren't held out."""
     ready = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
     ready = ready.where("not held_out and lang is not null and text is not null").select("lang", "text")
-    summed = ready.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    summed = ready.mapInArrow(tidied(_counted), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     names = [r[0] for r in ready.select("lang").distinct().limit(LANGUAGES + 1).collect()]
     if len(names) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} values of lang")
@@ -210,4 +211,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), held_out().alias("held_out"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, languages string")
+    return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, lang_pred string, score double, languages string")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.llm import words
-from tracefold.llm.common import materialise, release
+from tracefold.llm.common import materialise, release, tidied
 from tracefold.llm.components import connected_components, join_groups
 
 BANDS, ROWS = 48, 6
@@ -169,7 +169,7 @@ class _Search:
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.paths: list[str] = []
         self.name_bits, self.renamed = name_bits, None
-        self.rows = self.keep(self.texts.mapInArrow(partial(_describe, name_bits), "doc_id long, n_shingles long, class long, full binary, signature binary, bands array<long>"), "sets")
+        self.rows = self.keep(self.texts.mapInArrow(tidied(partial(_describe, name_bits)), "doc_id long, n_shingles long, class long, full binary, signature binary, bands array<long>"), "sets")
         self.classes = self._grouped()
         several = self.classes.where("least_full <> most_full").select("class", "least_full")
         if not several.isEmpty():
@@ -214,7 +214,7 @@ class _Search:
         side = lambda x: self.classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"))
         sig = lambda x: self.classes.select(F.col("class").alias(x), F.col("signature").alias(f"sig_{x}"))
         sized = pairs.join(side("a"), "a").join(side("b"), "b").where(SIMILAR[1] * F.least("n_a", "n_b") >= SIMILAR[0] * F.greatest("n_a", "n_b")).select("a", "b")
-        return self.keep(sized.join(sig("a"), "a").join(sig("b"), "b").mapInArrow(_sequential, "a long, b long, matches long"), "pruned")
+        return self.keep(sized.join(sig("a"), "a").join(sig("b"), "b").mapInArrow(tidied(_sequential), "a long, b long, matches long"), "pruned")
 
     def texts_of(self, wanted: DataFrame) -> DataFrame:
         """(class, text), one row for each of the classes."""
@@ -222,7 +222,7 @@ class _Search:
         if not self.repeated:
             return self.texts.join(wanted, "doc_id").select("class", "text")
         ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
-        named = self.texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").mapInArrow(partial(_named, self.name_bits), "class long, full binary, text string")
+        named = self.texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").mapInArrow(tidied(partial(_named, self.name_bits)), "class long, full binary, text string")
         return self.settled(named).select("class", "text").join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
     def linked(self, pairs: DataFrame) -> None:
@@ -232,7 +232,7 @@ class _Search:
         pairs = self.keep(pairs.select("a", "b"), "pairs")
         texts = self.keep(self.texts_of(pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()), "texts")
         side = lambda x: texts.select(F.col("class").alias(x), F.col("text").alias(f"text_{x}"))
-        done = self.keep(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_exact, "a long, b long, linked boolean"), "links")
+        done = self.keep(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(tidied(_exact), "a long, b long, linked boolean"), "links")
         self.checked = done.select("a", "b") if self.checked is None else self.checked.unionByName(done.select("a", "b"))
         links = done.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         if self.component is None:
@@ -318,10 +318,10 @@ def near_duplicates(docs: DataFrame, name_bits: int = 64) -> DataFrame:
     # bounds on what two sets can share: a shingle that no other of these classes has lies in no intersection,
     # and by hash block the others can't share more than the fewer that either has
     texts = run.keep(run.texts_of(open_.select("class").distinct()), "open-texts")
-    rows = texts.mapInArrow(_shingle_rows, "class long, shingle long")
+    rows = texts.mapInArrow(tidied(_shingle_rows), "class long, shingle long")
     alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("class")).where("n = 1").select("class", F.expr(f"shingle & {BLOCKS - 1}").cast("int").alias("block"))
     alone = alone.groupBy("class", "block").count().groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("block", F.col("count").cast("int")))).alias("alone"))
-    sizes = texts.mapInArrow(_block_counts, "class long, n int, blocks array<int>").join(alone, "class", "left")
+    sizes = texts.mapInArrow(tidied(_block_counts), "class long, n int, blocks array<int>").join(alone, "class", "left")
     sizes = sizes.withColumn("blocks", F.transform("blocks", lambda v, j: v - F.coalesce(F.try_element_at("alone", j), F.lit(0)))).drop("alone")
     sizes = sizes.withColumn("shared", F.aggregate("blocks", F.lit(0), lambda t, v: t + v)).where(SIMILAR[1] * F.col("shared") >= SIMILAR[0] * F.col("n"))
     bounded = run.keep(open_.join(run.keep(sizes, "bounds"), "class").select("key", "class", "component", "largest", "n", "shared", "blocks"), "open")

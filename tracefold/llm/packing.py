@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.llm.bpe import default_vocabulary, encoder
-from tracefold.llm.common import materialise
+from tracefold.llm.common import materialise, tidied
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 OPEN_BINS = 1024
@@ -125,15 +125,16 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
                             col.append(v)
                         start, piece, length = start + length, piece + 1, capacity
                 yield table(cols)
+        enc.rest()
         # a row with piece -1 for each bin that is still open
         rest = [(None, -1, None, used, None, base + where, None, *((None,) if with_ids else ())) for where, used in fit.left_open()]
         yield table([[r[k] for r in rest] for k in range(len(names))])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    placed, _ = materialise(texts.mapInArrow(run, schema), "pieces")
+    placed, _ = materialise(texts.mapInArrow(tidied(run), schema), "pieces")
     bins = placed.where("piece = -1").select("length", "sequence_id")
     groups = max(1, -(-bins.count() // REGROUPED))
-    moved, _ = materialise(bins.repartition(groups, F.xxhash64("sequence_id")).mapInArrow(_merged(capacity, open_bins), "bin long, into long, shift long").where("bin <> into"), "moved-bins")
+    moved, _ = materialise(bins.repartition(groups, F.xxhash64("sequence_id")).mapInArrow(tidied(_merged(capacity, open_bins)), "bin long, into long, shift long").where("bin <> into"), "moved-bins")
     return (
         placed.where("piece >= 0")
         .join(moved, F.col("sequence_id") == F.col("bin"), "left")

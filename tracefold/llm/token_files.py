@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.llm.bpe import default_vocabulary, encoder
+from tracefold.llm.common import tidied
 
 MAGIC = b"TFTOKEN1"
 BLOCK_IDS = 4096
@@ -169,6 +170,7 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str | None = No
                     a, cuts = a + n, cuts[n:]
                     if size >= shard_ids:
                         flush()
+        enc.rest()
         if doc_ids:
             flush()
         names, kinds = ["part", "shard", "path", "n_docs", "n_ids"], [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
@@ -176,7 +178,7 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str | None = No
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = keyed.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return ordered.mapInArrow(run, "part int, shard int, path string, n_docs long, n_ids long")
+    return ordered.mapInArrow(tidied(run), "part int, shard int, path string, n_docs long, n_ids long")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -221,4 +223,4 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                             ["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -42,10 +42,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracefold.llm.common import materialise, release, tidied
 from tracefold.llm.transducers import Transducer, compose
 
 TRAIN_ROWS = 20_000
-LEXICON = 4096
 HELD_OUT = (4, 2)
 CUT = 0.3
 MAX_STEM = 14
@@ -213,11 +213,11 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_stems(train: DataFrame, n_toxic: int, n_other: int) -> list[str]:
-    """Word beginnings that mark toxic documents, at most LEXICON."""
+    """Word beginnings that mark toxic documents more than chance explains; the bounded training rows bound their number."""
     if not n_toxic or not n_other:
         return []
     rate = n_toxic / (n_toxic + n_other)
-    once = train.mapInArrow(_vocabulary, "word string, between long, toxic int").distinct()
+    once = train.mapInArrow(tidied(_vocabulary), "word string, between long, toxic int").distinct()
     vocabulary = once.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("other"))
     longest = F.least(F.length("word"), F.lit(MAX_STEM))
     stems = vocabulary.where(F.length("word") >= 3).select(
@@ -229,15 +229,14 @@ def learn_stems(train: DataFrame, n_toxic: int, n_other: int) -> list[str]:
     gain = F.col("t") * F.log(share / rate) + F.col("o") * F.log((1 - share) / (1 - rate))
     # beyond what the best of so many stems would reach by chance
     marked = counted.where(share >= 0.85).withColumn("gain", gain).where(F.col("gain") > math.log(max(2, tried)) + 2.0)
-    best = {r["stem"]: (r["t"], r["o"], r["gain"]) for r in marked.orderBy(F.desc("gain"), "stem").limit(LEXICON).collect()}
-    out = []
-    for stem, (t, o, _) in best.items():
-        # a beginning is as good as a longer one only if that one explains fewer documents
-        longer = [x for x in best if len(x) == len(stem) + 1 and x.startswith(stem) and not stem.endswith("$")]
-        if not any(best[x][0] >= 0.9 * t for x in longer):
-            out.append(stem)
+    best = {r["stem"]: r["t"] for r in marked.select("stem", "t").collect()}
+    # a beginning is as good as a longer one only if that one explains fewer documents
+    longer: dict[str, int] = {}
+    for stem, t in best.items():
+        longer[stem[:-1]] = max(t, longer.get(stem[:-1], 0))
+    out = {stem for stem, t in best.items() if stem.endswith("$") or stem not in longer or longer[stem] < 0.9 * t}
     # what a chosen beginning covers needs no stem of its own
-    return sorted(s for s in out if not any(s != p and s.startswith(p) for p in out))
+    return sorted(s for s in out if not any(s[:k] in out for k in range(1, len(s))))
 
 
 def learn_weights(rows: list[tuple[list[int], int]]) -> dict[str, float]:
@@ -260,8 +259,6 @@ def learn_weights(rows: list[tuple[list[int], int]]) -> dict[str, float]:
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> tuple[tuple[str, ...], tuple[tuple[str, float], ...]]:
     """(stems, weights) for :func:`score_toxicity`."""
-    from tracefold.llm.common import materialise, release
-
     rows, path = materialise(training_rows(docs, labels, bound).dropDuplicates(["text", "toxic"]), "toxicity")
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     stems = tuple(learn_stems(rows, counts.get(1, 0), counts.get(0, 0)))
@@ -272,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> tuple[
             found = [scorer.read(t)[1] for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["toxic"], *(pa.array([e[k] for e in found], pa.int64()) for k in KINDS)], ["toxic", *KINDS])
 
-    table = rows.mapInArrow(events, "toxic int, " + ", ".join(f"{k} long" for k in KINDS)).groupBy("toxic", *KINDS).count().collect()
+    table = rows.mapInArrow(tidied(events), "toxic int, " + ", ".join(f"{k} long" for k in KINDS)).groupBy("toxic", *KINDS).count().collect()
     weights = learn_weights([([r[k] for k in KINDS], r["toxic"]) for r in table for _ in range(r["count"])])
     release(docs.sparkSession, path)
     return stems, tuple(weights.items())
@@ -292,6 +289,6 @@ def score_toxicity(docs: DataFrame, model: tuple) -> DataFrame:
                 ["doc_id", "score", "predicted", *KINDS],
             )
 
-    out = _documents(docs).mapInArrow(run, "doc_id long, score double, predicted int, " + ", ".join(f"{k} long" for k in KINDS))
+    out = _documents(docs).mapInArrow(tidied(run), "doc_id long, score double, predicted int, " + ", ".join(f"{k} long" for k in KINDS))
     held = F.coalesce(fold("doc_id", HELD_OUT[0]) == HELD_OUT[1], F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", "predicted", *[F.col(k).alias(f"n_{k}") for k in KINDS])
