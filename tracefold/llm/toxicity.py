@@ -19,8 +19,8 @@ of near copies make no stems. Threats, targets, negations and reporting verbs
 are written out below.
 
 Labels, lang, source and doc_id are no inputs of a score. Scoring is one pass
-over the texts, without a shuffle; what is sent to tasks is at most
-``LEXICON`` stems.
+over the texts, without a shuffle; what is sent to tasks are the stems learned
+from the bounded training rows.
 
 Defined results: null and empty texts get the score of a text without matches;
 whole texts are read; repeated rows and ids get a row each; a null doc_id isn't
