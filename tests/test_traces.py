@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests import whole_panels
 from tracefold.operators import cross, kernels
 from tracefold.plans import catalog
 from tracefold.schema import from_arrays, vectors_as_traces
@@ -250,22 +251,22 @@ def test_panels(shipped):
     x = np.stack([r.data for r in one.orderBy("seq").collect()]).astype(float)
     take = lambda f: np.stack([r.data for r in cross.panel_map(one, ["ensemble_number"], f).orderBy("seq").collect()])
     u, s, v = np.linalg.svd(x, full_matrices=False)
-    assert np.allclose(take(cross.eigenimages(1, subtract=False)), s[0] * np.outer(u[:, 0], v[0]), atol=1e-4)
-    for f in (cross.dip_filter([-1, 1], [1, 1], 0.004, 1.0), cross.radial_filter([0.1, 0.2], [1, 1]), cross.separable_filter([0.1, 0.2], [1, 1], [0.1, 0.2], [1, 1]), cross.radial_power(0.0), cross.phase_coherence_filter(1, -1)):
+    assert np.allclose(take(whole_panels.eigenimages(1, subtract=False)), s[0] * np.outer(u[:, 0], v[0]), atol=1e-4)
+    for f in (whole_panels.dip_filter([-1, 1], [1, 1], 0.004, 1.0), whole_panels.radial_filter([0.1, 0.2], [1, 1]), whole_panels.separable_filter([0.1, 0.2], [1, 1], [0.1, 0.2], [1, 1]), whole_panels.radial_power(0.0), whole_panels.phase_coherence_filter(1, -1)):
         assert np.allclose(take(f), x, atol=1e-4)
     with pytest.raises(Exception, match="a panel of"):
-        cross.panel_map(one, ["ensemble_number"], cross.radial_power(0.0), max_traces=3).collect()
+        cross.panel_map(one, ["ensemble_number"], whole_panels.radial_power(0.0), max_traces=3).collect()
 
 
 PANEL_WAYS = {
-    "dip_filter": cross.dip_filter([-0.002, -0.001, 0.001, 0.002], [0, 1, 1, 0], 0.004, 1.0),
-    "radial_k_filter": cross.radial_filter([0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0]),
-    "separable_k_filter": cross.separable_filter([0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0], [0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0]),
-    "fractional_k_filter": cross.radial_power(0.5),
-    "gaussian_k_filter": cross.gaussian_panel(1.0, 1.0),
-    "svd_filter": cross.eigenimages(2),
-    "phase_coherence_filter": cross.phase_coherence_filter(),
-    "low_frequency_array": cross.low_frequency_array(0.004),
+    "dip_filter": whole_panels.dip_filter([-0.002, -0.001, 0.001, 0.002], [0, 1, 1, 0], 0.004, 1.0),
+    "radial_k_filter": whole_panels.radial_filter([0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0]),
+    "separable_k_filter": whole_panels.separable_filter([0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0], [0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0]),
+    "fractional_k_filter": whole_panels.radial_power(0.5),
+    "gaussian_k_filter": whole_panels.gaussian_panel(1.0, 1.0),
+    "svd_filter": whole_panels.eigenimages(2),
+    "phase_coherence_filter": whole_panels.phase_coherence_filter(),
+    "low_frequency_array": whole_panels.low_frequency_array(0.004),
 }
 
 
@@ -277,11 +278,11 @@ def test_panel_queries_gather_no_panel(shipped, monkeypatch, name):
     for label in {r.ensemble_number for r in rows}:
         own = [r for r in rows if r.ensemble_number == label]
         for r, y in zip(own, PANEL_WAYS[name](np.array([r.data for r in own], dtype=float), None)):
-            want[r.trace_id] = np.sqrt(np.mean(np.asarray(y, dtype=np.float32).astype(float) ** 2))
+            want.update({(r.trace_id, it): v for it, v in enumerate(y)})
     monkeypatch.setattr(cross, "panel_map", None)
-    got = catalog.queries()[name](shipped, SF).collect()
-    assert {r.trace_id for r in got} == set(want) and len(got) == len(want)
-    assert all(abs(r.rms - want[r.trace_id]) < 2e-5 for r in got)
+    got = {(r.vec_id, r.it): r.v for r in catalog.queries()[name](shipped, SF).collect()}
+    assert set(got) == set(want)
+    assert all(abs(v - want[k]) < 1e-5 + 1e-9 * abs(v) for k, v in got.items())
 
 
 def test_trimmed_spectrum_in_ranks(shipped):

@@ -153,122 +153,6 @@ def panel_map(traces: DataFrame, panel: list[str], f: Callable[[np.ndarray, pd.D
     return traces.groupBy(*panel).applyInPandas(run, traces.schema)
 
 
-def dip_filter(slopes: list[float], amps: list[float], dt: float, dx: float, bias: float = 0.0) -> Callable:
-    """F-K weights by piecewise linear interpolation of k / w + bias, constant outside."""
-    if any(b <= a for a, b in zip(slopes, slopes[1:])) or len(slopes) != len(amps):
-        raise ValueError("rising slopes with an amplitude each")
-
-    def run(x: np.ndarray, _) -> np.ndarray:
-        nx, nt = x.shape
-        n1, n2 = real_fft_length(nt), real_fft_length(nx)
-        s = np.fft.fft(_rfft(x, n1), n2, axis=0)
-        w = 2 * np.pi * np.fft.rfftfreq(n1, dt)
-        k = 2 * np.pi * np.fft.fftfreq(n2, dx)
-        w = w + 1e-6 * (w[1] if len(w) > 1 else 1.0)
-        weight = np.interp(k[:, None] / w[None, :] + bias, slopes, amps)
-        return _irfft(np.fft.ifft(s * weight, axis=0)[:nx], n1, nt)
-
-    return run
-
-
-def _wavenumbers(x: np.ndarray, d1: float, d2: float):
-    n2, n1 = (real_fft_length(n) for n in x.shape)
-    return np.fft.fft2(x, (n2, n1)), np.fft.fftfreq(n1, d1), np.fft.fftfreq(n2, d2)
-
-
-def radial_filter(k: list[float], amps: list[float], d1: float = 1.0, d2: float = 1.0) -> Callable:
-    """Polygonal filter (sine slopes) of the radial wavenumber of a depth panel, with unit gain where the amplitude is 1."""
-
-    def run(x: np.ndarray, _) -> np.ndarray:
-        s, k1, k2 = _wavenumbers(x, d1, d2)
-        r = np.hypot(k2[:, None], k1[None, :])
-        return np.fft.ifft2(s * polygon(k, amps, r.reshape(-1), 1).reshape(r.shape)).real[: x.shape[0], : x.shape[1]]
-
-    return run
-
-
-def separable_filter(k1: list[float], amps1: list[float], k2: list[float], amps2: list[float], d1: float = 1.0, d2: float = 1.0) -> Callable:
-    """Product of polygonal filters along both axes of a depth panel."""
-
-    def run(x: np.ndarray, _) -> np.ndarray:
-        s, f1, f2 = _wavenumbers(x, d1, d2)
-        weight = polygon(k2, amps2, np.abs(f2), 1)[:, None] * polygon(k1, amps1, np.abs(f1), 1)[None, :]
-        return np.fft.ifft2(s * weight).real[: x.shape[0], : x.shape[1]]
-
-    return run
-
-
-def radial_power(power: float = 0.0, d1: float = 1.0, d2: float = 1.0) -> Callable:
-    """Fractional Laplacian-like filter |k| ** power; the mean is dropped when the power is negative."""
-
-    def run(x: np.ndarray, _) -> np.ndarray:
-        s, f1, f2 = _wavenumbers(x, d1, d2)
-        r = 2 * math.pi * np.hypot(f2[:, None], f1[None, :])
-        weight = np.where(r > 0, np.where(r > 0, r, 1.0) ** power, 1.0 if power == 0 else 0.0)
-        return np.fft.ifft2(s * weight).real[: x.shape[0], : x.shape[1]]
-
-    return run
-
-
-def gaussian_panel(a1: float = 0.0, a2: float = 0.0) -> Callable:
-    """Gaussian wavenumber weights exp(-(a k / 2)^2) along both axes, rescaled to the input's largest value."""
-
-    def run(x: np.ndarray, _) -> np.ndarray:
-        s, f1, f2 = _wavenumbers(x, 1.0, 1.0)
-        weight = np.exp(-((a2 * 2 * math.pi * f2[:, None] / 2) ** 2) - (a1 * 2 * math.pi * f1[None, :] / 2) ** 2)
-        y = np.fft.ifft2(s * weight).real[: x.shape[0], : x.shape[1]]
-        top = np.abs(y).max()
-        return y * (np.abs(x).max() / top) if top > 0 else y
-
-    return run
-
-
-def eigenimages(count: int | None = None, subtract: bool = True) -> Callable:
-    """Keep, or subtract, the panel's first singular images (1 in 100 traces by default, at least 1)."""
-
-    def run(x: np.ndarray, _) -> np.ndarray:
-        n = count or max(1, len(x) // 100)
-        u, s, v = np.linalg.svd(x, full_matrices=False)
-        part = (u[:, :n] * s[:n]) @ v[:n]
-        return x - part if subtract else part
-
-    return run
-
-
-def phase_coherence_filter(high: float = 1.0, low: float = 0.3) -> Callable:
-    """Zero F-X cells whose phase step to the next trace has a cosine outside [low, high]; the last trace stays."""
-
-    def run(x: np.ndarray, _) -> np.ndarray:
-        n = real_fft_length(x.shape[1])
-        s = _rfft(x, n)
-        step = np.cos(np.angle(s[1:]) - np.angle(s[:-1]))
-        keep = np.ones(s.shape, dtype=bool)
-        keep[:-1, :-1] = ((step <= high + 1e-12) & (step >= low))[:, :-1]
-        return _irfft(np.where(keep, s, 0), n, x.shape[1])
-
-    return run
-
-
-def low_frequency_array(dt: float, f1: float = 3.0, f2: float = 20.0, ramp: float = 5.0, velocity: float = 1000.0, dx: float = 10.0, max_mix: int | None = None) -> Callable:
-    """Mix traces more at lower frequencies: an odd width of velocity / (f dx) traces between f1 and f2, blended over the ramp."""
-
-    def run(x: np.ndarray, _) -> np.ndarray:
-        nx, nt = x.shape
-        n = real_fft_length(nt)
-        s, f = _rfft(x, n), np.fft.rfftfreq(n, dt)
-        out = s.copy()
-        sums = np.concatenate((np.zeros((1, s.shape[1])), np.cumsum(s, axis=0)))
-        for j in np.flatnonzero((f >= f1) & (f <= f2 + ramp)):
-            width = min(int(round(velocity / (f[j] * dx))) | 1, (max_mix or nx) | 1)
-            lo, hi = np.maximum(np.arange(nx) - width // 2, 0), np.minimum(np.arange(nx) + width // 2 + 1, nx)
-            mixed = (sums[hi, j] - sums[lo, j]) / (hi - lo)
-            share = 1.0 if f[j] <= f2 else 1 - (f[j] - f2) / ramp
-            out[:, j] = share * mixed + (1 - share) * s[:, j]
-        return _irfft(out, n, nt)
-
-    return run
-
-
 # --- panels of any size ---------------------------------------------------------
 
 
@@ -295,9 +179,9 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, on).drop(*(f"{k}_right_" for k in keys))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _samples_of(re: pd.Series, im: pd.Series, nt: pd.Series) -> pd.Series:
-    return pd.Series([_irfft((np.asarray(a) + 1j * np.asarray(b))[None], real_fft_length(int(n)), int(n))[0].astype(np.float32) for a, b, n in zip(re, im, nt)], dtype=object)
+    return pd.Series([_irfft((np.asarray(a) + 1j * np.asarray(b))[None], real_fft_length(int(n)), int(n))[0] for a, b, n in zip(re, im, nt)], dtype=object)
 
 
 def _arrays(spectra: DataFrame, *keys: str) -> DataFrame:
@@ -318,7 +202,7 @@ def along_traces(traces: DataFrame, panel: list[str], f: Callable[[np.ndarray, i
         return rows.assign(re=out.real, im=out.imag)
 
     new = _arrays(spectra.groupBy(*panel, "j").applyInPandas(run, spectra.schema), *panel, "seq")
-    return _joined(traces, new, [*panel, "seq"]).withColumn("data", F.col("filtered_")).drop("filtered_")
+    return _joined(traces, new, [*panel, "seq"]).withColumn("data", F.col("filtered_").cast(traces.schema["data"].dataType)).drop("filtered_")
 
 
 def wavenumber_filter(traces: DataFrame, panel: list[str], weight: Callable[[int, int, int], np.ndarray]) -> DataFrame:
@@ -332,24 +216,25 @@ def wavenumber_filter(traces: DataFrame, panel: list[str], weight: Callable[[int
 
 
 def filter_dips(traces: DataFrame, panel: list[str], slopes: list[float], amps: list[float], dt: float, dx: float, bias: float = 0.0) -> DataFrame:
-    """``dip_filter`` for panels of any size."""
-    dip_filter(slopes, amps, dt, dx, bias)  # checks the arguments
+    """F-K weights by piecewise linear interpolation of k / w + bias, constant outside."""
+    if any(b <= a for a, b in zip(slopes, slopes[1:])) or len(slopes) != len(amps):
+        raise ValueError("rising slopes with an amplitude each")
     step = lambda n1: 2 * np.pi / (n1 * dt)
     return wavenumber_filter(traces, panel, lambda j, n1, n2: np.interp(2 * np.pi * np.fft.fftfreq(n2, dx) / (step(n1) * (j + 1e-6)) + bias, slopes, amps))
 
 
 def filter_radial(traces: DataFrame, panel: list[str], k: list[float], amps: list[float], d1: float = 1.0, d2: float = 1.0) -> DataFrame:
-    """``radial_filter`` for panels of any size."""
+    """Polygonal filter (sine slopes) of the radial wavenumber of a depth panel, with unit gain where the amplitude is 1."""
     return wavenumber_filter(traces, panel, lambda j, n1, n2: polygon(k, amps, np.hypot(np.fft.fftfreq(n2, d2), j / (n1 * d1)), 1))
 
 
 def filter_separable(traces: DataFrame, panel: list[str], k1: list[float], amps1: list[float], k2: list[float], amps2: list[float], d1: float = 1.0, d2: float = 1.0) -> DataFrame:
-    """``separable_filter`` for panels of any size."""
+    """Product of polygonal filters along both axes of a depth panel."""
     return wavenumber_filter(traces, panel, lambda j, n1, n2: polygon(k2, amps2, np.abs(np.fft.fftfreq(n2, d2)), 1) * polygon(k1, amps1, np.array([j / (n1 * d1)]), 1)[0])
 
 
 def filter_radial_power(traces: DataFrame, panel: list[str], power: float = 0.0, d1: float = 1.0, d2: float = 1.0) -> DataFrame:
-    """``radial_power`` for panels of any size."""
+    """Fractional Laplacian-like filter |k| ** power; the mean is dropped when the power is negative."""
 
     def weight(j: int, n1: int, n2: int) -> np.ndarray:
         r = 2 * math.pi * np.hypot(np.fft.fftfreq(n2, d2), j / (n1 * d1))
@@ -359,16 +244,19 @@ def filter_radial_power(traces: DataFrame, panel: list[str], power: float = 0.0,
 
 
 def filter_gaussian(traces: DataFrame, panel: list[str], a1: float = 0.0, a2: float = 0.0) -> DataFrame:
-    """``gaussian_panel`` for panels of any size."""
+    """Gaussian wavenumber weights exp(-(a k / 2)^2) along both axes, rescaled to the input's largest value."""
     out = wavenumber_filter(traces, panel, lambda j, n1, n2: np.exp(-((a2 * math.pi * np.fft.fftfreq(n2)) ** 2) - (a1 * math.pi * j / n1) ** 2))
     top = lambda df, name: df.groupBy(*panel).agg(F.max(F.array_max(F.transform("data", lambda v: F.abs(v.cast("double"))))).alias(name))
     scale = _joined(top(traces, "before_"), top(out, "after_"), panel).withColumn("scale_", F.when(F.col("after_") > 0, F.col("before_") / F.col("after_")).otherwise(1.0))
     scaled = _joined(out, scale.select(*panel, "scale_"), panel)
-    return scaled.withColumn("data", F.transform("data", lambda v: (v * F.col("scale_")).cast("float"))).drop("scale_")
+    return scaled.withColumn("data", F.transform("data", lambda v: v * F.col("scale_")).cast(traces.schema["data"].dataType)).drop("scale_")
 
 
 def subtract_eigenimages(traces: DataFrame, panel: list[str], count: int | None = None, subtract: bool = True) -> DataFrame:
-    """``eigenimages`` for panels of any size: sums of the traces' outer products, and projection on their first eigenvectors."""
+    """Keep, or subtract, the panel's first singular images (1 in 100 traces by default, at least 1).
+
+    By sums of the traces' outer products, and projection of each trace on their first eigenvectors.
+    """
     keys = [traces.schema[k] for k in panel]
     sums = T.StructType([*keys, T.StructField("i", T.LongType()), T.StructField("n", T.LongType()), T.StructField("v", T.DoubleType())])
 
@@ -387,36 +275,45 @@ def subtract_eigenimages(traces: DataFrame, panel: list[str], count: int | None
         v = np.linalg.eigh(g.reshape(nt, nt))[1][:, ::-1][:, :n].T
         return rows[panel].head(1).assign(vectors_=[v.ravel()])
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def project(data: pd.Series, vs: pd.Series) -> pd.Series:
         out = []
         for d, v in zip(data, vs):
             x = np.asarray(d, dtype=np.float64)
             v = np.asarray(v).reshape(-1, len(x))
             part = (v @ x) @ v
-            out.append((x - part if subtract else part).astype(np.float32))
+            out.append(x - part if subtract else part)
         return pd.Series(out, dtype=object)
 
     added = traces.select(*panel, "data").mapInPandas(outer, sums).groupBy(*panel, "i").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
     found = added.groupBy(*panel).applyInPandas(vectors, T.StructType([*keys, T.StructField("vectors_", T.ArrayType(T.DoubleType()))]))
-    return _joined(traces, found, panel).withColumn("data", project("data", "vectors_")).drop("vectors_")
+    return _joined(traces, found, panel).withColumn("data", project("data", "vectors_").cast(traces.schema["data"].dataType)).drop("vectors_")
 
 
 def filter_phase_coherence(traces: DataFrame, panel: list[str], high: float = 1.0, low: float = 0.3) -> DataFrame:
-    """``phase_coherence_filter`` for panels of any size: each trace with the next one of its panel."""
-    f = phase_coherence_filter(high, low)
+    """Zero F-X cells whose phase step to the next trace of the panel has a cosine outside [low, high]; the last trace stays."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(data: pd.Series, following: pd.Series) -> pd.Series:
-        pairs = ([d] if n is None else [d, n] for d, n in zip(data, following))
-        return pd.Series([f(np.stack([np.asarray(x, dtype=np.float64) for x in p]), None)[0].astype(np.float32) for p in pairs], dtype=object)
+        out = []
+        for d, after in zip(data, following):
+            d = np.asarray(d, dtype=np.float64)
+            if after is not None:
+                n = real_fft_length(len(d))
+                own, other = _rfft(np.stack([d, np.asarray(after, dtype=np.float64)]), n)
+                step = np.cos(np.angle(other) - np.angle(own))
+                keep = (step <= high + 1e-12) & (step >= low)
+                keep[-1] = True
+                d = _irfft(np.where(keep, own, 0), n, len(d))
+            out.append(d)
+        return pd.Series(out, dtype=object)
 
     following = F.lead("data").over(Window.partitionBy(*panel).orderBy("seq"))
-    return traces.withColumn("next_", following).withColumn("data", run("data", "next_")).drop("next_")
+    return traces.withColumn("next_", following).withColumn("data", run("data", "next_").cast(traces.schema["data"].dataType)).drop("next_")
 
 
 def mix_low_frequencies(traces: DataFrame, panel: list[str], dt: float, f1: float = 3.0, f2: float = 20.0, ramp: float = 5.0, velocity: float = 1000.0, dx: float = 10.0, max_mix: int | None = None) -> DataFrame:
-    """``low_frequency_array`` for panels of any size."""
+    """Mix traces more at lower frequencies: an odd width of velocity / (f dx) traces between f1 and f2, blended over the ramp."""
 
     def run(c: np.ndarray, j: int, nt: int) -> np.ndarray:
         nx, f = len(c), j / (real_fft_length(nt) * dt)
@@ -441,4 +338,4 @@ def trimmed_spectrum_stack(traces: DataFrame, keys: list[str], percent: float =
     mean = lambda v: F.avg(F.when((F.col(f"{v}_") > drop) & (F.col(f"{v}_") <= F.col("n_") - drop), F.col(v))).alias(v)
     new = _arrays(rows.groupBy(*keys, "j").agg(mean("re"), mean("im"), F.max("nt").alias("nt")), *keys)
     first = traces.groupBy(*keys).agg(F.min_by(F.struct(*traces.columns), "seq").alias("first_")).select("first_.*")
-    return _joined(first, new, keys).withColumn("data", F.col("filtered_")).drop("filtered_")
+    return _joined(first, new, keys).withColumn("data", F.col("filtered_").cast(traces.schema["data"].dataType)).drop("filtered_")

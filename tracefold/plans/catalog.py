@@ -43,6 +43,11 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors_as_traces(table(spark, sf_dir, "embeddings"))
 
 
+def doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The traces with double samples, so that operators keep them."""
+    return traces(spark, sf_dir).withColumn("data", F.col("data").cast("array<double>"))
+
+
 def sampled(df: DataFrame, data: str = "data", digits: int = 6, key: str = "seq", name: str = "vec_id") -> DataFrame:
     return df.select(F.col(key).alias(name), F.posexplode(data).alias("it", "v")).select(name, F.col("it").cast("long").alias("it"), F.round(F.col("v").cast("double"), digits).alias("v"))
 
@@ -101,28 +106,57 @@ def synlv_headers(spark, sf_dir):
 # --- per-trace filters --------------------------------------------------------
 
 
-@query()
+def _recursive(name: str, source: str, high: bool, f_pass: float, f_stop: float, a_pass: float, a_stop: float, length: int = 64) -> str:
+    """Zero-phase Butterworth of the samples of ``source``: its impulse response from the product of its sections, convolved forward, then backward."""
+    top = "w3 * w3" if not high else "4"
+    first = ("2 / (w3 + 2)", "-2 / (w3 + 2)") if high else ("w3 / (w3 + 2)", "w3 / (w3 + 2)")
+    second = "-2" if high else "2"
+    return f"""{name}_o AS (SELECT *, abs(ln(dp / ds) / ln(wp / ws)) / 2 AS r FROM (SELECT 2 * tan(pi() * {f_pass}) AS wp, 2 * tan(pi() * {f_stop}) AS ws, 1 / {a_pass} - 1 AS dp, 1 / {a_stop} - 1 AS ds)),
+{name}_d AS (SELECT 1 + CAST(floor(r) AS INT) AS n, wp * pow(dp, {"1" if high else "-1"} / (2 * r)) AS w3 FROM {name}_o),
+{name}_s AS (SELECT k, w3, {top} / d AS g, (2 * w3 * w3 - 8) / d AS a1, (4 - 4 * w3 * sn + w3 * w3) / d AS a2 FROM (SELECT k, w3, sin(pi() * (2 * k + 1) / (2 * n)) AS sn, 4 + 4 * w3 * sin(pi() * (2 * k + 1) / (2 * n)) + w3 * w3 AS d FROM {name}_d, (SELECT unnest(range(40)) AS k) WHERE k < n // 2)),
+{name}_p AS (SELECT CAST(0 AS BIGINT) AS k, CASE WHEN n % 2 = 1 THEN [{first[0]}, {first[1]}] ELSE [1.0::DOUBLE] END AS b, CASE WHEN n % 2 = 1 THEN [1.0::DOUBLE, (w3 - 2) / (w3 + 2)] ELSE [1.0::DOUBLE] END AS a FROM {name}_d
+  UNION ALL SELECT p.k + 1, list_transform(range(len(p.b) + 2), lambda e: q.g * (coalesce(p.b[e + 1], 0) + {second} * CASE WHEN e > 0 THEN coalesce(p.b[e], 0) ELSE 0 END + CASE WHEN e > 1 THEN coalesce(p.b[e - 1], 0) ELSE 0 END)),
+    list_transform(range(len(p.a) + 2), lambda e: coalesce(p.a[e + 1], 0) + q.a1 * CASE WHEN e > 0 THEN coalesce(p.a[e], 0) ELSE 0 END + q.a2 * CASE WHEN e > 1 THEN coalesce(p.a[e - 1], 0) ELSE 0 END) FROM {name}_p p JOIN {name}_s q ON q.k = p.k),
+{name}_c AS (SELECT b, a FROM {name}_p JOIN {name}_d ON k = n // 2),
+{name}_r AS (SELECT 0 AS t, CAST([] AS DOUBLE[]) AS h FROM {name}_c UNION ALL SELECT t + 1, list_append(h, coalesce(b[t + 1], 0) - coalesce(list_sum(list_transform(range(1, least(t, len(a) - 1) + 1), lambda e: a[e + 1] * h[t + 1 - e])), 0)) FROM {name}_r, {name}_c WHERE t < {length}),
+{name}_h AS (SELECT unnest(range({length})) AS e, unnest(h) AS h FROM {name}_r WHERE t = {length}),
+{name}_f AS (SELECT vec_id, it + e AS it, sum(v * h) AS v FROM {source}, {name}_h WHERE it + e < {length} GROUP BY ALL),
+{name} AS (SELECT vec_id, it - e AS it, sum(v * h) AS v FROM {name}_f, {name}_h WHERE it - e BETWEEN 0 AND 63 GROUP BY ALL)"""
+
+
+_LOW_CUT = _recursive("lc", "s", True, 0.075, 0.05, 0.95, 0.05)
+_HIGH_CUT = _recursive("hc", "lc", False, 0.2, 0.275, 0.95, 0.05)
+
+
+@query(f"WITH RECURSIVE {S}, {_LOW_CUT}, {_HIGH_CUT} SELECT vec_id, CAST(it AS BIGINT) AS it, round(v, 5) AS v FROM hc")
+def bandpass_samples(spark, sf_dir):
+    return sampled(kernels.butterworth_bandpass(doubles(spark, sf_dir)), digits=5)
+
+
+@query(f"""
+WITH RECURSIVE {S}, {_LOW_CUT}, {_HIGH_CUT}
+SELECT vec_id AS trace_id, CAST(any_value(label) AS BIGINT) AS ensemble_number, round(sqrt(avg(v * v)), 4) AS rms, round(max(abs(v)), 4) AS peak FROM hc JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id) GROUP BY vec_id""")
 def bandpass_rms(spark, sf_dir):
-    out = kernels.butterworth_bandpass(traces(spark, sf_dir))
-    return out.select(F.col("trace_id"), F.col("ensemble_number"), F.round(A.rms("data"), 6).alias("rms"), F.round(A.abs_max("data"), 6).alias("peak"))
+    out = kernels.butterworth_bandpass(doubles(spark, sf_dir))
+    return out.select(F.col("trace_id"), F.col("ensemble_number"), F.round(A.rms("data"), 4).alias("rms"), F.round(A.abs_max("data"), 4).alias("peak"))
 
 
 def _kernel_query(name: str, *ks: kernels.Kernel, sql: str | None = None) -> None:
     def run(spark, sf_dir):
-        out = kernels.apply_kernels(traces(spark, sf_dir).withColumn("data", F.col("data").cast("array<double>")), *ks)
-        return out.select("trace_id", F.round(A.rms("data"), 6).alias("rms"), F.round(F.get("data", F.lit(31)).cast("double"), 5).alias("middle"))
+        out = kernels.apply_kernels(doubles(spark, sf_dir), *ks)
+        return sampled(out, digits=5)
 
     run.__name__ = name
     query(sql)(run)
 
 
 #: From the filtered samples y (vec_id, it, v).
-_SUMMARY = "SELECT vec_id AS trace_id, round(sqrt(avg(v * v)), 6) AS rms, round(max(CASE WHEN it = 31 THEN v END), 5) AS middle FROM y GROUP BY vec_id"
+_ROWS = "SELECT vec_id, CAST(it AS BIGINT) AS it, round(v, 5) AS v FROM y"
 
 
 def _weighted(weight: str) -> str:
     """A kernel that is a sum of samples; weight: of sample j in output it."""
-    return f"WITH {S}, i AS (SELECT unnest(range(64)) AS it), y AS (SELECT s.vec_id, i.it, sum(s.v * {weight}) AS v FROM s, (SELECT it AS j FROM i) j, i WHERE s.it = j.j GROUP BY ALL) {_SUMMARY}"
+    return f"WITH {S}, i AS (SELECT unnest(range(64)) AS it), y AS (SELECT s.vec_id, i.it, sum(s.v * {weight}) AS v FROM s, (SELECT it AS j FROM i) j, i WHERE s.it = j.j GROUP BY ALL) {_ROWS}"
 
 
 def _spectral(re: str, im: str, gates: str = "(VALUES (0, 0, 0, 0, 0))", share: str = "1") -> str:
@@ -132,7 +166,7 @@ WITH {S}, k AS (SELECT k, k / (66 * 0.004) AS f FROM (SELECT unnest(range(34)) A
 c AS (SELECT vec_id, k, f, sum(v * cos(2 * pi() * k * it / 66)) AS a, sum(v * sin(2 * pi() * k * it / 66)) AS b FROM s, k GROUP BY ALL),
 d AS (SELECT vec_id, g, k, {re} AS a, {im} AS b FROM c, g),
 i AS (SELECT it, it * 0.004 AS t FROM (SELECT unnest(range(64)) AS it)),
-y AS (SELECT vec_id, it, sum({share} * CASE WHEN k IN (0, 33) THEN 1 ELSE 2 END * (d.a * cos(2 * pi() * k * it / 66) + d.b * sin(2 * pi() * k * it / 66))) / 66 AS v FROM d, i GROUP BY ALL) {_SUMMARY}"""
+y AS (SELECT vec_id, it, sum({share} * CASE WHEN k IN (0, 33) THEN 1 ELSE 2 END * (d.a * cos(2 * pi() * k * it / 66) + d.b * sin(2 * pi() * k * it / 66))) / 66 AS v FROM d, i GROUP BY ALL) {_ROWS}"""
 
 
 _BAND = "CASE WHEN f <= c0 OR f >= c3 THEN 0 WHEN f < c1 THEN pow(sin(0.5 * pi() * (f - c0) / (c1 - c0)), 2) WHEN f > c2 THEN pow(sin(0.5 * pi() * (c3 - f) / (c3 - c2)), 2) ELSE 1 END"
@@ -142,7 +176,7 @@ _GAUSS = "exp(-ln(2) * pow(2 * (i.it - j) / 5.0, 2)) / (SELECT sum(exp(-ln(2) *
 _SHIFT = "CASE WHEN abs(i.it - 0.325 - j) < 4 THEN sin(pi() * (i.it - 0.325 - j)) / (pi() * (i.it - 0.325 - j)) * pow(cos(pi() * (i.it - 0.325 - j) / 8), 2) ELSE 0 END"
 _SAVITZKY = f"""
 WITH {S}, w(k, c) AS (VALUES (-3, -2), (-2, 3), (-1, 6), (0, 7), (1, 6), (2, 3), (3, -2)), i AS (SELECT unnest(range(64)) AS it),
-y AS (SELECT s.vec_id, i.it, sum(s.v * w.c) / 21 AS v FROM i, w, s WHERE s.it = greatest(0, least(63, i.it + w.k)) GROUP BY ALL) {_SUMMARY}"""
+y AS (SELECT s.vec_id, i.it, sum(s.v * w.c) / 21 AS v FROM i, w, s WHERE s.it = greatest(0, least(63, i.it + w.k)) GROUP BY ALL) {_ROWS}"""
 
 _kernel_query("polygonal_filter", kernels.frequency_filter(), sql=_spectral(f"a * {_BAND}", f"b * {_BAND}", "(VALUES (0, 12.5, 18.75, 56.25, 62.5))"))
 _kernel_query("time_varying_bandpass", kernels.time_varying_bandpass([0.05, 0.2], [[5, 10, 60, 80], [5, 10, 30, 40]]), sql=_spectral(f"a * {_BAND}", f"b * {_BAND}", "(VALUES (0, 5, 10, 60, 80), (1, 5, 10, 30, 40))", _FADE))
@@ -154,13 +188,16 @@ amp AS (SELECT vec_id, k, sqrt(pow(sum(v * c), 2) + pow(sum(v * turn.s), 2)) AS
 lg AS (SELECT vec_id, k, ln(a + 1e-9 * max(a) OVER (PARTITION BY vec_id)) AS l FROM amp),
 cep AS (SELECT vec_id, n.k AS n, sum(l * c) / 130 * CASE WHEN n.k IN (0, 65) THEN 1 ELSE 2 END AS q FROM lg, k n, turn WHERE m = (lg.k * n.k) % 130 AND n.k <= 65 GROUP BY vec_id, n.k),
 ph AS (SELECT vec_id, k.k, sum(q * c) AS re, -sum(q * turn.s) AS im FROM cep, k, turn WHERE m = (k.k * n) % 130 GROUP BY ALL),
-y AS (SELECT vec_id, t.k AS it, sum(exp(re) * (cos(im) * c - sin(im) * turn.s)) / 130 AS v FROM ph, k t, turn WHERE m = (ph.k * t.k) % 130 AND t.k < 64 GROUP BY vec_id, t.k) {_SUMMARY}""")
-_kernel_query("antialias", kernels.antialias(0.5))
+y AS (SELECT vec_id, t.k AS it, sum(exp(re) * (cos(im) * c - sin(im) * turn.s)) / 130 AS v FROM ph, k t, turn WHERE m = (ph.k * t.k) % 130 AND t.k < 64 GROUP BY vec_id, t.k) {_ROWS}""")
+_kernel_query("antialias", kernels.antialias(0.5), sql=f"WITH RECURSIVE {S}, {_recursive('y', 's', False, 0.15, 0.25, 0.99, 0.01, 164)} {_ROWS}")
 _kernel_query("gaussian_smoothing", kernels.gaussian_smooth(5), sql=_weighted("w.c").replace("i AS (SELECT unnest(range(64)) AS it),", f"i AS (SELECT unnest(range(64)) AS it), w AS (SELECT i.it, j, {_GAUSS} AS c FROM i, (SELECT it AS j FROM i)),").replace(", i WHERE s.it = j.j", ", i, w WHERE s.it = j.j AND w.j = s.it AND w.it = i.it"))
 _kernel_query("savitzky_golay", kernels.savitzky_golay(3, 3), sql=_SAVITZKY)
 _kernel_query("fractional_shift", kernels.time_shift(0.0013), sql=_weighted(_SHIFT))
 _kernel_query("hartley_transform", kernels.hartley(), sql=_weighted("(cos(2 * pi() * ((i.it * j) % 64) / 64) + sin(2 * pi() * ((i.it * j) % 64) / 64))"))
-_kernel_query("fused_filters", kernels.bandpass_kernel(), kernels.gaussian_smooth(3), kernels.time_shift(0.002))
+_kernel_query("fused_filters", kernels.bandpass_kernel(), kernels.gaussian_smooth(3), kernels.time_shift(0.002), sql=f"""
+WITH RECURSIVE {S}, {_LOW_CUT}, {_HIGH_CUT}, i AS (SELECT unnest(range(64)) AS it), g AS (SELECT it, j, w / sum(w) OVER (PARTITION BY it) AS w FROM (SELECT it, j, exp(-ln(2) * pow(2 * (it - j) / 3.0, 2)) AS w FROM i, (SELECT it AS j FROM i))),
+m AS (SELECT vec_id, g.it, sum(v * w) AS v FROM hc JOIN g ON g.j = hc.it GROUP BY ALL),
+y AS (SELECT vec_id, i.it, sum(v * {_SHIFT.replace("0.325", "0.5").replace("- j", "- m.it")}) AS v FROM m, i GROUP BY ALL) {_ROWS}""")
 
 
 @query(f"""
@@ -172,7 +209,7 @@ SELECT vec_id, it, round(y, 4) AS v FROM f""")
 def one_pole_lowpass(spark, sf_dir):
     """First-order section of the recursive low-pass with coefficient 0.2."""
     f3db = math.atan(0.25) / math.pi  # the bilinear frequency whose section is 0.2 (1 + z) / (1 - 0.6 z)
-    out = kernels.apply_kernels(traces(spark, sf_dir).withColumn("data", F.col("data").cast("array<double>")), kernels.butterworth(1, f3db, high=False, zero_phase=False))
+    out = kernels.apply_kernels(doubles(spark, sf_dir), kernels.butterworth(1, f3db, high=False, zero_phase=False))
     return sampled(out, digits=4)
 
 
@@ -328,8 +365,7 @@ def slant_stack(spark, sf_dir):
 
 def _panel_query(name: str, f, *args, sql: str | None = None) -> None:
     def run(spark, sf_dir):
-        out = f(traces(spark, sf_dir), ["ensemble_number"], *args)
-        return out.select("trace_id", "ensemble_number", F.round(A.rms("data"), 5).alias("rms"))
+        return sampled(f(doubles(spark, sf_dir), ["ensemble_number"], *args), digits=5)
 
     run.__name__ = name
     query(sql)(run)
@@ -340,7 +376,6 @@ _SPECTRA = f"""{S}, k AS (SELECT unnest(range(34)) AS k), turn AS (SELECT k, it,
 c AS (SELECT vec_id, label, k, sum(v * cs) AS a, sum(v * sn) AS b FROM s JOIN turn USING (it) GROUP BY ALL)"""
 #: From spectra d (vec_id, label, k, a, b) to the samples y.
 _SAMPLES = "y AS (SELECT vec_id, label, it, sum(CASE WHEN k IN (0, 33) THEN 1 ELSE 2 END * (a * cs + b * sn)) / 66 AS v FROM d JOIN turn USING (k) GROUP BY ALL)"
-_PANEL = "SELECT vec_id AS trace_id, CAST(label AS BIGINT) AS ensemble_number, round(sqrt(avg(v * v)), 5) AS rms FROM y GROUP BY vec_id, label"
 
 
 def _wavenumbers(weight: str, scaled: str = "") -> str:
@@ -354,13 +389,13 @@ h AS (SELECT o.vec_id, o.label, m, w, n, cos(2 * pi() * ((m * x) % n) / n) AS mc
 f AS (SELECT h.label, k, m, any_value(w) AS w, any_value(n) AS n, sum(a * mc + b * ms) AS a, sum(b * mc - a * ms) AS b FROM c JOIN h USING (vec_id) GROUP BY h.label, k, m),
 g AS (SELECT label, k, m, a * g / n AS a, b * g / n AS b FROM (SELECT *, {weight} AS g FROM f)),
 d AS (SELECT h.vec_id, h.label, k, sum(a * mc - b * ms) AS a, sum(b * mc + a * ms) AS b FROM g JOIN h ON h.label = g.label AND h.m = g.m GROUP BY h.vec_id, h.label, k),
-{_SAMPLES} {scaled or _PANEL}"""
+{_SAMPLES} {scaled or _ROWS}"""
 
 
 _SLOPES = "CASE WHEN {0} <= 0.05 OR {0} >= 0.5 THEN 0 WHEN {0} < 0.1 THEN sin(0.5 * pi() * ({0} - 0.05) / 0.05) WHEN {0} > 0.4 THEN sin(0.5 * pi() * (0.5 - {0}) / 0.1) ELSE 1 END"
 _RADIUS = "sqrt(w * w + pow(k / 66, 2))"
 _LARGEST = """, top AS (SELECT label, max(abs(v)) AS after FROM y GROUP BY label), was AS (SELECT label, max(abs(v)) AS before FROM s GROUP BY label)
-SELECT vec_id AS trace_id, CAST(y.label AS BIGINT) AS ensemble_number, round(sqrt(avg(v * v)) * any_value(before / after), 5) AS rms FROM y JOIN top ON top.label = y.label JOIN was ON was.label = y.label GROUP BY vec_id, y.label"""
+SELECT vec_id, CAST(it AS BIGINT) AS it, round(v * before / after, 5) AS v FROM y JOIN top ON top.label = y.label JOIN was ON was.label = y.label"""
 
 _panel_query("dip_filter", cross.filter_dips, [-0.002, -0.001, 0.001, 0.002], [0, 1, 1, 0], 0.004, 1.0, sql=_wavenumbers("greatest(0, least(1, 2 - abs(w * 0.264 / (k + 1e-6)) / 0.001))"))
 _panel_query("radial_k_filter", cross.filter_radial, [0.05, 0.1, 0.4, 0.5], [0, 1, 1, 0], sql=_wavenumbers(_SLOPES.format(_RADIUS)))
@@ -371,13 +406,13 @@ _panel_query("svd_filter", cross.subtract_eigenimages, 2)
 _panel_query("phase_coherence_filter", cross.filter_phase_coherence, sql=f"""
 WITH {_SPECTRA}, t AS (SELECT *, lead(a) OVER w AS na, lead(b) OVER w AS nb FROM c WINDOW w AS (PARTITION BY label, k ORDER BY vec_id)),
 d AS (SELECT vec_id, label, k, a, b FROM t WHERE na IS NULL OR k = 33 OR a * na + b * nb >= 0.3 * sqrt((a * a + b * b) * (na * na + nb * nb))),
-{_SAMPLES} {_PANEL}""")
+{_SAMPLES} {_ROWS}""")
 _panel_query("low_frequency_array", cross.mix_low_frequencies, 0.004, sql=f"""
 WITH {_SPECTRA}, t AS (SELECT *, k / 0.264 AS f FROM c), w(k, half) AS (VALUES (1, 13), (2, 6), (3, 4), (4, 3), (5, 2), (6, 2)),
 u AS (SELECT t.*, avg(a) OVER z AS ma, avg(b) OVER z AS mb FROM t JOIN w USING (k) WINDOW z AS (PARTITION BY label, k ORDER BY vec_id ROWS BETWEEN half PRECEDING AND half FOLLOWING)),
 d AS (SELECT vec_id, label, k, g * ma + (1 - g) * a AS a, g * mb + (1 - g) * b AS b FROM (SELECT *, CASE WHEN f <= 20 THEN 1 ELSE 1 - (f - 20) / 5 END AS g FROM u)
   UNION ALL SELECT vec_id, label, k, a, b FROM c WHERE k NOT BETWEEN 1 AND 6),
-{_SAMPLES} {_PANEL}""")
+{_SAMPLES} {_ROWS}""")
 
 
 @query("""
@@ -387,19 +422,18 @@ i AS (SELECT unnest(range(64)) AS it),
 p AS (SELECT t.vec_id, t.label, r, n, k, i.it, coalesce(s.v, CAST(0 AS FLOAT)) AS v FROM t JOIN i ON true LEFT JOIN s ON s.vec_id = t.vec_id AND s.it = i.it - k),
 m AS (SELECT a.vec_id, a.k, a.it, median(b.v) AS v FROM p a JOIN (VALUES (-2), (-1), (0), (1), (2)) w(q) ON true
   JOIN p b ON b.label = a.label AND b.it = a.it AND b.r = CASE WHEN a.r + q BETWEEN 1 AND a.n THEN a.r + q WHEN a.r - q BETWEEN 1 AND a.n THEN a.r - q ELSE a.r END GROUP BY a.vec_id, a.k, a.it)
-SELECT s.vec_id AS trace_id, round(sqrt(avg(pow(CAST(CAST(s.v - coalesce(m.v, 0) AS FLOAT) AS DOUBLE), 2))), 5) AS rms FROM s JOIN t USING (vec_id) LEFT JOIN m ON m.vec_id = s.vec_id AND m.it = s.it + t.k GROUP BY s.vec_id""")
+SELECT s.vec_id, s.it, round(CAST(CAST(s.v - coalesce(m.v, 0) AS FLOAT) AS DOUBLE), 6) AS v FROM s JOIN t USING (vec_id) LEFT JOIN m ON m.vec_id = s.vec_id AND m.it = s.it + t.k""")
 def moveout_median_filter(spark, sf_dir):
-    out = cross.moveout_median(traces(spark, sf_dir), ["ensemble_number"], "trace_id", [0.0, 500.0], [0.0, 0.05])
-    return out.select("trace_id", F.round(A.rms("data"), 5).alias("rms"))
+    return sampled(cross.moveout_median(traces(spark, sf_dir), ["ensemble_number"], "trace_id", [0.0, 500.0], [0.0, 0.05]))
 
 
 @query(f"""
 WITH {_SPECTRA}, o AS (SELECT *, row_number() OVER (PARTITION BY label, k ORDER BY a, vec_id) AS ra, row_number() OVER (PARTITION BY label, k ORDER BY b, vec_id) AS rb, count(*) OVER (PARTITION BY label, k) AS n FROM c),
 q AS (SELECT *, least(floor(n * 15.0 / 100 + 0.5), floor((n - 1) / 2)) AS q FROM o),
 d AS (SELECT label AS vec_id, label, k, avg(a) FILTER (WHERE ra > q AND ra <= n - q) AS a, avg(b) FILTER (WHERE rb > q AND rb <= n - q) AS b FROM q GROUP BY label, k),
-{_SAMPLES} SELECT CAST(label AS BIGINT) AS ensemble_number, round(sqrt(avg(v * v)), 5) AS rms FROM y GROUP BY label""")
+{_SAMPLES} SELECT CAST(label AS BIGINT) AS label, CAST(it AS BIGINT) AS it, round(v, 5) AS v FROM y""")
 def trimmed_spectrum_stack(spark, sf_dir):
-    return cross.trimmed_spectrum_stack(traces(spark, sf_dir), ["ensemble_number"]).select("ensemble_number", F.round(A.rms("data"), 5).alias("rms"))
+    return sampled(cross.trimmed_spectrum_stack(doubles(spark, sf_dir), ["ensemble_number"]), digits=5, key="ensemble_number", name="label")
 
 
 # --- relational and statistical -----------------------------------------------
@@ -503,12 +537,12 @@ def strongest_traces(spark, sf_dir):
 
 
 def queries() -> dict:
-    from tracefold.plans import pointwise  # noqa: F401  registers its queries
+    from tracefold.plans import panels, pointwise  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    from tracefold.plans import pointwise  # noqa: F401  registers its SQL
+    from tracefold.plans import panels, pointwise  # noqa: F401  register their SQL
 
     return dict(_SQL)
