@@ -9,10 +9,10 @@ the form names:
     plain the text itself, where it is empty or holds a mark
 
 Documents with one text share an entry of the index: texts are grouped by their
-SHA-256 and length, one text a group (and a map task) is shuffled, and the line
-ends of each distinct text are kept as an Elias-Fano list, found once. Documents
-join their entry by the digest, without their text; a cut reads one entry of the
-list. Content is verified at the end: the text that is rebuilt from every
+SHA-256 and length, one text a group (and a map task) is shuffled, once, and the
+line ends of each distinct text are kept as an Elias-Fano list, found once. Documents
+join their list by the digest, without any text; a cut reads one entry of the list,
+and then meets the text where it lies. Content is verified at the end: the text that is rebuilt from every
 document's output must have the digest of that document's own text, or the job
 fails.
 
@@ -95,13 +95,18 @@ def _digested(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("digest"), F.length("text").alias("chars"))
 
 
-def distinct_index(docs: DataFrame) -> DataFrame:
-    """digest, chars, text, n (lines), ends (Elias-Fano list of 0 and the lines' ends) of each distinct text."""
-    one = _digested(docs).groupBy("digest", "chars").agg(F.first("text").alias("text"))
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """digest, chars, text of each distinct text."""
+    return _digested(docs).groupBy("digest", "chars").agg(F.first("text").alias("text"))
+
+
+def distinct_index(texts: DataFrame) -> DataFrame:
+    """digest, chars, n (lines), marked (holds a mark), ends (Elias-Fano list of 0 and the lines' ends) of distinct texts."""
     parts = F.split("text", "\n")
     n = F.size(parts) - (F.col("text").endswith("\n") | (F.col("text") == "")).cast("int")
-    sized = one.select("digest", "chars", "text", n.alias("n"), F.transform(parts, lambda x: F.length(x)).alias("sizes"))
-    return sized.select("digest", "chars", "text", "n", _boundaries("sizes", "chars").alias("ends"))
+    marked = F.col("text").contains(P) | F.col("text").contains(S) | F.col("text").contains(M)
+    sized = texts.select("digest", "chars", n.alias("n"), marked.alias("marked"), F.transform(parts, lambda x: F.length(x)).alias("sizes"))
+    return sized.select("digest", "chars", "n", "marked", _boundaries("sizes", "chars").alias("ends"))
 
 
 def _drawn(seed: int) -> Column:
@@ -110,16 +115,21 @@ def _drawn(seed: int) -> Column:
     return F.array(*[F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("long") for k in range(4)])
 
 
-def _cut(met: DataFrame, seed: int, fim_percent: int, spm_percent: int) -> DataFrame:
-    """Documents with their index entry to their outputs."""
+def _chosen(met: DataFrame, seed: int, fim_percent: int, spm_percent: int) -> DataFrame:
+    """The form and cuts of documents with their index entry."""
     h = met.withColumn("h", _drawn(seed))
     cuts = [F.pmod(F.get("h", F.lit(k)), F.col("n") + 1).cast("int") for k in (0, 1)]
-    plain = (F.col("text") == "") | F.col("text").contains(P) | F.col("text").contains(S) | F.col("text").contains(M) | (F.pmod(F.get("h", F.lit(2)), F.lit(100)) >= fim_percent)
+    plain = (F.col("chars") == 0) | F.col("marked") | (F.pmod(F.get("h", F.lit(2)), F.lit(100)) >= fim_percent)
     form = F.when(plain, "plain").when(F.pmod(F.get("h", F.lit(3)), F.lit(100)) < spm_percent, "spm").otherwise("psm")
-    chosen = h.select("doc_id", "digest", "text", "chars", "n", "ends", form.alias("form"), F.least(*cuts).alias("i"), F.greatest(*cuts).alias("j"))
-    known = chosen.select("doc_id", "digest", "text", "n", "form", *[F.when(F.col("form") != "plain", entry(F.col("ends"), F.col(c))).cast("long").alias(a) for c, a in (("i", "at"), ("j", "to"))], "chars")
+    keys = [c for c in ("digest", "chars", "part") if c in met.columns]
+    drawn = h.select("doc_id", *keys, "n", "ends", form.alias("form"), F.least(*cuts).alias("i"), F.greatest(*cuts).alias("j"))
+    return drawn.select("doc_id", *keys, "n", "form", *[F.when(F.col("form") != "plain", entry(F.col("ends"), F.col(c))).cast("long").alias(a) for c, a in (("i", "at"), ("j", "to"))])
+
+
+def _cut(chosen: DataFrame) -> DataFrame:
+    """Documents with their form, cuts and text to their outputs."""
     a, b = F.col("at").cast("int"), F.col("to").cast("int")
-    parts = known.select(
+    parts = chosen.select(
         "doc_id", "digest", "text", "n", "form", F.col("at").alias("prefix_chars"), (F.col("to") - F.col("at")).alias("middle_chars"),
         F.substring("text", F.lit(1), a).alias("p"), F.substring("text", a + 1, b - a).alias("m"), F.substring("text", b + 1, F.col("chars")).alias("s"),
     )
@@ -143,18 +153,22 @@ def fill_in_middle(docs: DataFrame, seed: int = SEED, fim_percent: int = 100, sp
     own = _digested(docs).select("doc_id", "digest", "chars")
     limit = max(hot_rows, -(-rows // 10_000))
     hot = own.groupBy("digest", "chars").count().where(F.col("count") > limit).collect()  # at most 10,000
-    index = distinct_index(docs)
-    cut = lambda d, i, on: _cut(d.join(i, on), seed, fim_percent, spm_percent)
+    texts = distinct_texts(docs)
+    index = distinct_index(texts)
+
+    def cut(rows: DataFrame, index: DataFrame, texts: DataFrame, on: list[str]) -> DataFrame:
+        return _cut(_chosen(rows.join(index, on), seed, fim_percent, spm_percent).join(texts, on))
+
     if not hot:
-        return cut(own, index, ["digest", "chars"])
+        return cut(own, index, texts, ["digest", "chars"])
     spark = docs.sparkSession
     parts = F.broadcast(spark.createDataFrame([(bytes(r["digest"]), -(-r["count"] // limit)) for r in hot], "digest binary, parts int"))
     drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts")).cast("int")
     many = own.join(parts, "digest").withColumn("part", drawn).drop("parts")
-    copies = distinct_index(docs.join(parts, F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)) == parts["digest"], "left_semi"))
-    copies = copies.join(parts, "digest").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    hot_texts = distinct_texts(docs.join(parts, F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)) == parts["digest"], "left_semi"))
+    dealt = lambda df: df.join(parts, "digest").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     few = own.join(parts, "digest", "left_anti")
-    return cut(few, index, ["digest", "chars"]).unionByName(cut(many, copies, ["digest", "chars", "part"]))
+    return cut(few, index, texts, ["digest", "chars"]).unionByName(cut(many, dealt(distinct_index(hot_texts)), dealt(hot_texts), ["digest", "chars", "part"]))
 
 
 def digests(made: DataFrame) -> DataFrame:
