@@ -1,7 +1,8 @@
 """Operators across traces: mixing, medians, stacks, gathers and panels.
 
-Windows and aggregations run on exploded samples or directly on arrays, keyed by
-a panel or gather, so they spread over keys. Panel filters transform each trace
+Aggregations run on exploded samples or directly on arrays, keyed by a panel or
+gather, so they spread over keys; windows along a panel run in blocks of it (see
+``blocks``). Panel filters transform each trace
 by itself and then work by (panel, frequency), so no task holds a panel, and a
 panel may have any number of traces; ``seq`` tells a panel's traces apart.
 ``panel_map`` is for small panels: it gathers a panel in one task, and
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracefold.functions.arrays import let
+from tracefold.operators import blocks
 from tracefold.operators.kernels import _irfft, _rfft, polygon, real_fft_length
 
 MIX_WEIGHTS = (0.6, 1.0, 1.0, 1.0, 0.6)
@@ -37,34 +39,30 @@ def from_samples(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.transform(sorted_, lambda s: s["v"]).alias("data"))
 
 
-def _frame(panel: list[str], half: int):
-    return Window.partitionBy(*panel).orderBy("seq").rowsBetween(-half, half)
-
-
-def _neighbours(traces: DataFrame, panel: list[str], width: int) -> tuple[DataFrame, Column]:
-    """Each trace with the arrays of the ``width`` traces around it, the panel's ends mirrored."""
+def _beside(traces: DataFrame, panel: list[str], width: int) -> tuple[DataFrame, Column]:
+    """Traces in blocks with margins, and the arrays of the ``width`` traces around each, the panel's ends mirrored."""
     half = width // 2
-    w = Window.partitionBy(*panel).orderBy("seq")
+    df, w = blocks.with_margins(traces, panel, before=half, after=half), blocks.window(panel)
     arrays = []
     for k in range(-half, half + 1):
         there, mirrored = F.lead("data", k).over(w), F.lead("data", -k).over(w)
         arrays.append(F.coalesce(there, mirrored, F.col("data")) if k else F.col("data"))
-    return traces, F.array(*arrays)
+    return df, F.array(*arrays)
 
 
 def mix(traces: DataFrame, panel: list[str], weights: tuple[float, ...] = MIX_WEIGHTS) -> DataFrame:
     """Weighted mean of neighbouring traces, divided by their number; the panel's ends are mirrored."""
-    df, near = _neighbours(traces, panel, len(weights))
+    df, near = _beside(traces, panel, len(weights))
     value = lambda n, i: sum((F.get(F.get(n, F.lit(k)), i).cast("double") * w for k, w in enumerate(weights)), F.lit(0.0)) / len(weights)
     kind = df.schema["data"].dataType.elementType
-    return df.withColumn("data", let(near, lambda n: F.transform("data", lambda v, i: value(n, i).cast(kind))))
+    return blocks.without_margins(df.withColumn("near_", near)).withColumn("data", let("near_", lambda n: F.transform("data", lambda v, i: value(n, i).cast(kind)))).drop("near_")
 
 
 def median(traces: DataFrame, panel: list[str], width: int = 5) -> DataFrame:
     """Median over neighbouring traces at each sample; the panel's ends are mirrored."""
-    df, near = _neighbours(traces, panel, width)
+    df, near = _beside(traces, panel, width)
     middle = lambda n, i: F.element_at(F.sort_array(F.transform(n, lambda a: F.get(a, i))), width // 2 + 1)
-    return df.withColumn("data", let(near, lambda n: F.transform("data", lambda v, i: middle(n, i))))
+    return blocks.without_margins(df.withColumn("near_", near)).withColumn("data", let("near_", lambda n: F.transform("data", lambda v, i: middle(n, i)))).drop("near_")
 
 
 def moveout_median(traces: DataFrame, panel: list[str], key: str, xs: list[float], ts: list[float], width: int = 5, sign: int = -1, subtract: bool = True, use_mix: bool = False) -> DataFrame:
@@ -83,16 +81,18 @@ def moveout_median(traces: DataFrame, panel: list[str], key: str, xs: list[float
 
 def runs(df: DataFrame, line: list[str], order: str, key: str, name: str = "run") -> DataFrame:
     """Numbers of consecutive rows with an equal key, from 1 within each line."""
-    w = Window.partitionBy(*line).orderBy(order)
+    w = blocks.window(line, order)
+    beside = blocks.with_margins(df, line, order, before=1, after=0)
     change = (~F.col(key).eqNullSafe(F.lag(key).over(w))) | (F.row_number().over(w) == 1)
-    return df.withColumn("change_", change.cast("int")).withColumn(name, F.sum("change_").over(w)).drop("change_")
+    return blocks.totals_before(blocks.without_margins(beside.withColumn("change_", change.cast("int"))), line, "change_", name, order).drop("change_")
 
 
 def segments_at_gaps(df: DataFrame, line: list[str], index: str, gap: float, name: str = "segment") -> DataFrame:
     """Numbers of stretches that a jump of more than ``gap`` in the index parts, from 1."""
-    w = Window.partitionBy(*line).orderBy(index)
+    w = blocks.window(line, index)
+    beside = blocks.with_margins(df, line, index, before=1, after=0)
     jump = F.coalesce((F.col(index) - F.lag(index).over(w) > gap).cast("int"), F.lit(0))
-    return df.withColumn("jump_", jump).withColumn(name, F.sum("jump_").over(w) + 1).drop("jump_")
+    return blocks.totals_before(blocks.without_margins(beside.withColumn("jump_", jump)), line, "jump_", name, index).withColumn(name, F.col(name) + 1).drop("jump_")
 
 
 def stack(traces: DataFrame, keys: list[str]) -> DataFrame:
@@ -129,8 +129,8 @@ def adjacent_coherence(traces: DataFrame, panel: list[str]) -> DataFrame:
     """Normalised zero-lag correlation with the next trace of the panel; null for the last."""
     from tracefold.functions.arrays import dot
 
-    w = Window.partitionBy(*panel).orderBy("seq")
-    df = traces.withColumn("next_", F.lead("data").over(w))
+    beside = blocks.with_margins(traces, panel, before=0, after=1)
+    df = blocks.without_margins(beside.withColumn("next_", F.lead("data").over(blocks.window(panel))))
     return df.withColumn("coherence", dot("data", "next_") / F.sqrt(dot("data", "data") * dot("next_", "next_"))).drop("next_")
 
 
@@ -308,8 +308,8 @@ def filter_phase_coherence(traces: DataFrame, panel: list[str], high: float = 1.
             out.append(d)
         return pd.Series(out, dtype=object)
 
-    following = F.lead("data").over(Window.partitionBy(*panel).orderBy("seq"))
-    return traces.withColumn("next_", following).withColumn("data", run("data", "next_").cast(traces.schema["data"].dataType)).drop("next_")
+    beside = blocks.with_margins(traces, panel, before=0, after=1)
+    return blocks.without_margins(beside.withColumn("next_", F.lead("data").over(blocks.window(panel)))).withColumn("data", run("data", "next_").cast(traces.schema["data"].dataType)).drop("next_")
 
 
 def mix_low_frequencies(traces: DataFrame, panel: list[str], dt: float, f1: float = 3.0, f2: float = 20.0, ramp: float = 5.0, velocity: float = 1000.0, dx: float = 10.0, max_mix: int | None = None) -> DataFrame:
