@@ -313,10 +313,15 @@ def _banded(x: np.ndarray, weights: np.ndarray, before: int) -> np.ndarray:
     return out
 
 
+def savitzky_golay_weights(left: int, right: int, derivative: int = 0, degree: int = 2) -> np.ndarray:
+    """Weights of left + 1 + right samples that give the local polynomial fit, or its derivative, at the middle one."""
+    k = np.arange(-left, right + 1)
+    return np.linalg.pinv(np.vander(k, degree + 1, increasing=True))[derivative] * math.factorial(derivative)
+
+
 def savitzky_golay(left: int, right: int, derivative: int = 0, degree: int = 2) -> Kernel:
     """Local polynomial fit over left + 1 + right samples; the ends use the samples there are."""
-    k = np.arange(-left, right + 1)
-    weights = np.linalg.pinv(np.vander(k, degree + 1, increasing=True))[derivative] * math.factorial(derivative)
+    weights = savitzky_golay_weights(left, right, derivative, degree)
 
     def run(x: np.ndarray, dt: float) -> np.ndarray:
         pad = np.pad(x, ((0, 0), (left, right)), mode="edge")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +54,18 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     return inside.groupBy(F.least(F.width_bucket(F.col(value), F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def smoothed_histogram(df: DataFrame, value: str, low: float, high: float, bins: int, reach: int = 5) -> DataFrame:
+    """bin, share: the counts of :func:`histogram` under a Gaussian of exp(-pi r²) within ``reach`` bins, as shares that add to 1.
+
+    Every bin has a row. Without a value inside the shares are null.
+    """
+    spread = F.explode(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda r: F.struct((F.col("bin") + r).alias("bin"), (F.col("n") * F.exp(-math.pi * r * r)).alias("v"))))
+    parts = histogram(df, value, low, high, bins).select(spread.alias("p")).select("p.bin", "p.v").where(F.col("bin").between(1, bins))
+    summed = df.sparkSession.range(1, bins + 1).withColumnRenamed("id", "bin").join(parts.groupBy("bin").agg(F.sum("v").alias("v")), "bin", "left")
+    total = summed.agg(F.sum("v").alias("total_"))  # one row
+    return summed.join(F.broadcast(total)).select("bin", (F.when(F.col("total_") > 0, F.coalesce("v", F.lit(0.0)) / F.col("total_"))).alias("share"))
+
+
 def coordinate_multiplier(scalar: Column) -> Column:
     """Factor of a stored coordinate: s for positive, 1 / |s| for negative scalars, 1 for 0."""
     return F.when(scalar > 0, scalar.cast("double")).when(scalar < 0, 1 / F.abs(scalar).cast("double")).otherwise(1.0)

@@ -97,22 +97,6 @@ def inverse(order: int = 4, levels: int = 1, coarse_only: bool = False) -> Kerne
     return run
 
 
-def resolutions(order: int = 4, levels: int = 1) -> Kernel:
-    """Samples of the hierarchical display: the coarse half and each level's details as their own means over the samples they stand for."""
-
-    def run(x: np.ndarray, dt: float) -> np.ndarray:
-        c = transform(order, levels)(x, dt)
-        n = x.shape[1]
-        parts = [(0, n >> levels)] + [(n >> k, n >> (k - 1)) for k in range(levels, 0, -1)]
-        out = np.zeros_like(c)
-        for a, b in parts:
-            level = int(math.log2(n // (b - a)))
-            out[:, a:b] = c[:, a:b] / math.sqrt(2) ** level
-        return out
-
-    return run
-
-
 def cascade(order: int, levels: int) -> tuple[np.ndarray, np.ndarray]:
     """(scaling function, mother wavelet) at steps of 2 ** -levels, by refining the filter."""
     c, d = daubechies(order)
