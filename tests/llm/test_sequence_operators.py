@@ -1,4 +1,4 @@
-"""Conversation repair, fill-in-middle and language identification against brute force, and on odd tables."""
+"""Conversation repair, fill-in-middle, language identification and running totals against brute force, and on odd tables."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ pytest.importorskip("tracefold.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
 from tests.llm.test_operators import none, odd  # noqa: E402, F401
-from tracefold.llm import catalog, fim, langid, repair  # noqa: E402
+from tracefold.llm import catalog, chat, decontaminate, fim, langid, license_rules, license_scan, repair, scans  # noqa: E402
 from tracefold.session import ship  # noqa: E402
 
 # --- conversation structure repair ----------------------------------------------
@@ -268,3 +268,75 @@ def test_languages_without_training(spark, none, odd):  # noqa: F811
 
 def test_registered():
     assert {"op11_structure_repair", "op12_fill_in_middle", "op13_language_id"} <= set(catalog.queries())
+
+
+# --- running totals, and what rests on them -------------------------------------------
+
+
+def test_running_totals(spark):
+    rng = random.Random(1)
+    rows = [(k, [rng.randint(0, 9) for _ in range(n)]) for k, n in enumerate([0, 1, 2, 3, 4, 5, 10, 17, 100, 5000])] + [(99, None)]
+    df = spark.createDataFrame(rows, "k int, x array<int>")
+    got = {r.k: r.t for r in df.select("k", scans.totals_before(F.col("x")).alias("t")).collect()}
+    for k, x in rows:
+        assert got[k] == [sum(x[:i]) for i in range(len(x or []))]
+    cut = df.where("size(x) > 0").select("x", scans.pieces(F.col("x")).alias("p")).collect()
+    assert all(sum(r.p, []) == r.x and max(map(len, r.p)) <= math.isqrt(len(r.x)) + 1 for r in cut)
+
+
+def test_long_conversation_is_formatted(spark):
+    n = 20_000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é <turn/> "), F.col("id").cast("string")).alias("text"))
+    r = chat.digest(chat.read_back(chat.format_conversations(turns))).collect()[0]
+    loss = "".join(f"é <turn/> {k}" for k in range(n) if k % 3)
+    assert r.n_turns == n and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def brute_detections(text):
+    """Matches of all rules whose keyword is in the text, and which of them stand, by comparing all pairs."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    inner = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  ", low)
+    norm = " " + inner.strip(" ") + " "
+    spans = set()
+    for label, priority, keyword, pattern in license_rules.rules():
+        if keyword in norm:
+            for m in re.finditer(pattern, norm):
+                first = len(norm[: m.start()].split())
+                if m[0].strip():
+                    spans.add((first, first + len(m[0].split()) - 1, priority, label))
+
+    def inside(x, y):
+        within = y[0] <= x[0] and x[1] <= y[1]
+        longer, same = y[1] - y[0] > x[1] - x[0], y[:2] == x[:2]
+        return within and (y[2] > x[2] or (y[2] == x[2] and (longer or (same and y[3] < x[3]))))
+
+    return sorted(x for x in spans if not any(inside(x, y) for y in spans))
+
+
+def test_license_detections_equal_all_pairs(spark):
+    rng = random.Random(12)
+    wordings = [text for _, _, _, text in license_rules.PLAIN] + [f"{name} version {v}" for _, _, names, versions in license_rules.VERSIONED for name in names for v in versions]
+    wordings += ["Licensed under the", "released under", "any later version", "SPDX-License-Identifier: MIT", "CC BY-SA 4.0", "cc by", "All rights reserved", "word", "other words", "license", "Copyright 2020"]
+    docs = [(k, ". ".join(rng.choice(wordings).replace("~", "some words").replace("{year}", "1999") for _ in range(rng.choice([1, 3, 10, 60])))) for k in range(80)] + [(900, None), (901, "")]
+    got = {r.doc_id: [tuple(x) for x in r.detections] for r in license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    for k, text in docs:
+        assert got[k] == brute_detections(text or ""), (k, text)
+
+
+def test_many_license_hits_in_one_text(spark):
+    n = 6000
+    text = ". ".join(f"Licensed under the MIT License {k} and GNU General Public License version 2" for k in range(n))
+    r = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(r.detections) == 2 * n and r.labels == "gpl,gpl-2,mit" and r.n_base == n
+
+
+def test_decontamination_in_blocks_by_length(spark, monkeypatch):
+    rng = random.Random(13)
+    words_ = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    items = [(k, " ".join(rng.choice(words_) for _ in range(40))) for k in range(30)]
+    docs = [(k, " ".join([rng.choice(words_) for _ in range(50)] + (items[k % 30][1].split() if k % 2 else []))) for k in range(60)]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect()))
+    whole = rows()
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 1500)
+    assert rows() == whole and {r[0] for r in whole} >= {k for k in range(60) if k % 2}

@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracefold.llm.scans import totals_before
+
 BEGIN, NEXT, END = "<turn>", "<turn/>", "</turn>"
 LOSS_ROLE = "assistant"
 
@@ -58,17 +60,10 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     role = lambda t: _replace(escape(t["role"]), "\n", "<\\nl")
     lead = lambda t: F.when(t["opens"], F.concat(F.when(t["leads"], F.lit("")).otherwise(F.lit(END)), F.lit(BEGIN), role(t), F.lit("\n"))).otherwise(F.lit(NEXT))
     pieces = marked.select("conv_id", F.transform("turns", lambda t: F.struct(lead(t).alias("lead"), escape(t["text"]).alias("text"), (t["role"] == LOSS_ROLE).alias("loss"))).alias("pieces"))
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("out")),
-        lambda s, p: F.struct(
-            (s["at"] + F.octet_length(p["lead"]) + F.octet_length(p["text"])).cast("long").alias("at"),
-            F.when(p["loss"], F.concat(s["out"], F.array(F.struct((s["at"] + F.octet_length(p["lead"])).cast("long").alias("start"), F.octet_length(p["text"]).cast("long").alias("length"))))).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
+    measured = pieces.select("conv_id", "pieces", totals_before(F.transform("pieces", lambda p: (F.octet_length(p["lead"]) + F.octet_length(p["text"])).cast("long"))).alias("starts"))
+    placed = F.zip_with("pieces", "starts", lambda p, at: F.when(p["loss"], F.struct((at + F.octet_length(p["lead"])).cast("long").alias("start"), F.octet_length(p["text"]).cast("long").alias("length"))))
     text = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["text"])), ""), F.lit(END))
-    return pieces.select("conv_id", text.cast("binary").alias("formatted"), spans.alias("loss"))
+    return measured.select("conv_id", text.cast("binary").alias("formatted"), F.array_compact(placed).alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

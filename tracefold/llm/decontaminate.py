@@ -1,8 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows and multi-index Hamming search.
 
-The benchmark is cut into blocks of at most ``BLOCK_ITEMS`` items; a block's
-index is the only thing sent to the tasks, so its size is bounded, and each
-block is searched over all documents.
+The benchmark is cut into blocks of about ``BLOCK_ITEMS`` items, or fewer longer
+ones; a block's index is the only thing sent to the tasks, so its size is bounded.
+Each block is searched over all documents, and its leaks are written before the
+next one's index is made, so that no two are held at once.
 
 In a document, windows of exactly an item's number of words are told by 64-bit
 SimHashes of their weighted five-word shingles. Fingerprints within ``RADIUS``
@@ -33,6 +34,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,7 @@ RADIUS = 20
 PROBED = 2  # so there are (RADIUS + 1) / (PROBED + 1) bit blocks
 THRESHOLD = 0.75
 BLOCK_ITEMS = 20_000
+BLOCK_CHARS = 40_000_000  # of items that are together on the driver, on average
 SCHEMA = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 _BITS = np.arange(64, dtype=np.uint64)
 _MARK_BITS = 20
@@ -155,7 +158,8 @@ class Index:
         return [(k, *v) for k, v in best.items()]
 
 
-def _search(docs: DataFrame, index: Index) -> DataFrame:
+def _search(docs: DataFrame, index: Index) -> tuple[DataFrame, Broadcast]:
+    """The leaks of a block's items, and what was sent to find them."""
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +186,7 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), SCHEMA), sent
 
 
 def _frequency_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +200,10 @@ def _frequency_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words of each benchmark item found in a document (its best window)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, -(-items.count() // block_items))
+    n, chars = items.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+    blocks = max(1, -(-n // block_items), -(-(chars or 0) // BLOCK_CHARS))
     if blocks == 1:
-        return _search(docs, Index(sorted(((r[0], r[1]) for r in items.collect()), key=str)))
+        return _search(docs, Index(sorted(((r[0], r[1]) for r in items.collect()), key=str)))[0]
     frequency, _ = materialise(items.mapInArrow(tidied(_frequency_rows), "shingle long").groupBy("shingle").count(), "item-shingles")
     total = frequency.where("shingle is null").agg(F.sum("count")).first()[0] or 0
     out = None
@@ -207,7 +212,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         own = frequency.join(some.mapInArrow(tidied(_frequency_rows), "shingle long").distinct(), "shingle", "left_semi").collect()  # those of a block
         index = Index(sorted(((r[0], r[1]) for r in some.collect()), key=str), {x & (1 << 64) - 1: n for x, n in own}, total)
-        found = _search(docs, index)
+        found, sent = _search(docs, index)
+        found, _ = materialise(found, "block-leaks")
+        sent.destroy()  # driver and executors hold one block's index at a time
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -113,6 +113,87 @@ PLAIN = [
     ("copyright", 10, "copyright", "copyright c ~ {year}"),
     ("copyright", 10, "copyright", "copyright {year}"),
     ("copyright", 10, "copyright", "copyright ©"),
+    # clauses and notices of whole license texts
+    ("mit", 85, "permission  notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", 80, "permission  notice", "this permission notice shall be included in all copies"),
+    ("mit", 85, "to  deal", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies"),
+    ("mit-0", 80, "mit  no  attribution", "mit no attribution"),
+    ("isc", 80, "author  disclaims", "the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("curl", 92, "with  or  without", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("hpnd", 85, "without  fee", "permission to use copy modify and distribute this software and its documentation for any purpose ~ without fee"),
+    ("postgresql", 90, "written  agreement", "without fee and without a written agreement is hereby granted"),
+    ("bsd", 80, "redistributions  of", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", 80, "redistributions  in", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", 80, "by  the  copyright", "this software is provided by the copyright holders and contributors as is"),
+    ("bsd-3-clause", 85, "endorse", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-protection", 60, "bsd", "bsd protection license"),
+    ("zlib", 85, "misrepresented", "the origin of this software must not be misrepresented"),
+    ("zlib", 85, "held  liable", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", 85, "removed  or  altered", "this notice may not be removed or altered from any source distribution"),
+    ("libpng", 90, "png  reference", "the png reference library is supplied as is"),
+    ("ijg", 90, "jpeg  group", "this software is based in part on the work of the independent jpeg group"),
+    ("freetype", 90, "freetype", "portions of this software are copyright ~ the freetype project"),
+    ("freetype", 60, "freetype", "freetype project license"),
+    ("openssl", 90, "openssl", "this product includes software developed by the openssl project"),
+    ("ssleay", 90, "eric  young", "this product includes cryptographic software written by eric young"),
+    ("apache", 80, "apache", "you may obtain a copy of the license at ~ apache org licenses license"),
+    ("apache", 85, "in  compliance", "you may not use this file except in compliance with the license"),
+    ("apache", 70, "apache", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-1.1", 90, "apache", "this product includes software developed by the apache software foundation"),
+    ("apache-2.0", 60, "apache", "apache license v2"),
+    ("apache-2.0", 60, "apache", "apache 2 license"),
+    ("gpl", 85, "redistribute  it", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", 80, "copy  of  the  gnu", "you should have received a copy of the gnu general public license along with"),
+    ("gpl", 60, "gnu  gpl", "gnu gpl"),
+    ("gpl-2", 65, "gplv2", "gplv2"),
+    ("gpl-3", 65, "gplv3", "gplv3"),
+    ("lgpl", 85, "redistribute  it", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("lgpl", 80, "copy  of  the  gnu", "you should have received a copy of the gnu lesser general public license along with"),
+    ("lgpl", 60, "gnu  lgpl", "gnu lgpl"),
+    ("lgpl-2.1", 65, "lgplv2", "lgplv2 1"),
+    ("lgpl-3", 65, "lgplv3", "lgplv3"),
+    ("agpl", 85, "affero", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl", 80, "interacting  with", "all users interacting with it remotely through a computer network"),
+    ("classpath-exception", 90, "special  exception", "as a special exception the copyright holders of this library give you permission to link this library"),
+    ("gcc-exception", 90, "runtime  library  exception", "gcc runtime library exception"),
+    ("fdl", 85, "invariant  sections", "with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2.0", 90, "source  code  form", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl", 85, "subject  to  the", "the contents of this file are subject to the mozilla public license"),
+    ("epl", 85, "accompanying  materials", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", 85, "subject  to  the", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("unlicense", 90, "anyone  is  free", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("unlicense", 80, "unlicense", "please refer to ~ unlicense org"),
+    ("wtfpl", 90, "what  the", "you just do what the fuck you want to"),
+    ("beerware", 92, "buy  me", "you think this stuff is worth it you can buy me a beer in return"),
+    ("charityware", 60, "charityware", "charityware"),
+    ("cc0", 90, "under  law", "to the extent possible under law ~ has waived all copyright"),
+    ("cc", 30, "creative  commons", "this work is licensed under a creative commons"),
+    ("cc", 30, "creative  commons", "licensed under creative commons"),
+    ("ofl", 90, "font  software", "this font software is licensed under the sil open font license"),
+    ("ofl", 80, "reserved  font", "with reserved font name"),
+    ("artistic", 85, "perl", "this program is free software you can redistribute it and or modify it under the same terms as perl itself"),
+    ("php", 90, "php", "this source file is subject to version ~ of the php license"),
+    ("psf", 90, "licensee  on  an", "psf is making python available to licensee on an as is basis"),
+    ("ruby", 85, "clause  bsdl", "you can redistribute it and or modify it under either the terms of the 2 clause bsdl"),
+    ("proprietary", 60, "strictly  prohibited", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", 60, "strictly  prohibited", "unauthorized use or distribution is strictly prohibited"),
+    ("proprietary", 60, "trade  secret", "contains trade secrets of"),
+    ("proprietary", 60, "confidential", "this software is the confidential and proprietary information of"),
+    ("proprietary", 40, "be  reproduced", "no part of this ~ may be reproduced"),
+    ("proprietary", 40, "internal  use", "for internal use only"),
+    ("eula", 50, "end  user", "end user license agreement"),
+    ("non-commercial", 50, "commercial  use", "for non commercial use only"),
+    ("non-commercial", 50, "commercial  purposes", "may not be used for commercial purposes"),
+    ("personal-use", 50, "personal  use", "for personal use only"),
+    ("patent", 30, "patent  license", "hereby grants ~ a perpetual worldwide non exclusive no charge royalty free irrevocable patent license"),
+    ("warranty", 5, "warranty", "without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("warranty", 5, "warranties", "basis without warranties or conditions of any kind either express or implied"),
+    ("reserved", 30, "diritti", "tutti i diritti riservati"),
+    ("reserved", 30, "direitos", "todos os direitos reservados"),
+    ("reserved", 30, "rechten", "alle rechten voorbehouden"),
+    ("copyright", 10, "portions  copyright", "portions copyright ~ {year}"),
+    ("copyright", 10, "droit  d  auteur", "droit d auteur {year}"),
+    ("copyright", 10, "urheberrecht", "urheberrecht ~ {year}"),
     ("gpl-or-later", 85, "any  later  version", "either version 2 ~ or at your option any later version"),
     ("gpl-or-later", 85, "any  later  version", "either version 3 ~ or at your option any later version"),
     ("warranty", 5, "warranty", "without warranty of any kind"),

@@ -19,7 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracefold.functions.arrays import let
 from tracefold.llm.license_rules import BASE, W, rules
+from tracefold.llm.scans import pieces, totals_before
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -73,15 +75,48 @@ def _spans(norm: Column, rule: Column) -> Column:
     """Word intervals of a rule's matches: the words before a match are those of what lies between matches."""
     gaps = F.transform(F.split(norm, rule["pattern"]), lambda g: F.regexp_count(g, F.lit("[^ ]+")))
     hits = F.transform(F.regexp_extract_all(norm, rule["pattern"], F.lit(0)), lambda m: F.regexp_count(m, F.lit("[^ ]+")))
-    walked = F.aggregate(
-        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + x["hit"]).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).alias("first"), (s["at"] + x["gap"] + x["hit"] - 1).alias("last"), rule["priority"].alias("priority"), rule["label"].alias("label")))).alias("out"),
-        ),
-    )
-    return walked["out"]
+    # the words before hit i are those of the gaps up to it and of the hits before it
+    lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
+
+    def placed(x: Column) -> Column:
+        before = totals_before(F.transform(x, lambda v: v["gap"] + v["hit"]))
+        return F.zip_with(x, before, lambda v, at: F.struct((at + v["gap"]).cast("int").alias("first"), (at + v["gap"] + v["hit"] - 1).cast("int").alias("last"), rule["priority"].alias("priority"), rule["label"].alias("label")))
+
+    return let(lengths, placed)
+
+
+#: All priorities, ascending.
+_LEVELS = sorted({priority for _, priority, _, _ in rules()})
+
+
+def _suppressed(spans: Column) -> Column:
+    """Spans that no other one suppresses, sorted.
+
+    In the order of first word, then falling last word and priority, then label, whatever holds a span
+    comes before it. So a span goes if one before it, of its priority or a higher one, reaches as far as it,
+    which an equal one does, too.
+    ``reach`` holds the farthest last word by least priority; it is carried from piece to piece.
+    """
+    key = F.transform(spans, lambda x: F.struct(x["first"].alias("first"), (-x["last"]).alias("back"), (-x["priority"]).alias("low"), x["label"].alias("label")))
+    levels = F.lit(_LEVELS)
+    none = F.transform(levels, lambda p: F.lit(-1))
+    farther = lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y))
+    own = lambda x: F.transform(levels, lambda p: F.when(-x["low"] >= p, -x["back"]).otherwise(F.lit(-1)))
+
+    def kept(parts: Column) -> Column:
+        reached = F.transform(parts, lambda part: F.aggregate(part, none, lambda r, x: farther(r, own(x))))
+        start = F.struct(none.alias("reach"), F.array().cast("array<array<int>>").alias("before"))
+        carried = F.aggregate(reached, start, lambda s, r: F.struct(farther(s["reach"], r).alias("reach"), F.concat(s["before"], F.array(s["reach"])).alias("before")))["before"]
+
+        def within(part: Column, reach: Column) -> Column:
+            begin = F.struct(reach.alias("reach"), F.slice(part, 1, 0).alias("out"))
+            held = lambda s, x: F.get(s["reach"], (F.array_position(levels, -x["low"]) - 1).cast("int")) >= -x["back"]
+            return F.aggregate(part, begin, lambda s, x: F.struct(farther(s["reach"], own(x)).alias("reach"), F.when(held(s, x), s["out"]).otherwise(F.concat(s["out"], F.array(x))).alias("out")))["out"]
+
+        return F.flatten(F.zip_with(parts, carried, within))
+
+    out = let(F.array_sort(key), lambda x: let(pieces(x), kept))
+    return F.array_sort(F.transform(out, lambda x: F.struct(x["first"].alias("first"), (-x["back"]).alias("last"), (-x["low"]).alias("priority"), x["label"].alias("label"))))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -98,19 +133,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     empty = F.array().cast(_SPAN)
     second = first.select("doc_id", "n_words", "base", F.when(F.size("keywords") > 0, spans).otherwise(empty).alias("spans"))
 
-    def inside(x: Column, y: Column) -> Column:
-        within = (y["first"] <= x["first"]) & (x["last"] <= y["last"])
-        longer = (y["last"] - y["first"]) > (x["last"] - x["first"])
-        same = (y["first"] == x["first"]) & (x["last"] == y["last"])
-        return within & ((y["priority"] > x["priority"]) | ((y["priority"] == x["priority"]) & (longer | (same & (y["label"] < x["label"])))))
-
-    spans_once = F.array_distinct("spans")
-    third = second.select("doc_id", "n_words", "base", spans_once.alias("spans")).select(
-        "doc_id",
-        "n_words",
-        "base",
-        F.when(F.size("spans") > 0, F.array_sort(F.filter("spans", lambda x: ~F.exists("spans", lambda y: inside(x, y))))).otherwise(empty).alias("detections"),
-    )
+    third = second.select("doc_id", "n_words", "base", F.when(F.size("spans") > 0, _suppressed(F.col("spans"))).otherwise(empty).alias("detections"))
     labels = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     base_labels = F.transform("base", lambda b: b["label"])
     return third.select(
