@@ -27,7 +27,7 @@ def test_round_trip(shipped, tmp_path, endian):
     assert exchange.write_exchange(df, path, endian) == 7
     got = exchange.read_exchange(shipped, path, endian=endian, tracesPerPartition=3)
     cols = df.columns
-    assert got.rdd.getNumPartitions() == 3
+    assert got.rdd.getNumPartitions() == 3  # one file, cut by traces
     assert [tuple(r) for r in got.select(*cols).orderBy("seq").collect()] == [tuple(r) for r in df.orderBy("seq").collect()]
     assert exchange.read_exchange(shipped, path, endian=endian, headerOnly=True).where("data is null and ns = 6").count() == 7
     t = exchange.exchange_as_traces(got).orderBy("seq").first()
@@ -109,3 +109,38 @@ def test_solvers(shipped):
     row = df.select(curves.toeplitz_solve("r", "g").alias("t"), curves.spline("x", "y", "p", "akima").alias("s"), curves.vandermonde_solve("x", "y").alias("v")).first()
     assert np.allclose(row.t, np.linalg.solve(full, g)) and abs(row.s[0] - 2.25) < 0.1
     assert np.allclose(np.vander([1.0, 2.0, 3.0], increasing=True).T @ row.v, [1, 4, 9])
+
+
+def test_no_row_reaches_the_driver(shipped, tmp_path, monkeypatch):
+    """A folder of parts and one file hold the same bytes; what comes to the driver is a line for each task."""
+    from pyspark.sql import DataFrame
+
+    df = shipped.range(5000).select(F.col("id").alias("seq"), F.col("id").cast("int").alias("tracl"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: (F.col("id") + k).cast("float")).alias("data")).repartition(7)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    shipped.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several parts of so few rows
+    one, parts = str(tmp_path / "one.su"), str(tmp_path / "parts")
+    assert exchange.write_exchange(df, one) == exchange.write_exchange(df, parts, single=False) == 5000
+    shipped.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    with open(one, "rb") as f:
+        whole = f.read()
+    pieces = [open(p, "rb").read() for p in exchange._files(parts)]
+    assert len(pieces) > 1 and b"".join(pieces) == whole
+    for path in (one, parts):
+        got = exchange.read_exchange(shipped, path, tracesPerPartition=700).orderBy("seq").collect()
+        assert [r.tracl for r in got] == [r.seq for r in got] == list(range(5000)) and got[77].data == [float(77 + k) for k in range(10)]
+    assert exchange.write_exchange(df.where("seq < 3"), parts, single=False, text=["C 1"]) == 3  # replaced
+    assert exchange.read_exchange(shipped, parts).count() == 3 and exchange.text_header(parts)[0].startswith("C 1")
+    assert exchange.write_exchange(df.where("false"), one) == 0 and exchange.read_exchange(shipped, one).count() == 0
+    with pytest.raises(Exception, match="65535"):
+        exchange.write_exchange(shipped.range(1).select(F.col("id").alias("seq"), F.array_repeat(F.lit(0.0), 70_000).alias("data")), one)
+
+
+def test_written_positions(shipped, tmp_path):
+    df = shipped.createDataFrame([(1, 22, "AB", 5.5), (None, 7, None, -3.25)], "line int, point int, code string, easting double")
+    for kind in "SR":
+        sps.write_points(df, str(tmp_path / kind), kind)
+        got = sps.read_points(shipped, str(tmp_path / kind)).orderBy("point").collect()
+        assert [(r.kind, r.line, r.point, r.code, r.easting, r.day) for r in got] == [(kind, None, 7.0, None, -3.25, None), (kind, 1.0, 22.0, "AB", 5.5, None)]
+    sps.write_relations(shipped.createDataFrame([(3, 9, 1, 4)], "record long, point int, from_channel int, to_channel int"), str(tmp_path / "x"))
+    r = sps.read_relations(shipped, str(tmp_path / "x")).first()
+    assert (r.record, r.point, r.from_channel, r.to_channel) == (3, 9.0, 1, 4)

@@ -537,12 +537,12 @@ def strongest_traces(spark, sf_dir):
 
 
 def queries() -> dict:
-    from tracefold.plans import panels, pointwise, resolution  # noqa: F401  register their queries
+    from tracefold.plans import files, panels, pointwise, resolution  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    from tracefold.plans import panels, pointwise, resolution  # noqa: F401  register their SQL
+    from tracefold.plans import files, panels, pointwise, resolution  # noqa: F401  register their SQL
 
     return dict(_SQL)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -25,3 +26,13 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(path)
     context._tracefold_shipped = True
     return spark
+
+
+def work_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); a local one only where one machine is all there is."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = os.path.join(tempfile.gettempdir(), "tracefold-work")
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -6,21 +6,34 @@ column a key, and ``data``. Options: ``endian`` (native, big, little),
 header come first), ``variableLength``, ``headerOnly``, ``tracesPerPartition``.
 With a line header the samples are decoded by its format code (1 IBM float,
 2 int32, 3 int16, 5 IEEE float, 8 int8); without one they are IEEE floats.
+The path is a file, or a folder of part files that :func:`write_exchange` made, on
+any file system that ``pyarrow.fs`` knows.
+
+Writing sends no row to the driver: tasks write the stretches of an ordered table
+as parts, and what they return is a line each, so an attempt that failed leaves no
+trace in the result. Parts have no frame of their own, so the file is the parts one
+after the other; one task copies their bytes where a single file is asked for.
 """
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tracefold.operators.kernels import rows_of
 from tracefold.operators.statistics import coordinate_multiplier
 from tracefold.schema import as_traces, point
+from tracefold.sources.native import store_of
 
 # Fixed header keys in file order, with their binary types.
 KEYS = (
@@ -81,12 +94,22 @@ def looks_like_text(raw: bytes) -> str | None:
 
 def text_header(path: str) -> list[str]:
     """The 40 lines of a file's text header."""
-    with open(path, "rb") as f:
+    store, name = store_of(_files(path)[0])
+    with store.open_input_file(name) as f:
         raw = f.read(TEXT_BYTES)
     text = raw.decode(looks_like_text(raw[:240]) or "ascii", "replace")
     return [text[k : k + 80] for k in range(0, TEXT_BYTES, 80)]
 
 
+def _files(path: str) -> list[str]:
+    """The file, or the part files of a folder in order."""
+    store, root = store_of(path)
+    if store.get_file_info(root).type != pafs.FileType.Directory:
+        return [path]
+    found = store.get_file_info(pafs.FileSelector(root))
+    return [f"{path.rstrip('/')}/{x.base_name}" for x in sorted(found, key=lambda x: x.base_name) if x.is_file and not x.base_name.startswith((".", "_"))]
+
+
 class _Part(InputPartition):
     def __init__(self, path: str, first: int, count: int, at: int, kind: str, width: int):
         self.path, self.first, self.count, self.at, self.kind, self.width = path, first, count, at, kind, width
@@ -100,49 +123,62 @@ class _Reader(DataSourceReader):
         self.chunk = int(options.get("tracesPerPartition", 10_000))
 
     def partitions(self):
-        kind, width, at = "f4", 4, 0
-        size = os.path.getsize(self.path)
+        out: list[_Part] = []
+        kind, width, ns = "f4", 4, None
         head = header_type(self.order)
-        with open(self.path, "rb") as f:
-            start = f.read(HEADER_BYTES)
-            if self.line == "true" or (self.line == "auto" and len(start) == HEADER_BYTES and looks_like_text(start)):
-                f.seek(TEXT_BYTES)
-                binary = f.read(BINARY_BYTES)
-                code = int(np.frombuffer(binary[24:26], dtype=self.order + "u2")[0])
-                kind, width = FORMATS.get(code, ("f4", 4))
-                at = TEXT_BYTES + BINARY_BYTES
-            if size == at:
-                return []
+        for number, path in enumerate(_files(self.path)):
+            store, name = store_of(path)
+            size, at = store.get_file_info(name).size, 0
+            with store.open_input_file(name) as f:
+                if number == 0:
+                    start = f.read(HEADER_BYTES)
+                    if self.line == "true" or (self.line == "auto" and len(start) == HEADER_BYTES and looks_like_text(start)):
+                        f.seek(TEXT_BYTES)
+                        binary = f.read(BINARY_BYTES)
+                        code = int(np.frombuffer(binary[24:26], dtype=self.order + "u2")[0])
+                        kind, width = FORMATS.get(code, ("f4", 4))
+                        at = TEXT_BYTES + BINARY_BYTES
+                if size > at:
+                    before = out[-1].first + out[-1].count if out else 0
+                    found, ns = self._stretches(f, at, size, head, width, ns)
+                    out += [_Part(path, before + a, n, b, kind, width) for a, n, b in found]
+        return out
+
+    def _stretches(self, f, at: int, size: int, head: np.dtype, width: int, given: int | None) -> tuple[list[tuple[int, int, int]], int]:
+        """(first trace, traces, byte offset) of stretches of a file, and its number of samples."""
+
+        def samples_at(at: int) -> int:
             f.seek(at)
             raw = f.read(HEADER_BYTES)
             if len(raw) != HEADER_BYTES:
                 raise OSError("trace header is cut off")
-            ns = int(np.frombuffer(raw, dtype=head)["ns"][0])
+            return int(np.frombuffer(raw, dtype=head)["ns"][0])
+
+        ns = samples_at(at)
+        if not self.variable:
             step = HEADER_BYTES + width * ns
-            if not self.variable:
-                if (size - at) % step:
-                    raise OSError("traces of unequal length, or samples cut off")
-                count = (size - at) // step
-                return [_Part(self.path, k, min(self.chunk, count - k), at + k * step, kind, width) for k in range(0, count, self.chunk)]
-            out, k = [], 0
-            while at < size:
-                if k % self.chunk == 0:
-                    out.append([k, 0, at])
-                f.seek(at)
-                raw = f.read(HEADER_BYTES)
-                if len(raw) != HEADER_BYTES:
-                    raise OSError("trace header is cut off")
-                at += HEADER_BYTES + width * int(np.frombuffer(raw, dtype=head)["ns"][0])
-                out[-1][1] += 1
-                k += 1
-            if at > size:
-                raise OSError("trace samples are cut off")
-            return [_Part(self.path, a, n, b, kind, width) for a, n, b in out]
-
-    def read(self, part: _Part) -> Iterator[tuple]:
+            if (size - at) % step or given not in (None, ns):
+                raise OSError("traces of unequal length, or samples cut off")
+            count = (size - at) // step
+            return [(k, min(self.chunk, count - k), at + k * step) for k in range(0, count, self.chunk)], ns
+        out, k = [], 0
+        while at < size:
+            if k % self.chunk == 0:
+                out.append([k, 0, at])
+            at += HEADER_BYTES + width * samples_at(at)
+            out[-1][1] += 1
+            k += 1
+        if at > size:
+            raise OSError("trace samples are cut off")
+        return [tuple(x) for x in out], ns
+
+    def read(self, part: _Part | None) -> Iterator[tuple]:
+        if part is None:  # no files, or none with traces
+            return
         head = header_type(self.order)
         first_ns = None
-        with open(part.path, "rb") as f:
+        store, name = store_of(part.path)
+        with store.open_input_file(name) as f:
             f.seek(part.at)
             for k in range(part.count):
                 h = np.frombuffer(f.read(HEADER_BYTES), dtype=head)[0]
@@ -152,7 +188,7 @@ class _Reader(DataSourceReader):
                     raise OSError(f"trace {part.first + k} has {ns} samples, not {first_ns}")
                 data = None
                 if self.header_only:
-                    f.seek(part.width * ns, os.SEEK_CUR)
+                    f.seek(f.tell() + part.width * ns)
                 else:
                     raw = np.frombuffer(f.read(part.width * ns), dtype=self.order + ("u4" if part.kind == "ibm" else part.kind))
                     data = (ibm_to_float(raw) if part.kind == "ibm" else raw).astype(np.float32).tolist()
@@ -176,31 +212,105 @@ def read_exchange(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("exchange").options(**{k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}).load(path)
 
 
-def write_exchange(traces: DataFrame, path: str, endian: str = "native", text: list[str] | None = None, sample_code: int = 5) -> int:
-    """Write one ordered file; with ``text`` lines also line headers and samples in ``sample_code``. Returns the number of traces."""
-    order = byte_order(endian)
+def encode_batch(batch: pa.RecordBatch, order: str, kind: str) -> bytes:
+    """The traces of a batch, one after the other; missing and null keys are 0."""
+    rows = rows_of(batch.column("data"))
+    ns = np.array([len(r) for r in rows], dtype=np.int64)
+    if len(ns) and ns.max() > 65_535:
+        raise ValueError("a trace has more than 65535 samples")
     head = header_type(order)
+    h = np.zeros(len(rows), dtype=head)
+    for k, _ in KEYS:
+        if k in batch.schema.names:
+            h[k] = pc.fill_null(batch.column(k), 0).to_numpy(zero_copy_only=False)
+    h["ns"] = ns
+    stored = lambda x: float_to_ibm(x).astype(order + "u4") if kind == "ibm" else x.astype(order + kind)
+    if len(ns) and (ns == ns[0]).all():
+        data = stored(np.stack(rows))
+        out = np.zeros(len(rows), dtype=[("h", head), ("d", data.dtype, (int(ns[0]),))])
+        out["h"], out["d"] = h, data
+        return out.tobytes()
+    return b"".join(x.tobytes() + stored(r).tobytes() for x, r in zip(h, rows))
+
+
+def _line_headers(order: str, text: list[str], dt: int, ns: int, sample_code: int) -> bytes:
+    binary = np.zeros(BINARY_BYTES // 2, dtype=order + "u2")
+    binary[8], binary[10], binary[12] = dt, ns, sample_code
+    return "".join(f"{t[:80]:<80}" for t in (text + [""] * 40)[:40]).encode("cp037") + binary.tobytes()
+
+
+def write_exchange(traces: DataFrame, path: str, endian: str = "native", text: list[str] | None = None, sample_code: int = 5, single: bool = True) -> int:
+    """Write traces in the order of ``seq``, as one file or (``single`` false) a folder of parts; returns their number.
+
+    With ``text`` lines the line headers come first, and samples are in ``sample_code``. What was at the path is replaced
+    once everything is written.
+    """
+    order = byte_order(endian)
     kind, _ = FORMATS[sample_code if text is not None else 5]
-    n, cols = 0, set(traces.columns)
-    with open(path, "wb") as f:
-        for row in traces.orderBy("seq").toLocalIterator():
-            data = np.asarray(row["data"], dtype=np.float64)
-            if len(data) > 65_535:
-                raise ValueError("a trace has more than 65535 samples")
-            if n == 0 and text is not None:
-                f.write("".join(f"{t[:80]:<80}" for t in (text + [""] * 40)[:40]).encode("cp037"))
-                binary = np.zeros(BINARY_BYTES // 2, dtype=order + "u2")
-                binary[8], binary[10], binary[12] = row["dt"] if "dt" in cols else 0, len(data), sample_code
-                f.write(binary.tobytes())
-            h = np.zeros(1, dtype=head)
-            for k, _ in KEYS:
-                if k in cols and row[k] is not None:
-                    h[k] = row[k]
-            h["ns"] = len(data)
-            f.write(h.tobytes())
-            f.write((float_to_ibm(data).astype(order + "u4") if kind == "ibm" else data.astype(order + kind)).tobytes())
-            n += 1
-    return n
+    folder = f"{path.rstrip('/')}.parts-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = store_of(folder)
+        store.create_dir(root, recursive=True)
+        part, n, first = TaskContext.get().partitionId(), 0, (0, 0)
+        name = f"part-{part + 1:06d}-{uuid.uuid4().hex}.su"
+        with store.open_output_stream(f"{root}/{name}") as f:
+            for batch in batches:
+                if batch.num_rows and not n:
+                    dt = batch.column("dt")[0].as_py() if "dt" in batch.schema.names else 0
+                    first = (dt or 0, len(rows_of(batch.column("data").slice(0, 1))[0]))
+                n += batch.num_rows
+                for k in range(0, batch.num_rows, 1000):
+                    f.write(encode_batch(batch.slice(k, 1000), order, kind))
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, name, n, *first)], ["part", "name", "n", "dt", "ns"])
+
+    keys = [c for c, _ in KEYS if c in traces.columns]
+    ordered = traces.select("seq", *keys, "data").repartitionByRange("seq").sortWithinPartitions("seq")
+    written = sorted(ordered.mapInArrow(write, "part long, name string, n long, dt long, ns long").collect())  # a line for each task
+    store, root = store_of(folder)
+    store.create_dir(root, recursive=True)
+    first = written[0] if written else None
+    head = _line_headers(order, text, first.dt if first else 0, first.ns if first else 0, sample_code) if text is not None else b""
+    names = [r.name for r in written]
+    if head:
+        names.insert(0, "part-000000-head.su")
+        with store.open_output_stream(f"{root}/{names[0]}") as f:
+            f.write(head)
+    _, final = store_of(path)
+    if single:
+
+        def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, root = store_of(folder)
+            for _ in batches:
+                pass
+            name = f"whole-{uuid.uuid4().hex}"
+            with store.open_output_stream(f"{root}/{name}") as f:
+                for x in names:
+                    with store.open_input_stream(f"{root}/{x}") as g:
+                        while piece := g.read(1 << 22):
+                            f.write(piece)
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+        whole = traces.sparkSession.range(0, 1, 1, 1).mapInArrow(copy, "name string").first()["name"]
+        _clear(store, final)
+        store.move(f"{root}/{whole}", final)
+        store.delete_dir(root)
+        return sum(r.n for r in written)
+    for x in store.get_file_info(pafs.FileSelector(root)):
+        if x.base_name not in names:  # of attempts that didn't count
+            store.delete_file(x.path)
+    _clear(store, final)
+    store.move(root, final)
+    return sum(r.n for r in written)
+
+
+def _clear(store: pafs.FileSystem, path: str) -> None:
+    kind = store.get_file_info(path).type
+    if kind == pafs.FileType.Directory:
+        store.delete_dir(path)
+    elif kind == pafs.FileType.File:
+        store.delete_file(path)
 
 
 def exchange_as_traces(df: DataFrame) -> DataFrame:

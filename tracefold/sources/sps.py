@@ -24,6 +24,25 @@ def _fields(lines: DataFrame, layout: list) -> DataFrame:
     return lines.select(F.substring("value", 1, 1).alias("kind"), *[one(a, b, k).alias(n) for n, a, b, k in layout])
 
 
+def _lines(df: DataFrame, kind: str, layout: list) -> DataFrame:
+    """Fixed-width lines from columns named like the fields; missing and null ones are blank, longer ones are cut."""
+    parts, at = [F.lit(kind)], 2
+    for name, first, last, _ in layout:
+        text = F.coalesce(F.col(name).cast("string"), F.lit("")) if name in df.columns else F.lit("")
+        parts += [F.lit(" " * (first - at)), F.lpad(text, last - first + 1, " ")]
+        at = last + 1
+    return df.select(F.concat(*parts).alias("value"))
+
+
+def write_points(df: DataFrame, path: str, kind: str = "S", revision: str = "2.1") -> None:
+    """R or S records as text files."""
+    _lines(df, kind, POINT[revision]).write.mode("overwrite").text(path)
+
+
+def write_relations(df: DataFrame, path: str, revision: str = "2.1") -> None:
+    _lines(df, "X", RELATION[revision]).write.mode("overwrite").text(path)
+
+
 def read_points(spark: SparkSession, path: str, revision: str = "2.1") -> DataFrame:
     """R and S records of a text file; blank or unreadable fields are null."""
     return _fields(spark.read.text(path).where("substring(value, 1, 1) IN ('R', 'S')"), POINT[revision])
