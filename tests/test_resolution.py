@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracefold.operators import blocks, dips, sinc, smoothing, statistics, wavelets
+from tracefold.operators import blocks, controls, dips, radial, sinc, smoothing, statistics, wavelets
 
 
 # --- wavelets --------------------------------------------------------------------
@@ -243,3 +243,79 @@ def test_smoothed_histogram(spark):
     want = np.array([sum(n[j] * math.exp(-math.pi * (i - j) ** 2) for j in range(20) if abs(i - j) <= 5) for i in range(20)])
     assert np.allclose([got[i + 1] for i in range(20)], want / want.sum())
     assert {r.share for r in statistics.smoothed_histogram(spark.createDataFrame([], "v double"), "v", 0.0, 10.0, 3).collect()} == {None}
+
+
+# --- radial transforms and control points ---------------------------------------------------
+
+
+def test_abel_of_known_functions():
+    n, a = 200, 120.0
+    r = np.arange(n, dtype=float)
+    disc = (r <= a).astype(float)  # a disc gives the chord
+    chord = 2 * np.sqrt(np.maximum(a * a - r * r, 0))
+    got = radial.abel()(np.stack([disc, np.exp(-((r / 40) ** 2))]), 1.0)
+    assert np.abs(got[0] - chord)[:110].max() < 0.01 * 2 * a
+    assert np.abs(got[1] - 40 * math.sqrt(math.pi) * np.exp(-((r / 40) ** 2))).max() < 0.3  # a Gaussian gives a Gaussian
+    x = np.random.default_rng(11).normal(size=(2, 30))
+    for row, y in zip(x, radial.abel()(x, 1.0)):  # the bank of recursions by loops
+        want = [row[0] + 2 * row[1:].sum()]
+        for i in range(1, 30):
+            total = 0.0
+            for h, p in zip(radial.WEIGHTS, radial.EXPONENTS):
+                state = 0.0
+                for m in range(29, i - 1, -1):
+                    q = (m + 1) / m
+                    scale = 2 * h * m / ((p + 1) * (p + 2))
+                    state = state * q**p + scale * (m + (p + 1 - m) * q ** (p + 1)) * (row[m + 1] if m < 29 else 0.0) - scale * (p + 2 + m - (m + 1) * q ** (p + 1)) * row[m]
+                total += state
+            want.append(total)
+        assert np.allclose(y, want)
+
+
+def test_hankel_there_and_back():
+    r = np.arange(129, dtype=float)
+    f = np.exp(-((r / 15) ** 2))[None]
+    step = 2 * np.pi / 256
+    back = radial.hankel(0)(radial.hankel(0)(f, 1.0), 1.0) * (2 * np.pi * step) ** 2 / 1.0
+    scale = (back[0, :40] @ f[0, :40]) / (f[0, :40] @ f[0, :40])
+    assert np.abs(back[0] / scale - f[0])[:60].max() < 0.03
+    odd = (r * np.exp(-((r / 15) ** 2)))[None]
+    again = radial.hankel(1)(radial.hankel(1)(odd, 1.0), 1.0)
+    scale = (again[0, :40] @ odd[0, :40]) / (odd[0, :40] @ odd[0, :40])
+    assert np.abs(again[0] / scale - odd[0])[:60].max() < 0.05 * odd.max()
+    with pytest.raises(ValueError, match="order"):
+        radial.hankel(2)
+    assert radial.hankel(0)(np.ones((1, 1)), 1.0).tolist() == [[0.0]] and radial.abel()(np.ones((1, 1)), 1.0).tolist() == [[1.0]]
+
+
+@pytest.mark.parametrize("mode", controls.EXTRAPOLATE)
+def test_control_points_by_loops(spark, mode):
+    rng = np.random.default_rng(12)
+    xs, ys = [0.0, 3.0, 10.0, 11.0], [-5.0, 0.0, 8.0]
+    v = {(x, y): float(rng.normal()) for x in xs for y in ys}
+    given = [(x, y, z) for (x, y), z in v.items()]
+    places = [(k, *(float(q) for q in rng.uniform(-9, 16, 2))) for k in range(200)] + [(900, 3.0, 0.0), (901, 11.0, 8.0), (902, None, 1.0), (903, 0.0, -5.0)]
+    df = spark.createDataFrame(places, "k long, x double, y double")
+    got = {r.k: r.value for r in controls.interpolate_controls(df, "x", "y", spark.createDataFrame(given, "x double, y double, z double"), "z", mode, mode).collect()}
+    assert len(got) == 204 and got[902] is None and abs(got[900] - v[3.0, 0.0]) < 1e-12 and abs(got[901] - v[11.0, 8.0]) < 1e-12
+
+    def part(q, lines):
+        if q < lines[0] and mode not in ("both", "low"):
+            q = lines[0]
+        if q > lines[-1] and mode not in ("both", "high"):
+            q = lines[-1]
+        k = max(1, min(len(lines) - 1, sum(a <= q for a in lines)))
+        return lines[k - 1], lines[k], (lines[k] - q) / (lines[k] - lines[k - 1])
+
+    for k, x, y in places[:200]:
+        a, b, p = part(x, xs)
+        c, d, q = part(y, ys)
+        want = p * (q * v[a, c] + (1 - q) * v[a, d]) + (1 - p) * (q * v[b, c] + (1 - q) * v[b, d])
+        assert abs(got[k] - want) < 1e-9
+    few = spark.createDataFrame([(2.0, y, v[0.0, y]) for y in ys], "x double, y double, z double")
+    line = {r.k: r.value for r in controls.interpolate_controls(df, "x", "y", few, "z", mode, mode).collect()}
+    c, d, q = part(places[0][2], ys)
+    assert abs(line[0] - (q * v[0.0, c] + (1 - q) * v[0.0, d])) < 1e-9 and line[902] is None
+    assert controls.interpolate_controls(df, "x", "y", few.where("false"), "z").where("value is not null").count() == 0
+    holed = {r.k: r.value for r in controls.interpolate_controls(df, "x", "y", spark.createDataFrame(given[1:], "x double, y double, z double"), "z", mode, mode).collect()}
+    assert holed[903] is None

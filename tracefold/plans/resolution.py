@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracefold.operators import dips, kernels, sinc, smoothing, statistics, wavelets
+from tracefold.operators import controls, dips, kernels, radial, sinc, smoothing, statistics, wavelets
 from tracefold.plans.catalog import S, doubles, query, sampled, table
 
 DT = 0.004
@@ -149,3 +149,45 @@ b AS (SELECT unnest(range(1, 51)) AS bin), s AS (SELECT b.bin, sum(n * exp(-pi()
 SELECT b.bin, round(coalesce(v, 0) / (SELECT sum(v) FROM s), 8) AS share FROM b LEFT JOIN s USING (bin)""")
 def smoothed_histogram(spark, sf_dir):
     return statistics.smoothed_histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice", 0.0, 100_000.0, 50).select("bin", F.round("share", 8).alias("share"))
+
+
+def _abel(source: str) -> str:
+    """Abel transform of the samples of source: weights b0, b1 of samples m + 1 and m decay by (m / i) ** p from place m in to i."""
+    pairs = ", ".join(f"({h!r}, {p!r})" for h, p in zip(radial.WEIGHTS, radial.EXPONENTS))
+    return f"""e(h, p) AS (SELECT CAST(h AS DOUBLE), CAST(p AS DOUBLE) FROM (VALUES {pairs}) x(h, p)), ms AS (SELECT unnest(range(1, 64)) AS m),
+b AS (SELECT m, p, 2 * h * m / ((p + 1) * (p + 2)) * (m + (p + 1 - m) * pow((m + 1) / m, p + 1)) AS b0, -2 * h * m / ((p + 1) * (p + 2)) * (p + 2 + m - (m + 1) * pow((m + 1) / m, p + 1)) AS b1 FROM ms, e),
+w0 AS (SELECT i.m AS i, b.m AS m, sum(pow(b.m / i.m, p) * b0) AS c0, sum(pow(b.m / i.m, p) * b1) AS c1 FROM ms i JOIN b ON b.m >= i.m GROUP BY ALL),
+w AS (SELECT i, k, sum(c) AS c FROM (SELECT i, m AS k, c1 AS c FROM w0 UNION ALL SELECT i, m + 1, c0 FROM w0 WHERE m < 63 UNION ALL SELECT 0, m, 2 FROM ms UNION ALL SELECT 0, 0, 1) GROUP BY ALL),
+ab AS (SELECT vec_id, i AS it, sum(v * c) AS v FROM {source} s JOIN w ON w.k = s.it GROUP BY ALL)"""
+
+
+@query(f"WITH {S}, {_abel('s')} SELECT vec_id, CAST(it AS BIGINT) AS it, round(v, 5) AS v FROM ab")
+def abel_transform(spark, sf_dir):
+    return sampled(kernels.apply_kernels(doubles(spark, sf_dir), radial.abel()), digits=5)
+
+
+@query(f"""WITH {S}, {_abel('s')}, k AS (SELECT unnest(range(64)) AS k)
+SELECT vec_id, CAST(k AS BIGINT) AS it, round(sum(v * CASE WHEN it IN (0, 63) THEN 1 ELSE 2 END * cos(2 * pi() * ((k * it) % 126) / 126)) / (2 * pi()), 5) AS v FROM ab, k GROUP BY vec_id, k""")
+def hankel_zero(spark, sf_dir):
+    return sampled(kernels.apply_kernels(doubles(spark, sf_dir), radial.hankel(0)), digits=5)
+
+
+@query(f"""WITH {S}, r AS (SELECT vec_id, it, CASE WHEN it > 0 THEN v / it ELSE 0 END AS v FROM s), {_abel('r')}, k AS (SELECT unnest(range(64)) AS k)
+SELECT vec_id, CAST(k AS BIGINT) AS it, round(sum(CASE WHEN it < 63 THEN v * it ELSE 0 END * sin(2 * pi() * ((k * it) % 126) / 126)) / pi(), 5) AS v FROM ab, k GROUP BY vec_id, k""")
+def hankel_first(spark, sf_dir):
+    return sampled(kernels.apply_kernels(doubles(spark, sf_dir), radial.hankel(1)), digits=5)
+
+
+@query("""
+WITH g AS (SELECT l_linenumber * l_linenumber AS x, floor(l_quantity / 10) * 100 AS y, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL),
+xs AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM (SELECT DISTINCT x FROM g)), ys AS (SELECT y, row_number() OVER (ORDER BY y) - 1 AS i FROM (SELECT DISTINCT y FROM g)),
+p AS (SELECT xs.i AS ix, ys.i AS iy, v FROM g JOIN xs USING (x) JOIN ys USING (y)),
+e AS (SELECT event_id, greatest(event_id % 61, 1) AS x, least(event_id % 577, 500) AS y FROM events),
+u AS (SELECT e.*, (SELECT greatest(1, least(6, count(*))) FROM xs WHERE xs.x <= e.x) AS ux, (SELECT greatest(1, least(5, count(*))) FROM ys WHERE ys.y <= e.y) AS uy FROM e),
+w AS (SELECT u.event_id, ux, uy, (a.x - u.x) / (a.x - b.x) AS wx, (c.y - u.y) / (c.y - d.y) AS wy FROM u JOIN xs a ON a.i = ux JOIN xs b ON b.i = ux - 1 JOIN ys c ON c.i = uy JOIN ys d ON d.i = uy - 1)
+SELECT event_id, round(sum(v * CASE WHEN ix = ux THEN 1 - wx ELSE wx END * CASE WHEN iy = uy THEN 1 - wy ELSE wy END), 4) AS v FROM w JOIN p ON p.ix IN (ux, ux - 1) AND p.iy IN (uy, uy - 1) GROUP BY event_id""")
+def control_points(spark, sf_dir):
+    """Mean prices on an uneven grid of line numbers and quantities, interpolated at each event's place; the last slope in x goes on beyond its last line."""
+    lines = table(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") * F.col("l_linenumber")).alias("x"), (F.floor(F.col("l_quantity") / 10) * 100).alias("y")).agg(F.avg("l_extendedprice").alias("v"))
+    places = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 61).alias("x"), (F.col("event_id") % 577).alias("y"))
+    return controls.interpolate_controls(places, "x", "y", lines, "v", extrapolate_x="high").select("event_id", F.round("value", 4).alias("v"))
