@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracefold.operators import blocks, controls, dips, radial, sinc, smoothing, statistics, wavelets
+from tracefold.functions.special import upper_gamma
+from tracefold.operators import blocks, controls, dips, polar, radial, sinc, smoothing, statistics, wavelets
 
 
 # --- wavelets --------------------------------------------------------------------
@@ -319,3 +320,65 @@ def test_control_points_by_loops(spark, mode):
     assert controls.interpolate_controls(df, "x", "y", few.where("false"), "z").where("value is not null").count() == 0
     holed = {r.k: r.value for r in controls.interpolate_controls(df, "x", "y", spark.createDataFrame(given[1:], "x double, y double, z double"), "z", mode, mode).collect()}
     assert holed[903] is None
+
+
+# --- polar panels and fits ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("rows", [4096, 7])
+def test_polar_by_loops(spark, monkeypatch, rows):
+    monkeypatch.setattr(blocks, "ROWS", rows)
+    rng = np.random.default_rng(13)
+    panels = {"a": rng.normal(size=(31, 33)), None: rng.normal(size=(9, 33))}
+    df = spark.createDataFrame([(1000 * i + 3 * k, p, x.tolist()) for i, (p, m) in enumerate(panels.items()) for k, x in enumerate(m)], "seq long, panel string, data array<double>").repartition(4)
+    got = {(r.panel, r.angle): r.data for r in polar.to_polar(df, ["panel"], (15.0, 16.0), 12, 10, 1.3).collect()}
+    assert len(got) == 24
+
+    def value(m, a, i):
+        total = 0.0
+        for p in (math.floor(a), math.floor(a) + 1):
+            for q in (math.floor(i), math.floor(i) + 1):
+                if 0 <= p < m.shape[0] and 0 <= q < m.shape[1]:
+                    total += (1 - abs(a - p)) * (1 - abs(i - q)) * m[p, q]
+        return total
+
+    for p, m in panels.items():
+        for angle in range(12):
+            turn = 2 * math.pi / 12 * angle
+            want = [value(m, 15 + math.sin(turn) * r * 1.3, 16 + math.cos(turn) * r * 1.3) for r in range(10)]
+            assert np.allclose(got[p, angle], want, atol=1e-9)
+
+
+def test_polar_and_back(spark):
+    t, s = np.meshgrid(np.arange(41), np.arange(41), indexing="ij")
+    m = np.exp(-(((t - 22) / 6.0) ** 2) - ((s - 18) / 7.0) ** 2)
+    df = spark.createDataFrame([(k, "p", x.tolist()) for k, x in enumerate(m)], "seq long, panel string, data array<double>")
+    made = polar.to_polar(df, ["panel"], (20.0, 20.0), 120, 60, 0.5)
+    back = polar.from_polar(made, ["panel"], (20.0, 20.0), 120, 41, 41, 0.5).orderBy("place").collect()
+    inside = (t - 20) ** 2 + (s - 20) ** 2 < 400
+    assert np.abs(np.array([r.data for r in back]) - m)[inside].max() < 0.03
+
+
+def test_incomplete_gamma():
+    x = np.linspace(0, 60, 25)
+    for a in (0.5, 1.0, 1.5, 2.0, 7.5, 40.0):
+        grid = np.concatenate((np.linspace(0, 1, 200_001)[1:] ** 4, np.linspace(1, 400, 400_000)[1:]))
+        f = np.exp((a - 1) * np.log(grid) - grid - math.lgamma(a))
+        for v, q in zip(x, upper_gamma(np.full(25, a), x)):
+            above = np.trapezoid(np.where(grid >= v, f, 0), grid)
+            assert abs(q - above) < 2e-3 and 0 <= q <= 1
+    assert np.allclose(upper_gamma(np.full(25, 1.0), x), np.exp(-x), rtol=1e-12) and np.allclose(upper_gamma(np.full(25, 2.0), x), np.exp(-x) * (1 + x), rtol=1e-12)
+    assert abs(float(upper_gamma(np.array([0.5]), np.array([1.7]))[0]) - math.erfc(math.sqrt(1.7))) < 1e-14
+    assert np.isnan(upper_gamma(np.array([0.0, 1.0, np.nan]), np.array([1.0, -1.0, 1.0]))).all()
+
+
+def test_fits_without_enough_rows(spark):
+    rows = [("one", 1.0, 2.0, 1.0), ("same", 3.0, 1.0, 1.0), ("same", 3.0, 2.0, 1.0), ("two", 0.0, 1.0, 2.0), ("two", 1.0, 3.0, 2.0), ("null", None, 1.0, 1.0)] + [("all", float(k), 2.0 * k + (-1) ** k, 1.0) for k in range(8)]
+    got = {r.k: r for r in statistics.weighted_fit(spark.createDataFrame(rows, "k string, x double, y double, s double"), ["k"], "y", "x", "s").collect()}
+    assert all(got[k].a is None and got[k].chi2 is None and got[k].q is None for k in ("one", "same", "null"))
+    assert abs(got["two"].b - 2) < 1e-12 and got["two"].q is None
+    x, y = np.arange(8.0), 2.0 * np.arange(8) + (-1.0) ** np.arange(8)
+    b, a = np.polyfit(x, y, 1)
+    chi2 = float(((y - a - b * x) ** 2).sum())
+    r = got["all"]
+    assert np.allclose([r.a, r.b, r.chi2], [a, b, chi2]) and abs(r.q - math.exp(-chi2 / 2) * (1 + chi2 / 2 + (chi2 / 2) ** 2 / 2)) < 1e-9

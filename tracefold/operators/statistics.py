@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracefold.functions.special import chi_square_tail
+
 
 def regression(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
     """slope, intercept, absolute correlation and standard error of y over x in each group.
@@ -22,14 +24,21 @@ def regression(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
 
 
 def weighted_fit(df: DataFrame, keys: list[str], y: str, x: str, sigma: str) -> DataFrame:
-    """y = a + b x with weights 1 / sigma**2: a, b, their deviations and chi squared."""
+    """y = a + b x with weights 1 / sigma**2: a, b, their deviations, chi squared and the chance that it is exceeded.
+
+    Groups of one row or one x have no fit (nulls), those of two rows no such chance.
+    """
     w = 1 / (F.col(sigma) * F.col(sigma))
-    s = df.groupBy(*keys).agg(F.sum(w).alias("s"), F.sum(w * F.col(x)).alias("sx"), F.sum(w * F.col(y)).alias("sy"), F.sum(w * F.col(x) * F.col(x)).alias("sxx"), F.sum(w * F.col(x) * F.col(y)).alias("sxy"), F.sum(w * F.col(y) * F.col(y)).alias("syy"))
-    d = F.col("s") * F.col("sxx") - F.col("sx") * F.col("sx")
+    s = df.groupBy(*keys).agg(
+        F.sum(w).alias("s"), F.sum(w * F.col(x)).alias("sx"), F.sum(w * F.col(y)).alias("sy"), F.sum(w * F.col(x) * F.col(x)).alias("sxx"), F.sum(w * F.col(x) * F.col(y)).alias("sxy"),
+        F.sum(w * F.col(y) * F.col(y)).alias("syy"), F.count(w * F.col(x) * F.col(y)).alias("n"), F.min(x).alias("least_"), F.max(x).alias("most_"),
+    )
+    d = F.when(F.col("most_") > F.col("least_"), F.nullif(F.col("s") * F.col("sxx") - F.col("sx") * F.col("sx"), F.lit(0.0)))
     a = (F.col("sxx") * F.col("sy") - F.col("sx") * F.col("sxy")) / d
     b = (F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy")) / d
-    chi2 = F.col("syy") - 2 * a * F.col("sy") - 2 * b * F.col("sxy") + a * a * F.col("s") + 2 * a * b * F.col("sx") + b * b * F.col("sxx")
-    return s.select(*keys, a.alias("a"), b.alias("b"), F.sqrt(F.col("sxx") / d).alias("sig_a"), F.sqrt(F.col("s") / d).alias("sig_b"), F.greatest(chi2, F.lit(0.0)).alias("chi2"))
+    chi2 = F.greatest(F.col("syy") - 2 * a * F.col("sy") - 2 * b * F.col("sxy") + a * a * F.col("s") + 2 * a * b * F.col("sx") + b * b * F.col("sxx"), F.lit(0.0))
+    fitted = s.select(*keys, a.alias("a"), b.alias("b"), F.sqrt(F.col("sxx") / d).alias("sig_a"), F.sqrt(F.col("s") / d).alias("sig_b"), F.when(d.isNotNull(), chi2).alias("chi2"), "n")
+    return fitted.withColumn("q", chi_square_tail(F.col("chi2"), F.col("n") - 2)).drop("n")
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, at: list[float], exact: bool = True, accuracy: int = 10_000) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracefold.operators import controls, dips, kernels, radial, sinc, smoothing, statistics, wavelets
+from tracefold.functions import geometry as G
+from tracefold.operators import controls, dips, kernels, polar, radial, sinc, smoothing, statistics, wavelets
 from tracefold.plans.catalog import S, doubles, query, sampled, table
 
 DT = 0.004
@@ -191,3 +192,46 @@ def control_points(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") * F.col("l_linenumber")).alias("x"), (F.floor(F.col("l_quantity") / 10) * 100).alias("y")).agg(F.avg("l_extendedprice").alias("v"))
     places = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 61).alias("x"), (F.col("event_id") % 577).alias("y"))
     return controls.interpolate_controls(places, "x", "y", lines, "v", extrapolate_x="high").select("event_id", F.round("value", 4).alias("v"))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey AS k, count(*) AS n, sum(w) AS s, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy, sum(w * y * y) AS syy
+  FROM (SELECT l_orderkey, l_linenumber AS x, l_extendedprice AS y, 1 / pow(20000 * (1 + l_tax), 2) AS w FROM lineitem) GROUP BY l_orderkey HAVING min(x) < max(x)),
+f AS (SELECT *, s * sxx - sx * sx AS d FROM s), g AS (SELECT *, (sxx * sy - sx * sxy) / d AS a, (s * sxy - sx * sy) / d AS b FROM f),
+h AS (SELECT *, greatest(0, syy - 2 * a * sy - 2 * b * sxy + a * a * s + 2 * a * b * sx + b * b * sxx) / 2 AS x, (n - 2) / 2.0::DOUBLE AS p FROM g)
+SELECT l.k AS l_orderkey, round(sqrt(sxx / d), 3) AS sig_a, round(sqrt(s / d), 3) AS sig_b, round(2 * x, 5) AS chi2,
+  CASE WHEN n > 2 THEN round(1 - CASE WHEN x < 1e-300 THEN 0 ELSE exp(p * ln(x) - x - lgamma(p + 1)) * list_sum(list_transform(range(200), lambda e: exp(e * ln(x) - lgamma(p + e + 1) + lgamma(p + 1)))) END, 5) END AS q
+FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) l LEFT JOIN h ON h.k = l.k""")
+def fit_errors(spark, sf_dir):
+    """Line through each order's prices: deviations of both coefficients, chi squared and its chance."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("sigma", 20_000 * (1 + F.col("l_tax").cast("double"))).withColumns({"x": F.col("l_linenumber").cast("double"), "y": F.col("l_extendedprice").cast("double")})
+    out = statistics.weighted_fit(rows, ["l_orderkey"], "y", "x", "sigma")
+    return out.select("l_orderkey", F.round("sig_a", 3).alias("sig_a"), F.round("sig_b", 3).alias("sig_b"), F.round("chi2", 5).alias("chi2"), F.round("q", 5).alias("q"))
+
+
+@query("""
+WITH m AS (SELECT event_id, 2.0 + (event_id % 5) * 0.1 AS a1, 1.0 + (event_id % 3) * 0.05 AS b1, 2.2::DOUBLE AS r1, 2.6 + (event_id % 7) * 0.1 AS a2, 1.4 + (event_id % 4) * 0.05 AS b2, 2.4::DOUBLE AS r2, sin(0.05 * (event_id % 12)) AS s FROM events),
+p AS (SELECT *, s / a1 AS p FROM m), c AS (SELECT *, sqrt(1 - pow(p * a1, 2)) / a1 AS i1, sqrt(1 - pow(p * a2, 2)) / a2 AS i2, sqrt(1 - pow(p * b1, 2)) / b1 AS j1, sqrt(1 - pow(p * b2, 2)) / b2 AS j2 FROM p),
+k AS (SELECT *, r2 * (1 - 2 * b2 * b2 * p * p) - r1 * (1 - 2 * b1 * b1 * p * p) AS a, r2 * (1 - 2 * b2 * b2 * p * p) + 2 * r1 * b1 * b1 * p * p AS b, r1 * (1 - 2 * b1 * b1 * p * p) + 2 * r2 * b2 * b2 * p * p AS c, 2 * (r2 * b2 * b2 - r1 * b1 * b1) AS d FROM c),
+g AS (SELECT *, b * i1 + c * i2 AS e, b * j1 + c * j2 AS f, a - d * i1 * j2 AS g, a - d * i2 * j1 AS h FROM k)
+SELECT event_id, round(((b * i1 - c * i2) * f - (a + d * i1 * j2) * h * p * p) / (e * f + g * h * p * p), 8) AS r FROM g""")
+def reflection_angles(spark, sf_dir):
+    """Plane-wave reflection between two halves at angles up to 0.55."""
+    e = F.col("event_id")
+    lit = lambda v: F.lit(float(v))
+    r = G.reflection_pp(2.0 + (e % 5) * 0.1, 1.0 + (e % 3) * 0.05, lit(2.2), 2.6 + (e % 7) * 0.1, 1.4 + (e % 4) * 0.05, lit(2.4), F.sin(0.05 * (e % 12)))
+    return table(spark, sf_dir, "events").select("event_id", F.round(r, 8).alias("r"))
+
+
+_NUMBERED = "n AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place FROM embeddings), v AS (SELECT n.label, place, it, v FROM s JOIN n USING (vec_id))"
+
+
+@query(f"""
+WITH {S}, {_NUMBERED}, g AS (SELECT label, angle, radius, 12 + sin(2 * pi() / 24 * angle) * radius * 1.5 AS pl, 32 + cos(2 * pi() / 24 * angle) * radius * 1.5 AS ps FROM (SELECT DISTINCT label FROM n), (SELECT unnest(range(24)) AS angle), (SELECT unnest(range(16)) AS radius)),
+c AS (SELECT label, angle, radius, floor(pl) + a AS place, floor(ps) + i AS it, (CASE a WHEN 1 THEN pl - floor(pl) ELSE 1 - pl + floor(pl) END) * (CASE i WHEN 1 THEN ps - floor(ps) ELSE 1 - ps + floor(ps) END) AS w FROM g, (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(i))
+SELECT CAST(c.label AS BIGINT) AS label, CAST(angle AS BIGINT) AS angle, CAST(radius AS BIGINT) AS radius, round(sum(w * coalesce(v, 0)), 5) AS v FROM c LEFT JOIN v ON v.label = c.label AND v.place = c.place AND v.it = c.it GROUP BY c.label, angle, radius""")
+def polar_panels(spark, sf_dir):
+    """Each panel around its trace 12 and sample 32, at 24 angles and 16 radii."""
+    out = polar.to_polar(doubles(spark, sf_dir), PANEL, (12.0, 32.0), 24, 16, 1.5)
+    rows = out.select(F.col("ensemble_number").alias("label"), F.col("angle").cast("long").alias("angle"), F.posexplode("data").alias("radius", "v"))
+    return rows.select("label", "angle", F.col("radius").cast("long").alias("radius"), F.round("v", 5).alias("v"))
