@@ -114,11 +114,8 @@ class ChunkEncoder:
 
     def _make_room(self) -> None:
         """Once too many are remembered, only those met in several stretches stay."""
-        if self._store.n > self._remembered:
-            self.rest()
-
-    def rest(self) -> None:
-        """Forget the chunks that were met in one stretch only, and the rarest of the others: for the end of a partition, too."""
+        if self._store.n <= self._remembered:
+            return
         seen = self._seen
         often = sorted((k for k, n in self._known.items() if n < len(seen) and seen[n] > 1), key=lambda k: -seen[self._known[k]])[: self._remembered // 4]
         at = [self._known[k] for k in often]

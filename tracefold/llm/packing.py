@@ -125,7 +125,6 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
                             col.append(v)
                         start, piece, length = start + length, piece + 1, capacity
                 yield table(cols)
-        enc.rest()
         # a row with piece -1 for each bin that is still open
         rest = [(None, -1, None, used, None, base + where, None, *((None,) if with_ids else ())) for where, used in fit.left_open()]
         yield table([[r[k] for r in rest] for k in range(len(names))])

@@ -170,7 +170,6 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str | None = No
                     a, cuts = a + n, cuts[n:]
                     if size >= shard_ids:
                         flush()
-        enc.rest()
         if doc_ids:
             flush()
         names, kinds = ["part", "shard", "path", "n_docs", "n_ids"], [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
