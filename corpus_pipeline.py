@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as
 Parquet and reread as the next one's docs. All stages but the last return the
 columns of ``documents``. A decision on a doc_id (a null one too) holds for all
 rows that carry it; of rows that repeat a kept id, near-dedup keeps one.
+
+All stages take whole texts of any length, and give no rows for an empty table.
+Further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,15 +26,18 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules. Null, empty and short texts fail; a document at the threshold stays."""
     return _without(docs, quality.score_quality(docs, read_table(spark, sf_dir, "labels")).where("not kept"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the cut. Null and empty texts have the score of a text without matches."""
     ship(spark)
     return _without(docs, toxicity.score_toxicity(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels"))).where("predicted = 1"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group, the one of the smallest id. Null and blank texts are in no group; of rows that repeat an id any one stays."""
     ship(spark)
     found = near_dup.near_duplicates(docs)
     kept = _without(docs, found.where("not kept"))
@@ -45,11 +51,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found; a similarity at the threshold is a find. Null and blank texts stay."""
     ship(spark)
     return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places; null and empty texts are the end token alone, repeated rows are packed each."""
     ship(spark)
     return packing.pack_documents(docs)
 
