@@ -84,3 +84,23 @@ def test_empty_table(spark, sf_dir, tmp_path):
         stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         assert docs.count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, sf_dir, tmp_path):
+    """Very long, null and empty texts and columns named like the stages' own: columns pass, and no stage fails."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long = " ".join(f"{w} {k}" for k, w in enumerate(vocabulary() * 60))
+    more = spark.createDataFrame([(7000, long, "en", "x", len(long)), (7001, long, "en", "x", len(long)), (7002, None, None, None, None), (7003, "", "", "", 0)], docs.schema)
+    clashing = ["dropped_doc_id", "again_doc_id", "leaked_doc_id", "class", "component_id", "kept", "score", "ratio", "hashes", "count", "sequence_id", "bin"]
+    docs = docs.unionByName(more)
+    for name in clashing:
+        docs = docs.withColumn(name, docs["source"])
+    columns = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            assert docs.columns == columns
+            ids = {r.doc_id for r in docs.select("doc_id").collect()}
+            assert 7000 in ids and 7002 not in ids and 7003 not in ids and (7001 in ids) == (k < 2)
+    assert docs.where("doc_id = 7000").agg({"length": "sum"}).first()[0] > 40_000
