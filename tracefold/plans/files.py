@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracefold.plans.catalog import S, query, table, traces
 from tracefold.session import work_path
@@ -48,12 +49,12 @@ def native_round_trip(spark, sf_dir):
     return _rows(native.read_file(spark, path), "trace_id", "ensemble_number")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _swapped(x: pd.Series) -> pd.Series:
     return pd.Series(native.swap_bytes(x.to_numpy().astype("=i4"), ">"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _pairs(x: pd.Series) -> pd.Series:
     return pd.Series(native.swap_bytes(x.to_numpy().astype("=i4"), "<>"))
 
@@ -69,10 +70,10 @@ def swapped_bytes(spark, sf_dir):
 
 
 @query("""
-SELECT CAST(c_nationkey AS DOUBLE) AS line, CAST(c_custkey AS DOUBLE) AS point, 'C' || c_nationkey % 10 AS code, round(c_acctbal * 1.0, 2) AS northing, CAST(c_custkey % 1000 AS DOUBLE) AS elevation, CAST(NULL AS INT) AS day FROM customer""")
+SELECT CAST(c_nationkey AS DOUBLE) AS line, CAST(c_custkey AS DOUBLE) AS point, 'C' || c_nationkey % 10 AS code, round(c_acctbal * 1.0, 2) AS northing, CAST(c_custkey % 1000 AS DOUBLE) AS elevation, CAST(c_custkey % 366 AS INT) AS day FROM customer""")
 def sps_positions(spark, sf_dir):
     """Customers as source points of positioning records, and back."""
     c = table(spark, sf_dir, "customer")
     path = work_path(spark, "positions")
-    sps.write_points(c.select(F.col("c_nationkey").alias("line"), F.col("c_custkey").alias("point"), F.concat(F.lit("C"), F.col("c_nationkey") % 10).alias("code"), F.round("c_acctbal", 2).cast("decimal(10,2)").alias("northing"), (F.col("c_custkey") % 1000).alias("elevation")), path)
+    sps.write_points(c.select(F.col("c_nationkey").alias("line"), F.col("c_custkey").alias("point"), F.concat(F.lit("C"), F.col("c_nationkey") % 10).alias("code"), F.round("c_acctbal", 2).cast("decimal(10,2)").alias("northing"), (F.col("c_custkey") % 1000).alias("elevation"), (F.col("c_custkey") % 366).alias("day")), path)
     return sps.read_points(spark, path).select("line", "point", "code", "northing", "elevation", "day")
