@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracefold.functions import arrays as A
-from tracefold.functions import linear
+from tracefold.functions import curves, linear
 
 SCHEMA = "k int, a array<array<double>>, b array<double>"
 
@@ -65,3 +65,21 @@ def test_bilinear_takes_the_edge_outside(spark):
     assert [at(0.0, 0.0), at(1.0, 1.0), at(0.5, 0.5), at(9.0, -3.0), at(-1.0, 0.5)] == [0.0, 5.0, 2.0, 1.0, 1.0]
     one = spark.range(1).select(A.bilinear(F.lit([[7.0]]), F.lit(3.0), F.lit(-2.0))).first()[0]
     assert one == 7.0
+
+
+def test_curves_of_a_stack_equal_each_rows(spark):
+    rng = np.random.default_rng(4)
+    for n in (3, 4, 9):
+        x, y = np.cumsum(rng.uniform(0.1, 2, (20, n)), axis=1), rng.normal(size=(20, n))
+        at = rng.uniform(-1, x.max() + 1, (20, 7))
+        for kind, slopes in curves.SLOPES.items():
+            s = slopes(x, y)
+            assert np.allclose(s, np.stack([slopes(*row) for row in zip(x, y)])), kind
+            for d in range(4):
+                k = np.clip((x[:, None, :] <= at[..., None]).sum(axis=2) - 1, 0, n - 2)
+                assert (curves._interval(x, at) == k).all()
+                assert np.allclose(curves.evaluate(x, y, s, at, d), np.stack([curves.evaluate(*row, d) for row in zip(x, y, s, at)]))
+    rows = [(0, [0.0, 1.0, 2.0], [0.0, 1.0, 4.0], [0.5]), (1, [0.0, 2.0], [1.0, 5.0], [1.0, 3.0]), (2, [5.0], [7.0], [0.0, 1.0, 2.0]), (3, None, [1.0], [1.0]), (4, [0.0, 1.0], [0.0, 1.0], []), (5, [0.0, 1.0, 2.0], [0.0, 2.0, 4.0], [1.5])]
+    df = spark.createDataFrame(rows, "k int, x array<double>, y array<double>, p array<double>").coalesce(1)
+    got = {r.k: r.v for r in df.select("k", curves.spline("x", "y", "p").alias("v")).collect()}
+    assert got[1] == [3.0, 7.0] and got[2] == [7.0] * 3 and got[3] is None and got[4] == [] and abs(got[5][0] - 3) < 1e-12 and abs(got[0][0] - 0.3125) < 1e-12
