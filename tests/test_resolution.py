@@ -198,6 +198,26 @@ def test_damped_lines_equal_dense_solutions(spark, monkeypatch, rows):
     assert smoothing.smooth_across(df.where("false"), ["line"], "at", "data", smoothing.even_link(4.0)).count() == 0
 
 
+def test_short_lines_are_solved_together(spark):
+    rng = np.random.default_rng(14)
+    for sizes in ([5], [1, 7, 3, 7, 1, 2], [2, 2, 2]):
+        before, after, x = rng.uniform(0, 3, sum(sizes)), rng.uniform(0, 3, sum(sizes)), rng.normal(size=(sum(sizes), 4))
+        at = np.cumsum([0, *sizes])
+        want = np.concatenate([smoothing.solve_line(before[i:j], after[i:j], x[i:j]) for i, j in zip(at, at[1:])])
+        assert np.allclose(smoothing.solve_lines(before, after, x, np.array(sizes)), want)
+    x = {p: rng.normal(size=(p % 3 + 1, 2 + p % 2)) for p in range(30)}  # lines of unlike lengths, arrays of unlike lengths
+    df = spark.createDataFrame([(p, k, v.tolist()) for p, rows in x.items() for k, v in enumerate(rows)], "line int, at int, data array<double>")
+    out = smoothing.smooth_across(df, ["line"], "at", "data", smoothing.even_link(4.0))
+    got = {(r.line, r["at"]): r.data for r in out.collect()}
+    for p, rows in x.items():
+        assert np.allclose([got[p, k] for k in range(len(rows))], dense_line([4.0] * (len(rows) - 1), rows))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "GroupsInPandas" not in plan
+    uneven = spark.createDataFrame([(1, 0, [1.0]), (1, 1, [1.0, 2.0])], "line int, at int, data array<double>")
+    with pytest.raises(Exception, match="one length"):
+        smoothing.smooth_across(uneven, ["line"], "at", "data", smoothing.even_link(4.0)).collect()
+
+
 def test_damped_samples():
     x = np.random.default_rng(8).normal(size=(3, 20))
     got = smoothing.damped(3.0)(x, 1.0)

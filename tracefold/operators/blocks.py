@@ -58,10 +58,10 @@ def in_blocks(df: DataFrame, panel: list[str], order: str = "seq", rows: int | N
     return met.withColumn("block_", F.coalesce(_block(F.col(order)), F.lit(0)).cast("int")).drop("cuts_")
 
 
-def with_margins(df: DataFrame, panel: list[str], order: str = "seq", before: int = 1, after: int = 1, rows: int | None = None) -> DataFrame:
+def with_margins(df: DataFrame, panel: list[str], order: str = "seq", before: int = 1, after: int = 1, rows: int | None = None, large_ones: bool | None = None) -> DataFrame:
     """df in blocks, with copies (``margin_``) of the rows next to each block."""
     rows = rows or ROWS
-    large_ones = has_large(df, panel, rows)
+    large_ones = has_large(df, panel, rows) if large_ones is None else large_ones
     blocked = in_blocks(df, panel, order, rows, large_ones)
     if not large_ones:
         return blocked.withColumn("margin_", F.lit(False))
