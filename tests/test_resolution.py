@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tracefold.functions import stacks
 from tracefold.functions.special import upper_gamma
 from tracefold.operators import blocks, controls, dips, polar, radial, sinc, smoothing, statistics, wavelets
 
@@ -164,6 +166,25 @@ def test_a_dipping_event_is_followed(spark):
     assert (50, 1) not in out and (51, 1) not in out and out[51, 0] is None
 
 
+def test_dips_run_once_in_slices(spark):
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(12, 30))
+    rows = [x[k].tolist() if k != 5 else None for k in range(12)]
+    after = [None if k in (3, 11) else rows[(k + 1) % 12] for k in range(12)]
+    batch = pa.RecordBatch.from_pydict({"data": rows, "before_": [None if k in (3, 4) else rows[k - 1] for k in range(12)], "next_": after})
+    whole = [a.to_pylist() for a in dips._products(batch, 0.004, 3.0, 20.0, 0.4, 5)]
+    parts = [dips._products(b, 0.004, 3.0, 20.0, 0.4, 5) for b in stacks.in_slices([batch], 5)]
+    assert len(parts) == 3 and whole[0][5] is None
+    for k, want in enumerate(whole):
+        got = [v for p in parts for v in p[k].to_pylist()]
+        assert all((a is None and b is None) or np.allclose(a, b) for a, b in zip(got, want, strict=True))
+    assert whole[0][3] == [0.0] * 30  # no neighbour at all
+    df = spark.createDataFrame([(k, "p", v.tolist()) for k, v in enumerate(x)], "seq long, panel string, data array<double>")
+    for out in (dips.dip_picks(df, ["panel"], 0.004).select("seq", F.posexplode("dip")), dips.interpolate_traces(df, ["panel"], 1, 0.004).select("seq", F.posexplode("data"))):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
 # --- smoothing ---------------------------------------------------------------------------
 
 

@@ -13,17 +13,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tracefold.functions import stacks
+
 #: Numbers of one stack at most, so that long arrays are stacked fewer at a time.
 STACK = 1 << 20
 
 
 def _by_lengths(f: Callable[..., np.ndarray], *columns: pa.Array, square: bool = False) -> pa.Array:
     """f of stacks of rows [row, place] of like lengths, as one column; square: f makes a matrix of each row."""
-    values = [c.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False) for c in columns]
-    starts = [c.offsets.to_numpy()[:-1] for c in columns]
-    lengths = np.stack([c.value_lengths().fill_null(-1).to_numpy() for c in columns], axis=1)
-    sizes, found = np.full(len(lengths), -1, dtype=np.int64), []
-    kinds, kind_of = np.unique(lengths, axis=0, return_inverse=True)
+    sizes, found = np.stack([stacks.lengths(c) for c in columns], axis=1), []
+    kinds, kind_of = np.unique(sizes, axis=0, return_inverse=True)
     for kind, shape in enumerate(kinds):
         if shape.min() < 0:
             continue
@@ -31,14 +30,8 @@ def _by_lengths(f: Callable[..., np.ndarray], *columns: pa.Array, square: bool =
         longest = max(1, int(shape.max()))
         step = max(1, STACK // (longest * longest if square else longest))
         for rows in (own[k : k + step] for k in range(0, len(own), step)):
-            out = f(*(v[s[rows][:, None] + np.arange(n)] for v, s, n in zip(values, starts, shape, strict=True)))
-            sizes[rows] = out.shape[1]
-            found.append((rows, out))
-    offsets = np.concatenate(([0], np.cumsum(np.maximum(sizes, 0))))
-    flat = np.empty(offsets[-1])
-    for rows, out in found:
-        flat[offsets[rows][:, None] + np.arange(out.shape[1])] = out
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat), mask=pa.array(sizes < 0))
+            found.append((rows, f(*(stacks.stack(c, rows, n) for c, n in zip(columns, shape, strict=True)))))
+    return stacks.lists(len(sizes), found)
 
 
 def natural_slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:

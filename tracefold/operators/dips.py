@@ -16,12 +16,15 @@ gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracefold.functions import stacks
 from tracefold.operators import blocks, sinc
 from tracefold.operators.kernels import real_fft_length
 
@@ -53,21 +56,29 @@ def low_frequencies(x: np.ndarray, dt: float, f1: float, f2: float, agc: float)
     return np.fft.irfft(c, n, axis=-1)[..., : x.shape[-1]], np.fft.irfft(slope, n, axis=-1)[..., : x.shape[-1]]
 
 
-def _products(dt: float, f1: float, f2: float, agc: float, length: int):
-    @F.pandas_udf(T.StructType([T.StructField("across", _ARRAY), T.StructField("along", _ARRAY)]))
-    def run(data: pd.Series, before: pd.Series, after: pd.Series) -> pd.DataFrame:
-        out = []
-        for d, b, a in zip(data, before, after):
-            if d is None or (a is None and b is None):
-                out.append((None, None) if d is None else (np.zeros(len(d)), np.zeros(len(d))))
-                continue
-            pair = np.stack([np.asarray(x, dtype=np.float64) for x in ((d, a) if a is not None else (b, d))])
-            low, slope = low_frequencies(pair, dt, f1, f2, agc)
-            own = slope[0 if a is not None else 1]
-            out.append((_twice((low[1] - low[0]) * own, length), _twice(own * own, length)))
-        return pd.DataFrame(out, columns=["across", "along"])
-
-    return run
+def _products(batch: pa.RecordBatch, dt: float, f1: float, f2: float, agc: float, length: int) -> tuple[pa.Array, pa.Array]:
+    """Smoothed products of each trace's difference to its neighbour (before_ at the panel's end) and along it, and squares of the latter."""
+    data, before, after = (batch.column(c) for c in ("data", "before_", "next_"))
+    own, n_before, n_after = (stacks.lengths(c) for c in (data, before, after))
+    other = np.where(n_after >= 0, n_after, n_before)
+    across, along = [], []
+    for n in np.unique(own[own >= 0]):
+        rows = np.flatnonzero(own == n)
+        if (other[rows][other[rows] >= 0] != n).any():
+            raise ValueError("neighbouring traces must have one length")
+        alone = rows[other[rows] < 0]
+        across.append((alone, np.zeros((len(alone), n))))
+        along.append((alone, np.zeros((len(alone), n))))
+        for beside, sign, there in ((after, 1, (n_after[rows] >= 0)), (before, -1, (n_after[rows] < 0) & (n_before[rows] >= 0))):
+            with_one = rows[there]
+            if len(with_one) and n:
+                low, slope = low_frequencies(np.stack((stacks.stack(data, with_one, n), stacks.stack(beside, with_one, n))), dt, f1, f2, agc)
+                across.append((with_one, _twice(sign * (low[1] - low[0]) * slope[0], length)))
+                along.append((with_one, _twice(slope[0] * slope[0], length)))
+            elif len(with_one):
+                across.append((with_one, np.zeros((len(with_one), 0))))
+                along.append((with_one, np.zeros((len(with_one), 0))))
+    return stacks.lists(len(own), across), stacks.lists(len(own), along)
 
 
 def _mean_across(df: DataFrame, panel: list[str], columns: list[str], width: int) -> DataFrame:
@@ -91,40 +102,52 @@ def dip_picks(traces: DataFrame, panel: list[str], dt: float, f1: float = 3.0, f
     w = blocks.window(panel)
     beside = blocks.with_margins(traces, panel, before=1, after=1)
     df = blocks.without_margins(beside.withColumn("before_", F.lag("data").over(w)).withColumn("next_", F.lead("data").over(w)))
-    products = _products(dt, f1, f2, agc, 1 + 2 * (length // 2))("data", "before_", "next_")
-    df = df.withColumn("products_", products).select(*traces.columns, "next_", F.col("products_.across").alias("across_"), F.col("products_.along").alias("along_"))
+    kept = [*traces.columns, "next_"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stacks.in_slices(batches):
+            made = _products(batch, dt, f1, f2, agc, 1 + 2 * (length // 2))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, "across_", "along_"])
+
+    # a map of batches, since a function of columns is worked out twice where an explode follows
+    df = df.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), T.StructField("across_", _ARRAY), T.StructField("along_", _ARRAY)]))
     if width > 1:
         for _ in range(2):
             df = _mean_across(df, panel, ["across_", "along_"], width)
     return df.withColumn("dip", F.zip_with("across_", "along_", lambda a, b: -a / (b + _TINY))).drop("across_", "along_")
 
 
-def _between(count: int):
-    @F.pandas_udf(T.ArrayType(_ARRAY))
-    def run(data: pd.Series, following: pd.Series, dip: pd.Series) -> pd.Series:
-        out = []
-        for d, a, p in zip(data, following, dip):
-            if d is None or a is None or p is None:
-                out.append(None)
-                continue
-            d, a, p = (np.asarray(x, dtype=np.float64) for x in (d, a, p))
-            at, new = np.arange(len(d)), []
-            for k in range(1, count + 1):
-                share = k / (1 + count)
-                own = sinc.at_places(d[None], (at - p * share)[None])[0]
-                other = sinc.at_places(a[None], (at + p * (1 - share))[None])[0]
-                new.append((1 - share) * own + share * other)
-            out.append(new)
-        return pd.Series(out, dtype=object)
-
-    return run
+def _between(batch: pa.RecordBatch, count: int) -> list[pa.Array]:
+    """The new traces after each of a batch, a column for each of their places; null where there are none."""
+    data, following, dip = (batch.column(c) for c in ("data", "next_", "dip"))
+    sizes = np.stack([stacks.lengths(c) for c in (data, following, dip)])
+    made: list[list] = [[] for _ in range(count)]
+    for n in np.unique(sizes[0][sizes.min(axis=0) >= 0]):
+        rows = np.flatnonzero((sizes[0] == n) & (sizes.min(axis=0) >= 0))
+        d, a, p = (stacks.stack(c, rows, n) for c in (data, following, dip))
+        at = np.arange(n)
+        for k in range(1, count + 1):
+            share = k / (1 + count)
+            made[k - 1].append((rows, (1 - share) * sinc.at_places(d, at - p * share) + share * sinc.at_places(a, at + p * (1 - share))))
+    return [stacks.lists(len(batch), found) for found in made]
 
 
 def interpolate_traces(traces: DataFrame, panel: list[str], count: int, dt: float, **options) -> DataFrame:
     """All traces (``between`` 0) and ``count`` new ones after each but its panel's last (``between`` 1, 2, ...); new rows carry the headers of the trace before them."""
     picked = dip_picks(traces, panel, dt, **options)
     kind = traces.schema["data"].dataType
-    made = picked.withColumn("made_", _between(count)("data", "next_", "dip").cast(T.ArrayType(kind)))
-    whole: Column = F.concat(F.array(F.struct(F.lit(0).alias("between"), F.col("data"))), F.coalesce(F.transform("made_", lambda d, i: F.struct((i + 1).alias("between"), d.alias("data"))), F.array().cast(T.ArrayType(T.StructType([T.StructField("between", T.IntegerType()), T.StructField("data", kind)])))))
-    rows = made.withColumn("row_", F.explode(whole))
+    kept = [*traces.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stacks.in_slices(batches):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *_between(batch, count)], names=[*kept, *new])
+
+    new = [f"made_{k}_" for k in range(1, count + 1)]
+    made = picked.mapInArrow(run, T.StructType([*(picked.schema[c] for c in kept), *[T.StructField(c, _ARRAY) for c in new]]))
+    row = lambda between, data: F.struct(F.lit(between).alias("between"), data.alias("data"))
+    own: Column = F.array(row(0, F.col("data")))
+    if new:
+        between = F.array(*[row(k, F.col(c).cast(kind)) for k, c in enumerate(new, 1)])
+        own = F.when(F.col(new[0]).isNull(), own).otherwise(F.concat(own, between))
+    rows = made.withColumn("row_", F.explode(own))
     return rows.select(*[F.col("row_.data").alias(c) if c == "data" else F.col(c) for c in traces.columns], F.col("row_.between").alias("between"))
