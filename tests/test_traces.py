@@ -285,6 +285,19 @@ def test_panel_queries_gather_no_panel(shipped, monkeypatch, name):
     assert all(abs(v - want[k]) < 1e-5 + 1e-9 * abs(v) for k, v in got.items())
 
 
+def test_panel_filters_transform_traces_once(spark):
+    x = np.random.default_rng(16).normal(size=(9, 20))
+    rows = [(k, "p", v.tolist()) for k, v in enumerate(x)] + [(20, None, [1.0, 2.0, 4.0])]
+    df = spark.createDataFrame(rows, "seq long, panel string, data array<double>").coalesce(1)
+    out = cross.filter_separable(df, ["panel"], [0.0, 1.0], [1, 1], [0.0, 1.0], [1, 1])  # a filter that passes all
+    got = {r.seq: r.data for r in out.collect()}
+    assert len(got) == 10 and np.allclose([got[k] for k in range(9)], x) and np.allclose(got[20], [1, 2, 4])
+    plan = out.select("seq", F.posexplode("data"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "ArrowEvalPython" not in plan
+    with pytest.raises(Exception, match="null trace"):
+        cross.filter_separable(df.withColumn("data", F.when(F.col("seq") > 0, F.col("data"))), ["panel"], [0.0, 1.0], [1, 1], [0.0, 1.0], [1, 1]).collect()
+
+
 def test_trimmed_spectrum_in_ranks(shipped):
     from tracefold.operators.kernels import real_fft_length
 

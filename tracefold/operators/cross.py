@@ -12,14 +12,16 @@ panel may have any number of traces; ``seq`` tells a panel's traces apart.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracefold.functions import stacks
 from tracefold.functions.arrays import let
 from tracefold.operators import blocks
 from tracefold.operators.kernels import _irfft, _rfft, polygon, real_fft_length
@@ -162,14 +164,20 @@ def _spectra(traces: DataFrame, keys: list[str]) -> DataFrame:
     numbers = [T.StructField("nt", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())]
     schema = T.StructType([*(rows.schema[k] for k in (*keys, "seq")), *numbers])
 
-    def run(batches):
-        for batch in batches:
-            for nt, part in batch.groupby(batch["data"].map(len)):
-                c = _rfft(np.stack([np.asarray(d, dtype=np.float64) for d in part["data"]]), real_fft_length(nt))
-                out = part[[*keys, "seq"]].loc[part.index.repeat(c.shape[1])].reset_index(drop=True)
-                yield out.assign(nt=nt, j=np.tile(np.arange(c.shape[1]), len(part)), re=c.real.ravel(), im=c.imag.ravel())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stacks.in_slices(batches):
+            data = batch.column("data")
+            sizes = stacks.lengths(data)
+            if (sizes < 0).any():
+                raise ValueError("a null trace has no spectrum")
+            for nt in np.unique(sizes):
+                own = np.flatnonzero(sizes == nt)
+                c = _rfft(stacks.stack(data, own, nt), real_fft_length(int(nt)))
+                row, j = np.repeat(own, c.shape[1]), np.tile(np.arange(c.shape[1], dtype=np.int32), len(own))
+                found = {"nt": np.full(len(row), nt, dtype=np.int32), "j": j, "re": c.real.ravel(), "im": c.imag.ravel()}
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in (*keys, "seq")), *map(pa.array, found.values())], names=[*keys, "seq", *found])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -179,15 +187,23 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, on).drop(*(f"{k}_right_" for k in keys))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _samples_of(re: pd.Series, im: pd.Series, nt: pd.Series) -> pd.Series:
-    return pd.Series([_irfft((np.asarray(a) + 1j * np.asarray(b))[None], real_fft_length(int(n)), int(n))[0] for a, b, n in zip(re, im, nt)], dtype=object)
-
-
 def _arrays(spectra: DataFrame, *keys: str) -> DataFrame:
     """Rows of frequencies back to samples: keys, filtered_."""
     whole = spectra.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("j", "re", "im"))).alias("s"), F.max("nt").alias("nt"))
-    return whole.select(*keys, _samples_of(F.col("s.re"), F.col("s.im"), F.col("nt")).alias("filtered_"))
+    whole = whole.select(*keys, F.col("s.re").alias("re"), F.col("s.im").alias("im"), "nt")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stacks.in_slices(batches):
+            sizes = np.stack((stacks.lengths(batch.column("re")), batch.column("nt").to_numpy()), axis=1)
+            found = []
+            for n, nt in np.unique(sizes, axis=0):
+                own = np.flatnonzero((sizes == (n, nt)).all(axis=1))
+                c = stacks.stack(batch.column("re"), own, n) + 1j * stacks.stack(batch.column("im"), own, n)
+                found.append((own, _irfft(c, real_fft_length(int(nt)), int(nt))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), stacks.lists(len(batch), found)], names=[*keys, "filtered_"])
+
+    # a map of batches, since a function of columns is worked out twice where an explode follows
+    return whole.mapInArrow(run, T.StructType([*(whole.schema[k] for k in keys), T.StructField("filtered_", T.ArrayType(T.DoubleType()))]))
 
 
 def along_traces(traces: DataFrame, panel: list[str], f: Callable[[np.ndarray, int, int], np.ndarray]) -> DataFrame:
